@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import order_queries, report_queries, star_queries, text_queries
+from .registry import QUERIES, SQL
+
+flagship = report_queries.lexical_correlation
+
+__all__ = ["QUERIES", "SQL", "flagship", "order_queries", "report_queries", "star_queries", "text_queries"]
