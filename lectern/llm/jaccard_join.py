@@ -34,7 +34,7 @@ from .textkit import ALNUM, bound_batches, find_words, lists, map_batches, mix,
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 100
 #: Classes of a group that meet in one task, and rows of a tile of the verification.
-CHUNK, TILE = 2048, 256
+CHUNK, TILE = 1024, 256
 NO_ID = -(1 << 63)
 
 
@@ -181,7 +181,8 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     members = materialise(members.select("node", "comp", "id", "chunk", "ij.i", "ij.j", (F.col("chunks") > 1).alias("parted")), "members")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // CHUNK + 1)
     members = members.withColumn("task", F.when(F.col("parted"), F.xxhash64("comp", "i", "j")).otherwise(F.expr(f"pmod(xxhash64(comp), {tasks})")))
-    with_text = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text").join(members, "id")
+    # by merge at every size: what is joined grows with the documents
+    with_text = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text").join(members.hint("merge"), "id")
     kept = ["task", "comp", "i", "j", "chunk", "node", "parted"]
     schema = T.StructType([*[members.schema[c] for c in kept], T.StructField("grams", T.BinaryType())])
 
