@@ -86,12 +86,13 @@ def anchors(slab: Slab, prefix: np.ndarray, s: Shape) -> tuple[np.ndarray, np.nd
     h = np.maximum(range_hash(prefix, at, at + s.gram), np.uint64(1))
     least = sliding(h, s.window, np.minimum, 2**64 - 1)
     # windows that cross a text's end are none
-    ends = np.repeat(slab.offs[1:], np.diff(slab.offs))
+    size = np.diff(slab.offs)
+    ends, long_enough = np.repeat(slab.offs[1:], size), np.repeat(size >= s.least, size)
     whole = at + s.window + s.gram - 1 <= ends[: len(at)]
     least[~whole] = 0
     # a position is least in some window if it equals the largest of the windows' least values
     most = sliding(least[::-1], s.window, np.maximum, 0)[::-1]
-    pick = np.flatnonzero((h == most) & (at + s.key <= ends[: len(at)]))
+    pick = np.flatnonzero((h == most) & (at + s.key <= ends[: len(at)]) & long_enough[: len(at)])
     return pick, h[pick]
 
 
