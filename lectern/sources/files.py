@@ -43,7 +43,8 @@ def segments(docs: DataFrame) -> DataFrame:
 def transcript_texts(spark: SparkSession, path: str) -> DataFrame:
     """Plain transcripts: three header lines and the body. An empty file has null fields."""
     df = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(file_stem().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("v"))
-    return df.select("file", *transcript_fields(F.col("v")))
+    every = listing(spark, path, "*.txt", recursive=False).select(F.col("stem").alias("file"))  # a read leaves empty files out
+    return every.join(df, "file", "left").select("file", *transcript_fields(F.coalesce("v", F.lit(""))))
 
 
 def transcript_fields(c: Column) -> list[Column]:
@@ -120,10 +121,14 @@ def candidates(records: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """``path``, ``name``, ``stem``, ``ext``, ``length`` of files; their contents are not read."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "modificationTime")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return df.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), urls.extension(name).alias("ext"), "length")
+    """``path``, ``name``, ``stem``, ``ext`` of files, empty ones too; none is opened.
+
+    The names come from the index of files that Spark keeps for any read of the folder.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).inputFiles()
+    df = spark.createDataFrame([(f,) for f in found], "path string")
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    return df.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), urls.extension(name).alias("ext"))
 
 
 def correlation_files(files: DataFrame) -> DataFrame:
