@@ -5,8 +5,8 @@ fall inside a pre-token, so its first boundaries can be wrong, and at its end th
 what follows is not seen. The pattern never looks back, so once two chunks share a boundary all later
 ones agree: the *stitch* follows the left chunk up to the first boundary that both have, then the right
 one. Where an overlap holds no common boundary (one pre-token longer than the overlap), the left chunk
-is read on past its end until it resynchronises. The pieces are then merged by rank, each by itself,
-and decoding concatenates the raw bytes of the ids.
+is read on past its end until it resynchronises. The pieces are then merged by rank, each by itself
+(the merging of one piece is ``tiktoken``'s), and decoding concatenates the raw bytes of the ids.
 
 Texts longer than ``spread`` code points are pre-tokenised chunk by chunk on all executors and stitched
 by text; shorter ones are cut, stitched and encoded in the task that reads them.
@@ -20,20 +20,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain, pairwise
+from array import array
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import bound_batches, map_batches
+from .textkit import Slab, arrow_type, bound_batches, lists, map_batches, prefix_hash, range_hash, slabs
 
-CHUNK, OVERLAP = 16384, 512
+CHUNK, OVERLAP = 65536, 1024
 SPREAD = 1 << 20
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +45,66 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
+#: The pattern whose boundaries ``Scan`` finds for whole arrays at once. Other patterns go through ``regex``.
+SCANNED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
+
+
+class Scan:
+    """Ends of the matches of ``SCANNED`` in arrays of code points.
+
+    Each code point is a letter, a number, a blank or another; a match is a run of one class, with these
+    exceptions: of a run of blanks before something else the last is left for itself, and joins what
+    follows if it is a space; an apostrophe alone takes one of seven endings from the letters behind it.
+    """
+
+    def __init__(self):
+        self.classes = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for k, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+            for m in regex.finditer(p, every):
+                a, b = ord(every[m.start()]), ord(every[m.end() - 1])
+                self.classes[a : b + 1] = k
+        self.classes[0xD800:0xE000] = OTHER
+
+    def ends(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Ends of all matches; each stretch between ``bounds`` (from 0 on) is a text of its own."""
+        n = len(points)
+        if not n:
+            return np.zeros(0, np.int64)
+        kind = self.classes[points]
+        first = np.zeros(n + 1, bool)  # where a text starts
+        first[bounds] = True
+        start = first.copy()
+        start[1:n] |= kind[1:] != kind[:-1]
+        blank = kind == BLANK
+        # the last blank before something else of its text
+        last = np.zeros(n, bool)
+        last[:-1] = blank[:-1] & ~blank[1:] & ~first[1:n]
+        at = np.flatnonzero(last)
+        start[at] = True
+        joins = at[points[at] == 32]
+        start[joins + 1] = False
+        # an apostrophe that starts a match and is followed by letters
+        q = np.flatnonzero((points == 39) & start[:n])
+        q = q[q + 1 < n]
+        q = q[(kind[q + 1] == LETTER) & ~first[q + 1]]
+        if len(q):
+            one = points[q + 1]
+            two = points[np.minimum(q + 2, n - 1)]
+            # the second letter must be of the same text
+            same = (q + 2 < n) & ~first[np.minimum(q + 2, n)]
+            size = np.zeros(len(q), np.int64)
+            size[np.isin(one, [ord(c) for c in "stmd"])] = 1
+            for x, y in ("re", "ve", "ll"):
+                size[same & (one == ord(x)) & (two == ord(y))] = 2
+            own = q[size > 0]
+            start[own + 1] = False
+            start[own + 1 + size[size > 0]] = True
+        start[n] = True
+        return np.flatnonzero(start)[1:]
+
+
 class Bpe:
     """Merges by rank; one per worker, so that remembered pieces are shared by all batches."""
 
@@ -49,8 +112,16 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.tokens = {i: b for b, i in ranks.items()}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.scan = Scan() if pattern == SCANNED else None
+        self.merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.tokens[i] = b
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.flat, self.first = array("i"), array("q", [0])
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Bpe:
@@ -58,160 +129,181 @@ class Bpe:
             cls._made[path, pattern] = cls(load_ranks(path), pattern)
         return cls._made[path, pattern]
 
-    def boundaries(self, text: str, start: int, stop: int) -> list[int]:
-        """Ends of the pre-tokens from ``start`` on, as if the text ended at ``stop``."""
-        return [m.end() for m in self.pattern.finditer(text, start, stop)]
-
-    def pretokenise(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-        """The pre-tokens of ``text``, chunk by chunk."""
-        if len(text) <= chunk:
-            return self.pattern.findall(text)
-        pieces: list[list[int]] = []
-        step = max(1, chunk - overlap)
-        starts = range(0, max(1, len(text) - overlap), step)
-        for a in starts:
-            pieces.append(self.boundaries(text, a, min(len(text), a + chunk)))
-        ends = self.stitch(text, [(a, min(len(text), a + chunk)) for a in starts], pieces)
-        return [text[a:b] for a, b in pairwise([0, *ends])]
-
-    def stitch(self, text: str, spans: list[tuple[int, int]], pieces: list[list[int]]) -> list[int]:
-        """Join the chunks' boundaries into those of the whole text."""
-        ends = pieces[0]
-        for (a, _), right, (_, left_stop) in zip(spans[1:], pieces[1:], spans):
+    def boundaries(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Ends of the pre-tokens of texts that lie one behind the other."""
+        if self.scan:
+            return self.scan.ends(points, bounds)
+        text = points.astype("<u4").tobytes().decode("utf-32-le")
+        cut = [*bounds.tolist(), len(text)]
+        return np.array([m.end() for a, b in pairwise(cut) for m in self.pattern.finditer(text, a, b)], np.int64)
+
+    def pretokenise(self, points: np.ndarray, bounds: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+        """Ends of the pre-tokens of some texts; those longer than ``chunk`` are cut, scanned by chunk and stitched."""
+        cut = np.append(bounds, len(points))
+        if (np.diff(cut) <= chunk).all():
+            return self.boundaries(points, bounds)
+        spans, owner = [], []
+        for k, (a, b) in enumerate(pairwise(cut.tolist())):
+            for x in range(a, max(a + 1, b - overlap), chunk - overlap):
+                spans.append((x, min(b, x + chunk)))
+                owner.append(k)
+        sizes = np.array([b - a for a, b in spans])
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        found = self.boundaries(np.concatenate([points[a:b] for a, b in spans]), begin[:-1])
+        parts = [found[x:y] - o + a for (a, _), o, x, y in zip(spans, begin[:-1], np.searchsorted(found, begin[:-1], "right"), np.searchsorted(found, begin[1:], "right"))]
+        out, k = [], 0
+        while k < len(spans):
+            e = k + 1
+            while e < len(spans) and owner[e] == owner[k]:
+                e += 1
+            a, b = cut[owner[k]], cut[owner[k] + 1]
+            out.append(parts[k] if e == k + 1 else a + self.stitch(points[a:b], [(x - a, y - a) for x, y in spans[k:e]], [p - a for p in parts[k:e]]))
+            k = e
+        return np.concatenate(out)
+
+    def stitch(self, points: np.ndarray, spans: list[tuple[int, int]], pieces: list[np.ndarray]) -> np.ndarray:
+        """Join the boundaries of a text's chunks into those of the whole text."""
+        out, left = [], pieces[0]
+        for (a, _), right, (_, stop) in zip(spans[1:], pieces[1:], spans):
             # the last two pre-tokens of the left chunk can depend on what follows it
-            sure = len(ends) - 2 if left_stop < len(text) else len(ends)
-            ends = ends[: max(sure, 0)]
-            own = set(right)
-            low = a
-            k = next((k for k in range(self._after(ends, low), len(ends)) if ends[k] in own), None)
-            if k is None:
+            sure = left[:-2] if stop < len(points) else left
+            both = np.intersect1d(sure[np.searchsorted(sure, a, "right") :], right, assume_unique=True)
+            if len(both):
+                join = both[0]
+                out.append(sure[: np.searchsorted(sure, join, "right")])
+            else:
                 # read on from the last sure boundary until a boundary of the right chunk comes
-                at = ends[-1] if ends else 0
-                for m in self.pattern.finditer(text, at):
-                    ends.append(m.end())
-                    if m.end() in own:
+                out.append(sure)
+                known = [int(p[-1]) for p in out if len(p)]
+                join, own = (known[-1] if known else 0), set(right.tolist())
+                rest = points[join:].astype("<u4").tobytes().decode("utf-32-le")
+                more, base = [], join
+                for m in self.pattern.finditer(rest):
+                    join = base + m.end()
+                    more.append(join)
+                    if join in own:
                         break
-                k = len(ends) - 1
-            join = ends[k] if ends else 0
-            ends = ends[: k + 1] + right[self._after(right, join) :]
-        return ends
+                out.append(np.array(more, np.int64))
+            left = right[np.searchsorted(right, join, "right") :]
+        return np.concatenate([*out, left]).astype(np.int64)
 
-    @staticmethod
-    def _after(ends: list[int], low: int) -> int:
-        """Index of the first boundary beyond ``low``."""
-        from bisect import bisect_right
-
-        return bisect_right(ends, low)
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of least rank, leftmost first, is joined until none is left."""
-        ranks = self.ranks
-        if piece in ranks:
-            return (ranks[piece],)
-        if len(piece) > 100:
-            return self._merge_long(piece)
-        get, void = ranks.get, 1 << 60
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(a + b, void) for a, b in pairwise(parts)]
-        while pairs:
-            best = min(pairs)
-            if best == void:
-                break
-            at = pairs.index(best)
-            parts[at] += parts.pop(at + 1)
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1], void)
-            if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at], void)
-        return tuple([ranks[p] for p in parts])
-
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        """The same by a heap of pairs over a linked list, for pieces of any length."""
-        from heapq import heapify, heappop, heappush
-
-        ranks, n = self.ranks, len(piece)
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(piece[k : k + 2])) is not None]
-        heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, k, stop = heappop(heap)
-            nxt = after[k]
-            if gone[k] or nxt < 0 or end[nxt] != stop:
-                continue
-            end[k], after[k], gone[nxt] = stop, after[nxt], 1
-            if after[k] >= 0:
-                before[after[k]] = k
-                if (r := ranks.get(piece[k : end[after[k]]])) is not None:
-                    heappush(heap, (r, k, end[after[k]]))
-            if (p := before[k]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-                heappush(heap, (r, p, stop))
-        out, k = [], 0
-        while k >= 0:
-            out.append(ranks[piece[k : end[k]]])
-            k = after[k]
-        return tuple(out)
-
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
-        seen = self.seen
-        try:
-            return list(chain.from_iterable([seen[p] for p in pieces]))
-        except KeyError:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            for p in pieces:
-                if p not in seen:
-                    seen[p] = self.merge(p.encode())
-            return list(chain.from_iterable([seen[p] for p in pieces]))
+        rank = self.ranks.get(piece)
+        return [rank] if rank is not None else self.merger._encode_single_piece(piece)
+
+    def encode_slab(self, slab: Slab, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slab, and the first of each text.
+
+        Pieces are told apart by 64-bit hashes. Decoding gives back the text only if no two pieces shared
+        one, so the ids are decoded and compared; else the slab is encoded piece by piece.
+        """
+        at = np.flatnonzero((slab.buf & 0xC0) != 0x80)  # byte offsets of the code points
+        points = np.frombuffer(slab.buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        filled = slab.offs[:-1][slab.offs[:-1] < slab.offs[1:]]
+        ends = self.pretokenise(points, np.searchsorted(at, filled), chunk, overlap)
+        end = np.append(at, len(slab.buf))[ends]
+        return self.encode_bounds(slab, end)
+
+    def encode_bounds(self, slab: Slab, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slab whose pre-tokens end at the given bytes."""
+        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
+        data = slab.buf.tobytes()
+        hashes = range_hash(prefix_hash(slab.buf), start, end)
+        some, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slot) > REMEMBERED:
+            self._forget()
+        slots = np.empty(len(some), np.int64)
+        slot = self.slot
+        for k, (h, w) in enumerate(zip(some.tolist(), where.tolist())):
+            s = slot.get(h)
+            if s is None:
+                s = slot[h] = len(self.first) - 1
+                self.flat.extend(self.merge(data[start[w] : end[w]]))
+                self.first.append(len(self.flat))
+            slots[k] = s
+        ids, count = self._expand(slots[inverse])
+        text = np.searchsorted(end, slab.offs, "right")
+        first = np.concatenate([[0], np.cumsum(count)])[text]
+        if self.decode(ids.tolist()) != data:
+            parts = [self.merge(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+            ids = np.array([i for p in parts for i in p], np.int32)
+            first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[text]
+        return ids, first
+
+    def _expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, first = np.frombuffer(self.flat, np.int32), np.frombuffer(self.first, np.int64)
+        count = first[slots + 1] - first[slots]
+        total = np.cumsum(count)
+        at = np.repeat(first[slots] - (total - count), count) + np.arange(total[-1] if len(total) else 0)
+        return (flat[at] if len(at) else np.zeros(0, np.int32)), count
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_pieces(self.pretokenise(text))
+        slab = next(slabs(pa.array([text], pa.large_string())))
+        return self.encode_slab(slab)[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", spread: int = SPREAD, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Add ``tokens`` (ids) to ``docs``; texts beyond ``spread`` code points go chunk by chunk to all executors."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", spread: int = SPREAD, chunk: int = CHUNK, overlap: int = OVERLAP, reduce=None, fields: list[T.StructField] | None = None) -> DataFrame:
+    """Add ``tokens`` (ids) to ``docs``; texts beyond ``spread`` code points go chunk by chunk to all executors.
+
+    With ``reduce`` and ``fields`` those columns are added instead, made from the ids where they arise:
+    ``reduce(bpe, ids, first)`` gets the flat ids of some texts and the first id of each.
+    """
     bound_batches(docs.sparkSession)
-    base = docs.drop("tokens")
-    schema = T.StructType([*base.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    fields = fields or [T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+    reduce = reduce or (lambda bpe, ids, first: {"tokens": lists(ids, first, pa.int32())})
+    base = docs.drop(*[f.name for f in fields])
+    schema = T.StructType([*base.schema.fields, *fields])
     size = F.coalesce(F.length(text), F.lit(0))
 
     def whole(batch: pa.RecordBatch) -> dict:
         bpe = Bpe.of(ranks_path, pattern)
-        ids = [bpe.encode_pieces(bpe.pretokenise(t or "", chunk, overlap)) for t in batch.column(text).to_pylist()]
-        return {n: batch.column(n) for n in batch.schema.names} | {"tokens": pa.array(ids, pa.list_(pa.int32()))}
+        parts = [reduce(bpe, *bpe.encode_slab(s, chunk, overlap)) for s in slabs(batch.column(text))]
+        return {n: batch.column(n) for n in batch.schema.names} | {f.name: gather([p[f.name] for p in parts], arrow_type(f.dataType)) for f in fields}
 
     short = map_batches(base.where(size <= spread), whole, schema)
-    return short.unionByName(_spread(base.where(size > spread), ranks_path, pattern, text, spread, overlap))
+    return short.unionByName(_spread(base.where(size > spread), ranks_path, pattern, text, spread, overlap, reduce, fields))
+
 
+def gather(parts: list, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([p.cast(kind) if isinstance(p, pa.Array) else pa.array(p, kind) for p in parts])
 
-def _spread(docs: DataFrame, ranks_path: str, pattern: str, text: str, chunk: int, overlap: int) -> DataFrame:
+
+def _spread(docs: DataFrame, ranks_path: str, pattern: str, text: str, chunk: int, overlap: int, reduce, fields: list[T.StructField]) -> DataFrame:
     """Long texts: boundaries of their chunks on all executors, then stitched and encoded by text."""
     step = chunk - overlap
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    cut = keyed.select("_row", F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), F.length(text) - overlap - 1, F.lit(step))).alias("_at"))
+    keyed = docs.withColumn("_row", F.sha2(F.encode(text, "UTF-8"), 256))
+    cut = keyed.select("_row", text).dropDuplicates(["_row"]).select("_row", F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), F.length(text) - overlap - 1, F.lit(step))).alias("_at"))
     cut = cut.select("_row", "_at", F.expr(f"substring(_t, _at + 1, {chunk})").alias("_part")).repartition("_row", "_at")
-    own = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_part", T.StringType()), T.StructField("_ends", T.ArrayType(T.IntegerType()))])
+    own = T.StructType([T.StructField("_row", T.StringType()), T.StructField("_at", T.IntegerType()), T.StructField("_part", T.StringType()), T.StructField("_ends", T.ArrayType(T.IntegerType()))])
 
     def bounds(batch: pa.RecordBatch) -> dict:
         bpe = Bpe.of(ranks_path, pattern)
-        found = [[at + e for e in bpe.boundaries(p, 0, len(p))] for at, p in zip(batch.column("_at").to_pylist(), batch.column("_part").to_pylist())]
+        found = [bpe.boundaries(code_points(p), np.zeros(1, np.int64)).astype(np.int32) for p in batch.column("_part").to_pylist()]
         return {n: batch.column(n) for n in ("_row", "_at", "_part")} | {"_ends": pa.array(found, pa.list_(pa.int32()))}
 
     def join(table: pa.Table) -> pa.Table:
         bpe = Bpe.of(ranks_path, pattern)
         table = table.sort_by("_at")
-        at, parts, ends = (table.column(n).to_pylist() for n in ("_at", "_part", "_ends"))
-        whole = "".join([p[: step if k + 1 < len(parts) else None] for k, p in enumerate(parts)])
-        found = bpe.stitch(whole, [(a, a + len(p)) for a, p in zip(at, parts)], ends)
-        return pa.table({"_row": table.column("_row")[:1], "tokens": pa.array([bpe.encode_pieces([whole[a:b] for a, b in pairwise([0, *found])])], pa.list_(pa.int32()))})
+        at, parts = table.column("_at").to_pylist(), table.column("_part").to_pylist()
+        ends = [np.array(e, np.int64) + a for e, a in zip(table.column("_ends").to_pylist(), at)]
+        joined = "".join([p[:step] if k + 1 < len(parts) else p for k, p in enumerate(parts)])
+        slab = next(slabs(pa.array([joined], pa.large_string())))
+        found = bpe.stitch(code_points(joined), [(a, a + len(p)) for a, p in zip(at, parts)], ends)
+        byte = np.append(np.flatnonzero((slab.buf & 0xC0) != 0x80), len(slab.buf))
+        made = reduce(bpe, *bpe.encode_bounds(slab, byte[found]))
+        return pa.table({"_row": table.column("_row").slice(0, 1).combine_chunks()} | {f.name: gather([made[f.name]], arrow_type(f.dataType)) for f in fields})
+
+    out = T.StructType([T.StructField("_row", T.StringType()), *fields])
+    return keyed.join(map_batches(cut, bounds, own).groupBy("_row").applyInArrow(join, out), "_row").drop("_row")
 
-    tokens = map_batches(cut, bounds, own).groupBy("_row").applyInArrow(join, "_row long, tokens array<int>")
-    return keyed.join(tokens, "_row").drop("_row")
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, *, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -227,8 +319,17 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, *, tokens: str = "tok
     return map_batches(base, run, schema)
 
 
-def digest(text: str, ranks_path: str, pattern: str) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids in decimal joined by spaces, and of the decoded bytes."""
-    bpe = Bpe.of(ranks_path, pattern)
-    ids = bpe.encode(text)
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def digests(bpe: Bpe, ids: np.ndarray, first: np.ndarray) -> dict:
+    """For ``encode``: number of ids, SHA-256 of the ids in decimal joined by spaces, and of the decoded bytes."""
+    digits = [f"{i}".encode() for i in range(len(bpe.tokens))] if not hasattr(bpe, "digits") else bpe.digits
+    bpe.digits = digits
+    flat, out = ids.tolist(), {f.name: [] for f in DIGESTS}
+    for a, b in pairwise(first.tolist()):
+        own = flat[a:b]
+        out["n_tokens"].append(b - a)
+        out["ids_sha256"].append(hashlib.sha256(b" ".join([digits[i] for i in own])).hexdigest())
+        out["decoded_sha256"].append(hashlib.sha256(bpe.decode(own)).hexdigest())
+    return out

@@ -134,14 +134,7 @@ def tokenizer() -> tuple[str, str]:
 
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, *tokenizer()).select("doc_id", "tokens")
-    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
-    def digest(batch: pa.RecordBatch) -> dict:
-        ids, decoded = batch.column("tokens").to_pylist(), batch.column("decoded").to_pylist()
-        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) for x in ids], "ids_sha256": [sha(" ".join(map(str, x)).encode()) for x in ids], "decoded_sha256": [sha(x) for x in decoded]}
-
-    return map_batches(bpe.decode(encoded, *tokenizer()), digest, schema)
+    return bpe.encode(docs, *tokenizer(), reduce=bpe.digests, fields=bpe.DIGESTS).drop("text")
 
 
 # --- 8
