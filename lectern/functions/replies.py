@@ -49,9 +49,10 @@ def sentiment(reply: Column, compat: bool = True) -> Column:
 
 
 def embodied(reply: Column) -> Column:
-    """Whether "yes" occurs anywhere, and the rest of a line that begins with it (null if none does)."""
-    rest = F.regexp_extract(reply, r"(?i)^\s*yes[:\-]?\s*(.*)", 1)
-    return F.struct(F.contains(F.lower(reply), F.lit("yes")).alias("is_embodied"), F.when(reply.rlike(r"(?i)^\s*yes"), rest).alias("reason"))
+    """Whether "yes" occurs anywhere, and what follows on the line if the reply begins with it (null if not)."""
+    low = F.lower(strip(reply))
+    rest = F.regexp_extract(low, r"^yes[:\-]?\s*(.*)", 1)
+    return F.struct(F.contains(low, F.lit("yes")).alias("is_embodied"), F.when(F.startswith(low, F.lit("yes")), rest).alias("reason"))
 
 
 # --- lists of topics: JSON with anything around it
@@ -59,7 +60,7 @@ def embodied(reply: Column) -> Column:
 
 def json_array(text: str) -> list | None:
     """The list in a reply: fences off; the widest ``[...]``; else all ``{...}``; else the whole text. None if no way reads."""
-    body = re.sub(r"^```[A-Za-z]*\s*|\s*```$", "", (text or "").strip())
+    body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (text or "").strip(), flags=re.IGNORECASE)
     tries = []
     if m := re.search(r"\[.*\]", body, re.DOTALL):
         tries.append(m[0])
@@ -72,47 +73,99 @@ def json_array(text: str) -> list | None:
             continue
         if isinstance(value, list):
             return value
-        if isinstance(value, dict):
+        if isinstance(value, dict) and t is body:
             return [value]
     return None
 
 
 def clock(text: str) -> float:
+    """Seconds of one to three parts; all but the last are whole."""
     parts = str(text).strip().replace(",", ".").split(":")
     if not 1 <= len(parts) <= 3:
         raise ValueError(text)
-    total = 0.0
-    for p in parts:
-        total = total * 60 + float(p)
-    return total
+    total = 0
+    for p in parts[:-1]:
+        total = total * 60 + int(p)
+    return total * 60 + float(parts[-1]) if len(parts) > 1 else float(parts[0])
 
 
-def topics_of(text: str) -> tuple[list[dict] | None, str | None]:
+def quotes_of(item: dict) -> list[str]:
+    """At most three quotes; one alone may be a plain text."""
+    found = item.get("evidence_quotes") or item.get("quotes") or []
+    found = [found] if isinstance(found, str) else found if isinstance(found, list) else []
+    return [q.strip() for q in found if isinstance(q, str) and q.strip()][:3]
+
+
+def words_of(item: dict, *names: str) -> str:
+    value = next((item[n] for n in names if item.get(n)), "")
+    if not isinstance(value, str):
+        raise ValueError(f"{names[0]} is no text")
+    return value.strip()
+
+
+def number_of(item: dict, *names: str) -> float | None:
+    for n in names:
+        try:
+            return float(item[n])
+        except (KeyError, TypeError, ValueError):
+            continue
+    return None
+
+
+def timed_topic(item: dict) -> dict | None:
+    """A topic with times local to its chunk, from a range or from two fields; a malformed range fails the reply."""
+    title, description = words_of(item, "title", "topic"), words_of(item, "description", "summary")
+    span = words_of(item, "time_range").replace("–", "-")
+    if "-" in span:
+        start, end = map(clock, span.split("-", 1))
+    else:
+        start, end = number_of(item, "start_local", "start"), number_of(item, "end_local", "end")
+    if title and description and start is not None and end is not None and end > start:
+        return {"title": title, "description": description, "evidence_quotes": quotes_of(item), "start_s": start, "end_s": end}
+    return None
+
+
+def whole_topic(item: dict) -> dict | None:
+    """A topic of a whole outline with absolute times."""
+    title, description = words_of(item, "title"), words_of(item, "description")
+    start, end = number_of(item, "start_s"), number_of(item, "end_s")
+    if title and description and start is not None and end is not None and end > start:
+        return {"title": title, "description": description, "evidence_quotes": quotes_of(item), "start_s": start, "end_s": end}
+    return None
+
+
+def covered_topic(item: dict) -> dict | None:
+    """A topic of a whole outline by ranges of line numbers; it has no times."""
+    title, description = words_of(item, "title"), words_of(item, "description")
+    ranges = []
+    for r in item.get("coverage") or [] if isinstance(item.get("coverage"), list) else []:
+        try:
+            ranges.append({"start_idx": int(r["start_idx"]), "end_idx": int(r["end_idx"])})
+        except (KeyError, TypeError, ValueError):
+            continue
+    if title and description:
+        return {"title": title, "description": description, "evidence_quotes": [], "start_s": None, "end_s": None, "coverage": ranges}
+    return None
+
+
+READERS = {"chunk": timed_topic, "whole": whole_topic, "simple": covered_topic}
+
+
+def topics_of(text: str, mode: str = "chunk") -> tuple[list[dict] | None, str | None]:
     """Valid topics of a reply, or None and why the whole reply fails. An empty list is a success."""
     items = json_array(text)
     if items is None:
         return None, "no JSON array"
-    out = []
-    for item in items:
-        if not isinstance(item, dict):
-            continue
-        title = str(item.get("title") or item.get("topic") or "").strip()
-        description = str(item.get("description") or item.get("summary") or "").strip()
-        quotes = item.get("evidence_quotes") or item.get("quotes") or []
-        start = end = None
-        if span := item.get("time_range"):
-            try:
-                a, b = str(span).replace("–", "-").split("-", 1)
-                start, end = clock(a), clock(b)
-            except ValueError:
-                return None, f"bad time_range {span!r}"
-        if title and description and start is not None and end is not None and end > start:
-            out.append({"title": title, "description": description, "evidence_quotes": [str(q) for q in quotes][:3] if isinstance(quotes, list) else [], "start_s": start, "end_s": end})
-    return out, None
+    try:
+        found = [READERS[mode](item) for item in items if isinstance(item, dict)]
+    except ValueError as e:
+        return None, str(e)
+    out = [{"coverage": None} | t for t in found if t]
+    return (sorted(out, key=lambda t: t["start_s"]) if mode == "whole" else out), None
 
 
 TOPICS = T.StructType([
-    T.StructField("topics", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("evidence_quotes", T.ArrayType(T.StringType())), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))),
+    T.StructField("topics", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("evidence_quotes", T.ArrayType(T.StringType())), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("coverage", T.ArrayType(T.StructType([T.StructField("start_idx", T.IntegerType()), T.StructField("end_idx", T.IntegerType())])))]))),
     T.StructField("error", T.StringType()),
 ])
 
@@ -128,18 +181,20 @@ OUTLINE = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.St
 
 
 def outline_of(text: str) -> list[dict]:
-    """Topics of a Markdown outline: a heading or bold line opens one, other lines join its description."""
+    """Topics of a Markdown outline: a heading or a bold line opens one, other lines join its description.
+
+    Lines before the first opening belong to no topic.
+    """
     out: list[dict] = []
-    for line in (text or "").splitlines():
-        line = line.strip()
-        if not line:
-            continue
-        head = re.match(r"#{1,6}\s+(.*)$|\*\*(.+?)\*\*:?\s*$", line)
-        if head:
-            out.append({"title": (head[1] or head[2]).strip(" *:#"), "description": ""})
-        elif out:
-            out[-1]["description"] = (out[-1]["description"] + " " + re.sub(r"^[-*•]\s+|^\d+[.)]\s+", "", line)).strip()
-    return [t for t in out if t["title"]]
+    parts: list[str] = []
+    for line in map(str.strip, (text or "").splitlines()):
+        bold = re.fullmatch(r"\*\*(.+?)\*\*", line)
+        if line.startswith("#") or bold:
+            parts = []
+            out.append({"title": bold[1].strip() if bold else line.lstrip("# ").strip(), "description": parts})
+        elif line:
+            parts.append(line.lstrip("*-• ").strip() if line[0] in "*-•" else line)
+    return [{"title": t["title"], "description": " ".join(t["description"]).strip()} for t in out if t["title"]]
 
 
 @F.pandas_udf(OUTLINE)

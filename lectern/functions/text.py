@@ -49,8 +49,8 @@ def truncate(c: Column, most: int, mark: str = " …") -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Paragraphs parted by two or more newlines; single newlines become blanks."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\r", "\n"), r"\n{2,}")
-    return F.filter(F.transform(parts, lambda p: strip(F.regexp_replace(F.regexp_replace(p, "\n", " "), r"[ \t]{2,}", " "))), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(strip(F.replace(c, F.lit("\r\n"), F.lit("\n"))), r"\n{2,}"), strip), lambda p: p != "")
+    return F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"[ \t]*\n[ \t]*", " "), r"[ \t]{2,}", " "))
 
 
 def lines(c: Column) -> Column:

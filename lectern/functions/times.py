@@ -30,8 +30,9 @@ def srt(seconds: Column, carry: bool = False) -> Column:
 def seconds(c: Column) -> Column:
     """Seconds of a text of one to three parts parted by colons; null if it is none."""
     parts = F.split(F.regexp_replace(F.trim(c), ",", "."), ":")
+    whole = lambda k: F.get(parts, F.lit(k)).try_cast("int")
     part = lambda k: F.get(parts, F.lit(k)).try_cast("double")
-    return F.when(F.size(parts) == 1, part(0)).when(F.size(parts) == 2, part(0) * 60 + part(1)).when(F.size(parts) == 3, part(0) * 3600 + part(1) * 60 + part(2))
+    return F.when(F.size(parts) == 1, part(0)).when(F.size(parts) == 2, whole(0) * 60 + part(1)).when(F.size(parts) == 3, whole(0) * 3600 + whole(1) * 60 + part(2))
 
 
 def time_range(c: Column) -> Column:

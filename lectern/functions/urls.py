@@ -35,7 +35,7 @@ def video_id(c: Column) -> Column:
     head = F.nullif(F.regexp_extract(path(url), r"^/([^/]*)", 1), F.lit(""))
     embed = F.nullif(F.regexp_extract(path(url), r"/embed/([^/]+)", 1), F.lit(""))
     found = F.when(F.contains(host(url), F.lit("youtu.be")), head).otherwise(F.coalesce(param(url, "v"), embed))
-    return F.when(F.contains(c, F.lit("youtu")), found)
+    return F.when(F.contains(c, F.lit("youtu")), clean_id(found))
 
 
 def clean_id(c: Column) -> Column:
@@ -64,7 +64,7 @@ def dir_id(p: Column) -> Column:
 
 def links(c: Column) -> Column:
     """All watch links of a text, in order, repeats kept."""
-    return F.regexp_extract_all(c, F.lit(r"(https?://(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)[A-Za-z0-9_-]+)"), 1)
+    return F.regexp_extract_all(c, F.lit(r"(?U)(https://www\.youtube\.com/watch\?v=[\w-]+[&?=+\w]*)"), 1)
 
 
 def extension(p: Column) -> Column:

@@ -109,13 +109,14 @@ def hashed(text: str | None, dims: int) -> list[float]:
 # --- extraction of topics
 
 
-STRICT = "\nAnswer with a JSON array only."
+STRICT = "\nThe whole answer must be one JSON array: it starts with [ and ends with ]."
+HINT = "\nAnswer with a JSON array and nothing else."
 
 EXTRACTED = T.StructType([T.StructField("parsed", replies.TOPICS["topics"].dataType), T.StructField("attempts", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
-def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries: int = 3) -> DataFrame:
-    """Ask for topics until a reply reads; the strict suffix is on every try, the error of the last one from the second on.
+def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries: int = 3, mode: str = "chunk") -> DataFrame:
+    """Ask for topics until a reply reads: the second try on with a hint, the last one with the strict suffix.
 
     Adds ``extracted``: topics or null, all attempts, and the error. Attempts stay with a failure.
     """
@@ -123,10 +124,9 @@ def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries:
 
     def one(p: str) -> dict:
         attempts, error = [], None
-        for k in range(tries):
-            hint = f"\nThe last answer failed: {error}." if k else ""
-            attempts.append(_ask(model, p + STRICT + hint, None, 1))
-            topics, error = replies.topics_of(attempts[-1])
+        for k in range(max(1, tries)):
+            attempts.append(_ask(model, p + (STRICT if k == tries - 1 else HINT if k else ""), None, 1))
+            topics, error = replies.topics_of(attempts[-1], mode)
             if topics is not None:
                 return {"parsed": topics, "attempts": attempts, "error": None}
         return {"parsed": None, "attempts": attempts, "error": error}

@@ -32,7 +32,7 @@ def comments(paragraphs: DataFrame) -> DataFrame:
 
 def opinions(paragraphs: DataFrame) -> DataFrame:
     """A paragraph with a watch link sets the video; each following paragraph is an opinion of its **own**."""
-    link = F.nullif(F.regexp_extract("text", r"https?://www\.youtube\.com/watch\?v=[A-Za-z0-9_-]+", 0), F.lit(""))
+    link = F.nullif(F.regexp_extract("text", r"(?U)https://www\.youtube\.com/watch\?v=[\w-]+", 0), F.lit(""))
     w = Window.partitionBy("doc").orderBy("para_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = paragraphs.withColumn("_link", link).withColumn("link", F.last("_link", ignorenulls=True).over(w))
     return rows.where(F.col("_link").isNull() & F.col("link").isNotNull() & (X.strip(F.col("text")) != "")).select("doc", "link", F.col("para_no").alias("seq"), X.strip(F.col("text")).alias("paragraph"))
@@ -43,8 +43,8 @@ def links(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("doc", "para_no", F.posexplode(urls.links(F.col("text"))).alias("k", "link"))
 
 
-FRAME_HEAD = r"^\s*Frame:\s*(\S+)"
-IMAGE_HEAD = r"(frame_\d{4}\.jpg)"
+FRAME_HEAD = r"(?i)^\s*frame:\s*(.*?)\s*$"
+IMAGE_HEAD = r"^\s*(?:Frame: )?(frame_\d{4}\.jpg)"
 
 
 def captions(paragraphs: DataFrame) -> DataFrame:
@@ -60,17 +60,23 @@ def caption_map(paragraphs: DataFrame, compat: bool = True) -> DataFrame:
     As published each text begins with a blank; ``compat=False`` leaves it out.
     """
     rows = islands(paragraphs, F.col("text").rlike(IMAGE_HEAD), ["doc"], "para_no").where("block > 0")
-    body = F.collect_list(F.when(~F.col("_head"), F.struct(F.col("para_no").alias("p"), X.strip(F.col("text")).alias("text"))))
+    body = F.collect_list(F.when(~F.col("_head") & (X.strip(F.col("text")) != ""), F.struct(F.col("para_no").alias("p"), X.strip(F.col("text")).alias("text"))))
     g = rows.groupBy("doc", "block").agg(F.max(F.when(F.col("_head"), F.regexp_extract("text", IMAGE_HEAD, 1))).alias("frame"), join_ordered(body).alias("caption"))
     g = g.withColumn("caption", F.when(F.col("caption") != "", F.concat(F.lit(" " if compat else ""), F.col("caption"))).otherwise(F.lit("")))
     return g.groupBy("doc", "frame").agg(F.max_by("caption", "block").alias("caption"))
 
 
 def processed_frames(paragraphs: DataFrame, validate: int = 0) -> DataFrame:
-    """Frames that a document has already; with ``validate`` only those with a description and a caption in so many next rows."""
-    head = F.regexp_extract("text", IMAGE_HEAD, 1)
+    """Frames that a document has already, by its first-level headings, lower-cased.
+
+    With ``validate`` any such heading is a frame, but only with a description and a caption in so many next rows.
+    """
+    t = X.strip(F.col("text"))
+    top = F.col("style").rlike(r"^Heading ?1")
     if not validate:
-        return paragraphs.where(head != "").select("doc", head.alias("frame")).distinct()
+        name = F.regexp_extract(t, r"(?i)^(?:Frame: )?(frame_\d{4}\.jpg)", 1)
+        return paragraphs.where(top & (name != "")).select("doc", F.lower(name).alias("frame")).distinct()
     w = Window.partitionBy("doc").orderBy("para_no").rowsBetween(1, validate)
-    both = [F.max(F.contains("text", F.lit(k))).over(w) for k in ("Description", "Caption")]
-    return paragraphs.withColumn("_ok", F.coalesce(both[0] & both[1], F.lit(False))).where((head != "") & F.col("_ok")).select("doc", head.alias("frame")).distinct()
+    both = [F.max(F.startswith(t, F.lit(k))).over(w) for k in ("Description:", "Caption:")]
+    named = F.when(F.lower(t).startswith("frame:") & F.contains(t, F.lit("Frame:")), X.strip(F.regexp_replace(t, r"(?s)^.*?Frame:", ""))).otherwise(t)
+    return paragraphs.withColumn("_ok", F.coalesce(both[0] & both[1], F.lit(False))).where(top & F.col("_ok")).select("doc", F.lower(named).alias("frame")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.times import hms
 
 STATE = "struct<at:int,first:double,chars:bigint,ids:array<int>>"
@@ -14,14 +15,16 @@ def chunk_segments(segments: DataFrame, max_seconds: float = 900.0, max_chars: i
     """Greedy chunks of a video's segments, in order.
 
     A chunk closes before a segment that would end more than ``max_seconds`` after the chunk's start or
-    bring its characters over ``max_chars``. A segment beyond either limit alone is a chunk of its own.
-    One fold over a video's ordered segments; returns the segments with ``chunk_index``.
+    bring the characters of its lines (with both times) over ``max_chars``. A segment beyond either limit
+    alone is a chunk of its own. One fold over a video's ordered segments; returns the segments with
+    ``line`` and ``chunk_index``.
     """
-    item = F.struct("seg_idx", "start", "end", "text")
+    line_of = F.format_string("[%s → %s] %s\n", hms(F.col("start")), hms(F.col("end")), X.strip(F.col("text")))
+    item = F.struct("seg_idx", "start", "end", "text", line_of.alias("line"))
     g = segments.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
 
     def step(a, x):
-        line = F.length(x["text"]).cast("bigint") + 1
+        line = F.length(x["line"]).cast("bigint")
         full = (a["at"] >= 0) & ((x["end"] - a["first"] > F.lit(float(max_seconds))) | (a["chars"] + line > F.lit(max_chars)))
         opens = full | (a["at"] < 0)
         at = F.when(opens, a["at"] + 1).otherwise(a["at"])
@@ -29,19 +32,18 @@ def chunk_segments(segments: DataFrame, max_seconds: float = 900.0, max_chars: i
 
     seed = F.from_json(F.lit('{"at":-1,"first":0.0,"chars":0,"ids":[]}'), STATE)
     g = g.withColumn("ids", F.aggregate("s", seed, step)["ids"])
-    return g.select("video_id", F.explode(F.arrays_zip("s", "ids")).alias("z")).select("video_id", "z.s.seg_idx", "z.s.start", "z.s.end", "z.s.text", F.col("z.ids").alias("chunk_index"))
+    return g.select("video_id", F.explode(F.arrays_zip("s", "ids")).alias("z")).select("video_id", "z.s.seg_idx", "z.s.start", "z.s.end", "z.s.text", "z.s.line", F.col("z.ids").alias("chunk_index"))
 
 
 def chunk_texts(chunked: DataFrame) -> DataFrame:
-    """``chunk_index``, ``start``, ``end``, ``n`` and the numbered text of each chunk, with absolute times."""
-    line = F.format_string("[%s - %s] %s", hms(F.col("start")), hms(F.col("end")), F.col("text"))
-    g = chunked.groupBy("video_id", "chunk_index").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("line")))).alias("l"))
-    return g.select("video_id", "chunk_index", "start", "end", "n", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    """``chunk_index``, ``start``, ``end``, ``n`` and the lines of each chunk, with absolute times."""
+    g = chunked.groupBy("video_id", "chunk_index").agg(F.min_by("start", "seg_idx").alias("start"), F.max_by("end", "seg_idx").alias("end"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("seg_idx", "line"))).alias("l"))
+    return g.select("video_id", "chunk_index", "start", "end", "n", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("text"))
 
 
 def number_segments(segments: DataFrame) -> DataFrame:
     """Lines ``[S00000] text``."""
-    return segments.withColumn("line", F.format_string("[S%05d] %s", F.col("seg_idx"), F.col("text")))
+    return segments.withColumn("line", F.format_string("[S%05d] %s", F.col("seg_idx"), X.strip(F.col("text"))))
 
 
 def thin_lines(rows: DataFrame, budget: int, numbered: bool = False, key: str = "video_id", idx: str = "seg_idx", line: str = "line") -> DataFrame:
@@ -49,10 +51,11 @@ def thin_lines(rows: DataFrame, budget: int, numbered: bool = False, key: str =
 
     The step starts at max(2, total / budget) and grows until the lines fit or its cap is reached; the cap
     is the number of lines, or with ``numbered`` max(3, half of it), so the result may still be too long.
-    Lines that fit as they are all stay, without blank ones.
+    Lines that fit without the blank ones stay, without them.
     """
     w = Window.partitionBy(key)
-    lines = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(idx)) - 1).withColumn("_len", F.length(line) + 1).withColumn("_total", F.sum("_len").over(w) - 1).withColumn("_count", F.count(F.lit(1)).over(w))
+    blank = X.strip(F.col(line)) == ""
+    lines = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(idx)) - 1).withColumn("_len", F.length(line) + 1).withColumn("_total", F.coalesce(F.sum(F.when(~blank, F.col("_len"))).over(w), F.lit(1)) - 1).withColumn("_count", F.count(F.lit(1)).over(w))
     cap = F.greatest(F.lit(3), (F.col("_count") / 2).cast("int")) if numbered else F.col("_count").cast("int")
     first = F.greatest(F.lit(2), (F.col("_total") / F.lit(budget)).cast("int"))
     # lengths at every step from the first on: only texts over the budget are folded
@@ -61,7 +64,7 @@ def thin_lines(rows: DataFrame, budget: int, numbered: bool = False, key: str =
     steps = F.sequence("first", F.greatest("first", "cap"))
     chosen = g.select(key, F.coalesce(F.get(F.filter(steps, fits), F.lit(0)), F.greatest("first", "cap")).alias("step"))
     out = lines.join(chosen, key, "left")
-    return out.where(F.when(F.col("step").isNull(), F.trim(line) != "").otherwise(F.col("_n") % F.col("step") == 0)).drop("_n", "_len", "_total", "_count")
+    return out.where(F.when(F.col("step").isNull(), ~blank).otherwise(F.col("_n") % F.col("step") == 0)).drop("_n", "_len", "_total", "_count")
 
 
 def sample_frames(frames: DataFrame, every: int = 100) -> DataFrame:

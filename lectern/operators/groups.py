@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.vectors import evenly
 
 
@@ -20,7 +21,7 @@ def frame_groups(captions: DataFrame, size: int = 3, stride: int = 1, key: str =
 
 def combined_caption(group: Column) -> Column:
     """Lines ``Frame j (name): caption``, from 1."""
-    return F.array_join(F.transform(group, lambda x, j: F.concat(F.lit("Frame "), (j + 1).cast("string"), F.lit(" ("), x["frame"], F.lit("): "), x["caption"])), "\n")
+    return F.array_join(F.transform(group, lambda x, j: strip(F.concat(F.lit("Frame "), (j + 1).cast("string"), F.lit(" ("), x["frame"], F.lit("): "), x["caption"]))), "\n")
 
 
 def representatives(frames: Column, k: int) -> Column:

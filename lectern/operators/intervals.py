@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def merge_intervals(rows: DataFrame, keys: list[str], start: str, end: str, slack: float = 0.0, extra: list | None = None) -> DataFrame:
     """Unite the intervals of a key that begin at most ``slack`` after the furthest end before them."""
@@ -27,8 +29,8 @@ def consolidate_topics(topics: DataFrame, slack: float = 2.0, most: int = 12) ->
     """Unite topics of one title that overlap or nearly do, then shrink to ``most`` and name them ``T1``, ``T2``, ...
 
     Order is by lower-cased title, then start: ids and the left neighbour follow it, not time. While there
-    are too many, the shortest is absorbed by its left neighbour (the first by its right one). The end is
-    the furthest, quotes are the first three, the title and description those of the earliest.
+    are too many, the shortest is absorbed: its left neighbour takes over its end, or, if it is the first,
+    its right one its start. Quotes are the first three of what was united, titles those of the earliest.
     """
     keyed = topics.withColumn("_key", F.lower(F.trim("title")))
     quotes = F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "evidence_quotes"))), lambda x: x["evidence_quotes"])), 1, 3)
@@ -44,8 +46,8 @@ def consolidate_topics(topics: DataFrame, slack: float = 2.0, most: int = 12) ->
         other = F.when(k == 1, F.lit(2)).otherwise(k - 1)
         x, y = F.get(t, k - 1), F.get(t, other - 1)
         made = F.struct(
-            y["_key"].alias("_key"), F.least(x["start_s"], y["start_s"]).alias("start_s"), F.greatest(x["end_s"], y["end_s"]).alias("end_s"),
-            y["title"].alias("title"), y["description"].alias("description"), F.slice(F.concat(y["evidence_quotes"], x["evidence_quotes"]), 1, 3).alias("evidence_quotes"),
+            y["_key"].alias("_key"), F.when(k == 1, F.least(x["start_s"], y["start_s"])).otherwise(y["start_s"]).alias("start_s"), F.when(k == 1, y["end_s"]).otherwise(F.greatest(x["end_s"], y["end_s"])).alias("end_s"),
+            y["title"].alias("title"), y["description"].alias("description"), y["evidence_quotes"].alias("evidence_quotes"),
         )
         low = F.least(k, other)
         return F.when(F.size(t) <= most, t).otherwise(F.concat(F.slice(t, F.lit(1), low - 1), F.array(made), F.slice(t, low + 2, F.greatest(F.size(t) - low - 1, F.lit(0)))))
@@ -72,10 +74,21 @@ def covered_segments(ranges: DataFrame, segments: DataFrame, keys: list[str]) ->
 
 
 def range_times(ranges: DataFrame, segments: DataFrame) -> DataFrame:
-    """The start of a range's first segment and the end of its last."""
+    """The start of a range's first segment and the end of its last, where that is later."""
     a = segments.select("video_id", F.col("seg_idx").alias("start_idx"), F.col("start").alias("start_s"))
     b = segments.select("video_id", F.col("seg_idx").alias("end_idx"), F.col("end").alias("end_s"))
-    return ranges.join(a, ["video_id", "start_idx"], "left").join(b, ["video_id", "end_idx"], "left")
+    return ranges.join(a, ["video_id", "start_idx"], "left").join(b, ["video_id", "end_idx"], "left").where("end_s > start_s")
+
+
+def coverage_of(ranges: DataFrame, segments: DataFrame, keys: list[str], most: int = 8000) -> DataFrame:
+    """Indices, times and text (cut at ``most`` characters) of merged ranges, by ``keys`` (``video_id`` among them)."""
+    size = segments.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    merged = merge_ranges(ranges.join(size, "video_id"), keys, size="_size").select(*keys, "start_idx", "end_idx")
+    spans = range_times(merged, segments).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_idx", "start_s", "end_s"))).alias("t"))
+    texts = covered_segments(merged, segments, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seg_idx", X.strip(F.col("text")).alias("text")))).alias("s"))
+    whole = F.array_join(F.filter(F.transform("s", lambda x: x["text"]), lambda x: x != ""), "\n")
+    out = texts.join(spans, keys, "left")
+    return out.select(*keys, F.transform("s", lambda x: x["seg_idx"]).alias("coverage_segments"), F.transform("t", lambda x: F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"))).alias("coverage_times"), X.truncate(whole, most).alias("coverage_text"))
 
 
 def prefix_lookup(ids: DataFrame, files: DataFrame, compat: bool = True) -> DataFrame:

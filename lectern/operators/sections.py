@@ -33,8 +33,8 @@ class RbfCost:
         return (b - a) - (s[b, b] - s[a, b] - s[b, a] + s[a, a]) / (b - a)
 
 
-def pelt(cost, n: int, penalty: float, min_size: int, jump: int = 1) -> list[int]:
-    """Ends of the sections of least total cost plus penalties."""
+def pelt(cost, n: int, penalty: float, min_size: int, jump: int = 5) -> list[int]:
+    """Ends of the sections of least total cost plus penalties; all but the last are multiples of ``jump``."""
     ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
     best, last, open_ = {0: 0.0}, {}, [0]
     for e in ends:
@@ -55,14 +55,16 @@ def pelt(cost, n: int, penalty: float, min_size: int, jump: int = 1) -> list[int
     return out[::-1]
 
 
-def binary_segmentation(cost, n: int, sections: int, min_size: int) -> list[int]:
+def binary_segmentation(cost, n: int, sections: int, min_size: int = 2, jump: int = 5) -> list[int]:
     """Ends of ``sections`` sections, by the best single split each time, as far as splits are possible."""
     ends = [n]
     while len(ends) < sections:
         best = None
         for a, b in zip([0, *ends[:-1]], ends):
             whole = cost(a, b) if b > a else 0.0
-            for k in range(a + min_size, b - min_size + 1):
+            for k in range(a, b, jump):
+                if k - a < min_size or b - k < min_size:
+                    continue
                 gain = whole - cost(a, k) - cost(k, b)
                 if best is None or gain > best[0]:
                     best = gain, k
@@ -77,19 +79,22 @@ def section_ends(x: np.ndarray, min_size: int = 6, penalty: float = 15.0, n_sect
     if n < max(2 * min_size, 8):
         return [n] if n else []
     cost = RbfCost(x)
-    return binary_segmentation(cost, n, n_sections, min_size) if n_sections else pelt(cost, n, penalty, min_size)
+    return binary_segmentation(cost, n, n_sections) if n_sections else pelt(cost, n, penalty, min_size)
 
 
 def sections(captions: DataFrame, min_size: int = 6, penalty: float = 15.0, n_sections: int | None = None) -> DataFrame:
-    """Sections from ``video_id``, ``frame``, ``caption`` and ``embedding``: id, start (in), end (out), frames, text."""
+    """Sections from ``video_id``, ``frame``, ``caption`` and ``embedding``: id, start (in), end (out), frames, text.
+
+    A video without any caption is one section.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("frame", kind="stable")
-        ends = section_ends(np.stack([np.asarray(e, float) for e in g["embedding"]]), min_size, penalty, n_sections)
+        names, texts = g["frame"].tolist(), [t.strip() for t in g["caption"].fillna("")]
+        ends = section_ends(np.stack([np.asarray(e, float) for e in g["embedding"]]), min_size, penalty, n_sections) if any(texts) else [len(g)]
         rows, a = [], 0
-        names, texts = g["frame"].tolist(), g["caption"].fillna("").tolist()
         for k, b in enumerate(ends):
-            rows.append((g["video_id"].iloc[0], f"s{k:03d}_{a}_{b}", a, b, names[a:b], " ".join(t for t in texts[a:b] if t)))
+            rows.append((g["video_id"].iloc[0], f"s{k:03d}_{a}_{b}", a, b, names[a:b], " ".join(texts[a:b]).strip()))
             a = b
         return pd.DataFrame(rows, columns=["video_id", "section_id", "start", "end", "frames", "text"])
 

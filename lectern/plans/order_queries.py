@@ -48,23 +48,23 @@ def link_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     name = F.format_string("frame_%04d.jpg", (F.col("turn") / 4).cast("int"))
-    return c.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("para_no"), F.lit("").alias("style"), F.when(F.col("turn") % 2 == 0, name).otherwise(F.concat(F.lit("Caption Description "), F.trim("text"))).alias("text"))
+    return c.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("para_no"), F.when(F.col("turn") % 2 == 0, "Heading1").otherwise("").alias("style"), F.when(F.col("turn") % 2 == 0, name).when(F.col("turn") % 4 == 1, F.concat(F.lit("Description: "), F.trim("text"))).otherwise(F.concat(F.lit("Caption: "), F.trim("text"))).alias("text"))
 
 
 @query(r"""WITH b AS (SELECT conv_id, turn, turn // 2 AS block, turn % 2 = 0 AS head, printf('frame_%04d.jpg', turn // 4) AS frame, trim(text, ' ') AS t FROM conversations),
-g AS (SELECT conv_id, block, max(frame) AS frame, coalesce(' ' || string_agg('Caption Description ' || regexp_replace(t, '\s+$', ''), ' ' ORDER BY turn) FILTER (NOT head), '') AS caption FROM b GROUP BY conv_id, block HAVING bool_or(head))
+g AS (SELECT conv_id, block, max(frame) AS frame, coalesce(' ' || string_agg(CASE WHEN turn % 4 = 1 THEN 'Description: ' ELSE 'Caption: ' END || regexp_replace(t, '\s+$', ''), ' ' ORDER BY turn) FILTER (NOT head), '') AS caption FROM b GROUP BY conv_id, block HAVING bool_or(head))
 SELECT conv_id::VARCHAR AS doc, frame, arg_max(caption, block) AS caption FROM g GROUP BY conv_id, frame""")
 def caption_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.caption_map(caption_paragraphs(spark, sf_dir))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, printf('frame_%04d.jpg', turn // 4) AS frame, turn % 2 = 0 AS head, bool_or(turn % 2 = 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ok FROM conversations)
+@query("""WITH b AS (SELECT conv_id, turn, printf('frame_%04d.jpg', turn // 4) AS frame, turn % 2 = 0 AS head, bool_or(turn % 4 = 1) OVER w AND bool_or(turn % 4 = 3) OVER w AS ok FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
 SELECT DISTINCT conv_id::VARCHAR AS doc, frame FROM b WHERE head AND ok""")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.processed_frames(caption_paragraphs(spark, sf_dir), validate=5)
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, n, s, s + n / 10.0 AS e FROM ({SEGMENTS})),
+@query(f"""WITH RECURSIVE g AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, length(trim(text, ' ' || chr(10) || chr(9))) + 30 AS n, s, s + n / 10.0 AS e FROM ({SEGMENTS})),
 c AS (SELECT conv_id, turn, rn, 0 AS chunk, s AS first, n + 1 AS chars FROM g WHERE rn = 1 UNION ALL
  SELECT g.conv_id, g.turn, g.rn, CASE WHEN g.e - c.first > 60 OR c.chars + g.n + 1 > 1200 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN g.e - c.first > 60 OR c.chars + g.n + 1 > 1200 THEN g.s ELSE c.first END,
  CASE WHEN g.e - c.first > 60 OR c.chars + g.n + 1 > 1200 THEN g.n + 1 ELSE c.chars + g.n + 1 END FROM c JOIN g ON g.conv_id = c.conv_id AND g.rn = c.rn + 1)
@@ -74,7 +74,7 @@ def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, length(text) + 1 AS len FROM conversations),
-t AS (SELECT conv_id, sum(len) - 1 AS total, count(*) AS cnt FROM l GROUP BY conv_id),
+t AS (SELECT conv_id, coalesce(sum(len) FILTER (trim(text, ' ') <> ''), 1) - 1 AS total, count(*) AS cnt FROM l GROUP BY conv_id),
 s AS (SELECT conv_id, total, cnt, greatest(2, floor(total / 800.0)::INT) AS first, cnt AS cap FROM t WHERE total > 800),
 c AS (SELECT conv_id, unnest(range(first, greatest(first, cap) + 1)) AS step, greatest(first, cap) AS last FROM s),
 f AS (SELECT c.conv_id, c.step, any_value(c.last) AS last, sum(len) - 1 AS size FROM c JOIN l ON l.conv_id = c.conv_id AND l.n % c.step = 0 GROUP BY c.conv_id, c.step),
@@ -131,7 +131,7 @@ def range_join_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH g AS ({SEGMENTS}), r AS (SELECT conv_id, min(turn) AS a, max(turn) // 2 AS b FROM conversations GROUP BY conv_id)
-SELECT r.conv_id AS video_id, a::INT AS start_idx, b::INT AS end_idx, x.s::DOUBLE AS start_s, (y.s + y.n / 10.0)::DOUBLE AS end_s FROM r LEFT JOIN g x ON x.conv_id = r.conv_id AND x.turn = a LEFT JOIN g y ON y.conv_id = r.conv_id AND y.turn = b""")
+SELECT r.conv_id AS video_id, a::INT AS start_idx, b::INT AS end_idx, x.s::DOUBLE AS start_s, (y.s + y.n / 10.0)::DOUBLE AS end_s FROM r LEFT JOIN g x ON x.conv_id = r.conv_id AND x.turn = a LEFT JOIN g y ON y.conv_id = r.conv_id AND y.turn = b WHERE y.s + y.n / 10.0 > x.s""")
 def interval_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     r = s.groupBy("video_id").agg(F.min("seg_idx").alias("start_idx"), F.floor(F.max("seg_idx") / 2).cast("int").alias("end_idx"))

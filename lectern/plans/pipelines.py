@@ -54,20 +54,20 @@ def whole_topics(docs: DataFrame, model: scorers.Completion, simple_prompt: str,
     numbered = chunks.thin_lines(chunks.number_segments(segments), budget, numbered=True)
     timed = chunks.thin_lines(segments.withColumn("line", F.concat(F.col("start").cast("string"), F.lit(" "), "text")), budget)
 
-    def ask(lines: DataFrame, prompt: str):
+    def ask(lines: DataFrame, prompt: str, mode: str):
         def stage(rest: DataFrame) -> DataFrame:
             own = lines.join(rest.select("video_id"), "video_id", "left_semi").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", "line"))).alias("l"))
             text = own.select("video_id", F.concat(F.lit(prompt + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
-            got = scorers.extract_with_retries(text, model, "prompt")
+            got = scorers.extract_with_retries(text, model, "prompt", mode=mode)
             return got.select("video_id", F.col("extracted.parsed").alias("topics"))
 
         return stage
 
     def by_chunk(rest: DataFrame) -> DataFrame:
         found = topics_by_chunk(segments.join(rest.select("video_id"), "video_id", "left_semi"), model, chunk_prompt)
-        return found.groupBy("video_id").agg(F.collect_list(F.struct("title", "description", "evidence_quotes", "start_s", "end_s")).alias("topics"))
+        return found.groupBy("video_id").agg(F.collect_list(F.struct("title", "description", "evidence_quotes", "start_s", "end_s", F.lit(None).cast("array<struct<start_idx:int,end_idx:int>>").alias("coverage"))).alias("topics"))
 
-    return scorers.cascade(docs.select("video_id"), ("whole_simple", ask(numbered, simple_prompt)), ("whole_timestamped", ask(timed, timed_prompt)), ("chunked", by_chunk))
+    return scorers.cascade(docs.select("video_id"), ("whole_simple", ask(numbered, simple_prompt, "simple")), ("whole_timestamped", ask(timed, timed_prompt, "whole")), ("chunked", by_chunk))
 
 
 def set_metrics(videos: DataFrame, frames: DataFrame, words: DataFrame, topics: DataFrame, candidates: DataFrame, label: str, threshold: int = 60) -> tuple[DataFrame, DataFrame]:

@@ -274,16 +274,16 @@ def opinion_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     said = F.when(F.col("event_type").isin("click", "view"), "I like it").when(F.col("event_type") == "error", "dislike").otherwise("neutral")
     body = F.when(F.col("event_id") % 3 == 0, "Yes: hand movement").when(F.col("event_id") % 3 == 1, "No").otherwise("well yes")
-    return e.select(F.col("user_id").alias("link"), F.col("event_id").alias("seq"), said.alias("sentiment_reply"), F.concat(F.lit(" Clear "), "event_type").alias("reason_reply"), body.alias("embodied_reply"), F.lit("").alias("logical_reply"), F.lit("").alias("logical_embodied_reply"), F.lit("other").alias("other_reply"))
+    return e.select(F.col("user_id").alias("link"), F.col("event_id").alias("seq"), said.alias("sentiment_reply"), F.concat(F.lit(" Clear "), "event_type").alias("reason_reply"), body.alias("embodied_reply"), F.when(F.col("event_id") % 2 == 0, "They reasoned well").otherwise("no").alias("logical_reply"), F.when(F.col("event_id") % 5 == 0, "Hands-on").otherwise("none").alias("logical_embodied_reply"), F.lit("other").alias("other_reply"))
 
 
 @query("""SELECT user_id AS link, count(*)::BIGINT AS opinions, count_if(event_type IN ('click', 'view', 'error'))::BIGINT AS "like", 0::BIGINT AS dislike, count_if(event_type IN ('click', 'view', 'error') AND event_id % 3 <> 1)::BIGINT AS embodied_like,
- 0::BIGINT AS embodied_dislike, count(*)::BIGINT AS logical, 0::BIGINT AS logical_embodied FROM events GROUP BY user_id""")
+ 0::BIGINT AS embodied_dislike, count_if(event_id % 2 = 0)::BIGINT AS logical, count_if(event_id % 10 = 0)::BIGINT AS logical_embodied FROM events GROUP BY user_id""")
 def sentiment_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opinions.label_counts(opinions.label(opinion_replies(spark, sf_dir)))
 
 
-@query("""WITH g AS (SELECT user_id AS link, 'clear ' || event_type AS reason, count(*)::BIGINT AS n, min(event_id) AS first_seq FROM events GROUP BY 1, 2)
+@query("""WITH g AS (SELECT user_id AS link, 'clear ' || event_type AS reason, count(*)::BIGINT AS n, min(event_id) AS first_seq FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY link ORDER BY n DESC, first_seq)::INT AS rank FROM g""")
 def most_common_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opinions.reason_counts(opinions.label(opinion_replies(spark, sf_dir)))

@@ -114,8 +114,8 @@ def fingerprint_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, i, regexp_replace(regexp_replace(replace(q[i], chr(10), ' '), '[ \t]{{2,}}', ' ', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') AS p FROM
- (SELECT doc_id, q, unnest(range(1, len(q) + 1)) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(replace(html, '<p>', chr(10) || chr(10)), chr(13), chr(10), 'g'), '\n{{2,}}') AS q FROM (SELECT page_id AS doc_id, html FROM pages))))
+@query(rf"""WITH p AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(q[i], '^{SPACE}+|{SPACE}+$', '', 'g'), '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g') AS p FROM
+ (SELECT doc_id, q, unnest(range(1, len(q) + 1)) AS i FROM (SELECT doc_id, string_split_regex(replace(replace(html, '<p>', chr(10) || chr(10)), chr(13) || chr(10), chr(10)), '\n{{2,}}') AS q FROM (SELECT page_id AS doc_id, html FROM pages))))
 SELECT doc_id AS page_id, count(*) FILTER (p <> '')::BIGINT AS n, coalesce(string_agg(p, '|' ORDER BY i) FILTER (p <> ''), '') AS paragraphs FROM p GROUP BY doc_id""")
 def paragraphise(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", text.paragraphs(F.replace("html", F.lit("<p>"), F.lit("\n\n"))).alias("p"))
@@ -161,11 +161,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), "start", (F.col("start") + F.length("text") / 10.0).alias("end"), F.coalesce("text", F.lit("")).alias("text"), "role")
 
 
-@query(f"""WITH g AS ({SEGMENTS}) SELECT conv_id AS video_id, string_agg(printf('%d', turn + 1) || chr(10) || {CLOCK.format(s="s", dot=",")} || ' --> ' || {CLOCK.format(s="(s + n / 10.0)", dot=",")} || chr(10) || trim(text, ' ') || chr(10), chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id""")
+@query(f"""WITH g AS ({SEGMENTS}) SELECT conv_id AS video_id, string_agg(printf('%d', turn + 1) || chr(10) || {CLOCK.format(s="s", dot=",")} || ' --> ' || {CLOCK.format(s="(s + n / 10.0)", dot=",")} || chr(10) || trim(text, ' ') || chr(10) || chr(10), '' ORDER BY turn) AS text FROM g GROUP BY conv_id""")
 def srt_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.srt_txt(segments(spark, sf_dir))
 
 
-@query(f"""WITH g AS ({SEGMENTS}) SELECT conv_id AS video_id, string_agg('[' || {CLOCK.format(s="s", dot=".")} || ' → ' || {CLOCK.format(s="(s + n / 10.0)", dot=".")} || '] ' || trim(text, ' '), chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id""")
+@query(f"""WITH g AS ({SEGMENTS}) SELECT conv_id AS video_id, string_agg('[' || {CLOCK.format(s="s", dot=".")} || ' → ' || {CLOCK.format(s="(s + n / 10.0)", dot=".")} || '] ' || trim(text, ' ') || chr(10), '' ORDER BY turn) AS text FROM g GROUP BY conv_id""")
 def timestamped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.timestamped_txt(segments(spark, sf_dir))

@@ -10,8 +10,8 @@ TOPIC_DOC = (
     f"video_id string, title string, url string, created_at string, model string, prompt_version string, chunking struct<max_duration_s:int,max_chars:int>, topics_mode string, "
     f"topics array<{TOPIC}>, llm_raw struct<mode:string,attempts:array<string>,chunks:array<struct<chunk_index:int,attempts:array<string>>>>"
 )
-#: Scores and flags are read as text: replies mix numbers, strings and booleans.
-CANDIDATE = "struct<correlated:string,score:string,reason:string,comment:string,comment_text:string,text:string,body:string,url:string>"
+#: Flags are read as text and scores with their kind: replies mix numbers, strings and booleans.
+CANDIDATE = "struct<correlated:string,score:variant,reason:string,comment:string,comment_text:string,text:string,body:string,url:string>"
 RESULT = f"video_id string, topic_id string, section_id string, group_id string, frame string, title string, start int, end int, frames array<string>, rep_frames array<string>, checked_pairs int, candidates array<{CANDIDATE}>"
 CAPTIONS = "video_id string, frames array<struct<frame_id:string,caption:string>>"
 PARAGRAPH = "doc string, para_no int, style string, text string"

@@ -15,21 +15,26 @@ def ordered_lines(segments: DataFrame, line: Column, glue: str = "\n", key: str
 
 
 def plain_txt(docs: DataFrame) -> DataFrame:
-    """Title, address, category, a blank line and the text of the segments."""
+    """Title, address, category and the text of the segments."""
     body = F.array_join(F.transform("segments", lambda s: F.trim(F.coalesce(s["text"], F.lit("")))), " ")
-    return docs.select("video_id", F.concat_ws("\n", "title", "url", "category", F.lit(""), body).alias("text"))
+    return docs.select("video_id", F.concat_ws("\n", *[F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "url", "category")], F.trim(body)).alias("text"))
 
 
-def timestamped_txt(segments: DataFrame) -> DataFrame:
-    return ordered_lines(segments, F.format_string("[%s → %s] %s", hms(F.col("start")), hms(F.col("end")), F.trim("text")))
+def timestamped_txt(segments: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """A line for each segment; with ``docs`` below title, address, category and a blank line."""
+    rows = ordered_lines(segments, F.format_string("[%s → %s] %s\n", hms(F.col("start")), hms(F.col("end")), F.trim("text")), "")
+    if docs is None:
+        return rows
+    head = docs.select("video_id", F.concat_ws("\n", *[F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "url", "category")], F.lit("\n")).alias("_head"))
+    return rows.join(head, "video_id").select("video_id", F.concat("_head", "text").alias("text"))
 
 
 def srt_cue() -> Column:
-    return F.format_string("%d\n%s --> %s\n%s\n", F.col("seg_idx") + 1, srt(F.col("start")), srt(F.col("end")), F.trim("text"))
+    return F.format_string("%d\n%s --> %s\n%s\n\n", F.col("seg_idx") + 1, srt(F.col("start")), srt(F.col("end")), F.trim("text"))
 
 
 def srt_txt(segments: DataFrame) -> DataFrame:
-    return ordered_lines(segments, srt_cue())
+    return ordered_lines(segments, srt_cue(), "")
 
 
 def pretty_json(rows: DataFrame, key: str = "video_id") -> DataFrame:

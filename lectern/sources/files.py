@@ -74,10 +74,10 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
 
 def topic_rows(docs: DataFrame) -> DataFrame:
     t = docs.select("video_id", F.posexplode_outer("topics").alias("pos", "t")).where("pos is not null")
-    name = F.coalesce(F.nullif("t.title", F.lit("")), "t.topic", F.lit(""))
+    trimmed = lambda c: X.strip(F.coalesce(c, F.lit("")))
     return t.select(
-        "video_id", "pos", F.coalesce(F.nullif("t.id", F.lit("")), F.nullif("t.topic_id", F.lit("")), F.concat(F.lit("T"), F.col("pos") + 1)).alias("topic_id"), name.alias("title"),
-        F.coalesce(F.nullif("t.description", F.lit("")), "t.summary", F.lit("")).alias("description"), F.coalesce("t.evidence_quotes", F.array().cast("array<string>")).alias("evidence_quotes"), "t.start_s", "t.end_s",
+        "video_id", "pos", F.coalesce(F.nullif("t.id", F.lit("")), F.nullif("t.topic_id", F.lit("")), F.concat(F.lit("T"), F.col("pos") + 1)).alias("topic_id"), trimmed("t.title").alias("title"),
+        trimmed("t.description").alias("description"), F.coalesce("t.evidence_quotes", F.array().cast("array<string>")).alias("evidence_quotes"), "t.start_s", "t.end_s",
     )
 
 
@@ -115,7 +115,9 @@ def candidates(records: DataFrame) -> DataFrame:
     """One row per candidate: position, flag, whole score, reason, comment and address."""
     c = records.select(*[x for x in ("file", "line", "video_id", "unit_id", "title") if x in records.columns], F.posexplode("candidates").alias("cand_idx", "c"))
     comment = F.coalesce("c.comment", "c.comment_text", "c.text", "c.body")
-    score = F.when(F.col("c.score").isin("true", "false"), (F.col("c.score") == "true").cast("double")).otherwise(F.col("c.score").try_cast("double"))
+    # numbers and booleans count as scores, quoted numbers don't
+    kind = F.schema_of_variant("c.score")
+    score = F.when(kind == "BOOLEAN", F.try_variant_get("c.score", "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get("c.score", "$", "double"))
     keep = [x for x in c.columns if x != "c"]
     return c.select(*keep, X.truthy(F.col("c.correlated")).alias("correlated"), score.alias("score"), F.coalesce("c.reason", F.lit("")).alias("reason"), comment.alias("comment"), F.col("c.url").alias("url"))
 
@@ -132,10 +134,8 @@ def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = T
 
 
 def correlation_files(files: DataFrame) -> DataFrame:
-    """Files of results, from several globs over one listing, each once, sorted."""
-    name = F.col("name")
-    wanted = name.rlike(r"(?i)(corr|results).*\.jsonl?$")
-    return files.where(wanted).select("path").distinct().orderBy("path")
+    """JSON and JSON lines in a video's folder or its raw frames: several globs over one listing, each file once, sorted."""
+    return files.where(F.col("name").rlike(r"\.jsonl?$")).select("path").distinct().orderBy("path")
 
 
 def best_file(rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def best_file(rows: DataFrame) -> DataFrame:
 
 
 THUMBS = (".jpg", ".jpeg", ".png")
-FRAMES = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tiff", ".webp")
+FRAMES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
 
 
 def frames(files: DataFrame, extensions: tuple[str, ...] = FRAMES) -> DataFrame:
@@ -167,7 +167,7 @@ def external_table(spark: SparkSession, path: str, key: str = "video_id") -> Dat
     elif kind == "json":
         raw = spark.read.text(path, wholetext=True)
         body = F.coalesce(F.from_json(F.get_json_object("value", "$.rows"), "array<map<string,string>>"), F.from_json("value", "array<map<string,string>>"))
-        keyed = F.transform(F.map_entries(F.from_json("value", "map<string,map<string,string>>")), lambda e: F.map_concat(e["value"], F.create_map(F.lit(key), e["key"])))
+        keyed = F.map_values(F.from_json("value", "map<string,map<string,string>>"))
         rows = raw.select(F.posexplode(F.coalesce(body, keyed)).alias("_n", "m"))
         names = rows.where("_n = 0").select(F.explode(F.map_keys("m"))).collect()  # one row's keys
         df = rows.orderBy("_n").select(*[F.col("m")[n[0]].alias(n[0]) for n in names]) if names else None
@@ -196,5 +196,6 @@ def video_table(spark: SparkSession, path: str) -> DataFrame:
 def metadata(videos: DataFrame, info: DataFrame) -> DataFrame:
     """Address, title and category from the sidecars; made up or defaulted where they are missing."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    i = info.select(F.col("video_id"), F.coalesce(blank("webpage_url"), blank("original_url")).alias("_u"), blank("title").alias("_t"), F.get("categories", F.lit(0)).alias("_c"))
-    return videos.join(i, "video_id", "left").select("video_id", F.coalesce("_u", F.when(urls.is_id(F.col("video_id")), urls.watch_url(F.col("video_id"))), F.lit("Unknown URL")).alias("url"), F.coalesce("_t", "video_id").alias("title"), F.coalesce("_c", F.lit("Unknown Category")).alias("category"))
+    category = F.coalesce(F.get("categories", F.lit(0)), blank("category") if "category" in info.columns else F.lit(None).cast("string"))
+    i = info.select(F.col("video_id"), F.coalesce(blank("webpage_url"), blank("original_url")).alias("_u"), blank("title").alias("_t"), category.alias("_c"))
+    return videos.join(i, "video_id", "left").select("video_id", F.coalesce("_u", F.when(urls.is_id(F.col("video_id")), urls.watch_url(F.col("video_id"))), F.lit("")).alias("url"), F.coalesce("_t", "video_id").alias("title"), F.coalesce("_c", F.lit("Unknown Category")).alias("category"))

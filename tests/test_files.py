@@ -21,7 +21,7 @@ def tree(tmp_path):
         (tmp_path / d).mkdir(parents=True)
     (tmp_path / "transcripts/a.json").write_text(json.dumps(DOC))
     (tmp_path / "transcripts/BBBBBBBBBB2.json").write_text(json.dumps({"url": "", "segments": []}))
-    (tmp_path / "topics/AAAAAAAAAA1.topics.json").write_text(json.dumps({"topics": [{"title": "x", "description": "d"}, {"id": "K", "topic": "y", "summary": "s", "start_s": 1.0}]}))
+    (tmp_path / "topics/AAAAAAAAAA1.topics.json").write_text(json.dumps({"topics": [{"title": "x", "description": "d"}, {"id": "K", "title": " y ", "description": "s", "start_s": 1.0}]}))
     (tmp_path / "txt/AAAAAAAAAA1.txt").write_text("T\nhttps://u\nC\n\nhello arm\n\ntighten the joint\n")
     (tmp_path / "txt/empty.txt").write_text("")
     (tmp_path / "srt/AAAAAAAAAA1.srt").write_text("1\n00:00:00,000 --> 00:00:02,000\nhello arm\n\n2\n00:00:02,000 --> 00:00:59,1000\n\n\n3\n00:01:00,000 --> 00:15:05,500\ntighten the joint\n")
@@ -36,9 +36,10 @@ def test_transcripts_and_sinks(spark, tree):
     assert [r.video_id for r in files.transcripts(spark, str(tree / "transcripts"), 0, 1).collect()] == ["BBBBBBBBBB2"]
     seg = files.segments(docs)
     srt = sinks.srt_txt(seg).first().text
-    assert srt == "1\n00:00:00,000 --> 00:00:02,000\nhello arm\n\n2\n00:00:02,000 --> 00:00:59,1000\n\n\n3\n00:01:00,000 --> 00:15:05,500\ntighten the joint\n"
+    assert srt == "1\n00:00:00,000 --> 00:00:02,000\nhello arm\n\n2\n00:00:02,000 --> 00:00:59,1000\n\n\n3\n00:01:00,000 --> 00:15:05,500\ntighten the joint\n\n"
+    assert sinks.timestamped_txt(seg, docs).first().text.startswith("T\nhttps://www.youtube.com/watch?v=AAAAAAAAAA1\nC\n\n[00:00:00.000 → 00:00:02.000] hello arm\n")
     assert sinks.timestamped_txt(seg).first().text.startswith("[00:00:00.000 → 00:00:02.000] hello arm\n")
-    assert sinks.plain_txt(docs.where("error is null")).first().text == "T\nhttps://www.youtube.com/watch?v=AAAAAAAAAA1\nC\n\nhello arm  tighten the joint"
+    assert sinks.plain_txt(docs.where("error is null")).first().text == "T\nhttps://www.youtube.com/watch?v=AAAAAAAAAA1\nC\nhello arm  tighten the joint"
     back = json.loads(sinks.pretty_json(docs.where("error is null").select(*[c.split()[0] for c in schemas.TRANSCRIPT.split(", ")])).first().text)
     assert back == DOC
     sinks.write_texts(sinks.srt_txt(seg), str(tree / "out"))
@@ -64,7 +65,7 @@ def test_listing(spark, tree):
     found = files.listing(spark, str(tree / "frames"))
     assert sorted(r.frame for r in files.frames(found).collect()) == ["frame_0000.jpg", "frame_0001.PNG"]
     assert {r.video_id for r in files.frames(found).collect()} == {"AAAAAAAAAA1"}
-    assert files.correlation_files(found).count() == 1
+    assert [r.path.rsplit("/", 1)[1] for r in files.correlation_files(found).collect()] == ["x_results.results.jsonl"]
 
 
 RECORDS = [
@@ -79,7 +80,7 @@ def test_results(spark, tmp_path):
     r = files.results(spark, str(tmp_path))
     assert coverage.total_pairs(r).first().total_pairs == 3
     got = files.candidates(files.latest(r)).orderBy("cand_idx").collect()
-    assert [(c.correlated, c.score, c.comment) for c in got] == [(True, 80.0, "c"), (False, 1.0, "d")]
+    assert [(c.correlated, c.score, c.comment) for c in got] == [(True, None, "c"), (False, 1.0, "d")]  # a quoted number is no score
     shape = files.candidates(r)
     assert files.best_file(shape).first().file.endswith("a.jsonl")
 
@@ -87,7 +88,7 @@ def test_results(spark, tmp_path):
 def test_external_tables(spark, tmp_path):
     (tmp_path / "x.csv").write_text("video_id,Total Likes\nv,1\nv,2\n")
     assert files.external_table(spark, str(tmp_path / "x.csv")).dtypes == [("video_id", "string"), ("Total Likes", "string")]
-    for body in ([{"video_id": "v", "n": 1}], {"rows": [{"video_id": "v", "n": 1}]}, {"v": {"n": 1}}):
+    for body in ([{"video_id": "v", "n": 1}], {"rows": [{"video_id": "v", "n": 1}]}, {"any": {"video_id": "v", "n": 1}}):
         (tmp_path / "x.json").write_text(json.dumps(body))
         assert [(r.video_id, r.n) for r in files.external_table(spark, str(tmp_path / "x.json")).collect()] == [("v", "1")]
     assert files.external_table(spark, str(tmp_path / "x.odd")).count() == 0
@@ -162,7 +163,7 @@ class Failing:
         raise TimeoutError("slow")
 
 
-GOOD = '[{"title": "A", "description": "b", "time_range": "0:01-0:09"}]'
+GOOD = '[{"title": "A", "description": "b", "time_range": "0:01-0:09", "coverage": [{"start_idx": 0, "end_idx": 9}]}]'
 
 
 def test_extraction_retries_and_cascade(spark):

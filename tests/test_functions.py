@@ -18,7 +18,7 @@ def test_hms(spark):
 
 
 def test_seconds(spark):
-    assert values(spark, ["1:02:03,5", "02:03", "7.25", "x", "1:2:3:4", ""], times.seconds) == [3723.5, 123.0, 7.25, None, None, None]
+    assert values(spark, ["1:02:03,5", "02:03", "7.25", "x", "1:2:3:4", "", "1.5:30"], times.seconds) == [3723.5, 123.0, 7.25, None, None, None, None]
     r = values(spark, ["00:01–00:02:03.5", "1-2-3"], times.time_range)
     assert [(x.start_s, x.end_s) for x in r] == [(1.0, 123.5), (1.0, None)]
 
@@ -37,7 +37,7 @@ def test_text(spark):
     long = "word " * 200
     got = values(spark, [long, "x" * 700, "short  one"], text.summarise)
     assert got[0] == ("word " * 120).strip()[: len(got[0]) - 4] + " ..." and got[1] == "x" * 600 + " ..." and got[2] == "short one"
-    assert values(spark, ["a\r\nb\n\n\n c  d\n\n \n\ne"], text.paragraphs) == [["a b", "c d", "e"]]
+    assert values(spark, ["a \r\n b\n\n\n c  d\n\n \n\ne"], text.paragraphs) == [["a b", "c d", "e"]]
     assert values(spark, ["a b_c é1", None], text.word_count) == [3, 0]
     assert values(spark, [" Yes", "1", "no", None, "T"], text.truthy) == [True, True, False, False, True]
     assert values(spark, [1.23456, None], lambda c: text.fixed(c, 3, "—"), "double") == ["1.235", "—"]
@@ -76,12 +76,18 @@ def test_sentiment(spark):
 def test_topic_replies():
     good = '```json\n[{"title": "A", "summary": "b", "time_range": "00:01–00:10", "quotes": ["1", "2", "3", "4"]}, {"topic": "no time", "description": "x"}]\n```'
     topics, error = replies.topics_of(good)
-    assert error is None and topics == [{"title": "A", "description": "b", "evidence_quotes": ["1", "2", "3"], "start_s": 1.0, "end_s": 10.0}]
+    assert error is None and topics == [{"title": "A", "description": "b", "evidence_quotes": ["1", "2", "3"], "start_s": 1.0, "end_s": 10.0, "coverage": None}]
+    assert [t["start_s"] for t in replies.topics_of('[{"title": "A", "description": "b", "start": "2", "end_local": 3}]')[0]] == [2.0]
+    assert replies.topics_of('[{"title": 5, "description": "b"}]')[0] is None
+    whole = '[{"title": "B", "description": "b", "start_s": 5, "end_s": 9}, {"title": "A", "description": "b", "start_s": 1, "end_s": 2}, {"title": "C", "description": "c", "start_s": 3}]'
+    assert [t["title"] for t in replies.topics_of(whole, "whole")[0]] == ["A", "B"]
+    simple = replies.topics_of('[{"title": "A", "description": "b", "coverage": [{"start_idx": "4", "end_idx": 2}, {"start_idx": 1}, 7]}]', "simple")[0]
+    assert simple[0]["coverage"] == [{"start_idx": 4, "end_idx": 2}]
     assert replies.topics_of("[]") == ([], None)
     assert replies.topics_of("prose")[0] is None
-    assert replies.topics_of('[{"title": "A", "description": "b", "time_range": "soon"}]')[0] is None
+    assert replies.topics_of('[{"title": "A", "description": "b", "time_range": "soon-later"}]')[0] is None
     assert replies.json_array('x {"a": 1} y {"b": 2}') == [{"a": 1}, {"b": 2}]
-    assert replies.outline_of("# One\n- first\n- second\n**Two**\ntext") == [{"title": "One", "description": "first second"}, {"title": "Two", "description": "text"}]
+    assert replies.outline_of("lost\n## One\n- first\n* second\n**Two**\ntext") == [{"title": "One", "description": "first second"}, {"title": "Two", "description": "text"}]
 
 
 @pytest.mark.parametrize("n,k,want", [(0, 3, []), (2, 3, [0, 1]), (10, 3, [0, 4, 9]), (5, 4, [0, 1, 3, 4]), (7, 1, [0]), (4, 3, [0, 2, 3])])
