@@ -15,6 +15,9 @@ have equal anchors, so two equal strings of ``least`` bytes share an anchor with
 3. Within a class, anchors whose whole neighbourhoods (all bytes that a string over the anchor can hold)
    agree by hash are covered at once; of each other neighbourhood, one is looked at exactly: its bytes
    are fetched and the common lengths to the left and right of the anchor tell which strings repeat.
+   A class of over ``WIDE`` different neighbourhoods would be too much for one task. Its members' strings
+   are hashed instead (128 bits) and meet by hash; a task sends each string once, so that a string that
+   a third of all documents share does not gather in one place.
 4. Spans are united for each document.
 
 Copies inside a run are collapsed before the exchange. A document is known by its id and a hash of its
@@ -37,13 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise
-from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs
+from .textkit import CODE, Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs
 
 LEAST, GRAM, WINDOW = 200, 16, 128
 RUN_BYTES = 12 << 20
 NO_ID = -(1 << 63)
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
 PAIRED = 12
+#: Different neighbourhoods beyond which a class is spread over all tasks. The lowest bit of a class tells.
+WIDE = 2048
+CODE2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def pack(*arrays) -> bytes:
@@ -69,10 +75,10 @@ def sliding(h: np.ndarray, w: int, op, fill: int) -> np.ndarray:
 class Shape:
     """Lengths that follow from ``least``: of the key, and of what lies before and behind it."""
 
-    def __init__(self, least: int, gram: int, window: int):
+    def __init__(self, least: int, gram: int, window: int, wide: int = WIDE):
         if window + gram - 1 > least:
             raise ValueError("a string must hold a whole window")
-        self.least, self.gram, self.window = least, gram, window
+        self.least, self.gram, self.window, self.wide = least, gram, window, wide
         self.before = window - 1
         self.key = least - self.before
 
@@ -249,6 +255,7 @@ def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
         distinct = np.bincount(group[first], minlength=int(group[-1]) + 1)
         wanted = first & (distinct[group] > 1)
         cls = mix((np.uint64(bucket) << np.uint64(40)) + group[wanted].astype(np.uint64)).view(np.int64)
+        cls = (cls & ~np.int64(1)) | (distinct[group[wanted]] > s.wide)
         need = (ids[wanted], mark[wanted], pos[wanted], cls)
         ids, mark, low, high = (x[covered] for x in (ids, mark, low, high))
     return pa.concat_tables([_rows(ids, mark, low=low, high=high), _rows(need[0], need[1], pos=need[2], cls=need[3])])
@@ -263,6 +270,56 @@ def _rows(ids: np.ndarray, mark: np.ndarray, **columns: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(key, pa.int64()), "mark": pa.array(own, pa.int32())} | data)
 
 
+def strings_over(data: np.ndarray, pos: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all strings over some anchors of a text, and two hashes of each."""
+    mark = np.zeros(len(data) + 2, np.int32)
+    np.add.at(mark, np.maximum(pos - s.before, 0), 1)
+    np.add.at(mark, np.minimum(pos, len(data) - s.least) + 1, -1)
+    start = np.flatnonzero(np.cumsum(mark) > 0)
+    return start.astype(np.int32), *(range_hash(prefix_hash(data, c), start, start + s.least) for c in (CODE, CODE2))
+
+
+def collapse(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings equal strings together, the first of each, and how often each row's string occurs."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    size = np.diff(np.append(np.flatnonzero(first), len(order)))
+    return order, first, np.repeat(size, size)
+
+
+def string_blobs(parts: list[tuple], buckets: int) -> list[tuple[int, bytes]]:
+    """Strings of a batch by bucket: one of each goes on; those that the batch repeats are spans already."""
+    if not parts:
+        return []
+    ids, mark, start, one, two = (np.concatenate(x) for x in zip(*parts))
+    order, first, times = collapse(one, two)
+    ids, mark, start, one, two = (x[order] for x in (ids, mark, start, one, two))
+    again, out = times > 1, []
+    if again.any():
+        out.append((-1 - int(mix(one[again][:1])[0] >> np.uint64(40)), pack(ids[again], mark[again], start[again])))
+    ids, mark, start, one, two, again = (x[first] for x in (ids, mark, start, one, two, again))
+    bucket = (two % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for rows in np.split(order, cut[1:]):
+        out.append((buckets + int(bucket[rows[0]]), pack(ids[rows], mark[rows], start[rows], one[rows], two[rows], again[rows])))
+    return out
+
+
+def repeated_strings(bucket: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id, mark and start of the strings of a bucket that occur at two places or more."""
+    kinds = (np.int64, np.int32, np.int32, np.uint64, np.uint64, bool)
+    columns = [np.concatenate(x) for x in zip(*[unpack(b, *kinds) for b in blobs])]
+    if bucket < 0:
+        return columns[0], columns[1], columns[2]
+    ids, mark, start, one, two, again = columns
+    order, _, times = collapse(one, two)
+    keep = order[(times > 1) & ~again[order]]  # those that a batch repeats are known already
+    return ids[keep], mark[keep], start[keep]
+
+
 def padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as rows of a matrix, and their lengths."""
     size = np.array([len(p) for p in parts], np.int64)
@@ -328,11 +385,11 @@ def string_repeats(rows: np.ndarray, L: np.ndarray, ln: np.ndarray, R: np.ndarra
         yield k, rows[ok[times[inverse] > 1]]
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW, run_bytes: int = RUN_BYTES, wide: int = WIDE) -> DataFrame:
     """``doc_id``, ``text``, ``removed`` (spans of bytes, end exclusive, sorted, apart) and ``kept`` (the other bytes)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    s = Shape(least, gram, window)
+    s = Shape(least, gram, window, wide)
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * parts
@@ -375,18 +432,29 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def fetch(batch: pa.RecordBatch) -> dict:
         ids, marks, texts = (batch.column(n).to_pylist() for n in ("id", "mark", "text"))
         where: dict[int, list] = {}
+        strings = []
         for i, m, t, pos, cls in zip(ids, marks, texts, batch.column("pos").to_pylist(), batch.column("cls").to_pylist()):
             data = t.encode()
+            if wide := [p for p, c in zip(pos, cls) if c & 1]:
+                start, one, two = strings_over(np.frombuffer(data, np.uint8), np.array(wide), s)
+                strings.append((np.full(len(start), i, np.int64), np.full(len(start), m, np.int32), start, one, two))
             for p, c in zip(pos, cls):
-                where.setdefault(c % buckets, []).append((c, i, m, p, data[max(0, p - s.before) : p][::-1], data[p + s.key : p + s.least]))
+                if c & 1:
+                    continue
+                where.setdefault((c >> 1) % buckets, []).append((c, i, m, p, data[max(0, p - s.before) : p][::-1], data[p + s.key : p + s.least]))
         packed = []
         for own in where.values():
             own.sort(key=lambda x: x[0])  # neighbours of a class look alike and pack well
             cls, i, m, p, left, right = zip(*own)
             packed.append(pack(np.array(cls, np.int64), np.array(i, np.int64), np.array(m, np.int32), np.array(p, np.int32), list(left), list(right)))
-        return {"bucket": list(where), "blob": packed}
-
-    def compare(table: pa.Table) -> pa.Table:
+        more = string_blobs(strings, buckets)
+        return {"bucket": [*where, *(k for k, _ in more)], "blob": [*packed, *(b for _, b in more)]}
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        if not 0 <= bucket < buckets:
+            ids, mark, start = repeated_strings(bucket, table.column("blob").to_pylist())
+            return _rows(ids, mark, low=start, high=start + np.int32(s.least)).select(["id", "mark", "low", "high"])
         cls, ids, mark, pos, left, right = zip(*[unpack(b, np.int64, np.int64, np.int32, np.int32, None, None) for b in table.column("blob").to_pylist()])
         cls, ids, mark, pos = (np.concatenate(x) for x in (cls, ids, mark, pos))
         l, r = resolve(cls, [x for y in left for x in y], [x for y in right for x in y], s)
