@@ -100,6 +100,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+SQL4 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM d),
+c AS (SELECT s, min(doc_id) AS rep, count(*) AS n FROM g WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, len(s) AS k, unnest(s) AS gram FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y FROM x a JOIN x b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.k, b.k HAVING count(*) >= 0.8 * (a.k + b.k - count(*)) - 1e-6),
+q AS (SELECT rep AS a, rep AS b FROM c UNION SELECT q.a, p.y FROM q JOIN p ON q.b = p.x),
+m AS (SELECT a AS rep, min(b) AS class_id FROM q GROUP BY a),
+l AS (SELECT x AS rep, count(*) AS n_links FROM p GROUP BY x)
+SELECT doc_id, coalesce(c.rep, doc_id) AS copy_id, coalesce(class_id, doc_id) AS class_id, coalesce(c.n, 1)::BIGINT AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN m ON m.rep = c.rep LEFT JOIN l ON l.rep = c.rep"""
+
 # --- 5
 
 
@@ -173,8 +185,31 @@ def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
 
 
+def sql10() -> str:
+    """The templates are put in as values."""
+    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licences.TEMPLATES))
+    split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
+    return rf"""
+WITH RECURSIVE t(tid, lic, txt) AS (VALUES {values}), tt AS (SELECT tid, lic, term, count(*) AS tf FROM (SELECT tid, lic, unnest({split("txt")}) AS term FROM t) GROUP BY ALL), v AS (SELECT DISTINCT term FROM tt),
+d AS (SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 1000)::VARCHAR AS dir, n_chars < 400 AND regexp_matches(text, '(?i)licen[sc]e|rights reserved') AS f FROM documents),
+n AS (SELECT count(*) AS n FROM d), df AS (SELECT term, count(DISTINCT doc_id) AS k FROM (SELECT doc_id, unnest({split("text")}) AS term FROM d) WHERE term IN (SELECT term FROM v) GROUP BY term),
+idf AS (SELECT v.term, ln(1 + n / (1 + coalesce(k, 0))) AS idf FROM v CROSS JOIN n LEFT JOIN df ON df.term = v.term),
+tw AS (SELECT tid, lic, tt.term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf ON idf.term = tt.term),
+u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL SELECT doc_id, text FROM d WHERE f)),
+ut AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({split("unit")}) AS term FROM u) GROUP BY ALL),
+uw AS (SELECT doc_id, unit, ut.term, (1 + ln(tf)) * coalesce(idf, ln(1 + n / 2)) AS w FROM ut CROSS JOIN n LEFT JOIN idf ON idf.term = ut.term),
+nn AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
+c AS (SELECT uw.doc_id, uw.unit, tid, lic, sum(uw.w * tw.w) / any_value(norm) AS cosine FROM uw JOIN tw ON tw.term = uw.term JOIN nn ON nn.doc_id = uw.doc_id AND nn.unit = uw.unit GROUP BY uw.doc_id, uw.unit, tid, lic),
+b AS (SELECT doc_id, arg_min(lic, (-round(cosine * 1000)::BIGINT, lic)) AS lic, max(round(cosine * 1000)::BIGINT) AS s FROM c WHERE cosine >= {licences.LEAST} GROUP BY doc_id),
+o AS (SELECT d.doc_id, dir, f, dir || '/' || CASE WHEN f THEN 'LICENSE-' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END AS path, lic, s FROM d LEFT JOIN b USING (doc_id)),
+l AS (SELECT dir AS anc, arg_min(lic, (-s, lic)) AS lic FROM o WHERE f AND lic IS NOT NULL GROUP BY dir),
+a AS (SELECT dir, dir AS anc, 0 AS up FROM (SELECT DISTINCT dir FROM d) UNION ALL SELECT dir, CASE WHEN contains(anc, '/') THEN regexp_replace(anc, '/[^/]*$', '') ELSE '' END, up + 1 FROM a WHERE anc <> ''),
+k AS (SELECT a.dir, arg_min(l.anc, up) AS anc, arg_min(l.lic, up) AS lic FROM a JOIN l ON l.anc = a.anc GROUP BY a.dir)
+SELECT doc_id, path, o.lic AS own_licence, s / 1000 AS similarity, CASE WHEN o.lic IS NULL THEN k.lic END AS inherited_licence, CASE WHEN o.lic IS NULL THEN k.anc END AS inherited_from, coalesce(o.lic, k.lic) AS licence FROM o LEFT JOIN k ON k.dir = o.dir"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans)
 }
 
-SQL: dict[str, str] = {"op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2}
+SQL: dict[str, str] = {"op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2, "op4_ngram_jaccard_join": SQL4, "op10_licence_scans": sql10()}
