@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits or underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
-MARKS = ("[Error:", "[No content received")
+#: How a model's failures begin.
+MARKS = ("[Error:", "[Error parsing stream:", "[No content received")
 
 
 def strip(c: Column) -> Column:
@@ -109,3 +110,8 @@ def any_keyword(c: Column, words: tuple[str, ...]) -> Column:
 def final_caption(c: Column, first: Column) -> Column:
     """What follows ``Final Caption:``, else the first caption."""
     return F.coalesce(F.nullif(strip(F.regexp_extract(c, r"(?s)Final Caption:\s*(.*)", 1)), F.lit("")), first)
+
+
+def renamed(c: Column, old: str, new: str) -> Column:
+    """A name with the suffix ``old`` replaced; other names stay."""
+    return F.when(F.endswith(c, F.lit(old)), F.concat(F.substring(c, F.lit(1), F.length(c) - len(old)), F.lit(new))).otherwise(c)
