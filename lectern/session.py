@@ -31,3 +31,17 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         home = tempfile.mkdtemp(prefix="lectern-")
     return f"{home.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, wherever the driver was started.
+
+    On a cluster the package must be shipped (``--py-files``) or installed.
+    """
+    import os
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (home, known) if p)
