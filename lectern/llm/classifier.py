@@ -171,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     found = map_batches(docs.select(F.col(doc_id).cast("long").alias("_id"), text), run, schema).toArrow()
     table = found.sort_by("_id")
     ids = table.column("_id").to_pylist()
-    lists = table.column("words").to_pylist()
-    shape = np.array(table.column("shape").to_pylist(), float).reshape(len(ids), len(SHAPE))
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    buckets = np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
+    words = table.column("words").combine_chunks()
+    shape = table.column("shape").combine_chunks().flatten().to_numpy().reshape(len(ids), len(SHAPE))
+    first = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int64)
+    buckets = words.flatten().to_numpy().astype(np.int64)
     y = np.array([by_id[i] for i in ids], float).reshape(len(ids), 2)
     return {name: fit(shape, buckets, first, y[:, k]) for k, name in enumerate(LABELS)}
 
@@ -228,7 +228,8 @@ def site_posteriors(scored: DataFrame, *, least_strength: float = 2.0, most_stre
     both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
     by_path = strength(both, "n", "s", F.col("host_rate"))
     out = both.withColumn("path_rate", shrunk(F.col("n"), F.col("s"), F.col("host_rate"), F.lit(by_path)))
-    return out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate"))
+    # written, so that its size is known when it is joined: beyond the session's limit it is not broadcast
+    return materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates")
 
 
 def classify(scored: DataFrame, sites: DataFrame, *, site_weight: float = 1.0, least: float = 0.5) -> DataFrame:

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 #: Bytes and rows of one Arrow batch handed to Python.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 def bound_batches(spark: SparkSession) -> None:
