@@ -208,7 +208,8 @@ def site_posteriors(scored: DataFrame, *, least_strength: float = 2.0, most_stre
     """
     good = 1 / (1 + F.exp(-F.col("logit_doc")))
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("s"))
-    paths = materialise(paths, "sites")
+    # a few numbers a site: an eighth of the tasks that sum them up can write them
+    paths = materialise(paths.coalesce(max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     everything = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     rate = min(max((everything["s"] or 0.0) / (everything["n"] or 1), 1e-6), 1 - 1e-6)
@@ -229,7 +230,7 @@ def site_posteriors(scored: DataFrame, *, least_strength: float = 2.0, most_stre
     by_path = strength(both, "n", "s", F.col("host_rate"))
     out = both.withColumn("path_rate", shrunk(F.col("n"), F.col("s"), F.col("host_rate"), F.lit(by_path)))
     # written, so that its size is known when it is joined: beyond the session's limit it is not broadcast
-    return materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates")
+    return materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates", paths.count())
 
 
 def classify(scored: DataFrame, sites: DataFrame, *, site_weight: float = 1.0, least: float = 0.5) -> DataFrame:

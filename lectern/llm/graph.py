@@ -17,10 +17,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = materialise(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "labels")
+    n = both.count()
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "labels", n)
     while not labels.where("moved").isEmpty():
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         took = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         far = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        labels = materialise(took.join(far, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), "labels")
+        labels = materialise(took.join(far, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), "labels", n)
     return labels.select("node", "comp")

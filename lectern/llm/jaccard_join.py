@@ -169,16 +169,20 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sig = materialise(signatures(docs, "text", n, bands, rows), "signatures")
-    classes = materialise(sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "classes")
+    n_docs = sig.count()
+    classes = materialise(sig.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "classes", n_docs)
     keys = classes.select("fp", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = components(keys.join(heads.select("key", "head"), "key").where("fp <> head").select("fp", "head"), "fp", "head")
+    # a class has at most one head for each band: it is tied to the least of them, and so are the others
+    own = keys.join(heads.select("key", "head"), "key").where("fp <> head").groupBy("fp").agg(F.collect_set("head").alias("heads")).withColumn("least", F.array_min("heads"))
+    ties = own.select("fp", "least").unionAll(own.select(F.explode("heads").alias("fp"), "least").where("fp <> least").distinct())
+    groups = components(ties, "fp", "least")
     sized = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     members = groups.join(sized, "comp").join(classes.select(F.col("fp").alias("node"), "rep"), "node")
     # one task for each two chunks of a group; small groups share tasks
     members = members.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)").cast("int"))
     members = members.select("node", "comp", F.coalesce("rep", F.lit(NO_ID)).alias("id"), "chunks", "chunk", F.explode(F.expr("transform(sequence(0, chunks - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j))")).alias("ij"))
-    members = materialise(members.select("node", "comp", "id", "chunk", "ij.i", "ij.j", (F.col("chunks") > 1).alias("parted")), "members")
+    members = materialise(members.select("node", "comp", "id", "chunk", "ij.i", "ij.j", (F.col("chunks") > 1).alias("parted")), "members", n_docs)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // CHUNK + 1)
     members = members.withColumn("task", F.when(F.col("parted"), F.xxhash64("comp", "i", "j")).otherwise(F.expr(f"pmod(xxhash64(comp), {tasks})")))
     # by merge at every size: what is joined grows with the documents
@@ -228,7 +232,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         joined = components(wide.where("node <> head"), "node", "head").select("node", F.col("comp").alias("head"))
         ties = ties.unionByName(wide.groupBy("node").agg(F.sum("n").alias("n")).join(joined, "node", "left").select("node", F.coalesce("head", "node").alias("head"), "n"))
     full = classes.select("fp", "rep", "n_copies").join(ties.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n_copies", F.coalesce("head", "fp").alias("head"), F.coalesce("n", F.lit(0)).alias("n_links"))
-    full = materialise(full, "linked")
+    full = materialise(full, "linked", n_docs)
     least = full.groupBy("head").agg(F.min("rep").alias("class_id"))
     known = full.join(least, "head").select("fp", F.col("rep").alias("copy_id"), "class_id", "n_copies", "n_links")
     return sig.select("doc_id", "fp").join(known, "fp", "left").select(
@@ -236,11 +240,15 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def one_of_each(docs: DataFrame, joined: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose id is the least of their group; of rows that repeat an id, the first by text."""
+def one_of_each(docs: DataFrame, joined: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose id is the least of their group; of rows that repeat an id, the first by text.
+
+    Rows without an id cannot be told apart by ``joined`` and stay.
+    """
     from pyspark.sql import Window
 
-    chosen = joined.where("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_id"])).drop("_id")
-    own = Window.partitionBy(doc_id).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    chosen = joined.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(chosen.hint("merge"), docs[doc_id] == chosen["_id"]).drop("_id")
+    own = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    kept = kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return kept.unionAll(docs.where(F.col(doc_id).isNull()).select(kept.columns))

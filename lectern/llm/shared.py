@@ -25,8 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[spark.sparkContext.applicationId]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+#: Rows of a table of small rows that one task writes, where their number is known.
+ROWS_A_FILE = 100_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+
+    With ``rows``, about how many there are, no more files are written than these need.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -66,10 +66,12 @@ def test_against_brute_force(spark, monkeypatch, chunk):
 
 def test_one_of_each(spark):
     rows = corpus(4)
-    df = spark.createDataFrame([(i, t) for i, t in rows if i is not None], "doc_id long, text string")
+    rows += [(None, rows[0][1]), rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = J.one_of_each(df, J.jaccard_join(df)).collect()
-    want = {c for i, _, c, _ in brute(rows) if i is not None}
-    assert sorted(r.doc_id for r in kept) == sorted(want)
+    want = {c for i, _, c, _ in brute(rows) if i is not None and c == i}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
+    assert sum(r.doc_id is None for r in kept) == 2  # rows without an id stay
 
 
 def test_bands_reach_their_recall():
