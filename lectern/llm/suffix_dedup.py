@@ -17,7 +17,8 @@ have equal anchors, so two equal strings of ``least`` bytes share an anchor with
    are fetched and the common lengths to the left and right of the anchor tell which strings repeat.
    A class of over ``WIDE`` different neighbourhoods would be too much for one task. Its members' strings
    are hashed instead (128 bits) and meet by hash; a task sends each string once, so that a string that
-   a third of all documents share does not gather in one place.
+   a third of all documents share does not gather in one place. A run that alone has over ``RUN_WIDE``
+   of a class sends one of them as a mark that makes the class wide, so the merge gets few of it too.
 4. Spans are united for each document.
 
 Copies inside a run are collapsed before the exchange. A document is known by its id and a hash of its
@@ -47,8 +48,10 @@ RUN_BYTES = 12 << 20
 NO_ID = -(1 << 63)
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
 PAIRED = 12
+#: Members of larger classes that are looked at together.
+HELD = 8192
 #: Different neighbourhoods beyond which a class is spread over all tasks. The lowest bit of a class tells.
-WIDE = 2048
+WIDE, RUN_WIDE = 2048, 32
 CODE2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,10 +78,10 @@ def sliding(h: np.ndarray, w: int, op, fill: int) -> np.ndarray:
 class Shape:
     """Lengths that follow from ``least``: of the key, and of what lies before and behind it."""
 
-    def __init__(self, least: int, gram: int, window: int, wide: int = WIDE):
+    def __init__(self, least: int, gram: int, window: int, wide: int = WIDE, run_wide: int = RUN_WIDE):
         if window + gram - 1 > least:
             raise ValueError("a string must hold a whole window")
-        self.least, self.gram, self.window, self.wide = least, gram, window, wide
+        self.least, self.gram, self.window, self.wide, self.run_wide = least, gram, window, wide, run_wide
         self.before = window - 1
         self.key = least - self.before
 
@@ -124,13 +127,21 @@ def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, byte
     first[1:] |= hood[1:] != hood[:-1]
     size = np.diff(np.append(np.flatnonzero(first), len(first)))
     many = np.repeat(size, size) > 1
-    out = []
-    if many.any():
-        # a key of its own, so that these spans spread over the tasks like the buckets
-        own = -1 - int(mix(ids[many][:1].astype(np.uint64) ^ hood[many][:1])[0] >> np.uint64(2))
-        out.append((own, pack(ids[many], mark[many], low[many], high[many])))
-    keys, multi = keys[first], size > 1
+    done = [x[many] for x in (ids, mark, low, high)]
+    keys, state, group = keys[first], (size > 1).astype(np.uint8), group[first]
     hood, ids, mark, pos, low, high, bucket = (x[first] for x in (hood, ids, mark, pos, low, high, bucket))
+    # a class that is large already goes the wide way; one member stays as the mark of it
+    hot = np.bincount(group)[group] > s.run_wide
+    wide = [x[hot] for x in (ids, mark, pos)]
+    lead = np.diff(group, prepend=-1) > 0
+    state[hot] |= 2
+    keep = ~hot | lead
+    keys, hood, ids, mark, pos, low, high, bucket, state = (x[keep] for x in (keys, hood, ids, mark, pos, low, high, bucket, state))
+    out = []
+    if len(done[0]) or len(wide[0]):
+        # a key of its own, so that these spread over the tasks like the buckets
+        seed = (done[0] if len(done[0]) else wide[0])[:1].astype(np.uint64) ^ hood[:1]
+        out.append((-1 - int(mix(seed)[0] >> np.uint64(2)), pack(*done, *wide)))
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(bucket))):
         part = keys[a:b]
@@ -138,7 +149,7 @@ def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, byte
         differ = part[1:] != part[:-1]
         common[1:] = np.where(differ.any(1), differ.argmax(1), s.key)
         rest = part[np.arange(s.key) >= common[:, None]]
-        out.append((int(bucket[a]), pack(common, rest, hood[a:b], ids[a:b], mark[a:b], pos[a:b], low[a:b], high[a:b], multi[a:b])))
+        out.append((int(bucket[a]), pack(common, rest, hood[a:b], ids[a:b], mark[a:b], pos[a:b], low[a:b], high[a:b], state[a:b])))
     return out
 
 
@@ -230,12 +241,12 @@ SPOTS = "id long, mark int, low array<int>, high array<int>, pos array<int>, cls
 
 def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
     """Covered spans, and the anchors whose neighbourhood must be compared, by document."""
-    empty = np.zeros(0, np.int32)
     if bucket < 0:
-        ids, mark, low, high = (np.concatenate(x) for x in zip(*[unpack(b, np.int64, np.int32, np.int32, np.int32) for b in blobs]))
-        need = (np.zeros(0, np.int64), empty, empty, np.zeros(0, np.int64))
+        kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32)
+        ids, mark, low, high, *wide = (np.concatenate(x) for x in zip(*[unpack(b, *kinds) for b in blobs]))
+        need = (*wide, np.ones(len(wide[0]), np.int64))
     else:
-        runs = [unpack(b, np.uint8, None, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, bool) for b in blobs]
+        runs = [unpack(b, np.uint8, None, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8) for b in blobs]
         came, common = merge([(r[0].tolist(), r[1]) for r in runs], s.key)
         came = np.array(came)
         # an output's row: the rows of each run come out in their order
@@ -244,18 +255,20 @@ def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
         order = np.argsort(came, kind="stable")
         row[order] = np.arange(len(came))
         assert start[-1] == len(came)
-        hood, ids, mark, pos, low, high, multi = (np.concatenate([r[k] for r in runs])[row] for k in range(2, 9))
+        hood, ids, mark, pos, low, high, state = (np.concatenate([r[k] for r in runs])[row] for k in range(2, 9))
         group = np.cumsum(np.array(common) < s.key)
         order = np.lexsort((pos, mark, ids, hood, group))
-        group, hood, ids, mark, pos, low, high, multi = (x[order] for x in (group, hood, ids, mark, pos, low, high, multi))
+        group, hood, ids, mark, pos, low, high, state = (x[order] for x in (group, hood, ids, mark, pos, low, high, state))
         first = np.ones(len(group), bool)
         first[1:] = (group[1:] != group[:-1]) | (hood[1:] != hood[:-1])
         size = np.diff(np.append(np.flatnonzero(first), len(first)))
-        covered = (np.repeat(size, size) > 1) & ~multi  # those of a run are known already
+        covered = (np.repeat(size, size) > 1) & (state & 1 == 0)  # those of a run are known already
         distinct = np.bincount(group[first], minlength=int(group[-1]) + 1)
-        wanted = first & (distinct[group] > 1)
+        wide = np.bincount(group, weights=state & 2, minlength=int(group[-1]) + 1) > 0
+        wide |= distinct > s.wide
+        wanted = first & ((distinct > 1) | wide)[group]
         cls = mix((np.uint64(bucket) << np.uint64(40)) + group[wanted].astype(np.uint64)).view(np.int64)
-        cls = (cls & ~np.int64(1)) | (distinct[group[wanted]] > s.wide)
+        cls = (cls & ~np.int64(1)) | wide[group[wanted]]
         need = (ids[wanted], mark[wanted], pos[wanted], cls)
         ids, mark, low, high = (x[covered] for x in (ids, mark, low, high))
     return pa.concat_tables([_rows(ids, mark, low=low, high=high), _rows(need[0], need[1], pos=need[2], cls=need[3])])
@@ -354,11 +367,17 @@ def resolve(cls: np.ndarray, left: list[bytes], right: list[bytes], s: Shape) ->
                 np.maximum.at(most_left, rows, l[ok])
                 np.maximum.at(most_right, rows, r[ok])
     # a pair's strings are one span; of several pairs, the furthest reach to each side is reached, as all hold the key
-    for a, m in zip(cut, size):
-        if m > PAIRED:
-            for k, found in string_repeats(order[a : a + m], L, ln, R, rn, w):
+    held, rows = [], 0
+    large = [(a, m) for a, m in zip(cut, size) if m > PAIRED]
+    for n_class, (a, m) in enumerate(large):
+        held.append((np.full(m, n_class), order[a : a + m]))
+        rows += m
+        if rows >= HELD or n_class + 1 == len(large):
+            label, own = (np.concatenate(x) for x in zip(*held))
+            for k, found in string_repeats(label, own, L, ln, R, rn, w):
                 np.maximum.at(most_left, found, k)
                 np.maximum.at(most_right, found, w - k)
+            held, rows = [], 0
     return most_left, most_right
 
 
@@ -367,29 +386,29 @@ def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def string_repeats(rows: np.ndarray, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, w: int):
-    """For each k, the rows whose string of k bytes before the anchor occurs at another row too."""
-    def ranks(M: np.ndarray):
-        # the class of each row's first k bytes, for k = 0, 1, ..., w
-        label = np.zeros(len(M), np.int64)
-        yield label
+def string_repeats(label: np.ndarray, rows: np.ndarray, L: np.ndarray, ln: np.ndarray, R: np.ndarray, rn: np.ndarray, w: int):
+    """For each k, the rows whose string of k bytes before the anchor occurs at another row of their class too."""
+
+    def ranks(M: np.ndarray, now: np.ndarray):
+        # equal for rows of one class that agree in their first k bytes, for k = 0, 1, ..., w
+        yield now
         for k in range(w):
-            label = np.unique(label * 256 + M[:, k], return_inverse=True)[1]
-            yield label
+            now = np.unique(now.astype(np.int64) * 256 + M[:, k], return_inverse=True)[1].astype(np.int32)
+            yield now
 
-    left, right = list(ranks(L[rows])), list(ranks(R[rows]))
+    left, right = list(ranks(L[rows], label.astype(np.int32))), list(ranks(R[rows], np.zeros(len(rows), np.int32)))
     for k in range(w + 1):
         ok = np.flatnonzero((ln[rows] >= k) & (rn[rows] >= w - k))
-        key = left[k][ok] * np.int64(len(rows) + 1) + right[w - k][ok]
+        key = left[k][ok].astype(np.int64) * (len(rows) + 1) + right[w - k][ok]
         _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
         yield k, rows[ok[times[inverse] > 1]]
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW, run_bytes: int = RUN_BYTES, wide: int = WIDE) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW, run_bytes: int = RUN_BYTES, wide: int = WIDE, run_wide: int = RUN_WIDE) -> DataFrame:
     """``doc_id``, ``text``, ``removed`` (spans of bytes, end exclusive, sorted, apart) and ``kept`` (the other bytes)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    s = Shape(least, gram, window, wide)
+    s = Shape(least, gram, window, wide, run_wide)
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * parts

@@ -23,8 +23,8 @@ def brute(texts, least):
     return out
 
 
-@pytest.mark.parametrize("seed,least,gram,window,run_bytes,wide", [(0, 20, 4, 12, 1500, 2048), (1, 30, 5, 20, 1500, 2048), (2, 24, 8, 16, 1 << 20, 2048), (3, 20, 3, 18, 400, 2), (4, 25, 6, 14, 900, 5)])
-def test_against_brute_force(spark, seed, least, gram, window, run_bytes, wide):
+@pytest.mark.parametrize("seed,least,gram,window,run_bytes,wide,run_wide", [(0, 20, 4, 12, 1500, 2048, 99), (1, 30, 5, 20, 1500, 2048, 3), (2, 24, 8, 16, 1 << 20, 2048, 1), (3, 20, 3, 18, 400, 2, 99), (4, 25, 6, 14, 900, 5, 2), (5, 22, 5, 15, 3000, 2048, 5)])
+def test_against_brute_force(spark, seed, least, gram, window, run_bytes, wide, run_wide):
     rng = random.Random(seed)
     words = ["ab", "cde", "é", "x", "hello", "wörld", " ", "\n", "zzz", "\0"]
     text = lambda n: "".join(rng.choice(words) for _ in range(n))
@@ -34,7 +34,7 @@ def test_against_brute_force(spark, seed, least, gram, window, run_bytes, wide):
     texts += [shared[0] + text(8) for _ in range(40)]  # a class of many members
     rows = [(i if i % 17 else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS low", "3 AS mark").repartition(5)
-    got = S.repeated_spans(df, least=least, gram=gram, window=window, run_bytes=run_bytes, wide=wide).collect()
+    got = S.repeated_spans(df, least=least, gram=gram, window=window, run_bytes=run_bytes, wide=wide, run_wide=run_wide).collect()
     want = Counter((i, t or "", k) for (i, t), k in zip(rows, brute(texts, least)))
     assert Counter((r.doc_id, r.text, bytes(r.kept)) for r in got) == want
     for r in got:
