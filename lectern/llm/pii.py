@@ -6,7 +6,7 @@ an alternating Feistel network over a x b >= N with keyed BLAKE2b rounds permute
 until it is back inside.
 
 kind   | valid if                                   | permuted                  | kept
-card   | 13-19 digits, Luhn sum right               | digits 2 to the last but 1 | first digit, separators; check digit made anew
+card   | 13-19 digits, plain or in groups, Luhn sum right | digits 2 to the last but 1 | first digit, separators; check digit made anew
 phone  | +country and 7-12 digits, or 3-3-4 digits  | national digits           | country code, layout
 ip     | four decimals of 0-255                     | all 32 bits               | dotted form
 email  | local@domain.tld                           | letters and digits by class, domain too | punctuation, letter case, top-level domain
@@ -42,8 +42,8 @@ PATTERN = re.compile(
 |(?P<date>(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d))
 |(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))
 |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-]))
-|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))""",
+|(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\d-]))
+|(?P<card>(?<![A-Za-z0-9-])(?:\d{13,19}|\d{4}(?P<gap>[ -])(?:\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{6}(?P=gap)\d{5}))(?![A-Za-z0-9-]))""",
     re.VERBOSE,
 )
 
@@ -70,7 +70,7 @@ class Feistel:
         a = 1 << ((n - 1).bit_length() + 1) // 2
         b = -(-n // a)
         while True:
-            left, right = divmod(x, a) if not back else divmod(x, a)
+            left, right = divmod(x, a)
             for k in range(ROUNDS) if not back else range(ROUNDS - 1, -1, -1):
                 sign = -1 if back else 1
                 if k % 2 == 0:
@@ -177,7 +177,8 @@ def find(text: str):
     """
     at = 0
     while m := PATTERN.search(text, at):
-        ok = yield m.lastgroup, m.start(), m.end()
+        kind = next(k for k in KINDS if m[k] is not None)
+        ok = yield kind, m.start(), m.end()
         at = m.end() if ok else m.start() + 1
 
 

@@ -52,6 +52,13 @@ def test_what_is_not_valid_stays(text):
     assert pii.pseudonymise_text(text, KEY) == (text, {})
 
 
+def test_neighbours_are_told_apart():
+    text = "+1 (836) 555-9331 4913187196670932 53.121.55.90 12 a4913187196670932 4041 8949 7460 8795 7"
+    new, counts = pii.pseudonymise_text(text, KEY)
+    assert counts == {"phone": 1, "card": 2, "ip": 1}
+    assert new.endswith(" 7") and " 12 a4913187196670932 " in new and pii.pseudonymise_text(new, KEY, back=True)[0] == text
+
+
 def test_random_cards():
     rng = random.Random(0)
     for _ in range(200):
