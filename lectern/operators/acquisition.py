@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import work_dir
 
 
 def remaining(wanted: DataFrame, *logs: DataFrame, key: str = "url") -> DataFrame:
@@ -50,9 +51,13 @@ def url_buckets(rows: DataFrame, order: str, files: int) -> DataFrame:
 def number_rows(rows: DataFrame, order: str) -> DataFrame:
     """``rn`` from 1 over the whole table in order, and ``_total``, without gathering it in one task.
 
-    Rows are sorted by range and numbered inside each range; the ranges' sizes give the offsets.
+    Rows are sorted by range and numbered inside each range; the ranges' sizes give the offsets. The
+    ranges are sampled, so they are written once and read by both steps.
     """
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    spark = rows.sparkSession
+    path = work_dir(spark)
+    rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
