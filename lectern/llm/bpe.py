@@ -117,6 +117,7 @@ class Bpe:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
             self.tokens[i] = b
+        self.digits = [b"%d" % i for i in range(len(self.tokens))]
         self._forget()
 
     def _forget(self) -> None:
@@ -324,8 +325,7 @@ DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 def digests(bpe: Bpe, ids: np.ndarray, first: np.ndarray) -> dict:
     """For ``encode``: number of ids, SHA-256 of the ids in decimal joined by spaces, and of the decoded bytes."""
-    digits = [f"{i}".encode() for i in range(len(bpe.tokens))] if not hasattr(bpe, "digits") else bpe.digits
-    bpe.digits = digits
+    digits = bpe.digits
     flat, out = ids.tolist(), {f.name: [] for f in DIGESTS}
     for a, b in pairwise(first.tolist()):
         own = flat[a:b]
@@ -333,3 +333,13 @@ def digests(bpe: Bpe, ids: np.ndarray, first: np.ndarray) -> dict:
         out["ids_sha256"].append(hashlib.sha256(b" ".join([digits[i] for i in own])).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(bpe.decode(own)).hexdigest())
     return out
+
+
+IDS_AND_DIGEST = [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
+
+
+def ids_and_digest(bpe: Bpe, ids: np.ndarray, first: np.ndarray) -> dict:
+    """For ``encode``: the ids, and the SHA-256 of the bytes that they decode to."""
+    flat = ids.tolist()
+    decoded = [hashlib.sha256(bpe.decode(flat[a:b])).hexdigest() for a, b in pairwise(first.tolist())]
+    return {"tokens": lists(ids, first, pa.int32()), "decoded_sha256": decoded}
