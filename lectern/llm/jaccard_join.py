@@ -185,8 +185,8 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     members = materialise(members.select("node", "comp", "id", "chunk", "ij.i", "ij.j", (F.col("chunks") > 1).alias("parted")), "members", n_docs)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // CHUNK + 1)
     members = members.withColumn("task", F.when(F.col("parted"), F.xxhash64("comp", "i", "j")).otherwise(F.expr(f"pmod(xxhash64(comp), {tasks})")))
-    # by merge at every size: what is joined grows with the documents
-    with_text = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text").join(members.hint("merge"), "id")
+    # shuffled at every size, as what is joined grows with the documents; hashed, so that no texts are sorted
+    with_text = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", "text").join(members.hint("shuffle_hash"), "id")
     kept = ["task", "comp", "i", "j", "chunk", "node", "parted"]
     schema = T.StructType([*[members.schema[c] for c in kept], T.StructField("grams", T.BinaryType())])
 
