@@ -302,11 +302,11 @@ def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("video_id"), "item_id", F.col("text").alias("unit_text"))
     c = table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), "doc_id", F.col("text").alias("comment"))
     # word sets are made once a row, before the pairs
-    from ..functions.text import word_set
+    from ..functions.text import word_keys
     from ..functions.vectors import jaccard
 
-    pairs = retrieval.pairs(t.withColumn("tw", word_set(F.col("unit_text"))).drop("unit_text"), c.withColumn("cw", word_set(F.col("comment"))).drop("comment"))
-    return pairs.select("video_id", "item_id", "doc_id", F.floor(100 * jaccard(F.col("tw"), F.col("cw"))).cast("int").alias("score"))
+    pairs = retrieval.pairs(t.withColumn("tw", word_keys(F.col("unit_text"))).drop("unit_text"), c.withColumn("cw", word_keys(F.col("comment"))).drop("comment"))
+    return pairs.select("video_id", "item_id", "doc_id", F.floor(100 * jaccard(F.col("cw"), F.col("tw"))).cast("int").alias("score"))
 
 
 @query(LEXICAL + """, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM q)
@@ -315,11 +315,13 @@ def lexical_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: topics against their video's comments, scored by words, summed up by topic."""
     from pyspark.sql import Window
 
-    p = lexical_pairs(spark, sf_dir)
-    counts = p.groupBy("video_id", "item_id").agg(F.count(F.lit(1)).alias("checked_pairs"), F.max("score").alias("best"))
+    # every comment of the video is checked, so the pairs are counted without scoring them again
+    checked = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("video_id")).agg(F.count(F.lit(1)).alias("checked_pairs"))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    top = p.withColumn("rank", F.row_number().over(w)).where("rank <= 5").groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("top_docs"))
-    return counts.join(top, "item_id").select("video_id", "item_id", "checked_pairs", "best", "top_docs")
+    ranked = lexical_pairs(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    docs = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",")
+    top = ranked.groupBy("video_id", "item_id").agg(F.max("score").alias("best"), docs.alias("top_docs"))
+    return top.join(checked, "video_id").select("video_id", "item_id", "checked_pairs", "best", "top_docs")
 
 
 @query()
