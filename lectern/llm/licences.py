@@ -1,12 +1,17 @@
 """Licence scans with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance by path.
 
-A *unit* is a line of any text, or the whole text of a licence file (by its base name). Terms are runs of
-ASCII letters and digits, lower-cased, weighted (1 + ln tf) * ln(1 + N / (1 + df)), with document counts
+A *unit* is a line of any text, the whole text of a licence file (by its base name), or a *window*: as many
+terms as a template has, from the start of a line or sentence on, whatever line breaks and comment marks lie
+between. A window is compared to templates of its length. For those that fit on a line (``ONE_LINE`` terms) it
+counts only if it runs over a line break; within a line, the line is the unit. It must hold the template's
+numbers and no word of ``QUALIFIERS`` that the template lacks, as these make it another licence. Terms are runs of ASCII letters and digits, lower-cased, weighted (1 + ln tf) * ln(1 + N / (1 + df)), with document counts
 over all documents; a term of no template weighs as if it occurred in one document. A file's own licence is the
 template of greatest cosine, at least ``least``, over its units; ties go to the smaller name.
 
 Of each template, the commonest terms whose part of the norm stays under ``least`` cannot reach it alone.
-A unit therefore needs one of the other, rarer terms: only lines with one are taken apart, none is missed.
+A unit therefore needs one of the other, rarer terms: only lines with one, and windows that reach one, are
+taken apart. A window's cosine is at most the norm of the template's terms that it holds: if that is under
+``least`` it is dropped before it is scored. None is missed by either.
 
 A file without a licence of its own inherits that of the nearest directory above it that holds a licence
 file with one (its own directory first; of several, the greatest cosine, then the smaller name).
@@ -48,6 +53,10 @@ TEMPLATES = (
 LEAST = 0.75
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 SPLIT = "[^a-z0-9]+"
+ONE_LINE = 12
+QUALIFIERS = ("affero", "alike", "commercial", "derivatives", "lesser", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike")
+#: Where a window may start: behind a line break or the end of a sentence. Words that only mark comments.
+BREAKS, MARKS = r"(?<=\n)|(?<=[.;:!?]\s)", r"^\s*(dnl|rem)\s"
 
 
 def terms(text: str) -> list[str]:
@@ -74,6 +83,7 @@ class Weights:
         self.n, self.idf = n, {t: idf(n, df.get(t, 0)) for _, text in templates for t in terms(text)}
         self.other = idf(n, 1)
         self.rows: list[tuple[int, str, str, float]] = []
+        self.sizes = [len(terms(text)) for _, text in templates]
         self.needed: set[str] = set()
         for k, (name, text) in enumerate(templates):
             own = {t: (1 + math.log(c)) * self.idf[t] for t, c in Counter(terms(text)).items()}
@@ -91,6 +101,28 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
+def windows(text: Column, rare: str, most: int) -> tuple[Column, Column, Column]:
+    """Three projections that follow each other: ``pieces``, those of them (``at``) where a window may start, and the windows of ``most`` terms."""
+    opening = rf"^(?:[^a-z0-9]*+[a-z0-9]++){{1,{most}}}+[^a-z0-9]*+"  # no more of a piece can matter
+    pieces = F.filter(F.split(F.lower(text), BREAKS), lambda x: x.rlike("[a-z0-9]"))
+    pieces = F.transform(pieces, lambda x: F.concat(F.regexp_extract(F.regexp_replace(x, MARKS, ""), opening, 0), F.lit(" ")))
+    hit = F.filter(F.transform("pieces", lambda x, i: F.when(x.rlike(rare), i + 1)), lambda i: i.isNotNull())
+    at = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - (most - 1), F.lit(1)), i))))
+    found = F.transform("at", lambda i: F.regexp_extract(F.array_join(F.slice("pieces", i, most), ""), opening, 0))
+    return pieces, at, F.filter(found, lambda x: x.rlike(rare))
+
+
+def template_structs(weights: Weights) -> Column:
+    """The templates as one constant: number, length, terms with their parts of the squared norm, and the terms a window needs or must not have."""
+    out = []
+    for k, size in enumerate(weights.sizes):
+        own = {t: w for j, _, t, w in weights.rows if j == k}
+        parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w * w).alias("w")) for t, w in own.items()])
+        texts = lambda x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
+        out.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), parts.alias("parts"), texts([t for t in own if t.isdigit()]).alias("needs"), texts([t for t in QUALIFIERS if t not in own]).alias("bars")))
+    return F.array(*out)
+
+
 def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
     """Add ``own_licence``, ``similarity``, ``inherited_licence``, ``inherited_from`` and ``licence`` to ``files``, without its text."""
     spark = files.sparkSession
@@ -105,15 +137,29 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     is_file = F.coalesce(name.rlike(LICENCE_FILE), F.lit(False))
     rare = "(?i)(?<![a-z0-9])(" + "|".join(sorted(weights.needed)) + ")(?![a-z0-9])" if weights.needed else "(?!)"
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(rare))
-    units = base.where(F.col(text).rlike(rare)).select(F.col(key).alias("_key"), F.explode(F.when(is_file, F.concat(lines, F.array(F.col(text)))).otherwise(lines)).alias("unit")).distinct()
+    lines = F.when(is_file, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
+    pieces, at, found = windows(F.col(text), rare, max(weights.sizes, default=1))
+    units = base.where(F.col(text).rlike(rare)).select(F.col(key).alias("_key"), lines.alias("lines"), pieces.alias("pieces")).select("_key", "lines", "pieces", at.alias("at"))
+    mark = lambda units, window: F.transform(units, lambda x: F.struct(x.alias("unit"), F.lit(window).alias("window")))
+    units = units.select("_key", F.explode_outer(F.concat(mark(F.col("lines"), False), mark(found, True))).alias("u")).select("_key", "u.unit", "u.window").where("unit is not null").distinct()
+    # a line is compared to all templates, a window to those it may reach, cut to their lengths
+    parted = lambda x: F.filter(F.split(F.lower(x), SPLIT), lambda t: t != "")
+    units = units.withColumn("all", parted(F.col("unit"))).withColumn("in_line", F.size(parted(F.substring_index("unit", "\n", 1))))
+    held = lambda x: F.aggregate(x["parts"], F.lit(0.0), lambda a, y: a + F.when(F.array_contains("all", y["t"]), y["w"]).otherwise(0.0))
+    wide = lambda x: (x["size"] > ONE_LINE) | (F.col("in_line") < F.least(x["size"], F.size("all")))
+    reached = F.filter(template_structs(weights), lambda x: wide(x) & (held(x) >= (least * least) * 0.999))
+    units = units.select("_key", "unit", "all", "window", F.explode_outer(F.when(F.col("window"), reached)).alias("x")).where("not window or x is not null")
+    units = units.select("_key", "unit", "x", F.when(F.col("window"), F.slice("all", 1, F.col("x.size"))).otherwise(F.col("all")).alias("all"))
+    units = units.where(F.col("x").isNull() | (~F.arrays_overlap("all", "x.bars") & (F.size(F.array_except("x.needs", "all")) == 0))).select("_key", "unit", F.col("x.k").alias("only"), "all")
     # sparse vectors: distinct terms with their weights, and the norm
     weight_of = F.create_map(*[F.lit(x) for t, w in sorted(weights.idf.items()) for x in (t, w)])
-    units = units.withColumn("all", F.filter(F.split(F.lower("unit"), SPLIT), lambda t: t != "")).withColumn("known", F.array_distinct("all"))
+    units = units.withColumn("known", F.array_distinct("all"))
     tf = lambda t: 1 + F.log(F.size(F.filter("all", lambda x: x == t)).cast("double"))
     units = units.withColumn("vector", F.transform("known", lambda t: F.struct(t.alias("term"), (tf(t) * F.coalesce(F.element_at(weight_of, t), F.lit(weights.other))).alias("w"))))
     units = units.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
-    pairs = units.select("_key", "unit", "norm", F.explode("vector").alias("v")).select("_key", "unit", "norm", F.col("v.term").alias("term"), F.col("v.w").alias("w")).join(F.broadcast(template_rows), "term")
-    scored = pairs.groupBy("_key", "unit", "template", "licence").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
+    pairs = units.select("_key", "unit", "only", "norm", F.explode("vector").alias("v")).select("_key", "unit", "only", "norm", F.col("v.term").alias("term"), F.col("v.w").alias("w")).join(F.broadcast(template_rows), "term")
+    pairs = pairs.where("only is null or only = template")
+    scored = pairs.groupBy("_key", "unit", "only", "template", "licence").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
     permille = F.round(F.col("cosine") * 1000).cast("long")
     best = scored.where(F.col("cosine") >= least).groupBy("_key").agg(F.min(F.struct((-permille).alias("s"), "licence")).alias("b")).select("_key", F.col("b.licence").alias("own_licence"), (-F.col("b.s") / 1000).alias("similarity"))
 

@@ -76,3 +76,66 @@ def test_repeated_keys_and_empty_tables(spark):
     got = L.scan_licences(df, key="key").collect()
     assert sorted([(r.key, r.licence) for r in got], key=repr) == [(1, "proprietary"), (1, "proprietary"), (None, None)]
     assert L.scan_licences(df.limit(0), key="key").collect() == []
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    comment = lambda mark, text: "\n".join(mark + x for x in text.split("\n")) + "\n\nint main;\n"
+    narrow = "\n".join(["/*", *[f" * {' '.join(GPL.split()[k:k + 4])}" for k in range(0, 80, 4)], " */"])
+    cases = {
+        "MIT": [comment("// ", MIT), comment("dnl ", MIT), "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + MIT, "Copyright (c) 2020 A. Person. " + MIT.replace("\n", " "), "Some words.\r\nReleased under\r\nthe MIT License."],
+        "BSD-3-Clause": [comment("# ", BSD), "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + BSD, BSD.replace("\n", " ")],
+        "GPL-3.0": [comment(" * ", GPL), narrow, "Words of a preamble, and more of them.\n" * 300 + GPL, "# This work is licensed under the GNU\n# General Public License, version 3."],
+        # another version or kind is another licence, which no template announces (a text that is one line or a whole file has no such guard)
+        None: [GPL.replace("version 3", "version 2"), GPL.replace("GNU General", "GNU Lesser General"), "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."],
+    }
+    names = lambda k: ("LICENSE", "x.c") if k else ("x.c",)
+    want = {(f"{k}-{j}-{name}", k) for k, texts in cases.items() for j in range(len(texts)) for name in names(k)}
+    plain = [(f"plain-{k}", f"p/{k}.txt", f"Common words of number {k} and the use of this and that.") for k in range(200)]
+    rows = [(f"{k}-{j}-{name}", f"{k}/{j}/{name}", text) for k, texts in cases.items() for j, text in enumerate(texts) for name in names(k)]
+    got = L.scan_licences(spark.createDataFrame(rows + plain, "key string, path string, text string"), key="key").collect()
+    assert {(r.key, r.own_licence) for r in got if not r.key.startswith("plain")} == want
+    assert all(r.licence is None for r in got if r.key.startswith("plain"))
