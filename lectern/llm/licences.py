@@ -97,6 +97,17 @@ class Weights:
                     self.needed.add(t)
 
 
+#: What licence texts speak of; a text is one that speaks of most of it, at least once in ``SHARE`` characters.
+LEGAL, SHARE = ("warrant", "licen[sc]", "copyright", "permission|permitted", "liab", "distribut", "conditions"), 300
+
+
+def is_licence_text(text: Column) -> Column:
+    """Whether a text of any length is a licence, told by how much of it legal terms make up; null for null."""
+    kinds = sum((text.rlike(f"(?i){x}").cast("int") for x in LEGAL[1:]), F.lit(1))
+    # a licence without a word on warranty is none of those known; most texts are done with after that
+    return text.rlike(f"(?i){LEGAL[0]}") & (kinds >= 4) & (F.regexp_count(text, F.lit(f"(?i){'|'.join(LEGAL)}")) * SHARE >= F.length(text))
+
+
 def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 

@@ -178,9 +178,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree source/language/thousand; short ones that speak of a licence are its licence files."""
+    """Documents as files of a tree source/language/thousand; its licence files are short ones that speak of a licence, and licences of any length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    name = F.when((F.col("n_chars") < 400) & F.col("text").rlike("(?i)licen[sc]e|rights reserved"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    short = (F.col("n_chars") < 400) & F.col("text").rlike("(?i)licen[sc]e|rights reserved")
+    name = F.when(short | licences.is_licence_text(F.col("text")), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
     return licences.scan_licences(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
 

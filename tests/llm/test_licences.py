@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from lectern.llm import licences as L
+from lectern.llm import queries as Q
 
 
 def brute(files):
@@ -139,3 +140,15 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     got = L.scan_licences(spark.createDataFrame(rows + plain, "key string, path string, text string"), key="key").collect()
     assert {(r.key, r.own_licence) for r in got if not r.key.startswith("plain")} == want
     assert all(r.licence is None for r in got if r.key.startswith("plain"))
+
+
+def test_long_licences_are_licence_files(spark, tmp_path):
+    prose = "Words of a report on roads and rivers, which are many.\n" * 30
+    texts = {1: MIT, 2: "Nothing to see.", 1001: BSD, 1002: prose, 2001: prose + "Released under the MIT License.", 2002: prose}
+    rows = [(k, t, "en", "web", len(t)) for k, t in texts.items()] + [(3001, None, "en", "web", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.path.rsplit("/", 1)[1], r.own_licence, r.inherited_licence) for r in Q.op10_licence_scans(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("LICENSE-1", "MIT", None), 2: ("2.txt", None, "MIT"), 1001: ("LICENSE-1001", "BSD-3-Clause", None), 1002: ("1002.txt", None, "BSD-3-Clause"),
+        2001: ("2001.txt", "MIT", None), 2002: ("2002.txt", None, None), 3001: ("3001.txt", None, None),
+    }
