@@ -87,8 +87,8 @@ def band_keys(sets: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.
 
 
 def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``fp`` (null without words) and ``bands`` of every document."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """``doc_id``, ``digest`` of the text, ``fp`` (null without words) and ``bands`` of every document."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
         fps, keys, size = [], [], []
@@ -98,9 +98,9 @@ def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> Dat
             keys.append(band_keys(sets, first, bands, rows).view(np.int64).ravel())
             size.append((np.diff(first) > 0) * bands)
         first = np.concatenate([[0], np.cumsum(np.concatenate(size))])
-        return {"doc_id": batch.column(0), "fp": fps, "bands": lists(np.concatenate(keys), first, pa.int64())}
+        return {"doc_id": batch.column(0), "digest": batch.column(2), "fp": fps, "bands": lists(np.concatenate(keys), first, pa.int64())}
 
-    return map_batches(docs.select("doc_id", text), run, schema)
+    return map_batches(docs.select("doc_id", text, F.xxhash64(text).alias("digest")), run, schema)
 
 
 class Tile:
@@ -163,7 +163,10 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
 
 
 def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``doc_id``, ``copy_id`` (least id of its copies), ``class_id`` (least id of its near-duplicate group), ``n_copies``, ``n_links``."""
+    """``doc_id``, ``copy_id`` (least id of its copies), ``class_id`` (least id of its near-duplicate group), ``n_copies``, ``n_links``.
+
+    Where ids repeat, ``digest`` (of the text) tells the row and ``group`` the near-duplicate group (null without words).
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -234,21 +237,24 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     full = classes.select("fp", "rep", "n_copies").join(ties.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n_copies", F.coalesce("head", "fp").alias("head"), F.coalesce("n", F.lit(0)).alias("n_links"))
     full = materialise(full, "linked", n_docs)
     least = full.groupBy("head").agg(F.min("rep").alias("class_id"))
-    known = full.join(least, "head").select("fp", F.col("rep").alias("copy_id"), "class_id", "n_copies", "n_links")
-    return sig.select("doc_id", "fp").join(known, "fp", "left").select(
-        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    known = full.join(least, "head").select("fp", F.col("head").alias("group"), F.col("rep").alias("copy_id"), "class_id", "n_copies", "n_links")
+    return sig.select("doc_id", "digest", "fp").join(known, "fp", "left").select(
+        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest", "group"
     )
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the least of their group; of rows that repeat an id, the first by text.
+    """One document of each group: of least id, and of the group's rows with this id the one of least text hash.
 
-    Rows without an id cannot be told apart by ``joined`` and stay.
+    A text without words is a group by itself. Of rows that repeat an id and a text one stays. Rows without an
+    id cannot be told apart by ``joined`` and stay.
     """
     from pyspark.sql import Window
 
-    chosen = joined.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen.hint("merge"), docs[doc_id] == chosen["_id"]).drop("_id")
-    own = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    wordless = F.when(F.col("group").isNull(), F.col("digest"))
+    chosen = joined.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id"), "group", wordless.alias("_wordless")).agg(F.min("digest").alias("_digest")).select("_id", "_digest").distinct()
+    digested = docs.withColumn("_own", F.xxhash64(text))
+    kept = digested.join(chosen.hint("merge"), (digested[doc_id] == chosen["_id"]) & (digested["_own"] == chosen["_digest"])).drop("_id", "_digest")
+    own = Window.partitionBy(doc_id, "_own").orderBy("_own")
+    kept = kept.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n", "_own")
     return kept.unionAll(docs.where(F.col(doc_id).isNull()).select(kept.columns))

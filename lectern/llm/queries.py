@@ -97,7 +97,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("digest", "group")
 
 
 SQL4 = rf"""

@@ -74,6 +74,16 @@ def test_one_of_each(spark):
     assert sum(r.doc_id is None for r in kept) == 2  # rows without an id stay
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    # 1: two texts of two groups, and one near nothing; 4: its first text is a near copy of 3, its second is not
+    rows = [(1, text("a")), (1, text("b")), (1, text("c")), (1, text("c")), (2, near("a")), (5, near("b")), (3, text("d")), (4, near("d")), (4, text("e")), (6, "!"), (6, "?"), (6, "?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in J.one_of_each(df, J.jaccard_join(df)).collect())
+    assert kept == sorted([(1, text("a")), (1, text("b")), (1, text("c")), (3, text("d")), (4, text("e")), (6, "!"), (6, "?")])
+
+
 def test_bands_reach_their_recall():
     for t in (0.7, 0.8, 0.9):
         b, r = J.choose_bands(t)
