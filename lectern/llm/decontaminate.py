@@ -10,7 +10,7 @@ Items are searched in blocks of at most ``ITEM_BYTES`` of text, each block broad
 one task holds does not grow with the benchmark.
 
 Edge cases: a null or empty text has no words and hits nothing; a null or wordless item has no pattern;
-repeated items all count; repeated documents each get their row; an empty table gives an empty result.
+an item without an id is searched too and is a null, the last, of ``hit_items``; repeated items all count; repeated documents each get their row; an empty table gives an empty result.
 Other columns of the documents pass through; the operator's columns replace columns of the same name.
 """
 
@@ -132,10 +132,10 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of at most ``limit`` bytes of text; one block at a time is on the driver."""
     block, size = [], 0
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col(text_col).isNotNull())
     for i, t in rows.toLocalIterator():
         if block and size + len(t) > limit:
             yield block
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
             if more:
                 spans = [a + [tuple(x) for x in b] for a, b in zip(spans, batch.column("hit_spans").to_pylist())]
                 found = [a | set(b) for a, b in zip(found, batch.column("hit_items").to_pylist())]
-            return {name: batch.column(name) for name in batch.schema.names} | {"n_words": np.concatenate(counts), "hit_spans": [union(x) for x in spans], "hit_items": [sorted(x) for x in found]}
+            return {name: batch.column(name) for name in batch.schema.names} | {"n_words": np.concatenate(counts), "hit_spans": [union(x) for x in spans], "hit_items": [sorted(x, key=lambda i: (i is None, i or 0)) for x in found]}
 
         out = map_batches(out, scan, schema)
     return out

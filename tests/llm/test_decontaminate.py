@@ -53,3 +53,11 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(none, items).collect() == []
     assert D.decontaminate(one, items).first().hit_items == []
+
+
+@pytest.mark.parametrize("item_bytes", [1 << 20, 1])
+def test_items_without_an_id(spark, item_bytes):
+    items = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (7, "d e f"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "a b c d e f"), (3, "x y")], "doc_id long, text string")
+    got = {r.doc_id: (r.hit_spans, r.hit_items) for r in D.decontaminate(docs, items, item_bytes=item_bytes).collect()}
+    assert got == {1: ([[1, 4]], [None]), 2: ([[0, 6]], [7, None]), 3: ([], [])}
