@@ -143,10 +143,18 @@ m AS (SELECT *, max(e) OVER (PARTITION BY user_id, k ORDER BY s, e ROWS BETWEEN
 i AS (SELECT *, sum((far IS NULL OR s > far + 2.0)::INT) OVER (PARTITION BY user_id, k ORDER BY s, e) AS island FROM m)
 SELECT user_id AS video_id, 'T' || row_number() OVER (PARTITION BY user_id ORDER BY k, min(s)) AS topic_id, k AS title, min(s) AS start_s, max(e) AS end_s FROM i GROUP BY user_id, k, island""")
 def consolidate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lists of any length, as in the SQL; consolidate_topics_shrunk shrinks them
+    return intervals.consolidate_topics(event_topics(spark, sf_dir), most=1_000_000).select("video_id", "topic_id", "title", "start_s", "end_s")
+
+
+@query()
+def consolidate_topics_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.consolidate_topics(event_topics(spark, sf_dir)).select("video_id", "topic_id", "title", "start_s", "end_s")
+
+
+def event_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_type").alias("title"), F.lit("").alias("description"), F.array(F.lit("q")).alias("evidence_quotes"), s.alias("start_s"), (s + F.col("value") * 600).alias("end_s"))
-    # the shrinking of long lists is held against brute force in the tests
-    return intervals.consolidate_topics(e, most=1_000_000).select("video_id", "topic_id", "title", "start_s", "end_s")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_type").alias("title"), F.lit("").alias("description"), F.array(F.lit("q")).alias("evidence_quotes"), s.alias("start_s"), (s + F.col("value") * 600).alias("end_s"))
 
 
 @query()

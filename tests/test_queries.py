@@ -36,3 +36,14 @@ def test_query(spark, db, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shrunk_topics_against_a_loop(spark, db):
+    from tests.test_operators import consolidate
+
+    users = {}
+    for user, title, a, b in db.execute("SELECT user_id, event_type, epoch_us(ts) / 1e6, epoch_us(ts) / 1e6 + value * 600 FROM events").fetchall():
+        users.setdefault(user, []).append((title, a, b))
+    rows = catalog.QUERIES["consolidate_topics_shrunk"](spark, ORACLE).collect()
+    assert sorted((r.video_id, r.topic_id, r.title, r.start_s, r.end_s) for r in rows) == sorted((u, *t) for u, topics in users.items() for t in consolidate(topics))
+    assert max(map(len, users.values())) > 12 >= max(int(r.topic_id[1:]) for r in rows)
