@@ -7,7 +7,8 @@ Their spans are united; a text is rejected if they cover too much of it or one i
 
 Edge cases: a null, empty or blank text has no words and fails the base rules; ties and repeated rows
 are judged alike; an empty table gives an empty result. Other columns pass through; the operator's
-columns replace columns of the same name. Words are compared by 64-bit hashes within one text.
+columns replace columns of the same name. Words are told apart byte by byte. A very long text is a slab
+by itself, so memory follows the longest text; time grows with n log n of its words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import CODE, NONSPACE, Slab, Words, bound_batches, find_words, map_batches, mix, slabs, word_hashes
+from .textkit import NONSPACE, Slab, Words, bound_batches, find_words, map_batches, slabs, word_numbers
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -30,16 +31,16 @@ FIELDS = [
 
 
 class Repeats:
-    """Suffix array, LCPs and longest repeats of the texts of a slab, given their word hashes."""
+    """Suffix array, LCPs and longest repeats of the texts of a slab, given the numbers of their words."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, min_words: int):
-        n = len(hashes)
+    def __init__(self, numbers: np.ndarray, first: np.ndarray, min_words: int):
+        n = len(numbers)
         self.doc = doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         self.longest = np.zeros(n, np.int64)
         if not n:
             return
         # ranks by one word: those of different texts differ, so that no group spans two texts
-        key = mix(hashes ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        key = doc * (numbers.max() + 1) + numbers
         order = np.argsort(key, kind="stable")
         rank, open_ = self._groups(order, key[order], np.zeros(n, np.int64))
         levels, depth = [], 1
@@ -113,11 +114,11 @@ def repeated_lines(text: bytes) -> int:
 def measure(slab: Slab, window: int, min_words: int) -> dict[str, np.ndarray]:
     words: Words = find_words(slab, NONSPACE)
     n, first = len(words.start), words.first
-    hashes = word_hashes(slab, words, CODE)
+    numbers, _ = word_numbers(slab, words, NONSPACE, lower=False)
     starts_char = np.concatenate([[0], np.cumsum((slab.buf & 0xC0) != 0x80)]).astype(np.int64)
     chars = starts_char[words.end] - starts_char[words.start]
     symbols = np.concatenate([[0], np.cumsum(SYMBOLS[slab.buf])])
-    found = Repeats(hashes, first, min(window, min_words))
+    found = Repeats(numbers, first, min(window, min_words))
     at = np.flatnonzero(found.longest >= window)
     repeat = cover(at, np.full(len(at), window), n)
     # a repeat that starts one word earlier and ends at the same place makes this one not maximal

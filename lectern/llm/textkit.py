@@ -7,6 +7,7 @@ text, never the batch). A null text counts as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -166,12 +167,23 @@ def find_words(slab: Slab, table: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, slab.offs))
 
 
-def word_hashes(slab: Slab, words: Words, code: np.ndarray = CODE_LOWER) -> np.ndarray:
-    return range_hash(prefix_hash(slab.buf, code), words.start, words.end)
+def word_numbers(slab: Slab, words: Words, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+    """Each word's place among the slab's distinct words, and those words: told apart byte by byte, not by hashes."""
+    data = slab.buf[table[slab.buf]]
+    size = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(size), pa.py_buffer(LOWER[data] if lower else data)])
+    coded = found.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's windows of ``n`` words, and the first window of each text.
+def word_digests(distinct: pa.Array) -> np.ndarray:
+    """128 bits of BLAKE2b for each word, as two columns."""
+    own = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()])
+    return np.frombuffer(own, np.uint64).reshape(-1, 2)
+
+
+def shingle_hashes(digests: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each text's windows of ``n`` words, and the first window of each text.
 
     A text of fewer words, but not none, has one window of them all.
     """
@@ -180,9 +192,16 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nd
     begin = np.concatenate([[0], np.cumsum(made)])
     at = np.repeat(first[:-1] - begin[:-1], made) + np.arange(begin[-1])
     size = np.repeat(np.minimum(count, n), made)
-    pre = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(len(hashes))[0][: len(hashes)], out=pre[1:])
-    return range_hash(pre, at, at + size), begin
+    weights = np.random.default_rng(20240301).integers(0, 2**63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for lane in range(2):
+        own = np.ascontiguousarray(digests[:, lane])
+        total = size.astype(np.uint64) * MIX2
+        for k in range(n):
+            part = own[np.minimum(at + k, max(len(own) - 1, 0))] * weights[lane, k] if len(own) else total
+            total = total + (part if (size > k).all() else np.where(size > k, part, np.uint64(0)))
+        out.append(mix(total))
+    return out[0], out[1], begin
 
 
 def codepoints(buf: np.ndarray) -> int:

@@ -60,3 +60,35 @@ def test_longest_repeat_limit(spark):
     text = " ".join([*part, *[word() for _ in range(2000)], *part])
     row = Q.quality_rules(spark.createDataFrame([(text,)], "text string")).first()
     assert not row.base_failed and row.longest_repeat_words == 120 and row.n_maximal_repeats == 2 and not row.kept
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse(n):
+    text = f"{thue_morse(n)} one two three four {thue_morse(n, True)} one two three four"
+    m = Q.measure(next(slabs(pa.array([text]))), 5, 5)
+    assert m["n_repeat_words"].tolist() == [0] == m["n_maximal_repeats"].tolist()
+
+
+def test_very_long_text():
+    rng = random.Random(5)
+    part = " ".join(str(rng.random()) for _ in range(30))
+    text = " ".join([part, *[str(rng.random()) for _ in range(500_000)], part])
+    assert len(text) > 9_000_000
+    m = Q.measure(next(slabs(pa.array([text], pa.large_string()))), 5, 5)
+    assert m["n_words"][0] == 500_060 and m["n_repeat_words"][0] == 60 and m["longest_repeat_words"][0] == 30
+
+
+def test_query_against_brute_force(spark):
+    from lectern.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in QUERIES["op3_quality_rules"](spark, SMALL).collect():
+        want = brute(texts[r.doc_id])
+        assert tuple(r[f] for f in FIELDS) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert r.kept == (not r.base_failed and r.repeat_covered_chars <= 0.2 * want[1] and want[6] <= 100)
