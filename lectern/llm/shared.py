@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a table of small rows that one task writes, where their number is known.
-ROWS_A_FILE = 100_000
+ROWS_A_FILE = 25_000
 
 
 def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -58,6 +58,7 @@ def corpus(seed, families=12, near=6):
 def test_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(J, "CHUNK", chunk)
     monkeypatch.setattr(J, "TILE", 2 if chunk == 3 else 256)
+    monkeypatch.setattr(J, "FEW", 0 if chunk == 3 else 6)
     rows = corpus(chunk)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS task")
     got = sorted([(r.doc_id, r.copy_id, r.class_id, r.n_links) for r in J.jaccard_join(df).collect()], key=repr)
@@ -100,3 +101,49 @@ def test_tiles_count_exactly():
 
 def test_empty_table(spark):
     assert J.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    rows = [(k, " ".join([thue_morse(n, bool(k)), *"one two three four".split()])) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = J.jaccard_join(df)
+    assert {(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in joined.collect()} == {(0, 0, 1, 0), (1, 1, 1, 0)}
+    assert J.one_of_each(df, joined).count() == 2
+
+
+def test_each_pair_meets_once():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**60, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(80) < 0.95], rng.integers(0, 2**60, 3).astype(np.uint64)])) for _ in range(40)]
+    buckets = rng.integers(0, 3, (40, 6))
+    every = np.arange(40)
+    total = np.zeros(40, int)
+    for home in (1, 2):
+        for few in (0, 100):
+            J.FEW, old = few, J.FEW
+            links, _ = J.link_group(sets, buckets, home, every, every, 0.8)
+            J.FEW = old
+            total += links
+    want = [sum(2 * (i != j and bool(((buckets[i] == buckets[j]) & (buckets[i] > 0)).any()) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))) for j in range(40)) for i in range(40)]
+    assert total.tolist() == want and sum(want) > 0
+
+
+def test_null_and_text_ids_and_a_very_long_text(spark):
+    rng = random.Random(9)
+    words = [str(rng.random())[2:] for _ in range(300_000)]
+    long_, other = " ".join(words), " ".join(words[:-10])
+    rows = [("x", long_), ("y", other), (None, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k l")]
+    got = {(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(long_) > 5_000_000 and got == {("x", "x", 1, 1), ("y", "x", 1, 1), (None, None, 2, 0), (None, None, 1, 0)}
+
+
+def test_many_repeated_rows(spark):
+    df = spark.range(2000).selectExpr("7L AS doc_id", "'one two three four five six seven' AS text")
+    joined = J.jaccard_join(df)
+    assert {(r.class_id, r.n_copies, r.n_links) for r in joined.collect()} == {(7, 2000, 0)}
+    assert J.one_of_each(df, joined).count() == 1
