@@ -61,3 +61,22 @@ def test_items_without_an_id(spark, item_bytes):
     docs = spark.createDataFrame([(1, "x a b c y"), (2, "a b c d e f"), (3, "x y")], "doc_id long, text string")
     got = {r.doc_id: (r.hit_spans, r.hit_items) for r in D.decontaminate(docs, items, item_bytes=item_bytes).collect()}
     assert got == {1: ([[1, 4]], [None]), 2: ([[0, 6]], [7, None]), 3: ([], [])}
+
+
+def test_ids_of_other_types_and_a_very_long_text(spark):
+    rng = random.Random(4)
+    long_ = " ".join(str(rng.random()) for _ in range(560_000))
+    items = spark.createDataFrame([("b", "one two three"), ("a", " ".join(words(long_)[500:520]))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three"), (2, long_ + " one two three")], "doc_id long, text string")
+    got = {r.doc_id: (len(r.hit_spans), r.hit_items) for r in D.decontaminate(docs, items).collect()}
+    assert len(long_) > 10_000_000 and got == {1: (1, ["b"]), 2: (2, ["a", "b"])}
+
+
+def test_one_window_in_many_items_and_places():
+    import pyarrow as pa
+
+    from lectern.llm.textkit import slabs
+
+    own = D.Items(["a " * 3000] * 50, 10)
+    counts, spans, items = own.scan(next(slabs(pa.array(["a " * 5000, "b a"]))))
+    assert counts.tolist() == [5000, 2] and spans == [[[0, 5000]], []] and items == [list(range(50)), []]
