@@ -8,19 +8,23 @@ one. Where an overlap holds no common boundary (one pre-token longer than the ov
 is read on past its end until it resynchronises. The pieces are then merged by rank, each by itself
 (the merging of one piece is ``tiktoken``'s), and decoding concatenates the raw bytes of the ids.
 
-Texts longer than ``spread`` code points are pre-tokenised chunk by chunk on all executors and stitched
-by text; shorter ones are cut, stitched and encoded in the task that reads them.
+All chunks of a slab of texts are pre-tokenised at once, as lanes of one array pass; ``CHUNK`` is small
+enough that ordinary texts are cut and stitched too. A text beyond ``SECTION`` bytes is encoded section by
+section, each up to a boundary that is sure, so memory follows the text and its ids, not the arrays.
 
 Edge cases: a null or empty text has no tokens; lone bytes cannot occur in a string column; repeated
-rows are encoded alike and each kept; an empty table gives an empty result. Other columns pass through;
-the operator's columns replace columns of the same name.
+rows are encoded alike and each kept; pairs of equal rank cannot occur, and of equal pairs the leftmost is
+joined first; an empty table gives an empty result. Other columns pass through; the operator's columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from array import array
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -31,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import Slab, arrow_type, bound_batches, lists, map_batches, prefix_hash, range_hash, slabs
+from .textkit import Slab, arrow_type, bound_batches, lists, map_batches, slabs
 
-CHUNK, OVERLAP = 65536, 1024
-SPREAD = 1 << 20
+CHUNK, OVERLAP = 4096, 256
+SECTION = 4 << 20
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -50,6 +54,42 @@ SCANNED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
 
+@lru_cache(maxsize=1)
+def letter_classes() -> bytes:
+    """The class of every code point (packed), as ``tiktoken``'s own Unicode tables have it.
+
+    Those of ``regex`` are taken as a guess, and each code point is put behind a letter, a digit or a mark, as
+    guessed: it is of that class if both are one pre-token, which shows as one token of the two bytes that meet.
+    What is not as guessed is tried behind all three.
+    """
+    guess = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for k, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for m in regex.finditer(p, every):
+            guess[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = k
+    guess[0xD800:0xE000] = OTHER
+    ranks = {bytes([x]): x for x in range(256)} | {bytes([a, x]): 256 + 256 * k + x for k, a in enumerate(b"a1!") for x in range(256)}
+    prober = tiktoken.Encoding("probe", pat_str=SCANNED, mergeable_ranks=ranks, special_tokens={})
+    before = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+
+    def joins(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        parts = [before[k] + chr(p) + "\n" for p, k in zip(points.tolist(), kind.tolist())]
+        ids = np.array(prober.encode_ordinary("".join(parts)), np.int64)
+        size = np.where(ids < 256, 1, 2)
+        at = np.cumsum(size) - size
+        start = np.cumsum([0, *[len(x.encode()) for x in parts]])[:-1]
+        return size[np.searchsorted(at, start)] == 2
+
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    sure = points[guess[points] != BLANK]
+    wrong = sure[~joins(sure, guess[sure])]
+    rest = np.concatenate([wrong, points[guess[points] == BLANK]])
+    guess[rest] = BLANK
+    for k in before:
+        guess[rest[joins(rest, np.full(len(rest), k))]] = k
+    return zlib.compress(guess.tobytes())
+
+
 class Scan:
     """Ends of the matches of ``SCANNED`` in arrays of code points.
 
@@ -58,14 +98,8 @@ class Scan:
     follows if it is a space; an apostrophe alone takes one of seven endings from the letters behind it.
     """
 
-    def __init__(self):
-        self.classes = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for k, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-            for m in regex.finditer(p, every):
-                a, b = ord(every[m.start()]), ord(every[m.end() - 1])
-                self.classes[a : b + 1] = k
-        self.classes[0xD800:0xE000] = OTHER
+    def __init__(self, classes: bytes | None = None):
+        self.classes = np.frombuffer(zlib.decompress(classes or letter_classes()), np.uint8)
 
     def ends(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Ends of all matches; each stretch between ``bounds`` (from 0 on) is a text of its own."""
@@ -110,9 +144,9 @@ class Bpe:
 
     _made: dict[tuple[str, str], Bpe] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, classes: bytes | None = None):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.scan = Scan() if pattern == SCANNED else None
+        self.scan = Scan(classes) if pattern == SCANNED else None
         self.merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
@@ -121,13 +155,13 @@ class Bpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.first = array("i"), array("q", [0])
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Bpe:
+    def of(cls, path: str, pattern: str, classes: bytes | None = None) -> Bpe:
         if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(load_ranks(path), pattern)
+            cls._made[path, pattern] = cls(load_ranks(path), pattern, classes)
         return cls._made[path, pattern]
 
     def boundaries(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -177,13 +211,17 @@ class Bpe:
                 out.append(sure)
                 known = [int(p[-1]) for p in out if len(p)]
                 join, own = (known[-1] if known else 0), set(right.tolist())
-                rest = points[join:].astype("<u4").tobytes().decode("utf-32-le")
-                more, base = [], join
-                for m in self.pattern.finditer(rest):
-                    join = base + m.end()
-                    more.append(join)
-                    if join in own:
+                more, size = [], 2 * OVERLAP
+                while True:
+                    # what is read must not end before the last of its pre-tokens is sure
+                    rest = self.boundaries(points[join : join + size], np.zeros(1, np.int64)) + join
+                    rest = rest if join + size >= len(points) else rest[:-2]
+                    met = [k for k, x in enumerate(rest.tolist()) if x in own]
+                    if met or join + size >= len(points):
+                        more = rest[: met[0] + 1] if met else rest
+                        join = int(more[-1]) if len(more) else join
                         break
+                    size *= 2
                 out.append(np.array(more, np.int64))
             left = right[np.searchsorted(right, join, "right") :]
         return np.concatenate([*out, left]).astype(np.int64)
@@ -193,44 +231,55 @@ class Bpe:
         rank = self.ranks.get(piece)
         return [rank] if rank is not None else self.merger._encode_single_piece(piece)
 
-    def encode_slab(self, slab: Slab, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a slab, and the first of each text.
-
-        Pieces are told apart by 64-bit hashes. Decoding gives back the text only if no two pieces shared
-        one, so the ids are decoded and compared; else the slab is encoded piece by piece.
-        """
-        at = np.flatnonzero((slab.buf & 0xC0) != 0x80)  # byte offsets of the code points
-        points = np.frombuffer(slab.buf.tobytes().decode().encode("utf-32-le"), np.uint32)
-        filled = slab.offs[:-1][slab.offs[:-1] < slab.offs[1:]]
-        ends = self.pretokenise(points, np.searchsorted(at, filled), chunk, overlap)
-        end = np.append(at, len(slab.buf))[ends]
-        return self.encode_bounds(slab, end)
-
-    def encode_bounds(self, slab: Slab, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a slab whose pre-tokens end at the given bytes."""
-        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
-        data = slab.buf.tobytes()
-        hashes = range_hash(prefix_hash(slab.buf), start, end)
-        some, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def encode_slab(self, slab: Slab, chunk: int = CHUNK, overlap: int = OVERLAP, section: int = SECTION) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slab, and the first of each text."""
+        if slab.hi - slab.lo == 1 and len(slab.buf) > section:
+            ids = self.encode_sections(slab.buf, chunk, overlap, section)
+            return ids, np.array([0, len(ids)])
+        end = self.byte_ends(slab.buf, slab.offs, chunk, overlap)
+        ids, count = self.encode_bounds(slab.buf, end)
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.searchsorted(end, slab.offs, "right")]
+
+    def byte_ends(self, buf: np.ndarray, offs: np.ndarray, chunk: int, overlap: int) -> np.ndarray:
+        """Ends, in bytes, of the pre-tokens of the texts between ``offs``."""
+        at = np.flatnonzero((buf & 0xC0) != 0x80)  # byte offsets of the code points
+        points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        filled = offs[:-1][offs[:-1] < offs[1:]]
+        return np.append(at, len(buf))[self.pretokenise(points, np.searchsorted(at, filled), chunk, overlap)]
+
+    def encode_sections(self, buf: np.ndarray, chunk: int, overlap: int, section: int) -> np.ndarray:
+        """Ids of one long text. As the pattern never looks back, each section starts at a sure end of the one before."""
+        out, begin, size = [], 0, section
+        while begin < len(buf):
+            stop = min(len(buf), begin + size)
+            while stop < len(buf) and buf[stop] & 0xC0 == 0x80:
+                stop += 1
+            part = buf[begin:stop]
+            end = self.byte_ends(part, np.array([0, len(part)]), chunk, overlap)
+            if stop < len(buf):
+                end = end[:-2]  # these can depend on what follows
+                if not len(end):
+                    size *= 2
+                    continue
+            out.append(self.encode_bounds(part[: end[-1]], end)[0])
+            begin, size = begin + int(end[-1]), section
+        return np.concatenate(out)
+
+    def encode_bounds(self, buf: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of bytes whose pre-tokens end at the given places, and how many each has; equal pieces are encoded once."""
+        bounds = np.concatenate([[0], end]).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         if len(self.slot) > REMEMBERED:
             self._forget()
-        slots = np.empty(len(some), np.int64)
-        slot = self.slot
-        for k, (h, w) in enumerate(zip(some.tolist(), where.tolist())):
-            s = slot.get(h)
+        slot, slots = self.slot, []
+        for piece in pieces.dictionary.to_pylist():
+            s = slot.get(piece)
             if s is None:
-                s = slot[h] = len(self.first) - 1
-                self.flat.extend(self.merge(data[start[w] : end[w]]))
+                s = slot[piece] = len(self.first) - 1
+                self.flat.extend(self.merge(piece))
                 self.first.append(len(self.flat))
-            slots[k] = s
-        ids, count = self._expand(slots[inverse])
-        text = np.searchsorted(end, slab.offs, "right")
-        first = np.concatenate([[0], np.cumsum(count)])[text]
-        if self.decode(ids.tolist()) != data:
-            parts = [self.merge(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
-            ids = np.array([i for p in parts for i in p], np.int32)
-            first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[text]
-        return ids, first
+            slots.append(s)
+        return self._expand(np.array(slots, np.int64)[pieces.indices.to_numpy()])
 
     def _expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, first = np.frombuffer(self.flat, np.int32), np.frombuffer(self.first, np.int64)
@@ -248,8 +297,8 @@ class Bpe:
         return b"".join([tokens[i] for i in ids])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", spread: int = SPREAD, chunk: int = CHUNK, overlap: int = OVERLAP, reduce=None, fields: list[T.StructField] | None = None) -> DataFrame:
-    """Add ``tokens`` (ids) to ``docs``; texts beyond ``spread`` code points go chunk by chunk to all executors.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, reduce=None, fields: list[T.StructField] | None = None) -> DataFrame:
+    """Add ``tokens`` (ids) to ``docs``, in one pass over them.
 
     With ``reduce`` and ``fields`` those columns are added instead, made from the ids where they arise:
     ``reduce(bpe, ids, first)`` gets the flat ids of some texts and the first id of each.
@@ -259,50 +308,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     reduce = reduce or (lambda bpe, ids, first: {"tokens": lists(ids, first, pa.int32())})
     base = docs.drop(*[f.name for f in fields])
     schema = T.StructType([*base.schema.fields, *fields])
-    size = F.coalesce(F.length(text), F.lit(0))
+    classes = letter_classes() if pattern == SCANNED else None
 
-    def whole(batch: pa.RecordBatch) -> dict:
-        bpe = Bpe.of(ranks_path, pattern)
+    def run(batch: pa.RecordBatch) -> dict:
+        bpe = Bpe.of(ranks_path, pattern, classes)
         parts = [reduce(bpe, *bpe.encode_slab(s, chunk, overlap)) for s in slabs(batch.column(text))]
         return {n: batch.column(n) for n in batch.schema.names} | {f.name: gather([p[f.name] for p in parts], arrow_type(f.dataType)) for f in fields}
 
-    short = map_batches(base.where(size <= spread), whole, schema)
-    return short.unionByName(_spread(base.where(size > spread), ranks_path, pattern, text, spread, overlap, reduce, fields))
+    return map_batches(base, run, schema)
 
 
 def gather(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays([p.cast(kind) if isinstance(p, pa.Array) else pa.array(p, kind) for p in parts])
 
 
-def _spread(docs: DataFrame, ranks_path: str, pattern: str, text: str, chunk: int, overlap: int, reduce, fields: list[T.StructField]) -> DataFrame:
-    """Long texts: boundaries of their chunks on all executors, then stitched and encoded by text."""
-    step = chunk - overlap
-    keyed = docs.withColumn("_row", F.sha2(F.encode(text, "UTF-8"), 256))
-    cut = keyed.select("_row", text).dropDuplicates(["_row"]).select("_row", F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), F.length(text) - overlap - 1, F.lit(step))).alias("_at"))
-    cut = cut.select("_row", "_at", F.expr(f"substring(_t, _at + 1, {chunk})").alias("_part")).repartition("_row", "_at")
-    own = T.StructType([T.StructField("_row", T.StringType()), T.StructField("_at", T.IntegerType()), T.StructField("_part", T.StringType()), T.StructField("_ends", T.ArrayType(T.IntegerType()))])
-
-    def bounds(batch: pa.RecordBatch) -> dict:
-        bpe = Bpe.of(ranks_path, pattern)
-        found = [bpe.boundaries(code_points(p), np.zeros(1, np.int64)).astype(np.int32) for p in batch.column("_part").to_pylist()]
-        return {n: batch.column(n) for n in ("_row", "_at", "_part")} | {"_ends": pa.array(found, pa.list_(pa.int32()))}
-
-    def join(table: pa.Table) -> pa.Table:
-        bpe = Bpe.of(ranks_path, pattern)
-        table = table.sort_by("_at")
-        at, parts = table.column("_at").to_pylist(), table.column("_part").to_pylist()
-        ends = [np.array(e, np.int64) + a for e, a in zip(table.column("_ends").to_pylist(), at)]
-        joined = "".join([p[:step] if k + 1 < len(parts) else p for k, p in enumerate(parts)])
-        slab = next(slabs(pa.array([joined], pa.large_string())))
-        found = bpe.stitch(code_points(joined), [(a, a + len(p)) for a, p in zip(at, parts)], ends)
-        byte = np.append(np.flatnonzero((slab.buf & 0xC0) != 0x80), len(slab.buf))
-        made = reduce(bpe, *bpe.encode_bounds(slab, byte[found]))
-        return pa.table({"_row": table.column("_row").slice(0, 1).combine_chunks()} | {f.name: gather([made[f.name]], arrow_type(f.dataType)) for f in fields})
-
-    out = T.StructType([T.StructField("_row", T.StringType()), *fields])
-    return keyed.join(map_batches(cut, bounds, own).groupBy("_row").applyInArrow(join, out), "_row").drop("_row")
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -312,9 +331,10 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, *, tokens: str = "tok
     bound_batches(rows.sparkSession)
     base = rows.drop(out)
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType())])
+    classes = letter_classes() if pattern == SCANNED else None
 
     def run(batch: pa.RecordBatch) -> dict:
-        bpe = Bpe.of(ranks_path, pattern)
+        bpe = Bpe.of(ranks_path, pattern, classes)
         return {n: batch.column(n) for n in batch.schema.names} | {out: pa.array([bpe.decode(x or []) for x in batch.column(tokens).to_pylist()], pa.binary())}
 
     return map_batches(base, run, schema)

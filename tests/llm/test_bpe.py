@@ -46,24 +46,60 @@ def test_long_pieces(text):
     assert BPE.encode(text) == REF.encode_ordinary(text)
 
 
-def test_a_shared_hash_is_noticed(monkeypatch):
-    bpe = B.Bpe(BPE.ranks, P.PATTERN)
-    monkeypatch.setattr(B, "range_hash", lambda prefix, start, end: (end - start).astype(np.uint64))
-    assert bpe.encode("abc xyz def 123") == REF.encode_ordinary("abc xyz def 123")
+def test_every_code_point():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{}a ", "1{}1", "!{}!", " {}", "{} b", "\n{}'s"):
+        text = "".join(form.format(chr(c)) for c in points)
+        assert BPE.encode(text) == REF.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("spread", [1 << 20, 60])
-def test_tables(spark, spread):
-    rng = random.Random(spread)
+@given(st.text(max_size=60), st.sampled_from([5, 9, 20]), st.sampled_from([1, 3]))
+@settings(max_examples=400, deadline=None)
+def test_any_text(text, chunk, overlap):
+    slab = next(slabs(pa.array([text])))
+    assert BPE.encode_slab(slab, chunk, overlap)[0].tolist() == REF.encode_ordinary(text)
+
+
+@given(TEXTS, st.sampled_from([1, 4, 30]))
+@settings(max_examples=200, deadline=None)
+def test_sections(text, section):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    got = BPE.encode_sections(buf, 7, 2, section).tolist() if text else []
+    assert got == REF.encode_ordinary(text)
+
+
+def test_very_long_text():
+    rng = random.Random(2)
+    text = "".join(rng.choice(PARTS) + str(rng.random()) for _ in range(700_000))
+    assert len(text) > 10_000_000 and BPE.encode(text) == REF.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("chunk", [B.CHUNK, 60])
+def test_tables(spark, chunk):
+    rng = random.Random(chunk)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "y" * 500]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "word " * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS tokens", "1 AS _at")
-    coded = B.decode(B.encode(df, PATH, P.PATTERN, spread=spread, overlap=8), PATH, P.PATTERN)
+    coded = B.decode(B.encode(df, PATH, P.PATTERN, chunk=chunk, overlap=8), PATH, P.PATTERN)
     got = sorted([(r.doc_id, list(r.tokens), bytes(r.decoded)) for r in coded.collect()], key=repr)
     assert got == sorted([(i, REF.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows], key=repr)
     assert B.encode(df.limit(0), PATH, P.PATTERN).collect() == []
 
 
+def test_query_against_the_library(spark):
+    import hashlib
+
+    from lectern.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        ids = REF.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())))
+    assert sorted(map(tuple, QUERIES["op7_byte_level_bpe"](spark, SMALL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
+
+
 def test_digests(spark):
     import hashlib
 
