@@ -11,16 +11,17 @@ first position where the two differ is its start, and what follows the letter is
 so no text can contain a control string. ``read_back`` parses its output.
 
 Edge cases: a null text or role counts as empty; rows of one turn number are ordered by role and text
-and all kept; a null conversation id is a conversation; an empty table gives an empty result; other
-columns are ignored.
+and all kept; a null conversation id is a conversation; repeated rows are turns of their own; a conversation
+is one row in one task, and as a black box is rendered for each prefix, its cost grows with the square of
+its length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os.path
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,6 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g", "[": "\\o", "]": "\\c"}
-_ESCAPE = re.compile(r"[\\<>\[\]]")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 _PLAIN = {v[1]: k for k, v in ESCAPES.items()}
 _TURN = re.compile(r"\[INST\] (?P<user>[^\[<]*) \[/INST\]|<<(?P<role>[^<>]*)>>(?P<other>[^<]*)<</>>|(?P<assistant>[^\[<]*)</s>")
@@ -41,25 +41,32 @@ _TURN = re.compile(r"\[INST\] (?P<user>[^\[<]*) \[/INST\]|<<(?P<role>[^<>]*)>>(?
 
 def escape(text: str) -> str:
     """``text`` without the characters of control strings."""
-    return _ESCAPE.sub(lambda m: ESCAPES[m[0]], text)
+    for plain, marked in ESCAPES.items():  # the backslash first
+        text = text.replace(plain, marked)
+    return text
 
 
 def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: _PLAIN[m[1]], text)
 
 
+def _marked(turn: Turn) -> str:
+    role, text = turn
+    body = escape(text)
+    if role == "user":
+        return f"[INST] {body} [/INST]"
+    if role == "assistant":
+        return f"{body}</s>"
+    return f"<<{escape(role)}>>{body}<</>>"
+
+
+#: Turns marked lately: a conversation's turns are rendered again for every prefix.
+_lately = lru_cache(maxsize=2048)(_marked)
+
+
 def template(turns: list[Turn]) -> str:
     """Users between [INST] and [/INST], the assistant up to </s>, all other roles named in << >>."""
-    out = []
-    for role, text in turns:
-        body = escape(text)
-        if role == "user":
-            out.append(f"[INST] {body} [/INST]")
-        elif role == "assistant":
-            out.append(f"{body}</s>")
-        else:
-            out.append(f"<<{escape(role)}>>{body}<</>>")
-    return "".join(out)
+    return "".join([_lately(t) if len(t[1]) < 4096 else _marked(t) for t in turns])
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -89,11 +96,19 @@ class Rendered:
     rewrites: list[int] = field(default_factory=list)
 
 
-def common(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    if b.startswith(a):
-        return len(a)
-    return len(os.path.commonprefix([a, b]))
+def common(a: str, b: str, known: int = 0) -> int:
+    """Length of the common prefix, by bisection over slices; the first ``known`` characters are equal."""
+    low, high, size = known, min(len(a), len(b)), 64
+    while low < high and a[low : low + size] == b[low : low + size]:
+        low, size = low + size, size * 2
+    low, high = min(low, high), min(high, low + size)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def render(turns: list[Turn], make: Template = template) -> Rendered:
@@ -102,13 +117,14 @@ def render(turns: list[Turn], make: Template = template) -> Rendered:
     last = ""
     for k, (role, _) in enumerate(turns):
         now = make(turns[: k + 1])
-        begin = common(last, now)
+        begin = len(last) if now.startswith(last) else common(last, now)
         if begin < len(last):
             out.rewrites.append(k)
             out.turns = [(min(a, begin), min(b, begin)) for a, b in out.turns]
             out.texts = [t if t and t[1] <= begin else None for t in out.texts]
         x, y = (make([*turns[:k], (role, c)]) for c in "xy")
-        start = common(x, y)
+        known = begin if x[:begin] == y[:begin] else 0
+        start = common(x, y, known)
         tail = x[start + 1 :]
         good = start < len(x) and y[start + 1 :] == tail and now.startswith(x[:start]) and now.endswith(tail) and start + len(tail) <= len(now)
         out.turns.append((begin, len(now)))

@@ -54,3 +54,25 @@ def test_nulls_ties_and_empty_tables(spark, rows):
         assert got[1].n_turns == 2 and got[1].formatted == "<<>><</>>" * 2
         assert [b - a for a, b in got[2].loss_spans] == [50000]
         assert hashlib.sha256(got[None].formatted.encode())
+
+
+@given(st.text(alphabet="ab", max_size=300), st.text(alphabet="ab", max_size=300), st.integers(0, 300))
+@settings(max_examples=400, deadline=None)
+def test_common_prefix(a, b, n):
+    import os.path
+
+    b = a[:n] + b
+    want = len(os.path.commonprefix([a, b]))
+    assert chat.common(a, b) == want == chat.common(a, b, min(want, 5))
+
+
+def test_long_conversations_and_texts():
+    import time
+
+    turns = [(("user", "assistant")[k % 2], f"{k} " + "x<y " * 700) for k in range(200)]
+    begin = time.process_time()
+    r = chat.render(turns)
+    assert chat.read_back(r.formatted) == turns and time.process_time() - begin < 5
+    long_ = "</s>[INST] " * 1_000_000
+    r = chat.render([("user", long_), ("assistant", long_)])
+    assert [chat.unescape(r.formatted[a:b]) for a, b in r.texts] == [long_, long_]
