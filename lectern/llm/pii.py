@@ -9,13 +9,17 @@ kind   | valid if                                   | permuted
 card   | 13-19 digits, plain or in groups, Luhn sum right | digits 2 to the last but 1 | first digit, separators; check digit made anew
 phone  | +country and 7-12 digits, or 3-3-4 digits  | national digits           | country code, layout
 ip     | four decimals of 0-255                     | all 32 bits               | dotted form
-email  | local@domain.tld                           | letters and digits by class, domain too | punctuation, letter case, top-level domain
+email  | local@domain.tld                           | letters and digits by class, domain too, in lower case | punctuation, letter case by place, top-level domain
 ssn    | 3-2-4 digits, no void group                | the valid numbers         | hyphens
 iban   | mod-97 sum right                           | letters and digits by class | country; check digits made anew
 date   | calendar date 1900 to 2099, Y-M-D or D/M/Y or D.M.Y | the day         | layout
 
+Digits are those of ASCII: numbers in other scripts are no values of these kinds and stay, in every text. An
+address links to its spellings in other letter case, as the permuted letters are those in lower case.
+
 Edge cases: a null text stays null and an empty one empty; numbers that fail validation stay as they
-are; repeated rows get equal pseudonyms; an empty table gives an empty result. Other columns pass
+are; of two kinds that match at one place the first of ``PATTERN`` is taken, and the next if that one is not
+valid from the next character on; repeated rows get equal pseudonyms; time is linear in a very long text; an empty table gives an empty result. Other columns pass
 through; the operator's columns replace columns of the same name.
 """
 
@@ -44,7 +48,7 @@ PATTERN = re.compile(
 |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
 |(?P<phone>(?<![\w+])(?:(?:\+1[ .-]?)?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\d-]))
 |(?P<card>(?<![A-Za-z0-9-])(?:\d{13,19}|\d{4}(?P<gap>[ -])(?:\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{6}(?P=gap)\d{5}))(?![A-Za-z0-9-]))""",
-    re.VERBOSE,
+    re.VERBOSE | re.ASCII,
 )
 
 
@@ -108,7 +112,8 @@ class Feistel:
     def _email(self, text: str, back: bool) -> str | None:
         local, _, domain = text.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return f"{self.by_class(local, b'local', back)}@{self.by_class(name, b'domain', back)}.{top}"
+        new = self.by_class(local.lower(), b"local", back) + "@" + self.by_class(name.lower(), b"domain", back)
+        return "".join(c.upper() if old.isupper() else c for c, old in zip(new, text)) + "." + top
 
     def _phone(self, text: str, back: bool) -> str | None:
         head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
