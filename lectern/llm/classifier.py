@@ -13,8 +13,10 @@ log-odds, times ``site_weight``.
 
 Edge cases: a null or empty text has the features of no words; null hosts and paths are sites like
 others; labels of unknown documents or null labels are not used, and a label with one class only gives
-its rate; repeated rows are scored alike; an empty table gives an empty result. Other columns pass
-through; the operator's columns replace columns of the same name.
+its rate; repeated rows are scored alike, and of labelled rows that repeat an id one is learnt from; odds equal
+to ``least`` keep the document; a very long text is a slab by itself, so memory follows the longest text; an
+empty table gives an empty result. Other columns pass through; the operator's columns replace columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -152,15 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()
     by_id = {r["_id"]: (1 - r["quality"], r["toxic"]) for r in picked}
-    shared = docs.sparkSession.sparkContext.broadcast(by_id)
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("shape", T.ArrayType(T.DoubleType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
-
-    def run(batch: pa.RecordBatch) -> dict | None:
-        ids = batch.column(0).to_pylist()
-        own = [k for k, i in enumerate(ids) if i in shared.value]
-        if not own:
-            return None
-        batch = batch.take(pa.array(own))
+    # found by a join with these few ids, so that no other text reaches Python; of rows that repeat an id the one of least text hash
+    kind = docs.schema[doc_id].dataType
+    wanted = docs.sparkSession.createDataFrame([(r["_id"],) for r in picked], T.StructType([T.StructField("_id", labels.schema[doc_id].dataType)]))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(wanted), "_id", "left_semi")
+    own = own.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("shape", T.ArrayType(T.DoubleType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+
+    def run(batch: pa.RecordBatch) -> dict:
         shapes, words = [], []
         for s in slabs(batch.column(1)):
             shape, bucket, first = features(s)
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             words += [bucket[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:])]
         return {"_id": batch.column(0), "shape": shapes, "words": words}
 
-    found = map_batches(docs.select(F.col(doc_id).cast("long").alias("_id"), text), run, schema).toArrow()
+    found = map_batches(own, run, schema).toArrow()
     table = found.sort_by("_id")
     ids = table.column("_id").to_pylist()
     words = table.column("words").combine_chunks()
@@ -233,10 +234,17 @@ def site_posteriors(scored: DataFrame, *, least_strength: float = 2.0, most_stre
     return materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates", paths.count())
 
 
+OWN = ("path_n", "host_rate", "path_rate", "site_shift", "p_good", "kept")
+
+
 def classify(scored: DataFrame, sites: DataFrame, *, site_weight: float = 1.0, least: float = 0.5) -> DataFrame:
-    """Add ``p_good`` and ``kept``: the documents' evidence and their sites' together."""
+    """Add ``OWN`` (of them ``p_good`` and ``kept``): the documents' evidence and their sites' together.
+
+    ``scored`` should be a written table where its texts are long: it is read here and for the sites.
+    """
     logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     own = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_n", "host_rate", "path_rate", (logit("path_rate") - logit("global_rate")).alias("site_shift"))
+    scored = scored.drop(*OWN)
     joined = scored.join(own, scored["host"].eqNullSafe(own["_h"]) & scored["path"].eqNullSafe(own["_p"]), "left").drop("_h", "_p")
     odds = F.col("logit_doc") + F.lit(site_weight) * F.coalesce("site_shift", F.lit(0.0))
     return joined.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("p_good") >= least)

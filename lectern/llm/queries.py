@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe, chat, classifier, decontaminate, jaccard_join, licences, pii, quality_rules, secrets, suffix_dedup
+from .shared import materialise
 from .textkit import map_batches
 
-#: In production a secret of the deployment.
+#: The key of the test data; a deployment sets its own secret as ``lectern.pii.key`` in the session.
 PII_KEY = b"lectern: key of the test data"
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    own = spark.conf.get("lectern.pii.key", None)
+    return own.encode() if own else PII_KEY
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -116,7 +122,7 @@ FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN m ON m.rep = c.rep LEFT JOIN l ON l.re
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 # --- 6
@@ -131,8 +137,8 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str, *carry: str) -> Da
     models = classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     sited = docs.withColumn("host", F.col("source")).withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
     scored = classifier.score(sited.select("doc_id", "text", "host", "path", *carry), models)
-    sites = classifier.site_posteriors(scored.drop("text", "doc_id", *carry))
-    return classifier.classify(scored if carry else scored.drop("text"), sites)
+    scored = materialise(scored if carry else scored.drop("text"), "scored")  # scored once, used twice
+    return classifier.classify(scored, classifier.site_posteriors(scored.select("host", "path", "logit_doc")))
 
 
 # --- 7
