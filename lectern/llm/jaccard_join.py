@@ -13,8 +13,8 @@
 The result has a row for each document: its class of copies, its near-duplicate group, and the number
 of links to different n-gram sets. Two texts with equal sets but different spelling are copies.
 
-n-grams are known by hashes of their words' BLAKE2b digests (64 bits in the sets, 128 in fingerprints),
-so no texts are equal by the form of the hash.
+n-grams are known by sums of their words' hashes under random weights (64 bits in the sets, 128 in
+fingerprints), and words by hashes that no form of a word defeats, so chance alone could make two equal.
 
 Edge cases: a null or wordless text is in a group by itself with no links; a text of fewer than ``n``
 words has one n-gram of them all; ids are of any type, null ids are allowed and rows of one id are told
@@ -35,14 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import materialise
+from .shared import materialise, size_shuffles, tasks_for
 from .textkit import ALNUM, bound_batches, find_words, lists, map_batches, mix, shingle_hashes, slabs, word_digests, word_numbers
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 100
 #: Classes and bytes of sets of a bucket that meet in one task, and rows of a tile of the verification.
 CHUNK, CHUNK_BYTES, TILE = 512, 4 << 20, 256
-#: Bytes of sets that a task of small buckets gets.
-TASK_BYTES = 16 << 20
 #: Buckets of at most so many classes are compared pair by pair.
 FEW = 6
 SLAB = 1 << 20
@@ -69,7 +67,8 @@ def text_sets(slab, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     numbers, distinct = word_numbers(slab, words, ALNUM)
     one, two, first = shingle_hashes(word_digests(distinct)[numbers], words.first, n)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((one, doc))
+    order = np.argsort(one)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(first) < 65536 else np.int64), kind="stable")]
     one, two, doc = one[order], two[order], doc[order]
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (doc[1:] != doc[:-1])
@@ -98,19 +97,20 @@ def band_keys(sets: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the text, ``fp`` (null without words), ``size`` of the set and ``bands`` of every document."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """``doc_id``, ``digest`` of the text, ``fp`` (null without words), ``size`` of the set, ``bytes`` of the text and ``bands`` of every document."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
-        fps, keys, size = [], [], []
+        fps, keys, size, n_bytes = [], [], [], []
         for slab in slabs(batch.column(1), SLAB):
             one, two, first = text_sets(slab, n)
             fps += [fingerprint(one[a:b], two[a:b]) for a, b in zip(first[:-1], first[1:])]
             keys.append(band_keys(one, first, bands, rows).view(np.int64).ravel())
             size.append(np.diff(first))
+            n_bytes.append(np.diff(slab.offs))
         size = np.concatenate(size)
         first = np.concatenate([[0], np.cumsum((size > 0) * bands)])
-        return {"doc_id": batch.column(0), "digest": batch.column(2), "fp": fps, "size": size, "bands": lists(np.concatenate(keys), first, pa.int64())}
+        return {"doc_id": batch.column(0), "digest": batch.column(2), "fp": fps, "size": size, "bytes": np.concatenate(n_bytes), "bands": lists(np.concatenate(keys), first, pa.int64())}
 
     return map_batches(docs.select("doc_id", "text", "digest"), run, schema)
 
@@ -236,7 +236,8 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     sig = materialise(signatures(docs, n, bands, rows), "signatures")
-    n_docs = sig.count()
+    n_docs, n_bytes = sig.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    size_shuffles(spark, n_bytes)
     # a class is found again by the row of least id (rows without one last) and the digest of its text
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     classes = sig.where("fp is not null").groupBy("fp").agg(pick.alias("pick"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -254,7 +255,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     own = own.select("fp", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.try_element_at(by_band, k), F.lit(0).cast("long"))).alias("buckets"), F.array_distinct(F.transform("at", lambda x: F.struct(x["home"], x["chunks"]))).alias("at"))
     members = materialise(own.join(classes.select("fp", "rep", "digest", "size"), "fp").select(F.col("fp").alias("node"), "rep", "digest", "size", "buckets", "at"), "members", n_docs)
     total = members.select(F.sum(F.col("size") * 8 * F.aggregate("at", F.lit(0), lambda a, x: a + x["chunks"]))).first()[0] or 0
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    tasks = tasks_for(total)
     # shuffled at every size, as what is joined grows with the documents; hashed, so that no texts are sorted
     wanted = members.select(F.col("rep").alias("_id"), F.col("digest").alias("_digest"), "node", "buckets", "at").hint("shuffle_hash")
     with_text = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["digest"] == wanted["_digest"])).select("text", "node", "buckets", "at")

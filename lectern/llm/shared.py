@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -40,3 +41,19 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(n_bytes: int) -> int:
+    """Tasks for a shuffle of ``n_bytes``: of 8 MB each at 128 MB, and growing with the fourth root of the input.
+
+    So a task of 30 GB reads 31 MB, and one of 100 TB 240 MB (400,000 tasks).
+    """
+    each = (8 << 20) * max(1.0, n_bytes / (128 << 20)) ** 0.25
+    return max(1, math.ceil(n_bytes / each))
+
+
+def size_shuffles(spark: SparkSession, n_bytes: int) -> None:
+    """At least as many partitions as ``n_bytes`` need in the joins that follow; adaptive execution joins small ones up to 16 MB."""
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(now, tasks_for(n_bytes))))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")

@@ -8,12 +8,12 @@ have equal anchors, so two equal strings of ``least`` bytes share an anchor with
 
 1. *Runs.* A task sorts the suffixes (their first KEY bytes) of about ``RUN_BYTES`` of text, front-codes
    them (length of the prefix shared with the one before, then the rest), and exchanges the run's parts
-   by a hash of their first GRAM bytes.
+   by a hash of the KEY bytes, so a common beginning with many continuations is no hot key.
 2. *Merge.* A loser tree merges the runs of a bucket. Each run's head knows its common prefix with the
    last output; the longer one wins without a comparison, and on equal lengths comparing starts behind
    the known prefix. What comes out next to each other with KEY common bytes is a *class*.
 3. Within a class, anchors whose whole neighbourhoods (all bytes that a string over the anchor can hold)
-   agree by hash are covered at once; of each other neighbourhood, one is looked at exactly: its bytes
+   agree by a 128-bit hash are covered at once; of each other neighbourhood, one is looked at exactly: its bytes
    are fetched and the common lengths to the left and right of the anchor tell which strings repeat.
    A class of over ``WIDE`` different neighbourhoods would be too much for one task. Its members' strings
    are hashed instead (128 bits) and meet by hash; a task sends each string once, so that a string that
@@ -21,11 +21,18 @@ have equal anchors, so two equal strings of ``least`` bytes share an anchor with
    of a class sends one of them as a mark that makes the class wide, so the merge gets few of it too.
 4. Spans are united for each document.
 
-Copies inside a run are collapsed before the exchange. A document is known by its id and a hash of its
-text, so repeated rows each count and each get the same result.
+Hashes of neighbourhoods and strings are sums of the bytes under random weights, exact in 53 bits, four for
+each (``strong``): two different strings agree with a chance of 2**-128 whatever their form.
 
-Edge cases: a null text is empty; texts shorter than ``least`` bytes hold no string and stay whole; null
-ids are allowed; an empty table gives an empty result; other columns are ignored.
+The number of buckets and tasks follows the bytes of text (``tasks_for``), not a setting.
+
+Copies inside a run are collapsed before the exchange, and equal spans once more before they are joined. A document is
+known by its id and a 64-bit hash of its text (a null id is replaced by a second hash), so repeated rows each
+count and each get the same result.
+
+Edge cases: a null text is empty; texts shorter than ``least`` bytes hold no string and stay whole; ids are of any
+type, null ids are allowed; ties cannot matter, as all of several equal strings go; a very long text is a slab by
+itself, so memory follows the longest text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,19 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
-from .textkit import CODE, Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs
+from .shared import materialise, size_shuffles, tasks_for
+from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs, strong
 
 LEAST, GRAM, WINDOW = 200, 16, 128
 RUN_BYTES = 12 << 20
-NO_ID = -(1 << 63)
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
 PAIRED = 12
 #: Members of larger classes that are looked at together.
 HELD = 8192
 #: Different neighbourhoods beyond which a class is spread over all tasks. The lowest bit of a class tells.
 WIDE, RUN_WIDE = 2048, 32
-CODE2 = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def pack(*arrays) -> bytes:
@@ -105,43 +110,52 @@ def anchors(slab: Slab, prefix: np.ndarray, s: Shape) -> tuple[np.ndarray, np.nd
     return pick, h[pick]
 
 
+def neighbourhoods(slab: Slab, at: np.ndarray, low: np.ndarray, high: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes from ``low`` to ``high`` around each anchor, and of how they lie around it."""
+    wide = np.concatenate([np.zeros(s.before, np.uint8), slab.buf, np.zeros(s.least, np.uint8)])
+    rows = sliding_window_view(wide, s.before + s.least)[at]
+    cut = np.flatnonzero((at - low < s.before) | (high - at < s.least))
+    column = np.arange(s.before + s.least)
+    rows[cut] *= (column >= (s.before - (at - low)[cut])[:, None]) & (column < (s.before + (high - at)[cut])[:, None])
+    return strong(rows, (at - low) * (s.least + 1) + high - at)
+
+
 def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, bytes]]:
     """Sort, collapse and front-code the suffixes of some slabs; blobs by bucket, and the spans found already."""
     keys = np.concatenate([p[0] for p in parts])
-    gram, hood, ids, mark, pos, low, high = (np.concatenate([p[k] for p in parts]) for k in range(1, 8))
+    where, hood, hood2, ids, mark, pos, low, high = (np.concatenate([p[k] for p in parts]) for k in range(1, 9))
     if not len(keys):
         return []
     raw = keys.tobytes()
     texts = [raw[i : i + s.key] for i in range(0, len(raw), s.key)]
     order = np.array(sorted(range(len(texts)), key=texts.__getitem__))
-    bucket = (mix(gram) % np.uint64(buckets)).astype(np.int64)
+    bucket = (where % np.uint64(buckets)).astype(np.int64)
     order = order[np.argsort(bucket[order], kind="stable")]
     del texts
     keys = keys[order]
     new = np.ones(len(order), bool)
     new[1:] = (keys[1:] != keys[:-1]).any(1)
     group = np.cumsum(new)
-    order = order[np.lexsort((hood[order], group))]  # keys of a group are equal, so they stay as they are
-    hood, ids, mark, pos, low, high, bucket = (x[order] for x in (hood, ids, mark, pos, low, high, bucket))
+    order = order[np.lexsort((hood2[order], hood[order], group))]  # keys of a group are equal, so they stay as they are
+    hood, hood2, ids, mark, pos, low, high, bucket = (x[order] for x in (hood, hood2, ids, mark, pos, low, high, bucket))
     first = new.copy()
-    first[1:] |= hood[1:] != hood[:-1]
+    first[1:] |= (hood[1:] != hood[:-1]) | (hood2[1:] != hood2[:-1])
     size = np.diff(np.append(np.flatnonzero(first), len(first)))
     many = np.repeat(size, size) > 1
-    done = [x[many] for x in (ids, mark, low, high)]
+    done = unique_rows(*[x[many] for x in (ids, mark, low, high)])
     keys, state, group = keys[first], (size > 1).astype(np.uint8), group[first]
-    hood, ids, mark, pos, low, high, bucket = (x[first] for x in (hood, ids, mark, pos, low, high, bucket))
+    hood, hood2, ids, mark, pos, low, high, bucket = (x[first] for x in (hood, hood2, ids, mark, pos, low, high, bucket))
     # a class that is large already goes the wide way; one member stays as the mark of it
     hot = np.bincount(group)[group] > s.run_wide
     wide = [x[hot] for x in (ids, mark, pos)]
     lead = np.diff(group, prepend=-1) > 0
     state[hot] |= 2
     keep = ~hot | lead
-    keys, hood, ids, mark, pos, low, high, bucket, state = (x[keep] for x in (keys, hood, ids, mark, pos, low, high, bucket, state))
+    keys, hood, hood2, ids, mark, pos, low, high, bucket, state = (x[keep] for x in (keys, hood, hood2, ids, mark, pos, low, high, bucket, state))
     out = []
     if len(done[0]) or len(wide[0]):
         # a key of its own, so that these spread over the tasks like the buckets
-        seed = (done[0] if len(done[0]) else wide[0])[:1].astype(np.uint64) ^ hood[:1]
-        out.append((-1 - int(mix(seed)[0] >> np.uint64(2)), pack(*done, *wide)))
+        out.append((-1 - int(hood[0] >> np.uint64(2)), pack(*done, *wide)))
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(bucket))):
         part = keys[a:b]
@@ -149,10 +163,19 @@ def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, byte
         differ = part[1:] != part[:-1]
         common[1:] = np.where(differ.any(1), differ.argmax(1), s.key)
         rest = part[np.arange(s.key) >= common[:, None]]
-        out.append((int(bucket[a]), pack(common, rest, hood[a:b], ids[a:b], mark[a:b], pos[a:b], low[a:b], high[a:b], state[a:b])))
+        out.append((int(bucket[a]), pack(common, rest, hood[a:b], hood2[a:b], ids[a:b], mark[a:b], pos[a:b], low[a:b], high[a:b], state[a:b])))
     return out
 
 
+def unique_rows(*columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of some columns."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return [c[new] for c in columns]
+
+
 def merge(runs: list[tuple[list[int], bytes]], width: int) -> tuple[list[int], list[int]]:
     """Merge front-coded runs by a loser tree; each output's run, and its common prefix with the one before.
 
@@ -236,17 +259,17 @@ def by_document(ids: np.ndarray, mark: np.ndarray, *columns: np.ndarray) -> tupl
     return ids[first], mark[first], np.append(first, len(ids)), [c[order] for c in columns]
 
 
-SPOTS = "id long, mark int, low array<int>, high array<int>, pos array<int>, cls array<long>"
+SPOTS = "id long, mark long, low array<int>, high array<int>, pos array<int>, cls array<long>"
 
 
 def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
     """Covered spans, and the anchors whose neighbourhood must be compared, by document."""
     if bucket < 0:
-        kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32)
         ids, mark, low, high, *wide = (np.concatenate(x) for x in zip(*[unpack(b, *kinds) for b in blobs]))
         need = (*wide, np.ones(len(wide[0]), np.int64))
     else:
-        runs = [unpack(b, np.uint8, None, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint8) for b in blobs]
+        runs = [unpack(b, np.uint8, None, np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8) for b in blobs]
         came, common = merge([(r[0].tolist(), r[1]) for r in runs], s.key)
         came = np.array(came)
         # an output's row: the rows of each run come out in their order
@@ -255,22 +278,21 @@ def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
         order = np.argsort(came, kind="stable")
         row[order] = np.arange(len(came))
         assert start[-1] == len(came)
-        hood, ids, mark, pos, low, high, state = (np.concatenate([r[k] for r in runs])[row] for k in range(2, 9))
+        hood, hood2, ids, mark, pos, low, high, state = (np.concatenate([r[k] for r in runs])[row] for k in range(2, 10))
         group = np.cumsum(np.array(common) < s.key)
-        order = np.lexsort((pos, mark, ids, hood, group))
-        group, hood, ids, mark, pos, low, high, state = (x[order] for x in (group, hood, ids, mark, pos, low, high, state))
+        order = np.lexsort((pos, mark, ids, hood2, hood, group))
+        group, hood, hood2, ids, mark, pos, low, high, state = (x[order] for x in (group, hood, hood2, ids, mark, pos, low, high, state))
         first = np.ones(len(group), bool)
-        first[1:] = (group[1:] != group[:-1]) | (hood[1:] != hood[:-1])
+        first[1:] = (group[1:] != group[:-1]) | (hood[1:] != hood[:-1]) | (hood2[1:] != hood2[:-1])
         size = np.diff(np.append(np.flatnonzero(first), len(first)))
         covered = (np.repeat(size, size) > 1) & (state & 1 == 0)  # those of a run are known already
         distinct = np.bincount(group[first], minlength=int(group[-1]) + 1)
         wide = np.bincount(group, weights=state & 2, minlength=int(group[-1]) + 1) > 0
         wide |= distinct > s.wide
         wanted = first & ((distinct > 1) | wide)[group]
-        cls = mix((np.uint64(bucket) << np.uint64(40)) + group[wanted].astype(np.uint64)).view(np.int64)
-        cls = (cls & ~np.int64(1)) | wide[group[wanted]]
+        cls = (np.int64(bucket) << np.int64(40)) + (group[wanted].astype(np.int64) << np.int64(1)) + wide[group[wanted]]
         need = (ids[wanted], mark[wanted], pos[wanted], cls)
-        ids, mark, low, high = (x[covered] for x in (ids, mark, low, high))
+        ids, mark, low, high = unique_rows(*[x[covered] for x in (ids, mark, low, high)])
     return pa.concat_tables([_rows(ids, mark, low=low, high=high), _rows(need[0], need[1], pos=need[2], cls=need[3])])
 
 
@@ -280,7 +302,7 @@ def _rows(ids: np.ndarray, mark: np.ndarray, **columns: np.ndarray) -> pa.Table:
     none = np.zeros(len(key) + 1, np.int64)
     kinds = {"low": pa.int32(), "high": pa.int32(), "pos": pa.int32(), "cls": pa.int64()}
     data = {c: lists(named.get(c, np.zeros(0, np.int64)), first if c in named else none, k) for c, k in kinds.items()}
-    return pa.table({"id": pa.array(key, pa.int64()), "mark": pa.array(own, pa.int32())} | data)
+    return pa.table({"id": pa.array(key, pa.int64()), "mark": pa.array(own, pa.int64())} | data)
 
 
 def strings_over(data: np.ndarray, pos: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,7 +311,7 @@ def strings_over(data: np.ndarray, pos: np.ndarray, s: Shape) -> tuple[np.ndarra
     np.add.at(mark, np.maximum(pos - s.before, 0), 1)
     np.add.at(mark, np.minimum(pos, len(data) - s.least) + 1, -1)
     start = np.flatnonzero(np.cumsum(mark) > 0)
-    return start.astype(np.int32), *(range_hash(prefix_hash(data, c), start, start + s.least) for c in (CODE, CODE2))
+    return start.astype(np.int32), *strong(sliding_window_view(data, s.least)[start])
 
 
 def collapse(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +345,7 @@ def string_blobs(parts: list[tuple], buckets: int) -> list[tuple[int, bytes]]:
 
 def repeated_strings(bucket: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Id, mark and start of the strings of a bucket that occur at two places or more."""
-    kinds = (np.int64, np.int32, np.int32, np.uint64, np.uint64, bool)
+    kinds = (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool)
     columns = [np.concatenate(x) for x in zip(*[unpack(b, *kinds) for b in blobs])]
     if bucket < 0:
         return columns[0], columns[1], columns[2]
@@ -404,14 +426,23 @@ def string_repeats(label: np.ndarray, rows: np.ndarray, L: np.ndarray, ln: np.nd
         yield k, rows[ok[times[inverse] > 1]]
 
 
+def spread(cls: int, buckets: int) -> int:
+    """The bucket in which the members of a class meet."""
+    return int((cls * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20) % buckets
+
+
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW, run_bytes: int = RUN_BYTES, wide: int = WIDE, run_wide: int = RUN_WIDE) -> DataFrame:
     """``doc_id``, ``text``, ``removed`` (spans of bytes, end exclusive, sorted, apart) and ``kept`` (the other bytes)."""
     spark = docs.sparkSession
     bound_batches(spark)
     s = Shape(least, gram, window, wide, run_wide)
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    kind = docs.schema[doc_id].dataType
+    known = F.col(doc_id).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.lit(1), doc_id))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(known, F.xxhash64(F.lit(2), text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    n_bytes = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = tasks_for(n_bytes)
+    buckets = 2 * tasks
+    size_shuffles(spark, n_bytes)
 
     def runs(batches):
         held, size = [], 0
@@ -419,14 +450,14 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             ids, marks = (batch.column(n).to_numpy() for n in ("id", "mark"))
             for slab in slabs(batch.column("text")):
                 prefix = prefix_hash(slab.buf)
-                at, gram_hash = anchors(slab, prefix, s)
+                at, _ = anchors(slab, prefix, s)
                 size += len(slab.buf)
                 if len(at):
                     row = np.searchsorted(slab.offs, at, "right") - 1
                     begin, end = slab.offs[:-1][row], slab.offs[1:][row]
                     low, high = np.maximum(begin, at - s.before), np.minimum(end, at + s.least)
-                    hood = mix(range_hash(prefix, low, high) ^ (at - low).astype(np.uint64))
-                    held.append((sliding_window_view(slab.buf, s.key)[at], gram_hash, hood, ids[slab.lo + row], marks[slab.lo + row], (at - begin).astype(np.int32), (low - begin).astype(np.int32), (high - begin).astype(np.int32)))
+                    where = range_hash(prefix, at, at + s.key)
+                    held.append((sliding_window_view(slab.buf, s.key)[at], where, *neighbourhoods(slab, at, low, high, s), ids[slab.lo + row], marks[slab.lo + row], (at - begin).astype(np.int32), (low - begin).astype(np.int32), (high - begin).astype(np.int32)))
                 if size >= run_bytes:
                     yield from blobs(held)
                     held, size = [], 0
@@ -440,32 +471,37 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def merged(key: tuple, table: pa.Table) -> pa.Table:
         return merge_bucket(key[0].as_py(), table.column("blob").to_pylist(), s)
 
-    spots = materialise(keyed.mapInArrow(runs, "bucket long, blob binary").groupBy("bucket").applyInArrow(merged, SPOTS), "spots")
+    spots = materialise(keyed.select("id", "mark", "text").mapInArrow(runs, "bucket long, blob binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(merged, SPOTS), "spots")
 
-    def flat(*names: str) -> list:
-        return [F.flatten(F.collect_list(n)).alias(n) for n in names]
+    def gathered(rows: DataFrame, *names: str) -> DataFrame:
+        # the distinct spans, or places, of each document
+        zipped = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(*names)))).alias("z")
+        return rows.groupBy("id", "mark").agg(zipped).select("id", "mark", *[F.col(f"z.{n}").alias(n) for n in names])
 
-    need = spots.where("size(pos) > 0").groupBy("id", "mark").agg(*flat("pos", "cls"))
-    fetched_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    need = gathered(spots.where("size(pos) > 0"), "pos", "cls")
+    fetched_schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("blob", T.BinaryType())])
 
     def fetch(batch: pa.RecordBatch) -> dict:
         ids, marks, texts = (batch.column(n).to_pylist() for n in ("id", "mark", "text"))
         where: dict[int, list] = {}
-        strings = []
+        strings, seen = [], set()
         for i, m, t, pos, cls in zip(ids, marks, texts, batch.column("pos").to_pylist(), batch.column("cls").to_pylist()):
+            if (i, m) in seen:  # a row that repeats another
+                continue
+            seen.add((i, m))
             data = t.encode()
             if wide := [p for p, c in zip(pos, cls) if c & 1]:
                 start, one, two = strings_over(np.frombuffer(data, np.uint8), np.array(wide), s)
-                strings.append((np.full(len(start), i, np.int64), np.full(len(start), m, np.int32), start, one, two))
+                strings.append((np.full(len(start), i, np.int64), np.full(len(start), m, np.int64), start, one, two))
             for p, c in zip(pos, cls):
                 if c & 1:
                     continue
-                where.setdefault((c >> 1) % buckets, []).append((c, i, m, p, data[max(0, p - s.before) : p][::-1], data[p + s.key : p + s.least]))
+                where.setdefault(spread(c, buckets), []).append((c, i, m, p, data[max(0, p - s.before) : p][::-1], data[p + s.key : p + s.least]))
         packed = []
         for own in where.values():
             own.sort(key=lambda x: x[0])  # neighbours of a class look alike and pack well
             cls, i, m, p, left, right = zip(*own)
-            packed.append(pack(np.array(cls, np.int64), np.array(i, np.int64), np.array(m, np.int32), np.array(p, np.int32), list(left), list(right)))
+            packed.append(pack(np.array(cls, np.int64), np.array(i, np.int64), np.array(m, np.int64), np.array(p, np.int32), list(left), list(right)))
         more = string_blobs(strings, buckets)
         return {"bucket": [*where, *(k for k, _ in more)], "blob": [*packed, *(b for _, b in more)]}
 
@@ -474,15 +510,15 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         if not 0 <= bucket < buckets:
             ids, mark, start = repeated_strings(bucket, table.column("blob").to_pylist())
             return _rows(ids, mark, low=start, high=start + np.int32(s.least)).select(["id", "mark", "low", "high"])
-        cls, ids, mark, pos, left, right = zip(*[unpack(b, np.int64, np.int64, np.int32, np.int32, None, None) for b in table.column("blob").to_pylist()])
+        cls, ids, mark, pos, left, right = zip(*[unpack(b, np.int64, np.int64, np.int64, np.int32, None, None) for b in table.column("blob").to_pylist()])
         cls, ids, mark, pos = (np.concatenate(x) for x in (cls, ids, mark, pos))
         l, r = resolve(cls, [x for y in left for x in y], [x for y in right for x in y], s)
         ok = l >= 0
         return _rows(ids[ok], mark[ok], low=pos[ok] - l[ok].astype(np.int32), high=pos[ok] + s.key + r[ok].astype(np.int32)).select(["id", "mark", "low", "high"])
 
-    exact = map_batches(keyed.join(need, ["id", "mark"]), fetch, fetched_schema).groupBy("bucket").applyInArrow(compare, "id long, mark int, low array<int>, high array<int>")
-    covered = spots.where("size(low) > 0").select("id", "mark", "low", "high").unionByName(exact).groupBy("id", "mark").agg(*flat("low", "high"))
-    out_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
+    exact = map_batches(keyed.select("id", "mark", "text").join(need, ["id", "mark"]), fetch, fetched_schema).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(compare, "id long, mark long, low array<int>, high array<int>")
+    covered = gathered(spots.where("size(low) > 0").select("id", "mark", "low", "high").unionByName(exact), "low", "high")
+    out_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
 
     def remove(batch: pa.RecordBatch) -> dict:
         spans, kept = [], []
@@ -499,7 +535,6 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             spans.append(edge.reshape(-1, 2).tolist())
             kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-        ids = [None if i == NO_ID else i for i in batch.column("id").to_pylist()]
-        return {"doc_id": pa.array(ids, pa.int64()), "text": batch.column("text"), "removed": spans, "kept": pa.array(kept, pa.binary())}
+        return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "removed": spans, "kept": pa.array(kept, pa.binary())}
 
     return map_batches(keyed.join(covered, ["id", "mark"], "left"), remove, out_schema)

@@ -176,10 +176,42 @@ def word_numbers(slab: Slab, words: Words, table: np.ndarray, lower: bool = True
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def strong(rows: np.ndarray, extra: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of a matrix of bytes, and of a number to each: weighted sums that doubles hold exactly."""
+    weights = np.random.default_rng(20240229).integers(1, 1 << 36, (rows.shape[1], 4)).astype(np.float64)
+    if rows.shape[1] > 512:
+        raise ValueError("sums would not be exact")
+    sums = np.empty((len(rows), 4), np.float64)
+    for k in range(0, len(rows), 4096):
+        np.matmul(rows[k : k + 4096].astype(np.float64), weights, out=sums[k : k + 4096])
+    a, b, c, d = sums.astype(np.uint64).T
+    extra = np.asarray(extra).astype(np.uint64)
+    return mix(a + mix(b + mix(extra))), mix(c + mix(d + mix(extra)))
+
+
+#: Words of at most so many bytes are hashed together, longer ones one by one.
+SHORT_WORD = 32
+
+
 def word_digests(distinct: pa.Array) -> np.ndarray:
-    """128 bits of BLAKE2b for each word, as two columns."""
-    own = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in distinct.to_pylist()])
-    return np.frombuffer(own, np.uint64).reshape(-1, 2)
+    """Two 64-bit hashes of each word, as two columns; none depends on the form of the word (see ``strong``)."""
+    n = len(distinct)
+    _, offsets, data = distinct.buffers()
+    offs = np.frombuffer(offsets, np.int64, n + 1, distinct.offset * 8)
+    size = np.diff(offs)
+    out = np.zeros((n, 2), np.uint64)
+    if not n or data is None or not data.size:
+        return out
+    buf = np.concatenate([np.frombuffer(data, np.uint8)[: offs[-1]], np.zeros(SHORT_WORD, np.uint8)])
+    column = np.arange(SHORT_WORD)
+    short = np.flatnonzero(size <= SHORT_WORD)
+    for k in range(0, len(short), 8192):
+        rows = short[k : k + 8192]
+        cells = buf[offs[rows][:, None] + column] * (column < size[rows][:, None])
+        out[rows, 0], out[rows, 1] = strong(cells, size[rows])
+    for k in np.flatnonzero(size > SHORT_WORD).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(buf[offs[k] : offs[k + 1]].tobytes(), digest_size=16).digest(), np.uint64)
+    return out
 
 
 def shingle_hashes(digests: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

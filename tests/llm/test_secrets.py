@@ -52,3 +52,34 @@ def test_tables(spark):
     got = S.scan_secrets(df).collect()
     assert [[tuple(s) for s in r.secrets] for r in got] == [brute(t) for _, t in rows]
     assert S.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_many_spans_in_a_very_long_text_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "é token=abcdef123 " * n + "0123456789abcdef01234567 " * n
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.time()
+        (row,) = S.scan_secrets(df).collect()
+        assert len(row.secrets) == 2 * n and text[row.secrets[-1].start : row.secrets[-1].end] == "0123456789abcdef01234567"
+        return time.time() - begin
+
+    seconds(10)
+    small, large = seconds(60_000), seconds(240_000)
+    assert large < 4 * small * 2.5
+
+
+def test_query_against_backtracking(spark):
+    import hashlib
+
+    from lectern.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    base = ("assign", "access", "hex")
+    line = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in x)
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        x = brute(r.text)
+        want.append((r.doc_id, *(sum(s[0] == k for s in x) for k in base), hashlib.sha256(line([s for s in x if s[0] in base]).encode()).hexdigest(), line(x)))
+    assert sorted(map(tuple, QUERIES["op8_secret_scans"](spark, SMALL).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect())) == sorted(want)

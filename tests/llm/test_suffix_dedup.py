@@ -71,3 +71,55 @@ def test_every_window_has_an_anchor():
 
 def test_empty_table(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_strong_hashes_tell_apart_what_polynomials_confuse():
+    morse = lambda n, swap=0: [97 + (bin(i).count("1") + swap) % 2 for i in range(n)]
+    rows = np.array([morse(256), morse(256, 1), morse(256), [97] * 256], np.uint8)
+    one, two = S.strong(rows, np.array([1, 1, 1, 1]))
+    assert one[0] == one[2] and two[0] == two[2] and len({*one.tolist()}) == len({*two.tolist()}) == 3
+    assert S.strong(rows, np.array([1, 1, 2, 1]))[0][2] != one[0]
+
+
+@pytest.mark.parametrize("ids", ["1L", "CAST(NULL AS LONG)", "id"])
+def test_many_equal_rows(spark, ids):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(2400))
+    df = spark.range(10_000).selectExpr(f"{ids} AS doc_id", f"'{text}' AS text")
+    got = S.repeated_spans(df).selectExpr("size(removed) AS n", "length(kept) AS k", "removed[0] AS span").groupBy("n", "k", "span").count().collect()
+    assert [(r.n, r.k, r.span, r["count"]) for r in got] == [(1, 0, [0, 2400], 10_000)]
+
+
+def test_ids_of_other_types(spark):
+    rng = random.Random(9)
+    shared, own = ("".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(2))
+    rows = [("a", shared + own), ("b", "x" + shared), ("c", own[:100]), (None, shared)]
+    got = {r.doc_id: r.removed for r in S.repeated_spans(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": [[0, 400]], "b": [[1, 401]], "c": [], None: [[0, 400]]}
+
+
+def test_a_common_beginning_is_no_hot_key(spark):
+    rng = random.Random(10)
+    texts = ["x" * 16 + "".join(rng.choice("abcdefghij ") for _ in range(230)) for _ in range(3000)]
+    got = S.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.where("size(removed) > 0").count() == 0
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(11)
+    long_ = rng.integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    rows = [(1, long_), (2, long_[5_000_000:5_000_300]), (3, long_[:250])]
+    got = {r.doc_id: r.removed for r in S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [[0, 250], [5_000_000, 5_000_300]], 2: [[0, 300]], 3: [[0, 250]]}
+
+
+def test_query_against_brute_force(spark):
+    import hashlib
+
+    from lectern.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    want = {r.doc_id: (len((r.text or "").encode()), len(k), hashlib.sha256(k).hexdigest()) for r, k in zip(rows, brute([r.text for r in rows], 200))}
+    got = QUERIES["op9_suffix_dedup"](spark, SMALL).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_bytes - r.n_removed, r.kept_sha256) for r in got} == want and any(r.n_spans for r in got)
