@@ -14,8 +14,9 @@ Within a rule matches are leftmost, longest, and do not overlap; a match that fa
 length is dropped, its characters stay used. This equals backtracking search for rules in which no two
 alternatives can match the same bytes, as all of ``RULES``.
 
-Edge cases: a null or empty text has no spans; repeated rows are scanned alike; an empty table gives an
-empty result. Other columns pass through; the operator's columns replace columns of the same name.
+Edge cases: a null or empty text has no spans; of rules that match at one place each gives its span, in the
+rules' order; repeated rows are scanned alike; a very long text is a slab by itself, so memory follows the
+longest text and time is linear; an empty table gives an empty result. Other columns pass through; the operator's columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import bound_batches, codepoints, map_batches, slabs
+from .textkit import bound_batches, map_batches, slabs
 
 
 #: Bytes of one pass; long lanes need fewer repairs at their starts.
@@ -295,6 +296,7 @@ class Scanner:
         self.rules = rules
         self.forward = Dfa(trees, True)
         self.backward = [Dfa([reverse(t)], False) for t in trees]
+        self.plain = [self._plain(k) for k in range(len(rules))]
 
     def scan(self, slab) -> list[list[tuple[int, int, int]]]:
         """For each text the spans (start, rule, end) in bytes, sorted."""
@@ -315,7 +317,7 @@ class Scanner:
             size = np.diff(cut)
             # a run shorter than the least length cannot end a long enough match unless the match has a head
             own = np.flatnonzero(marks[cut[:-1]] == 1)
-            if not rule.tail and self._plain(k):
+            if not rule.tail and self.plain[k]:
                 own = own[size[own] >= rule.least]
             text = np.searchsorted(slab.offs, cut[own], "right") - 1
             last_text, last_end = -1, 0
@@ -323,12 +325,13 @@ class Scanner:
                 low = int(slab.offs[row])
                 if row != last_text:
                     last_text, last_end = row, low
-                data = slab.buf[max(last_end, low) : e].tobytes()
-                base = max(last_end, low)
-                start = a if self._plain(k) else self.backward[k].longest_back(data, e - base, 0)
-                if start < 0:
-                    continue
-                start += 0 if self._plain(k) else base
+                start = a
+                if not self.plain[k]:
+                    # what was used is never looked at again, so this stays linear in the text
+                    start = self.backward[k].longest_back(slab.buf[last_end:e].tobytes(), e - last_end, 0)
+                    if start < 0:
+                        continue
+                    start += last_end
                 last_end = e
                 length = e - a if rule.tail else e - start
                 if length >= rule.least:
@@ -355,9 +358,15 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...]
             made.append(shared.value)
         out = []
         for slab in slabs(batch.column(text), SCAN_BYTES):
-            for k, spans in enumerate(made[0].scan(slab)):
-                own = slab.buf[slab.offs[k] : slab.offs[k + 1]] if spans else None
-                out.append([{"kind": rules[r].kind, "start": (a2 := codepoints(own[:a])), "end": a2 + codepoints(own[a:e])} for a, r, e in spans])
+            scanned = made[0].scan(slab)
+            # code points before each byte, once a slab
+            chars = np.concatenate([[0], np.cumsum((slab.buf & 0xC0) != 0x80)]) if any(scanned) else None
+            for low, spans in zip(slab.offs.tolist(), scanned):
+                if spans:
+                    begin, kinds, end = (np.array(x) for x in zip(*spans))
+                    begin, end = (chars[low + x] - chars[low] for x in (begin, end))
+                    spans = [{"kind": rules[r].kind, "start": a, "end": e} for r, a, e in zip(kinds.tolist(), begin.tolist(), end.tolist())]
+                out.append(spans)
         return {n: batch.column(n) for n in batch.schema.names} | {"secrets": out}
 
     return map_batches(base, run, schema)
