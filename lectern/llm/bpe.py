@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from .textkit import Slab, arrow_type, bound_batches, lists, map_batches, slabs
 
 CHUNK, OVERLAP = 4096, 256
-SECTION = 4 << 20
+SLAB, SECTION = 1 << 20, 4 << 20
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
 
     def run(batch: pa.RecordBatch) -> dict:
         bpe = Bpe.of(ranks_path, pattern, classes)
-        parts = [reduce(bpe, *bpe.encode_slab(s, chunk, overlap)) for s in slabs(batch.column(text))]
+        parts = [reduce(bpe, *bpe.encode_slab(s, chunk, overlap)) for s in slabs(batch.column(text), SLAB)]
         return {n: batch.column(n) for n in batch.schema.names} | {f.name: gather([p[f.name] for p in parts], arrow_type(f.dataType)) for f in fields}
 
     return map_batches(base, run, schema)

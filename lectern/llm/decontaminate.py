@@ -34,6 +34,7 @@ from .textkit import ALNUM, MIX1, Slab, bound_batches, find_words, map_batches,
 
 ITEM_BYTES = 8 << 20
 BLOCK = 2
+SLAB = 1 << 20
 
 
 def window_sums(numbers: np.ndarray, size: int) -> np.ndarray:
@@ -216,7 +217,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
         def scan(batch: pa.RecordBatch, shared=shared, number=number, more=n > 0) -> dict:
             own, ids = compiled(shared, number, window), shared.value[0]
             counts, spans, found = [], [], []
-            for slab in slabs(batch.column(text)):
+            for slab in slabs(batch.column(text), SLAB):
                 c, s, i = own.scan(slab)
                 counts.append(c)
                 spans += s
