@@ -3,10 +3,11 @@
 A *unit* is a line of any text, the whole text of a licence file (by its base name), or a *window*: as many
 terms as a template has, from the start of a line or sentence on, whatever line breaks and comment marks lie
 between. A window is compared to templates of its length. For those that fit on a line (``ONE_LINE`` terms) it
-counts only if it runs over a line break; within a line, the line is the unit. It must hold the template's
+counts only if it runs over a line break; within a line, the line is the unit. Every unit must hold the template's
 numbers and no word of ``QUALIFIERS`` that the template lacks, as these make it another licence. Terms are runs of ASCII letters and digits, lower-cased, weighted (1 + ln tf) * ln(1 + N / (1 + df)), with document counts
 over all documents; a term of no template weighs as if it occurred in one document. A file's own licence is the
-template of greatest cosine, at least ``least``, over its units; ties go to the smaller name.
+template of greatest cosine (to three digits), at least ``least``, over its units; ties go to the template of
+more terms, then to the smaller name, so of two statements in one text the fuller tells.
 
 Of each template, the commonest terms whose part of the norm stays under ``least`` cannot reach it alone.
 A unit therefore needs one of the other, rarer terms: only lines with one, and windows that reach one, are
@@ -20,7 +21,8 @@ Directories are resolved once each, by a join of their ancestors with the licens
 The templates are this module's: a few dozen short texts, so their terms are a bounded broadcast.
 
 Edge cases: a null or empty text has no units; a null path has no directory and inherits nothing; rows
-that repeat a key are scored together and each returned; an empty table gives an empty result; other columns pass
+that repeat a key, or have none, are told apart by path and text (64-bit hash) and each returned; of a very long
+text only lines and windows near a rare term are taken apart; an empty table gives an empty result; other columns pass
 through, and the operator's columns replace columns of the same name.
 """
 
@@ -35,15 +37,32 @@ from pyspark.sql import functions as F
 
 #: Statements by which the public licences are announced.
 TEMPLATES = (
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0)."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -76,20 +95,30 @@ def idf(n: int, df: int) -> float:
     return math.log(1 + n / (1 + df))
 
 
+def needed(own) -> list[str]:
+    """Terms without which a unit is another licence: the template's numbers."""
+    return sorted({t for t in own if t.isdigit()})
+
+
+def barred(own) -> list[str]:
+    """Terms with which a unit is another licence."""
+    return [t for t in QUALIFIERS if t not in own]
+
+
 class Weights:
     """The templates as weighted unit vectors, and the terms of which a unit needs one."""
 
     def __init__(self, n: int, df: dict[str, int], templates=TEMPLATES, least: float = LEAST):
         self.n, self.idf = n, {t: idf(n, df.get(t, 0)) for _, text in templates for t in terms(text)}
         self.other = idf(n, 1)
-        self.rows: list[tuple[int, str, str, float]] = []
+        self.rows: list[tuple[int, str, str, float, int]] = []
         self.sizes = [len(terms(text)) for _, text in templates]
         self.needed: set[str] = set()
         for k, (name, text) in enumerate(templates):
             own = {t: (1 + math.log(c)) * self.idf[t] for t, c in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
             own = {t: w / norm for t, w in own.items()}
-            self.rows += [(k, name, t, w) for t, w in own.items()]
+            self.rows += [(k, name, t, w, len(terms(text))) for t, w in own.items()]
             common = 0.0
             for t, w in sorted(own.items(), key=lambda x: (x[1], x[0])):
                 common += w * w
@@ -124,13 +153,13 @@ def windows(text: Column, rare: str, most: int) -> tuple[Column, Column, Column]
 
 
 def template_structs(weights: Weights) -> Column:
-    """The templates as one constant: number, length, terms with their parts of the squared norm, and the terms a window needs or must not have."""
+    """The templates as one constant: number, length, terms with their parts of the squared norm, and the terms a unit needs or must not have."""
     out = []
     for k, size in enumerate(weights.sizes):
-        own = {t: w for j, _, t, w in weights.rows if j == k}
+        own = {t: w for j, _, t, w, _ in weights.rows if j == k}
         parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w * w).alias("w")) for t, w in own.items()])
         texts = lambda x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
-        out.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), parts.alias("parts"), texts([t for t in own if t.isdigit()]).alias("needs"), texts([t for t in QUALIFIERS if t not in own]).alias("bars")))
+        out.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), parts.alias("parts"), texts(needed(own)).alias("needs"), texts(barred(own)).alias("bars")))
     return F.array(*out)
 
 
@@ -140,8 +169,9 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     n, df = term_counts(files, text, vocabulary)
     weights = Weights(n, df, templates, least)
-    template_rows = spark.createDataFrame(weights.rows, "template int, licence string, term string, weight double")
-    base = files.drop("own_licence", "similarity", "inherited_licence", "inherited_from", "licence")
+    template_rows = spark.createDataFrame(weights.rows, "template int, licence string, term string, weight double, length int")
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(path, text).alias("h"))
+    base = files.drop("own_licence", "similarity", "inherited_licence", "inherited_from", "licence").withColumn("_key", row)
 
     # units
     name = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
@@ -150,7 +180,7 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(rare))
     lines = F.when(is_file, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
     pieces, at, found = windows(F.col(text), rare, max(weights.sizes, default=1))
-    units = base.where(F.col(text).rlike(rare)).select(F.col(key).alias("_key"), lines.alias("lines"), pieces.alias("pieces")).select("_key", "lines", "pieces", at.alias("at"))
+    units = base.where(F.col(text).rlike(rare)).select("_key", lines.alias("lines"), pieces.alias("pieces")).select("_key", "lines", "pieces", at.alias("at"))
     mark = lambda units, window: F.transform(units, lambda x: F.struct(x.alias("unit"), F.lit(window).alias("window")))
     units = units.select("_key", F.explode_outer(F.concat(mark(F.col("lines"), False), mark(found, True))).alias("u")).select("_key", "u.unit", "u.window").where("unit is not null").distinct()
     # a line is compared to all templates, a window to those it may reach, cut to their lengths
@@ -161,22 +191,26 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     reached = F.filter(template_structs(weights), lambda x: wide(x) & (held(x) >= (least * least) * 0.999))
     units = units.select("_key", "unit", "all", "window", F.explode_outer(F.when(F.col("window"), reached)).alias("x")).where("not window or x is not null")
     units = units.select("_key", "unit", "x", F.when(F.col("window"), F.slice("all", 1, F.col("x.size"))).otherwise(F.col("all")).alias("all"))
-    units = units.where(F.col("x").isNull() | (~F.arrays_overlap("all", "x.bars") & (F.size(F.array_except("x.needs", "all")) == 0))).select("_key", "unit", F.col("x.k").alias("only"), "all")
+    # the templates that a unit may be
+    fits = lambda x: ~F.arrays_overlap("all", x["bars"]) & (F.size(F.array_except(x["needs"], "all")) == 0)
+    allowed = F.transform(F.filter(F.when(F.col("x").isNull(), template_structs(weights)).otherwise(F.array("x")), fits), lambda x: x["k"])
+    units = units.select("_key", "unit", F.col("x.k").alias("only"), "all", allowed.alias("allowed")).where(F.size("allowed") > 0)
     # sparse vectors: distinct terms with their weights, and the norm
     weight_of = F.create_map(*[F.lit(x) for t, w in sorted(weights.idf.items()) for x in (t, w)])
     units = units.withColumn("known", F.array_distinct("all"))
     tf = lambda t: 1 + F.log(F.size(F.filter("all", lambda x: x == t)).cast("double"))
     units = units.withColumn("vector", F.transform("known", lambda t: F.struct(t.alias("term"), (tf(t) * F.coalesce(F.element_at(weight_of, t), F.lit(weights.other))).alias("w"))))
     units = units.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
-    pairs = units.select("_key", "unit", "only", "norm", F.explode("vector").alias("v")).select("_key", "unit", "only", "norm", F.col("v.term").alias("term"), F.col("v.w").alias("w")).join(F.broadcast(template_rows), "term")
-    pairs = pairs.where("only is null or only = template")
-    scored = pairs.groupBy("_key", "unit", "only", "template", "licence").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
+    pairs = units.select("_key", "unit", "only", "allowed", "norm", F.explode("vector").alias("v")).select("_key", "unit", "only", "allowed", "norm", F.col("v.term").alias("term"), F.col("v.w").alias("w")).join(F.broadcast(template_rows), "term")
+    pairs = pairs.where(F.array_contains("allowed", F.col("template")))
+    scored = pairs.groupBy("_key", "unit", "only", "template", "licence", "length").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
     permille = F.round(F.col("cosine") * 1000).cast("long")
-    best = scored.where(F.col("cosine") >= least).groupBy("_key").agg(F.min(F.struct((-permille).alias("s"), "licence")).alias("b")).select("_key", F.col("b.licence").alias("own_licence"), (-F.col("b.s") / 1000).alias("similarity"))
+    best = scored.where(F.col("cosine") >= least).groupBy("_key").agg(F.min(F.struct((-permille).alias("s"), (-F.col("length")).alias("l"), "licence")).alias("b"))
+    best = best.select(F.col("_key").alias("_row"), F.col("b.licence").alias("own_licence"), (-F.col("b.s") / 1000).alias("similarity"))
 
     # inheritance
     slim = base.drop(text).withColumn("_dir", directory(F.col(path))).withColumn("_file", is_file)
-    own = slim.join(best, slim[key].eqNullSafe(best["_key"]), "left").drop("_key")
+    own = slim.join(best, slim["_key"].eqNullSafe(best["_row"]), "left").drop("_key", "_row")
     licensed = own.where(F.col("_file") & F.col("own_licence").isNotNull() & F.col("_dir").isNotNull()).groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "own_licence")).alias("b")).select("_at", F.col("b.own_licence").alias("_dir_licence"))
     dirs = slim.where(F.col("_dir").isNotNull()).select("_dir").distinct()
     parts = F.split("_dir", "/")
@@ -185,6 +219,6 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     out = own.join(nearest, own["_dir"] == nearest["_d"], "left")
     none = F.col("own_licence").isNull()
     return out.select(
-        *[c for c in base.columns if c != text], "own_licence", "similarity",
+        *[c for c in base.columns if c not in (text, "_key")], "own_licence", "similarity",
         F.when(none, F.col("_got")).alias("inherited_licence"), F.when(none, F.col("_from")).alias("inherited_from"), F.coalesce("own_licence", "_got").alias("licence"),
     )

@@ -182,23 +182,30 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 10
 
+SPEAKS = "(?i)licen[sc]e|rights reserved"
+
 
 def op10_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree source/language/thousand; its licence files are short ones that speak of a licence, and licences of any length."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
-    short = (F.col("n_chars") < 400) & F.col("text").rlike("(?i)licen[sc]e|rights reserved")
-    name = F.when(short | licences.is_licence_text(F.col("text")), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    """Documents as files of a tree source/language/thousand.
+
+    The table has no names; texts that speak of a licence once in 400 characters or more, and licences by their legal terms, are taken as licence files.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    speaks = F.col("text").rlike(SPEAKS) & (F.regexp_count("text", F.lit(SPEAKS)) * 400 > F.length("text"))
+    name = F.when(speaks | licences.is_licence_text(F.col("text")), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
     return licences.scan_licences(docs.select("doc_id", path.alias("path"), "text"), key="doc_id")
 
 
 def sql10() -> str:
     """The templates are put in as values."""
-    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licences.TEMPLATES))
+    texts = lambda x: "[" + ", ".join(f"'{t}'" for t in x) + "]::VARCHAR[]"
+    rules = lambda own: f"{len(own)}, {texts(licences.needed(own))}, {texts(licences.barred(own))}"
+    values = ", ".join(f"({k}, '{name}', '{text}', {rules(licences.terms(text))})" for k, (name, text) in enumerate(licences.TEMPLATES))
     split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
     return rf"""
-WITH RECURSIVE t(tid, lic, txt) AS (VALUES {values}), tt AS (SELECT tid, lic, term, count(*) AS tf FROM (SELECT tid, lic, unnest({split("txt")}) AS term FROM t) GROUP BY ALL), v AS (SELECT DISTINCT term FROM tt),
-d AS (SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 1000)::VARCHAR AS dir, n_chars < 400 AND regexp_matches(text, '(?i)licen[sc]e|rights reserved') AS f FROM documents),
+WITH RECURSIVE t(tid, lic, txt, n_terms, needs, bars) AS (VALUES {values}), tt AS (SELECT tid, lic, term, count(*) AS tf FROM (SELECT tid, lic, unnest({split("txt")}) AS term FROM t) GROUP BY ALL), v AS (SELECT DISTINCT term FROM tt),
+d AS (SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 1000)::VARCHAR AS dir, 400 * len(regexp_extract_all(text, '{SPEAKS}')) > length(text) AS f FROM documents),
 n AS (SELECT count(*) AS n FROM d), df AS (SELECT term, count(DISTINCT doc_id) AS k FROM (SELECT doc_id, unnest({split("text")}) AS term FROM d) WHERE term IN (SELECT term FROM v) GROUP BY term),
 idf AS (SELECT v.term, ln(1 + n / (1 + coalesce(k, 0))) AS idf FROM v CROSS JOIN n LEFT JOIN df ON df.term = v.term),
 tw AS (SELECT tid, lic, tt.term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf ON idf.term = tt.term),
@@ -207,7 +214,8 @@ ut AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unne
 uw AS (SELECT doc_id, unit, ut.term, (1 + ln(tf)) * coalesce(idf, ln(1 + n / 2)) AS w FROM ut CROSS JOIN n LEFT JOIN idf ON idf.term = ut.term),
 nn AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
 c AS (SELECT uw.doc_id, uw.unit, tid, lic, sum(uw.w * tw.w) / any_value(norm) AS cosine FROM uw JOIN tw ON tw.term = uw.term JOIN nn ON nn.doc_id = uw.doc_id AND nn.unit = uw.unit GROUP BY uw.doc_id, uw.unit, tid, lic),
-b AS (SELECT doc_id, arg_min(lic, (-round(cosine * 1000)::BIGINT, lic)) AS lic, max(round(cosine * 1000)::BIGINT) AS s FROM c WHERE cosine >= {licences.LEAST} GROUP BY doc_id),
+r AS (SELECT c.*, n_terms FROM c JOIN t USING (tid) WHERE cosine >= {licences.LEAST} AND list_has_all({split("unit")}, needs) AND NOT list_has_any({split("unit")}, bars)),
+b AS (SELECT doc_id, arg_min(r.lic, (-round(cosine * 1000)::BIGINT, -n_terms, r.lic)) AS lic, max(round(cosine * 1000)::BIGINT) AS s FROM r GROUP BY doc_id),
 o AS (SELECT d.doc_id, dir, f, dir || '/' || CASE WHEN f THEN 'LICENSE-' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END AS path, lic, s FROM d LEFT JOIN b USING (doc_id)),
 l AS (SELECT dir AS anc, arg_min(lic, (-s, lic)) AS lic FROM o WHERE f AND lic IS NOT NULL GROUP BY dir),
 a AS (SELECT dir, dir AS anc, 0 AS up FROM (SELECT DISTINCT dir FROM d) UNION ALL SELECT dir, CASE WHEN contains(anc, '/') THEN regexp_replace(anc, '/[^/]*$', '') ELSE '' END, up + 1 FROM a WHERE anc <> ''),

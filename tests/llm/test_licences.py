@@ -19,7 +19,7 @@ def brute(files):
         norm = math.sqrt(sum(w * w for w in v.values())) or 1
         return {t: w / norm for t, w in v.items()}
 
-    templates = [(name, vector(x)) for name, x in L.TEMPLATES]
+    templates = [(name, vector(x), L.terms(x)) for name, x in L.TEMPLATES]
     own = {}
     for k, path, text in files:
         name = (path or "").rsplit("/", 1)[-1]
@@ -27,11 +27,11 @@ def brute(files):
         best = None
         for u in units:
             v = vector(u)
-            for lic, t in templates:
+            for lic, t, words in templates:
                 c = sum(w * t.get(x, 0) for x, w in v.items())
-                if c >= L.LEAST:
-                    best = min(best or (0, "~"), (-math.floor(c * 1000 + 0.5), lic))
-        own[k] = best
+                if c >= L.LEAST and all(x in v for x in words if x.isdigit()) and not any(x in v for x in L.QUALIFIERS if x not in words):
+                    best = min(best or (0, 0, "~"), (-math.floor(c * 1000 + 0.5), -len(words), lic))
+        own[k] = best and (best[0], best[2])
     dirs = {}
     for k, path, _ in files:
         if path is not None and own[k] and re.match(L.LICENCE_FILE, path.rsplit("/", 1)[-1]):
@@ -76,6 +76,10 @@ def test_repeated_keys_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a/x", "All rights reserved."), (1, "a/x", "All rights reserved."), (None, "a/y", "z")], "key long, path string, text string")
     got = L.scan_licences(df, key="key").collect()
     assert sorted([(r.key, r.licence) for r in got], key=repr) == [(1, "proprietary"), (1, "proprietary"), (None, None)]
+    # rows that share a key, or have none, keep their own licences
+    mixed = [(1, "a/x", "All rights reserved."), (1, "b/x", "Released under the MIT License."), (1, "c/x", "plain"), (None, "d/x", "Licensed under CC BY-NC 4.0."), (None, "e/x", None), (None, None, "plain")]
+    got = L.scan_licences(spark.createDataFrame(mixed, "key long, path string, text string"), key="key").collect()
+    assert sorted([(r.key, r.path, r.licence) for r in got], key=repr) == sorted([(1, "a/x", "proprietary"), (1, "b/x", "MIT"), (1, "c/x", None), (None, "d/x", "CC-BY-NC-4.0"), (None, "e/x", None), (None, None, None)], key=repr)
     assert L.scan_licences(df.limit(0), key="key").collect() == []
 
 
@@ -112,6 +116,9 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
 AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
@@ -130,8 +137,18 @@ def test_wrapped_headers_and_whole_licence_files(spark):
         "MIT": [comment("// ", MIT), comment("dnl ", MIT), "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + MIT, "Copyright (c) 2020 A. Person. " + MIT.replace("\n", " "), "Some words.\r\nReleased under\r\nthe MIT License."],
         "BSD-3-Clause": [comment("# ", BSD), "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + BSD, BSD.replace("\n", " ")],
         "GPL-3.0": [comment(" * ", GPL), narrow, "Words of a preamble, and more of them.\n" * 300 + GPL, "# This work is licensed under the GNU\n# General Public License, version 3."],
-        # another version or kind is another licence, which no template announces (a text that is one line or a whole file has no such guard)
-        None: [GPL.replace("version 3", "version 2"), GPL.replace("GNU General", "GNU Lesser General"), "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."],
+        # another version or kind is another licence
+        "GPL-2.0": [GPL.replace("version 3", "version 2"), "This work is licensed under the GNU General Public License, version 2."],
+        "LGPL-3.0": [GPL.replace("GNU General", "GNU Lesser General").replace("program", "library")],
+        "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
+        "AGPL-3.0": [GPL.replace("GNU General", "GNU Affero General")],
+        "BSD-2-Clause": [BSD[: BSD.index("3. Neither")] + BSD[BSD.index("THIS SOFT") :]],
+        "ISC": [ISC, comment("; ", ISC)],
+        "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."],
+        "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+        "CC-BY-SA-3.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+        # which no template announces
+        None: [GPL.replace("version 3", "version 7"), "This work is licensed under a Creative Commons Attribution-ShareAlike 2.0 License.", "the terms of the GNU General Public License as published by others"],
     }
     names = lambda k: ("LICENSE", "x.c") if k else ("x.c",)
     want = {(f"{k}-{j}-{name}", k) for k, texts in cases.items() for j in range(len(texts)) for name in names(k)}
@@ -152,3 +169,9 @@ def test_long_licences_are_licence_files(spark, tmp_path):
         1: ("LICENSE-1", "MIT", None), 2: ("2.txt", None, "MIT"), 1001: ("LICENSE-1001", "BSD-3-Clause", None), 1002: ("1002.txt", None, "BSD-3-Clause"),
         2001: ("2001.txt", "MIT", None), 2002: ("2002.txt", None, None), 3001: ("3001.txt", None, None),
     }
+
+
+def test_very_long_text(spark):
+    text = "Words of a report on roads and rivers, which are many.\n" * 200_000 + "Released under\nthe MIT License.\n"
+    (row,) = L.scan_licences(spark.createDataFrame([(1, "a/x.txt", text)], "key long, path string, text string"), key="key").collect()
+    assert len(text) > 10_000_000 and row.licence == "MIT"
