@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard_join, pii
-from lectern.llm.queries import PII_KEY, judged, table, tokenizer
+from lectern.llm.queries import judged, pii_key, table, tokenizer
 from lectern.llm.shared import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,7 +32,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, addresses and dates become pseudonyms."""
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.pseudonymise(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
