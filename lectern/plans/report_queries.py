@@ -149,7 +149,25 @@ def keep_topk_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.kept_comments(candidates(spark, sf_dir)).select("video_id", "unit_id", "cand_idx", "score", "rank")
 
 
-@query()
+#: The report's blocks as ``numbered``.
+REPORT = LAST + f""", g AS (SELECT video_id, url, comment, count_if(ok) AS n, coalesce(max(score) FILTER (ok), 0) AS best FROM p GROUP BY 1, 2, 3), t AS (SELECT video_id, count(*) AS total FROM c GROUP BY 1),
+h AS (SELECT t.video_id, total, k, round(100.0 * k / total, 1) AS pc FROM t JOIN (SELECT video_id, count_if(n > 0) AS k FROM g GROUP BY 1) USING (video_id)),
+cov AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, best DESC, comment DESC, url) AS i FROM g),
+un AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY unit_id) AS i FROM (SELECT DISTINCT video_id, unit_id, 'title ' || unit_id AS title FROM c)),
+av AS (SELECT video_id, un.unit_id, title, coalesce(a, 0.0) AS a, coalesce(m, 0) AS m FROM un LEFT JOIN (SELECT video_id, unit_id, avg(score) AS a, count(*) AS m FROM c WHERE correlated AND score >= 60 GROUP BY 1, 2) USING (video_id, unit_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY a DESC, title DESC, unit_id DESC) AS d, row_number() OVER (PARTITION BY video_id ORDER BY a, title, unit_id) AS u FROM av),
+kc AS (SELECT *, row_number() OVER (PARTITION BY video_id, unit_id ORDER BY score DESC, cand_idx) AS rank FROM c WHERE correlated AND score >= 60),
+blocks AS (SELECT video_id, 0 AS part, '0' AS pos, 'heading' AS kind, 1 AS level, 'Correlation report: ' || video_id::VARCHAR AS text FROM t
+ UNION ALL SELECT video_id, 1, '0', 'paragraph', 0, 'Pairs checked: ' || total::VARCHAR || '; comments with a match: ' || k::VARCHAR || ' (' || printf('%.1f', pc) || '%)' FROM h
+ UNION ALL SELECT video_id, 2, lpad(i::VARCHAR, 9, '0'), 'bullet', 0, n::VARCHAR || ' units, best ' || best::VARCHAR || ': ' || comment FROM cov
+ UNION ALL SELECT video_id, 3, 'a' || lpad(d::VARCHAR, 9, '0'), 'bullet', 0, 'top ' || d::VARCHAR || ': ' || title || ' ' || printf('%.2f', round(a, 2)) || ' over ' || m::VARCHAR FROM rk WHERE d <= 3
+ UNION ALL SELECT video_id, 3, 'b' || lpad(u::VARCHAR, 9, '0'), 'bullet', 0, 'bottom ' || u::VARCHAR || ': ' || title || ' ' || printf('%.2f', round(a, 2)) || ' over ' || m::VARCHAR FROM rk WHERE u <= 3
+ UNION ALL SELECT video_id, 4, lpad(i::VARCHAR, 9, '0'), 'heading', 2, title FROM un
+ UNION ALL SELECT video_id, 4, lpad(i::VARCHAR, 9, '0') || '/' || lpad(rank::VARCHAR, 9, '0'), 'bullet', 0, '[' || score::VARCHAR || '] ' || comment || ' - ' || reason FROM kc JOIN un USING (video_id, unit_id) WHERE rank <= 5),
+numbered AS (SELECT video_id::VARCHAR AS video_id, row_number() OVER (PARTITION BY video_id ORDER BY part, pos) - 1 AS seq, kind, level, text FROM blocks)"""
+
+
+@query(REPORT + " SELECT video_id, seq::INT AS seq, kind, level::INT AS level, text FROM numbered")
 def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).withColumn("video_id", F.col("video_id").cast("string"))
     units = unit_titles(c).withColumn("pos", F.col("unit_id"))

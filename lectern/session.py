@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,16 +25,23 @@ def session(app: str = "lectern", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A folder of its own in ``spark.checkpoint.dir``, which all executors share; where unset, in the local temporary folder."""
-    import tempfile
-    import uuid
+    """A folder of its own in ``spark.checkpoint.dir``, which all executors share.
 
+    Where unset, as in tests, it is in a local temporary folder that goes when the process ends.
+    """
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if home is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        home = tempfile.mkdtemp(prefix="lectern-")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="lectern-")
+            atexit.register(shutil.rmtree, _LOCAL[app], True)
+        home = _LOCAL[app]
     return f"{home.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
