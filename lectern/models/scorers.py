@@ -8,12 +8,12 @@ expression and stays in the JVM.
 from __future__ import annotations
 
 import hashlib
-import math
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,24 +86,28 @@ def _ask(model: Completion, prompt: str, image: bytes | None, tries: int) -> str
 
 
 def embed(rows: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
-    """Unit vectors of hashed words; the stand-in for a sentence model."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            df[out] = [hashed(t, dims) for t in df[text]]
-            yield df
+    """Unit vectors of hashed words; the stand-in for a sentence model, of which no weights are at hand.
 
-    return rows.mapInPandas(run, schema)
-
-
-def hashed(text: str | None, dims: int) -> list[float]:
-    v = [0.0] * dims
-    for w in re.findall(r"\w+", (text or "").lower()):
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % dims] += 1.0 if h >> 63 else -1.0
-    n = math.sqrt(sum(x * x for x in v))
-    return [x / n for x in v] if n else v
+    Words are cut and hashed by built-in functions (32 bits of MD5: the top one is the sign, the rest the dimension);
+    counting them up is one array operation for a batch.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({X.WORD})"), 1)
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            h = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            v = np.bincount(row * dims + h % dims, np.where(h >> 31 == 1, 1.0, -1.0), len(size) * dims).reshape(-1, dims)
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            flat = pa.array((v / np.where(norm > 0, norm, 1)).astype(np.float32).ravel())
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * dims, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.fieldNames())
+
+    return rows.withColumn("_words", hashed).mapInArrow(run, schema)
 
 
 # --- extraction of topics

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.times import hms
 
-STATE = "struct<at:int,first:double,chars:bigint,ids:array<int>>"
+STATE = "struct<n:int,first:double,chars:bigint,breaks:array<int>>"
 
 
 def chunk_segments(segments: DataFrame, max_seconds: float = 900.0, max_chars: int = 12000) -> DataFrame:
@@ -25,14 +25,15 @@ def chunk_segments(segments: DataFrame, max_seconds: float = 900.0, max_chars: i
 
     def step(a, x):
         line = F.length(x["line"]).cast("bigint")
-        full = (a["at"] >= 0) & ((x["end"] - a["first"] > F.lit(float(max_seconds))) | (a["chars"] + line > F.lit(max_chars)))
-        opens = full | (a["at"] < 0)
-        at = F.when(opens, a["at"] + 1).otherwise(a["at"])
-        return F.struct(at.alias("at"), F.when(opens, x["start"]).otherwise(a["first"]).alias("first"), F.when(opens, line).otherwise(a["chars"] + line).alias("chars"), F.concat(a["ids"], F.array(at)).alias("ids"))
-
-    seed = F.from_json(F.lit('{"at":-1,"first":0.0,"chars":0,"ids":[]}'), STATE)
-    g = g.withColumn("ids", F.aggregate("s", seed, step)["ids"])
-    return g.select("video_id", F.explode(F.arrays_zip("s", "ids")).alias("z")).select("video_id", "z.s.seg_idx", "z.s.start", "z.s.end", "z.s.text", "z.s.line", F.col("z.ids").alias("chunk_index"))
+        opens = (a["n"] == 0) | (x["end"] - a["first"] > F.lit(float(max_seconds))) | (a["chars"] + line > F.lit(max_chars))
+        return F.struct((a["n"] + 1).alias("n"), F.when(opens, x["start"]).otherwise(a["first"]).alias("first"), F.when(opens, line).otherwise(a["chars"] + line).alias("chars"), F.when(opens, F.concat(a["breaks"], F.array(a["n"]))).otherwise(a["breaks"]).alias("breaks"))
+
+    seed = F.from_json(F.lit('{"n":0,"first":0.0,"chars":0,"breaks":[]}'), STATE)
+    g = g.withColumn("breaks", F.aggregate("s", seed, step)["breaks"])
+    # only the chunks' first positions are kept by the fold; each chunk is a slice
+    until = F.coalesce(F.get("breaks", F.col("chunk_index") + 1), F.size("s"))
+    g = g.select("video_id", "s", "breaks", F.posexplode("breaks").alias("chunk_index", "at"))
+    return g.select("video_id", "chunk_index", F.explode(F.slice("s", F.col("at") + 1, until - F.col("at"))).alias("z")).select("video_id", "z.seg_idx", "z.start", "z.end", "z.text", "z.line", "chunk_index")
 
 
 def chunk_texts(chunked: DataFrame) -> DataFrame:

@@ -94,10 +94,10 @@ def coverage_of(ranges: DataFrame, segments: DataFrame, keys: list[str], most: i
 def prefix_lookup(ids: DataFrame, files: DataFrame, compat: bool = True) -> DataFrame:
     """The file of each id: the first whose name begins with it, or with ``compat=False`` whose stem equals it.
 
-    Names are joined by their first 11 characters' prefix of the id's length, so the join has a key.
+    Names are joined by their beginnings of each length that an id has, so the join has a key; the different lengths are a few numbers.
     """
     if not compat:
         return ids.join(files.select(F.col("stem").alias("video_id"), "name"), "video_id", "left").groupBy("video_id").agg(F.min("name").alias("name"))
-    sizes = ids.select(F.length("video_id").alias("n")).distinct()
-    keyed = files.join(F.broadcast(sizes), F.length("name") >= F.col("n")).select(F.expr("substring(name, 1, n)").alias("video_id"), "name")
+    sizes = ids.agg(F.collect_set(F.length("video_id"))).scalar()
+    keyed = files.select("name", F.explode(sizes).alias("n")).where(F.length("name") >= F.col("n")).select(F.expr("substring(name, 1, n)").alias("video_id"), "name")
     return ids.join(keyed, "video_id", "left").groupBy("video_id").agg(F.min("name").alias("name"))

@@ -1,13 +1,16 @@
 """Pairs of units and comments: fallback to all, similarity, top k, resume.
 
-A video's units and comments meet by equality of ``video_id``; the k best of each unit are kept by a
-window whose rank limit Spark pushes below the shuffle.
+A video's units and comments meet by equality of ``video_id``. Vectors are compared in blocks of bounded
+size, of which each gives its k best only, so neither pairs nor texts are carried through the ranking.
+Similarities are compared to six digits, as single-precision vectors hold no more.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot
 
@@ -29,13 +32,18 @@ def pairs(units: DataFrame, comments: DataFrame) -> DataFrame:
     return units.join(comments, "video_id")
 
 
-def top_k(units: DataFrame, comments: DataFrame, k: int = 50, keys: tuple[str, ...] = ("video_id", "unit_id"), a: str = "unit_vec", b: str = "comment_vec") -> DataFrame:
-    """The ``k`` comments of greatest cosine for each unit; ties go to the smaller ``comment_idx``. ``k`` = 0 keeps all pairs."""
-    scored = pairs(units, comments).withColumn("sim", dot(F.col(a), F.col(b)))
+def top_k(units: DataFrame, comments: DataFrame, k: int = 50, keys: tuple[str, ...] = ("video_id", "unit_id"), a: str = "unit_vec", b: str = "comment_vec", idx: str = "comment_idx") -> DataFrame:
+    """The ``k`` comments of greatest cosine for each unit; ties go to the smaller ``idx``. ``k`` = 0 keeps all pairs.
+
+    ``idx`` must tell a video's comments apart, and ``keys`` (``video_id`` first) the units. Only ids and vectors are compared; the other
+    columns are joined to what is found.
+    """
     if not k:
-        return scored.withColumn("rank", F.lit(None).cast("int"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("sim"), "comment_idx")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return pairs(units, comments).withColumn("sim", dot(F.col(a), F.col(b))).withColumn("rank", F.lit(None).cast("int"))
+    unit = F.struct(*keys)
+    found = top_k_of_vectors(units.select("video_id", unit.alias("_unit"), a), comments.select("video_id", idx, F.col(b).alias(a)), k, "_unit", idx, a, "video_id")
+    found = found.select(*[F.col(f"_unit.{c}").alias(c) for c in keys], idx, "sim", "rank")
+    return found.join(units, list(keys)).join(comments, ["video_id", idx])
 
 
 def unfinished(units: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("video_id", "unit_id")) -> DataFrame:
@@ -43,39 +51,48 @@ def unfinished(units: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("v
     return units.join(results.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def top_k_of_vectors(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vec: str, blocks: int = 16) -> DataFrame:
-    """The ``k`` nearest rows of each query of a stated set, against all rows.
+#: Queries and rows of a block.
+QUERIES, ROWS = 512, 8192
+
 
-    Queries are cut into blocks and every row meets each block once: a block is an array of vectors, and a
-    row's scores against it are computed without a row per pair. Partial top k lists are kept by partition.
+def top_k_of_vectors(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vec: str, by: str | None = None, size: tuple[int, int] = (QUERIES, ROWS)) -> DataFrame:
+    """The ``k`` nearest rows of each query of a stated set, against all rows, or all of the same ``by``.
+
+    Queries and rows are cut into blocks of about ``size``, as many as their numbers ask for. A block of either
+    meets each of the other in one task, which returns the k best of each query, never the pairs.
     """
     import numpy as np
     import pyarrow as pa
-
-    found = queries.select(query_id, vec).withColumn("block", F.pmod(F.hash(query_id), F.lit(blocks)))
-    packed = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(vec).cast("array<double>").alias("v")))).alias("qs"))
-    q_type, r_type = queries.schema[query_id].dataType.simpleString(), rows.schema[row_id].dataType.simpleString()
-    out = packed
-    # a block and a part of the rows meet in one task
-    parts = rows.select(row_id, F.col(vec).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.hash(row_id), F.lit(blocks)))
-    left = out.select("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "qs")
-    right = parts.select(row_id, "v", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    import pyarrow.compute  # noqa: F401
+
+    group = F.col(by) if by else F.lit(0)
+    q = queries.select(group.alias("g"), F.col(query_id).alias("q"), F.col(vec).cast("array<double>").alias("v"))
+    r = rows.select(group.alias("g"), F.col(row_id).alias("r"), F.col(vec).cast("array<double>").alias("v"))
+    blocks = lambda n, each: F.ceil(F.col(n) / each).cast("int")
+    counts = q.groupBy("g").agg(F.count(F.lit(1)).alias("nq")).join(r.groupBy("g").agg(F.count(F.lit(1)).alias("nr")), "g").select("g", blocks("nq", size[0]).alias("nq"), blocks("nr", size[1]).alias("nr"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.col(n) - 1).cast("long")))
+    left = q.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("q"), F.col("nq"))).withColumn("part", every("nr")).select("g", "block", "part", "q", "v")
+    right = r.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("r"), F.col("nr"))).withColumn("block", every("nq")).select("g", "block", "part", "r", "v")
+    out = T.StructType([T.StructField("q", q.schema["q"].dataType), T.StructField("r", r.schema["r"].dataType), T.StructField("sim", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
     def score(qs: pa.Table, own: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
         if not qs.num_rows or not own.num_rows:
-            return empty
-        items = qs.column("qs").to_pylist()[0]
-        a = np.array([x["v"] for x in items])
-        order = np.argsort(np.array(own.column(row_id).to_pylist()), kind="stable")
-        ids = np.array(own.column(row_id).to_pylist())[order]
-        b = np.array(own.column("v").to_pylist())[order]
+            return pa.table({f.name: pa.array([], t) for f, t in zip(out.fields, kinds)})
+        own = own.take(pa.compute.sort_indices(own, [("r", "ascending")]))
+        a, b = matrix(qs.column("v")), matrix(own.column("v"))
         sims = np.zeros((len(a), len(b)))
-        for d in range(a.shape[1]):  # summed in the order of the dimensions, as SQL does
+        for d in range(a.shape[1]):  # summed in the order of the dimensions, so that equal rows have equal sums in every block
             sims += a[:, d, None] * b[None, :, d]
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pa.table({"q": np.repeat([x["q"] for x in items], top.shape[1]), "r": ids[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+        top = np.argsort(-np.round(sims, 6), axis=1, kind="stable")[:, :k]
+        of = np.repeat(np.arange(len(a)), top.shape[1])
+        return pa.table({"q": qs.column("q").take(pa.array(of)), "r": own.column("r").take(pa.array(top.ravel())), "sim": np.take_along_axis(sims, top, 1).ravel()})
 
-    scored = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(score, f"q {q_type}, r {r_type}, sim double")
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "r")
+    keys = ("g", "block", "part")
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, out)
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 6)), "r")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "sim", "rank")

@@ -3,7 +3,7 @@
 A kernel cost (RBF, bandwidth by the median distance) over all spans of a video's frames; the optimal
 partition with a penalty by pruned dynamic programming (PELT: Killick, Fearnhead and Eckley 2012), or
 binary segmentation where the number of sections is given. One video is one group: its frames are
-hundreds, and the cost needs them together.
+hundreds, and the cost needs them together (memory grows with the square of the frames).
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ class RbfCost:
     """Cost of a span: its length less the mean of its kernel, from prefix sums."""
 
     def __init__(self, x: np.ndarray):
-        d = np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)
+        # by the Gram matrix: n x n numbers, not n x n x d
+        x = x - x.mean(0)
+        square = (x * x).sum(1)
+        d = np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0)
         off = d[np.triu_indices(len(x), 1)]
         middle = float(np.median(off)) if len(off) else 0.0
         k = np.exp(-np.clip(d / middle if middle else d, 1e-2, 1e2))

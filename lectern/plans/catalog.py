@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, order_queries, report_queries, star_queries, text_queries
+from . import file_queries, model_queries, order_queries, report_queries, star_queries, text_queries
 from .registry import QUERIES, SQL
 
 flagship = report_queries.lexical_correlation
 
-__all__ = ["QUERIES", "SQL", "file_queries", "flagship", "order_queries", "report_queries", "star_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "file_queries", "flagship", "model_queries", "order_queries", "report_queries", "star_queries", "text_queries"]

@@ -157,7 +157,30 @@ def event_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_type").alias("title"), F.lit("").alias("description"), F.array(F.lit("q")).alias("evidence_quotes"), s.alias("start_s"), (s + F.col("value") * 600).alias("end_s"))
 
 
-@query()
+#: Least total cost over all sections whose ends are multiples of 5 (the last one free), by dynamic programming over lists.
+CHANGES = """WITH RECURSIVE x AS (SELECT label::VARCHAR || '/' || (vec_id // 500)::VARCHAR AS video_id, row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT video_id, count(*) AS n FROM x GROUP BY 1),
+d AS (SELECT a.video_id, a.i, b.i AS j, list_sum(list_transform(range(1, len(a.e) + 1), lambda k: (a.e[k] - b.e[k]) * (a.e[k] - b.e[k]))) AS d FROM x a JOIN x b ON a.video_id = b.video_id),
+m AS (SELECT video_id, coalesce(median(d), 0) AS m FROM d WHERE i < j GROUP BY 1), k AS (SELECT d.video_id, i, j, CASE WHEN i = j THEN 1 ELSE exp(-least(greatest(CASE WHEN m > 0 THEN d / m ELSE d END, 0.01), 100)) END AS k FROM d LEFT JOIN m USING (video_id)),
+p AS (SELECT video_id, i, j, sum(r) OVER (PARTITION BY video_id, j ORDER BY i) AS p FROM (SELECT video_id, i, j, sum(k) OVER (PARTITION BY video_id, i ORDER BY j) AS r FROM k)),
+g AS (SELECT video_id, n, e, row_number() OVER (PARTITION BY video_id ORDER BY e) AS q FROM (SELECT video_id, n, unnest(list_append(list_filter(range(0, n, 5), lambda e: e >= 6), n)) AS e FROM n WHERE n >= 12)),
+s AS (SELECT video_id, 0 AS q, 0 AS e FROM n WHERE n >= 12 UNION ALL SELECT video_id, q, e FROM g),
+c AS (SELECT g.video_id, g.q, list(CASE WHEN g.e - s.e >= 6 THEN (g.e - s.e) - (a.p - 2 * coalesce(b.p, 0) + coalesce(c.p, 0)) / (g.e - s.e) + 15 ELSE 1e18 END ORDER BY s.q) AS cost, any_value(g.e) AS e
+ FROM g JOIN s ON s.video_id = g.video_id AND s.q < g.q JOIN p a ON a.video_id = g.video_id AND a.i = g.e - 1 AND a.j = g.e - 1 LEFT JOIN p b ON b.video_id = g.video_id AND b.i = s.e - 1 AND b.j = g.e - 1 LEFT JOIN p c ON c.video_id = g.video_id AND c.i = s.e - 1 AND c.j = s.e - 1 GROUP BY 1, 2),
+w AS (SELECT video_id, 0::BIGINT AS q, [0.0::DOUBLE] AS best, [[0::BIGINT]] AS way FROM s WHERE q = 0
+ UNION ALL SELECT video_id, q + 1, list_append(best, list_min(t)), list_append(way, list_append(way[list_position(t, list_min(t))], e)) FROM (SELECT w.video_id, w.q, best, way, c.e, list_transform(range(1, len(best) + 1), lambda z: best[z] + c.cost[z]) AS t FROM w JOIN c ON c.video_id = w.video_id AND c.q = w.q + 1)),
+f AS (SELECT video_id, arg_max(way[len(way)], q) AS ends FROM w GROUP BY 1 UNION ALL SELECT video_id, [0, n] FROM n WHERE n < 12),
+o AS (SELECT video_id, unnest(range(1, len(ends))) AS z, ends FROM f)
+SELECT video_id, 's' || lpad((z - 1)::VARCHAR, 3, '0') || '_' || ends[z]::VARCHAR || '_' || ends[z + 1]::VARCHAR AS section_id, ends[z]::INT AS start, ends[z + 1]::INT AS "end", (ends[z + 1] - ends[z])::INT AS n_frames FROM o"""
+
+
+@query(CHANGES)
 def sections_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string")).alias("video_id"), F.format_string("frame_%06d.jpg", "vec_id").alias("frame"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("caption"), "embedding")
     return sections.sections(e).select("video_id", "section_id", "start", "end", F.size("frames").alias("n_frames"))
+
+
+@query(CHANGES.replace("+ 15 ELSE", "+ 0.25 ELSE"))
+def sections_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a small penalty, so that videos part into several sections."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat_ws("/", F.col("label").cast("string"), F.floor(F.col("vec_id") / 500).cast("string")).alias("video_id"), F.format_string("frame_%06d.jpg", "vec_id").alias("frame"), F.lit("c").alias("caption"), "embedding")
+    return sections.sections(e, penalty=0.25).select("video_id", "section_id", "start", "end", F.size("frames").alias("n_frames"))

@@ -16,10 +16,14 @@ def correlate(videos: DataFrame, topics: DataFrame, comments: DataFrame, results
     ``topics`` has ``video_id``, ``unit_id``, ``title``, ``description``; ``comments`` ``video_id``, ``comment_idx``, ``comment``, ``url``.
     """
     todo = topics if results is None else retrieval.unfinished(topics, results)
-    available = retrieval.comments_of(videos, comments)
     units = scorers.embed(todo.withColumn("unit_text", X.topic_text(F.col("title"), F.col("description"))), "unit_text", "unit_vec")
-    found = retrieval.top_k(units, scorers.embed(available, "comment", "comment_vec"), k)
-    scored = scorers.score_lexically(found.drop("unit_vec", "comment_vec"), "unit_text", "comment", min_score)
+    # each comment is embedded once, before videos without any get them all; texts are joined to what is found
+    own = scorers.embed(comments, "comment", "comment_vec").withColumn("_at", F.struct("video_id", "comment_idx"))
+    available = retrieval.comments_of(videos, own.select("video_id", "_at", "comment_vec"))
+    found = retrieval.top_k(units.select("video_id", "unit_id", "unit_vec"), available, k, idx="_at")
+    texts = comments.select(F.struct("video_id", "comment_idx").alias("_at"), *[c for c in comments.columns if c != "video_id"])
+    found = found.drop("unit_vec", "comment_vec").join(todo.withColumn("unit_text", X.topic_text(F.col("title"), F.col("description"))), ["video_id", "unit_id"]).join(texts, "_at").drop("_at")
+    scored = scorers.score_lexically(found, "unit_text", "comment", min_score)
     return scored.withColumn("cand_idx", F.col("rank") - 1 if k else F.col("comment_idx"))
 
 

@@ -197,6 +197,15 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("sim", F.round("sim", 6))
 
 
+@query("""WITH e AS (SELECT vec_id, 'v' || label::VARCHAR AS video_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.video_id, a.vec_id AS unit_id, b.vec_id AS comment_idx, round(list_dot_product(a.e, b.e), 6) AS sim FROM e a JOIN e b ON a.video_id = b.video_id)
+SELECT video_id, unit_id, comment_idx, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY sim DESC, comment_idx) AS rank FROM s) WHERE rank <= 5""")
+def topk_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar comments of each unit among those of its video."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), "vec_id", "embedding")
+    found = retrieval.top_k(e.withColumnsRenamed({"vec_id": "unit_id", "embedding": "unit_vec"}), e.withColumnsRenamed({"vec_id": "comment_idx", "embedding": "comment_vec"}), 5)
+    return found.select("video_id", "unit_id", "comment_idx", F.round("sim", 6).alias("sim"), "rank")
+
+
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("unit_id"))
@@ -342,7 +351,27 @@ def lexical_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(checked, "video_id").select("video_id", "item_id", "checked_pairs", "best", "top_docs")
 
 
-@query()
+def vector_sql(text: str) -> str:
+    """The unit vector of a text's hashed words, as ``scorers.embed`` makes it."""
+    h = rf"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: ('0x' || md5(w)[1:8])::BIGINT)"
+    return f"list_transform(range(64), lambda d: list_sum(list_transform(list_filter({h}, lambda x: x % 64 = d), lambda x: CASE WHEN x >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)))"
+
+
+def unit_sql(v: str) -> str:
+    norm = f"sqrt(list_sum(list_transform({v}, lambda x: coalesce(x, 0) * coalesce(x, 0))))"
+    return f"list_transform({v}, lambda x: (coalesce(x, 0) / CASE WHEN {norm} > 0 THEN {norm} ELSE 1 END)::FLOAT::DOUBLE)"
+
+
+RETRIEVED = LEXICAL + rf""", te AS (SELECT video_id, item_id::VARCHAR AS unit_id, {unit_sql("v")} AS e, w FROM (SELECT 'src' || (item_id % 20)::VARCHAR AS video_id, item_id, {vector_sql("regexp_replace(text, '^[\s]+|[\s]+$', '', 'g')")} AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark)),
+ce AS (SELECT video_id, doc_id, {unit_sql("v")} AS e, w FROM (SELECT source AS video_id, doc_id, {vector_sql("text")} AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents)),
+own AS (SELECT video_id, doc_id, video_id AS src FROM ce UNION ALL SELECT t.video_id, doc_id, ce.video_id FROM (SELECT DISTINCT video_id FROM te) t, ce WHERE t.video_id NOT IN (SELECT video_id FROM ce)),
+sm AS (SELECT te.video_id, unit_id, own.src, ce.doc_id, te.w AS tw, ce.w AS cw, round(list_sum(list_transform(range(1, 65), lambda d: te.e[d] * ce.e[d])), 6) AS sim FROM te JOIN own ON own.video_id = te.video_id JOIN ce ON ce.doc_id = own.doc_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, unit_id ORDER BY sim DESC, src, doc_id) AS rank FROM sm),
+sc AS (SELECT *, len(list_intersect(tw, cw)) AS k, len(tw) + len(cw) AS s FROM rk WHERE rank <= 10)
+SELECT video_id, unit_id, doc_id AS comment_idx, floor(100 * CASE WHEN s - k = 0 THEN 0 ELSE k::DOUBLE / (s - k) END)::INT AS score, floor(100 * CASE WHEN s - k = 0 THEN 0 ELSE k::DOUBLE / (s - k) END) >= 60 AS correlated, rank::INT AS rank FROM sc"""
+
+
+@query(RETRIEVED)
 def retrieval_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval by embeddings before scoring: the ten most similar comments of each topic, then words."""
     from . import pipelines

@@ -67,3 +67,94 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not k:
             units.where(F.col("unit_id") > F.lit(middle)).write.mode("append").parquet(f"{home}/in")
     return spark.read.parquet(f"{home}/out")
+
+
+# --- more of Spark's relational algebra
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, sum(l_quantity) AS qty, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def star_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"), F.grouping_id().alias("level"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def star_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, sf_dir, "orders").groupingSets([[status], [priority]], status, priority).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def star_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def star_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 1000000 AS t FROM events), w AS (SELECT event_type, (t // 300) * 300 - 300 * unnest([0, 1]) AS s, t FROM e)
+SELECT event_type, s AS start_s, count(*)::BIGINT AS n FROM w GROUP BY 1, 2""")
+def event_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of ten minutes that begin every five."""
+    w = table(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "10 minutes", "5 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select("event_type", F.unix_timestamp("window.start").alias("start_s"), "n")
+
+
+@query("SELECT o_custkey, sum(o_totalprice::DECIMAL(15, 2))::VARCHAR AS total, (sum(o_totalprice::DECIMAL(15, 2)) * 3)::DECIMAL(38, 2)::VARCHAR AS thrice FROM orders GROUP BY o_custkey")
+def star_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sums of money."""
+    total = F.sum(F.col("o_totalprice").cast("decimal(15,2)"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(total.cast("string").alias("total"), (total * 3).cast("decimal(38,2)").cast("string").alias("thrice"))
+
+
+@query("SELECT user_id, string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id")
+def event_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of counts for each user, read out in the order of its keys."""
+    by = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = by.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return counts.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("SELECT o_orderpriority, approx_count_distinct(o_custkey) > 0 AS counted, abs(count(DISTINCT o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY 1")
+def star_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate distinct counts lie within a tenth of the exact ones."""
+    about, exact = F.approx_count_distinct("o_custkey", 0.02), F.countDistinct("o_custkey")
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((about > 0).alias("counted"), (F.abs(about - exact) <= 0.1 * exact).alias("near"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 > 0 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 100 = 1")
+def table_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with changes (update, delete, insert) applied: the latest change of a key wins, written as a new version."""
+    home = work_dir(spark)
+    c = table(spark, sf_dir, "customer")
+    c.select("c_custkey", F.col("c_mktsegment").alias("segment")).write.parquet(f"{home}/v0")
+    change = lambda rows, seq, op, segment, key="c_custkey": rows.select(F.expr(key).alias("c_custkey"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(segment).alias("new"))
+    changes = change(c.where("c_custkey % 3 = 0"), 1, "update", "early").unionAll(change(c.where("c_custkey % 3 = 0"), 2, "update", "changed")).unionAll(change(c.where("c_custkey % 7 = 0"), 3, "delete", None)).unionAll(change(c.where("c_custkey % 100 = 1"), 1, "insert", "new", "-c_custkey"))
+    latest = changes.groupBy("c_custkey").agg(F.max_by(F.struct("op", "new"), "seq").alias("x")).select("c_custkey", "x.*")
+    merged = spark.read.parquet(f"{home}/v0").join(latest, "c_custkey", "full").where("op IS NULL OR op <> 'delete'")
+    merged.select("c_custkey", F.coalesce("new", "segment").alias("segment")).write.parquet(f"{home}/v1")
+    return spark.read.parquet(f"{home}/v1")
+
+
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) AS t FROM events), m AS (SELECT max(t) AS last FROM e)
+SELECT event_type, (t // 600000000) * 600 AS start_s, count(*)::BIGINT AS n FROM e, m WHERE (t // 600000000 + 1) * 600000000 <= last - 1200000000 GROUP BY 1, 2""")
+def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a stream that its watermark, twenty minutes behind the latest event, has closed; late rows of closed windows are dropped."""
+    out, state = work_dir(spark), work_dir(spark)
+    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    source = work_dir(spark)
+    # a first file with all events in time, then one with copies that come too late
+    last = e.agg(F.max("ts")).first()[0]
+    e.coalesce(1).write.parquet(source)
+    late = e.where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 HOURS"))
+
+    def run() -> None:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", "20 minutes")
+        counts = stream.groupBy(F.window("ts", "10 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        counts.writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    late.coalesce(1).write.mode("append").parquet(source)
+    run()
+    return spark.read.schema("window struct<start:timestamp,end:timestamp>, event_type string, n long").parquet(out).select("event_type", F.unix_timestamp("window.start").alias("start_s"), "n")

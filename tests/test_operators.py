@@ -172,7 +172,7 @@ def test_top_k_of_vectors_against_all_pairs(spark):
     x = rng.normal(size=(60, 8))
     x[5] = x[6]
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
-    got = retrieval.top_k_of_vectors(df.where("id % 10 = 0"), df.withColumnRenamed("id", "r"), 4, "id", "r", "v", blocks=3).collect()
+    got = retrieval.top_k_of_vectors(df.where("id % 10 = 0"), df.withColumnRenamed("id", "r"), 4, "id", "r", "v", size=(3, 7)).collect()
     for q in range(0, 60, 10):
         want = sorted(range(60), key=lambda k: (-sum(a * b for a, b in zip(x[q], x[k])), k))[:4]
         assert [r.r for r in sorted((r for r in got if r.id == q), key=lambda r: r.rank)] == want
