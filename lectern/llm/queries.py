@@ -99,6 +99,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+#: Pairs of equal five-word windows of a text lie on diagonals; runs along them are repeats, and a word's longest repeat is that of the longest run from it.
+SQL3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+p AS (SELECT a.r, a.i, b.i - a.i AS gap FROM g a JOIN g b ON a.r = b.r AND a.gram = b.gram AND a.i < b.i),
+q AS (SELECT r, i, gap, max(i) OVER (PARTITION BY r, gap, run) - i + 5 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, gap ORDER BY i) AS run FROM p)),
+l AS (SELECT r, i, max(n) AS n FROM (SELECT r, i, n FROM q UNION ALL SELECT r, i + gap, n FROM q) GROUP BY r, i),
+m AS (SELECT x.r, x.i, length(word) AS c, coalesce(l.n, 0) AS n, coalesce(lag(l.n) OVER (PARTITION BY x.r ORDER BY x.i), 0) AS before FROM x LEFT JOIN l ON l.r = x.r AND l.i = x.i),
+u AS (SELECT *, max(CASE WHEN n > 0 AND before <= n THEN i + n END) OVER o > i AS covered, max(CASE WHEN n > 0 THEN i + 5 END) OVER o > i AS again FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),
+a AS (SELECT r, sum(c) AS word_chars, count_if(again) AS n_repeat_words, count_if(n > 0 AND before <= n) AS n_maximal_repeats, count_if(covered) AS repeat_covered_words, coalesce(sum(c) FILTER (covered), 0) AS repeat_covered_chars, coalesce(max(n) FILTER (n > 0 AND before <= n), 0) AS longest FROM u GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT s) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY r),
+z AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+ coalesce(n_maximal_repeats, 0)::BIGINT AS n_maximal_repeats, coalesce(repeat_covered_words, 0)::BIGINT AS repeat_covered_words, coalesce(repeat_covered_chars, 0)::BIGINT AS repeat_covered_chars, coalesce(longest, 0)::BIGINT AS longest_repeat_words FROM d LEFT JOIN a USING (r) LEFT JOIN ln USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 5 * repeat_covered_chars <= word_chars AND longest_repeat_words <= 100 AS kept FROM z"""
+
 # --- 4
 
 
@@ -171,6 +187,21 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(found, digest, schema)
 
 
+def sql8() -> str:
+    """The rules are put in as values; a match begins where the pieces and matches before it end."""
+    value = r"[A-Za-z0-9+/_.=-]+"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({quoted(r.kind)}, {k}, {quoted(r.pattern)}, {r.least}, {str(r.tail).lower()}, {quoted(r.pattern.removesuffix(value) + '(' + value + ')')})" for k, r in enumerate(secrets.RULES))
+    line = "string_agg(kind || ':' || a::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY a, k)"
+    return rf"""
+WITH k(kind, k, pat, least, tail, parted) AS (VALUES {rules}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, k.*, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS p FROM d, k),
+s AS (SELECT r, kind, k, least, tail, parted, m[i] AS m, list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+f AS (SELECT r, kind, k, a::BIGINT AS a, (a + length(m))::BIGINT AS e FROM s WHERE length(CASE WHEN tail THEN regexp_extract(m, parted, 2) ELSE m END) >= least),
+g AS (SELECT r, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2, {line} FILTER (k < 3) AS base, {line} AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
 # --- 9
 
 
@@ -180,6 +211,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: All strings of 200 bytes by their digests, in hexadecimal text, cut from blocks so that none is far into a text.
+SQL9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2) AS n FROM documents),
+b AS (SELECT r, n, o, substring(h, 2 * o + 1, 2398) AS s FROM (SELECT r, n, h, unnest(range(0, n - 199, 1000)) AS o FROM d WHERE n >= 200)),
+w AS (SELECT r, o + j AS p, md5(substring(s, 2 * j + 1, 400)) AS k FROM (SELECT r, o, s, unnest(range(0, least(1000, n - 199 - o))) AS j FROM b)),
+a AS (SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT r, p, sum(gap) OVER (PARTITION BY r ORDER BY p) AS island FROM (SELECT r, p, (coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p), 201) > 200)::INT AS gap FROM a)),
+s AS (SELECT r, min(p) AS x, max(p) + 200 AS y FROM i GROUP BY r, island),
+t AS (SELECT s.r, x, y, substring(h, 2 * lag(y, 1, 0) OVER (PARTITION BY s.r ORDER BY x) + 1, 2 * (x - lag(y, 1, 0) OVER (PARTITION BY s.r ORDER BY x))) AS before FROM s JOIN d ON d.r = s.r),
+g AS (SELECT r, sum(y - x) AS gone, count(*) AS n_spans, max(y) AS last, string_agg(before, '' ORDER BY x) AS kept FROM t GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept || substring(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""
+
 # --- 10
 
 SPEAKS = "(?i)licen[sc]e|rights reserved"
@@ -227,4 +270,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans)
 }
 
-SQL: dict[str, str] = {"op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2, "op4_ngram_jaccard_join": SQL4, "op10_licence_scans": sql10()}
+SQL: dict[str, str] = {
+    "op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2, "op3_quality_rules": SQL3, "op4_ngram_jaccard_join": SQL4, "op8_secret_scans": sql8(), "op9_suffix_dedup": SQL9, "op10_licence_scans": sql10(),
+}
