@@ -21,8 +21,7 @@ have equal anchors, so two equal strings of ``least`` bytes share an anchor with
    of a class sends one of them as a mark that makes the class wide, so the merge gets few of it too.
 4. Spans are united for each document.
 
-Hashes of neighbourhoods and strings are sums of the bytes under random weights, exact in 53 bits, four for
-each (``strong``): two different strings agree with a chance of 2**-128 whatever their form.
+Neighbourhoods and strings are hashed by XXH3 to 128 bits, which no repetitive form of a text defeats.
 
 The number of buckets and tasks follows the bytes of text (``tasks_for``), not a setting.
 
@@ -41,6 +40,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -48,9 +48,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise, size_shuffles, tasks_for
-from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs, strong
+from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs
 
 LEAST, GRAM, WINDOW = 200, 16, 128
+SEED = 0x6C656374
 RUN_BYTES = 12 << 20
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
 PAIRED = 12
@@ -110,14 +111,17 @@ def anchors(slab: Slab, prefix: np.ndarray, s: Shape) -> tuple[np.ndarray, np.nd
     return pick, h[pick]
 
 
-def neighbourhoods(slab: Slab, at: np.ndarray, low: np.ndarray, high: np.ndarray, s: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the bytes from ``low`` to ``high`` around each anchor, and of how they lie around it."""
-    wide = np.concatenate([np.zeros(s.before, np.uint8), slab.buf, np.zeros(s.least, np.uint8)])
-    rows = sliding_window_view(wide, s.before + s.least)[at]
-    cut = np.flatnonzero((at - low < s.before) | (high - at < s.least))
-    column = np.arange(s.before + s.least)
-    rows[cut] *= (column >= (s.before - (at - low)[cut])[:, None]) & (column < (s.before + (high - at)[cut])[:, None])
-    return strong(rows, (at - low) * (s.least + 1) + high - at)
+def digests(data: bytes, low: list[int], high: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each of some ranges of bytes, as two columns."""
+    own = b"".join([xxhash.xxh3_128_digest(data[a:b], SEED) for a, b in zip(low, high)])
+    return tuple(np.ascontiguousarray(x) for x in np.frombuffer(own, np.uint64).reshape(-1, 2).T)
+
+
+def neighbourhoods(slab: Slab, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes from ``low`` to ``high`` around each anchor, and of where it lies in them."""
+    before = mix((at - low).astype(np.uint64) + np.uint64(1))
+    one, two = digests(slab.buf.tobytes(), low.tolist(), high.tolist())
+    return mix(one + before), mix(two ^ before)
 
 
 def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, bytes]]:
@@ -311,7 +315,7 @@ def strings_over(data: np.ndarray, pos: np.ndarray, s: Shape) -> tuple[np.ndarra
     np.add.at(mark, np.maximum(pos - s.before, 0), 1)
     np.add.at(mark, np.minimum(pos, len(data) - s.least) + 1, -1)
     start = np.flatnonzero(np.cumsum(mark) > 0)
-    return start.astype(np.int32), *strong(sliding_window_view(data, s.least)[start])
+    return start.astype(np.int32), *digests(data.tobytes(), start.tolist(), (start + s.least).tolist())
 
 
 def collapse(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -457,7 +461,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     begin, end = slab.offs[:-1][row], slab.offs[1:][row]
                     low, high = np.maximum(begin, at - s.before), np.minimum(end, at + s.least)
                     where = range_hash(prefix, at, at + s.key)
-                    held.append((sliding_window_view(slab.buf, s.key)[at], where, *neighbourhoods(slab, at, low, high, s), ids[slab.lo + row], marks[slab.lo + row], (at - begin).astype(np.int32), (low - begin).astype(np.int32), (high - begin).astype(np.int32)))
+                    held.append((sliding_window_view(slab.buf, s.key)[at], where, *neighbourhoods(slab, at, low, high), ids[slab.lo + row], marks[slab.lo + row], (at - begin).astype(np.int32), (low - begin).astype(np.int32), (high - begin).astype(np.int32)))
                 if size >= run_bytes:
                     yield from blobs(held)
                     held, size = [], 0
@@ -474,9 +478,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spots = materialise(keyed.select("id", "mark", "text").mapInArrow(runs, "bucket long, blob binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(merged, SPOTS), "spots")
 
     def gathered(rows: DataFrame, *names: str) -> DataFrame:
-        # the distinct spans, or places, of each document
-        zipped = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(*names)))).alias("z")
-        return rows.groupBy("id", "mark").agg(zipped).select("id", "mark", *[F.col(f"z.{n}").alias(n) for n in names])
+        # of copies each run gives the same few spans, so a document gets no more of them than there are runs
+        return rows.groupBy("id", "mark").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in names])
 
     need = gathered(spots.where("size(pos) > 0"), "pos", "cls")
     fetched_schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("blob", T.BinaryType())])
@@ -516,7 +519,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         ok = l >= 0
         return _rows(ids[ok], mark[ok], low=pos[ok] - l[ok].astype(np.int32), high=pos[ok] + s.key + r[ok].astype(np.int32)).select(["id", "mark", "low", "high"])
 
-    exact = map_batches(keyed.select("id", "mark", "text").join(need, ["id", "mark"]), fetch, fetched_schema).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(compare, "id long, mark long, low array<int>, high array<int>")
+    exact = map_batches(keyed.join(need, ["id", "mark"]), fetch, fetched_schema).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(compare, "id long, mark long, low array<int>, high array<int>")
     covered = gathered(spots.where("size(low) > 0").select("id", "mark", "low", "high").unionByName(exact), "low", "high")
     out_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
 
