@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import discard, materialise
 from .textkit import ALNUM, CODE_LOWER, NONSPACE, Slab, bound_batches, byte_class, find_words, map_batches, mix, range_hash, prefix_hash, slabs
 
 TRAIN_ROWS = 8000
@@ -231,7 +231,9 @@ def site_posteriors(scored: DataFrame, *, least_strength: float = 2.0, most_stre
     by_path = strength(both, "n", "s", F.col("host_rate"))
     out = both.withColumn("path_rate", shrunk(F.col("n"), F.col("s"), F.col("host_rate"), F.lit(by_path)))
     # written, so that its size is known when it is joined: beyond the session's limit it is not broadcast
-    return materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates", paths.count())
+    rates = materialise(out.select("host", "path", F.col("n").alias("path_n"), "host_n", "host_rate", "path_rate", F.lit(rate).alias("global_rate")), "rates", paths.count())
+    discard(paths)
+    return rates
 
 
 OWN = ("path_n", "host_rate", "path_rate", "site_shift", "p_good", "kept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,5 +23,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         took = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         far = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        labels = materialise(took.join(far, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), "labels", n)
-    return labels.select("node", "comp")
+        new = materialise(took.join(far, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") != F.col("old")).alias("moved")), "labels", n)
+        discard(labels)
+        labels = new
+    discard(both)
+    out = labels.select("node", "comp")
+    out._written = labels._written
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import materialise, size_shuffles, tasks_for
+from .shared import discard, materialise, size_shuffles, tasks_for
 from .textkit import ALNUM, bound_batches, find_words, lists, map_batches, mix, shingle_hashes, slabs, word_digests, word_numbers
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 100
@@ -278,6 +278,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     groups = components(verified.where("node <> head"), "node", "head")
     full = classes.select("fp", "rep", "n_copies").join(ties.withColumnRenamed("node", "fp"), "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     full = materialise(full.select("fp", "rep", "n_copies", F.coalesce("comp", "fp").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked", n_docs)
+    discard(classes, members, verified, groups)
     least = full.groupBy("head").agg(F.min("rep").alias("class_id"))
     known = full.join(least, "head").select("fp", F.col("head").alias("group"), F.col("rep").alias("copy_id"), "class_id", "n_copies", "n_links")
     return sig.select("doc_id", "digest", "fp").join(known, "fp", "left").select(
