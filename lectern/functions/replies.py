@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 from .text import clamp, strip, truthy
 
 SCORE = "struct<correlated:boolean,score:int,reason:string>"
+#: The parts of a reply that are tried in turn, and the answer yes with its reason.
+SHORTEST, WIDEST, FENCE, YES = r"\{.*?\}", r"\[.*\]", r"^```(?:json)?\s*|\s*```$", r"^yes[:\-]?\s*(.*)"
 
 
 def score_reply(reply: Column) -> Column:
     """``correlated``, ``score`` (0 to 100) and ``reason`` of a scoring reply."""
     text = F.coalesce(reply, F.lit(""))
-    body = F.regexp_extract(text, r"(?s)\{.*?\}", 0)
+    body = F.regexp_extract(text, "(?s)" + SHORTEST, 0)
     read = F.from_json(body, "correlated string, score string, reason string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "false"})
     raw = F.get_json_object(body, "$.score")
     quoted = F.get_json_object(body, "$.score").isNotNull() & body.rlike(r'"score"\s*:\s*"')
@@ -51,7 +53,7 @@ def sentiment(reply: Column, compat: bool = True) -> Column:
 def embodied(reply: Column) -> Column:
     """Whether "yes" occurs anywhere, and what follows on the line if the reply begins with it (null if not)."""
     low = F.lower(strip(reply))
-    rest = F.regexp_extract(low, r"^yes[:\-]?\s*(.*)", 1)
+    rest = F.regexp_extract(low, YES, 1)
     return F.struct(F.contains(low, F.lit("yes")).alias("is_embodied"), F.when(F.startswith(low, F.lit("yes")), rest).alias("reason"))
 
 
@@ -60,11 +62,11 @@ def embodied(reply: Column) -> Column:
 
 def json_array(text: str) -> list | None:
     """The list in a reply: fences off; the widest ``[...]``; else all ``{...}``; else the whole text. None if no way reads."""
-    body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (text or "").strip(), flags=re.IGNORECASE)
+    body = re.sub(FENCE, "", (text or "").strip(), flags=re.IGNORECASE)
     tries = []
-    if m := re.search(r"\[.*\]", body, re.DOTALL):
+    if m := re.search(WIDEST, body, re.DOTALL):
         tries.append(m[0])
-    if found := re.findall(r"\{.*?\}", body, re.DOTALL):
+    if found := re.findall(SHORTEST, body, re.DOTALL):
         tries.append("[" + ",".join(found) + "]")
     for t in [*tries, body]:
         try:

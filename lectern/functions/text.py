@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits or underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
+#: What names may not hold, and what marks the end of a reply.
+UNSAFE, FINAL = r"[^A-Za-z0-9_-]+", r"(?s)Final Caption:\s*(.*)"
 #: How a model's failures begin.
 MARKS = ("[Error:", "[Error parsing stream:", "[No content received")
 
@@ -70,7 +72,7 @@ def fingerprint(c: Column) -> Column:
 
 
 def safe_name(c: Column, fill: str = "_") -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9_-]+", fill)
+    return F.regexp_replace(c, UNSAFE, fill)
 
 
 def safe_file(c: Column) -> Column:
@@ -114,7 +116,7 @@ def any_keyword(c: Column, words: tuple[str, ...]) -> Column:
 
 def final_caption(c: Column, first: Column) -> Column:
     """What follows ``Final Caption:``, else the first caption."""
-    return F.coalesce(F.nullif(strip(F.regexp_extract(c, r"(?s)Final Caption:\s*(.*)", 1)), F.lit("")), first)
+    return F.coalesce(F.nullif(strip(F.regexp_extract(c, FINAL, 1)), F.lit("")), first)
 
 
 def renamed(c: Column, old: str, new: str) -> Column:

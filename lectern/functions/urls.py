@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The form of addresses and ids, on which results depend.
 WATCH = "https://www.youtube.com/watch?v="
+ADDRESS, TRAILING = r"https?://[^\s)\]>]+", r"""[:.,;!?")\]]+$"""
+ID, ID_HEAD = r"^[A-Za-z0-9_-]{11}$", r"^[A-Za-z0-9_-]{6,}"
+WATCH_LINK = r"(?U)(https://www\.youtube\.com/watch\?v=[\w-]+[&?=+\w]*)"
 
 
 def first_url(c: Column) -> Column:
     """The first address in a text, without trailing punctuation; null if there is none."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(c, r"https?://[^\s)\]>]+", 0), r"""[:.,;!?")\]]+$""", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, ADDRESS, 0), TRAILING, ""), F.lit(""))
 
 
 def host(url: Column) -> Column:
@@ -40,11 +44,11 @@ def video_id(c: Column) -> Column:
 
 def clean_id(c: Column) -> Column:
     """The leading run of at least six id characters, else the text as it is."""
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"^[A-Za-z0-9_-]{6,}", 0), F.lit("")), c)
+    return F.coalesce(F.nullif(F.regexp_extract(c, ID_HEAD, 0), F.lit("")), c)
 
 
 def is_id(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[A-Za-z0-9_-]{11}$"), F.lit(False))
+    return F.coalesce(c.rlike(ID), F.lit(False))
 
 
 def watch_url(video: Column) -> Column:
@@ -64,7 +68,7 @@ def dir_id(p: Column) -> Column:
 
 def links(c: Column) -> Column:
     """All watch links of a text, in order, repeats kept."""
-    return F.regexp_extract_all(c, F.lit(r"(?U)(https://www\.youtube\.com/watch\?v=[\w-]+[&?=+\w]*)"), 1)
+    return F.regexp_extract_all(c, F.lit(WATCH_LINK), 1)
 
 
 def extension(p: Column) -> Column:

@@ -43,6 +43,7 @@ def links(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("doc", "para_no", F.posexplode(urls.links(F.col("text"))).alias("k", "link"))
 
 
+#: How frames are headed in documents.
 FRAME_HEAD = r"(?i)^\s*frame:\s*(.*?)\s*$"
 IMAGE_HEAD = r"^\s*(?:Frame: )?(frame_\d{4}\.jpg)"
 

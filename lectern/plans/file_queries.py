@@ -363,6 +363,31 @@ def topics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- media, by given functions
 
 
+@query(f"WITH {VIDEOS}, f AS (SELECT video_id, unnest(range(0, 100 * (n % 4) + 1, 100)) AS no FROM v) SELECT video_id, 'frame_' || lpad((no // 100)::VARCHAR, 4, '0') || '.jpg' AS frame, 'image ' || no::VARCHAR AS content FROM f")
+def frame_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth decoded frame, written under its new number."""
+    from ..operators import chunks
+
+    home = work_dir(spark)
+    decoded = videos(spark, sf_dir).select("video_id", F.explode(F.sequence(F.lit(0), F.col("n") % 4 * 100, F.lit(50))).alias("frame_no"))
+    decoded = decoded.withColumn("content", F.concat(F.lit("image "), F.col("frame_no").cast("string")).cast("binary"))
+    sinks.write_frames(chunks.sample_frames(decoded), home)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(home)
+    return read.select(urls.dir_id(F.regexp_replace("path", r"/[^/]*$", "")).alias("video_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("frame"), F.col("content").cast("string").alias("content"))
+
+
+@query(f"WITH {VIDEOS} SELECT video_id, CASE WHEN n % 3 = 1 THEN 'same' ELSE 'longer text' END AS content, (SELECT count(*) FROM v WHERE n % 3 <> 1)::BIGINT AS copied FROM v")
+def synced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder brought up to another: files that lack are copied, files of another length replaced."""
+    source, target = work_dir(spark), work_dir(spark)
+    v = videos(spark, sf_dir)
+    sinks.write_named(named(v, "/raw_frames/a.txt", F.when(F.col("n") % 3 == 1, "same").otherwise("longer text")), source)
+    sinks.write_named(named(v.where("n % 3 > 0"), "/raw_frames/a.txt", F.when(F.col("n") % 3 == 1, "same").otherwise("old")), target)
+    copied = sinks.sync_files(spark, source, target)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    return read.select(urls.dir_id(F.regexp_replace("path", r"/[^/]*$", "")).alias("video_id"), F.col("content").cast("string").alias("content"), F.lit(copied).cast("long").alias("copied"))
+
+
 class Describer:
     """Stands for a vision model: tells the size of an image."""
 

@@ -362,7 +362,7 @@ def unit_sql(v: str) -> str:
     return f"list_transform({v}, lambda x: (coalesce(x, 0) / CASE WHEN {norm} > 0 THEN {norm} ELSE 1 END)::FLOAT::DOUBLE)"
 
 
-RETRIEVED = LEXICAL + rf""", te AS (SELECT video_id, item_id::VARCHAR AS unit_id, {unit_sql("v")} AS e, w FROM (SELECT 'src' || (item_id % 20)::VARCHAR AS video_id, item_id, {vector_sql("regexp_replace(text, '^[\s]+|[\s]+$', '', 'g')")} AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark)),
+RETRIEVED = LEXICAL + rf""", te AS (SELECT video_id, item_id::VARCHAR AS unit_id, {unit_sql("v")} AS e, w FROM (SELECT 'src' || (item_id % 20)::VARCHAR AS video_id, item_id, {vector_sql(r"regexp_replace(text, '^[\s]+|[\s]+$', '', 'g')")} AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM benchmark)),
 ce AS (SELECT video_id, doc_id, {unit_sql("v")} AS e, w FROM (SELECT source AS video_id, doc_id, {vector_sql("text")} AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents)),
 own AS (SELECT video_id, doc_id, video_id AS src FROM ce UNION ALL SELECT t.video_id, doc_id, ce.video_id FROM (SELECT DISTINCT video_id FROM te) t, ce WHERE t.video_id NOT IN (SELECT video_id FROM ce)),
 sm AS (SELECT te.video_id, unit_id, own.src, ce.doc_id, te.w AS tw, ce.w AS cw, round(list_sum(list_transform(range(1, 65), lambda d: te.e[d] * ce.e[d])), 6) AS sim FROM te JOIN own ON own.video_id = te.video_id JOIN ce ON ce.doc_id = own.doc_id),

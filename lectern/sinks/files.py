@@ -72,6 +72,20 @@ def write_named(rows: DataFrame, path: str, name: str = "name", content: str = "
     return rows.select(F.col(name), F.col(content).cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def write_frames(frames: DataFrame, path: str) -> int:
+    """Encoded images under ``<video>/raw_frames/frame_NNNN.jpg``; decoding and encoding are the caller's."""
+    name = F.concat("video_id", F.lit("/raw_frames/"), F.format_string("frame_%04d.jpg", "saved_idx"))
+    return write_named(frames.select(name.alias("name"), "content"), path, content="content")
+
+
+def sync_files(spark, source: str, target: str, glob: str = "*") -> int:
+    """Copy the files of a folder that another lacks or holds in another length; folders below are kept. Returns how many."""
+    own = lambda home: spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(home).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "length", "content")
+    below = lambda df, home: df.withColumn("name", F.substring_index("path", re.sub("^file:/+", "/", home.rstrip("/")) + "/", -1))
+    there = below(own(target), target).select("name", "length")
+    return write_named(below(own(source), source).join(there, ["name", "length"], "left_anti").select("name", "content"), target, content="content")
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     """Append records as JSON lines; finished units stay whatever happens later."""
     rows.write.mode("append").json(path)

@@ -38,6 +38,15 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_only_absent_modules_are_left_out(tmp_path, monkeypatch):
+    (tmp_path / "faulty_part").mkdir()
+    (tmp_path / "faulty_part" / "__init__.py").write_text("import no_such_library")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert not entry._present("lectern.nothing.queries") and not entry._present("no_such_module") and entry._present("lectern.plans.catalog")
+    with pytest.raises(ModuleNotFoundError):
+        entry._present("faulty_part.queries")
+
+
 def test_shrunk_topics_against_a_loop(spark, db):
     from tests.test_operators import consolidate
 
