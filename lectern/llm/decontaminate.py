@@ -9,8 +9,8 @@ the hash of the last m words picks a bucket of test strings, and comparison of t
 Words are numbers in the items' vocabulary (a word of no item is number -1, which no pattern holds), so
 comparing numbers is comparing words. All tables are flat arrays: for a block of items of ``ITEM_BYTES``
 bytes of text they take some ten bytes for each byte of text, on the executors only. The driver holds
-one block of texts at a time, and each block is broadcast by itself, so what one task holds does not
-grow with the benchmark.
+one block of texts at a time. Each block is broadcast by itself and searched in a pass of its own, between
+which the table is written, so what one task holds does not grow with the benchmark.
 
 Edge cases: a null or empty text has no words and hits nothing; a null or wordless item has no pattern;
 an item without an id is searched too and is a null, the last, of ``hit_items``; repeated items and equal
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import discard, materialise
 from .textkit import ALNUM, MIX1, Slab, bound_batches, find_words, map_batches, mix, powers, slabs, word_numbers
 
 ITEM_BYTES = 8 << 20
@@ -209,8 +210,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     bound_batches(spark)
     base = docs.drop(*OWN)
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("hit_items", T.ArrayType(items.schema[item_id].dataType))])
-    out = base
+    out, before = base, None
     for n, block in enumerate(item_blocks(items, item_id, item_text, item_bytes)):
+        if n:
+            out, done = materialise(out, "searched"), before
+            before = out
+            if done is not None:
+                discard(done)
         shared = spark.sparkContext.broadcast(block)
         number = shared._jbroadcast.id()
 

@@ -31,7 +31,7 @@ def brute(docs, items, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window,item_bytes", [(10, 1 << 20), (3, 1 << 20), (4, 60)])
+@pytest.mark.parametrize("window,item_bytes", [(10, 1 << 20), (3, 1 << 20), (4, 200)])
 def test_against_brute_force(spark, window, item_bytes):
     rng = random.Random(window)
     vocabulary = ["a", "B", "cé", "the", "x1", "日本", "of"]
