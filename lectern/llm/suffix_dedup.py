@@ -445,7 +445,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(known, F.xxhash64(F.lit(2), text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     n_bytes = keyed.select(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = tasks_for(n_bytes)
-    buckets = 2 * tasks
+    buckets = 8 * tasks  # several for each task, so that tasks are of like size
     size_shuffles(spark, n_bytes)
 
     def runs(batches):
