@@ -28,6 +28,7 @@ through, and the operator's columns replace columns of the same name.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -153,14 +154,15 @@ def windows(text: Column, rare: str, most: int) -> tuple[Column, Column, Column]
 
 
 def template_structs(weights: Weights) -> Column:
-    """The templates as one constant: number, length, terms with their parts of the squared norm, and the terms a unit needs or must not have."""
+    """The templates as one constant: number, length, terms with their parts of the squared norm, and the terms a unit needs or must not have.
+
+    It is read from a text once, when the plan is made; built up of its parts it would be thousands of expressions.
+    """
     out = []
     for k, size in enumerate(weights.sizes):
         own = {t: w for j, _, t, w, _ in weights.rows if j == k}
-        parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w * w).alias("w")) for t, w in own.items()])
-        texts = lambda x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
-        out.append(F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), parts.alias("parts"), texts(needed(own)).alias("needs"), texts(barred(own)).alias("bars")))
-    return F.array(*out)
+        out.append({"k": k, "size": size, "parts": [{"t": t, "w": w * w} for t, w in own.items()], "needs": needed(own), "bars": barred(own)})
+    return F.from_json(F.lit(json.dumps(out)), "array<struct<k:int,size:int,parts:array<struct<t:string,w:double>>,needs:array<string>,bars:array<string>>>")
 
 
 def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
@@ -180,7 +182,8 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(rare))
     lines = F.when(is_file, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
     pieces, at, found = windows(F.col(text), rare, max(weights.sizes, default=1))
-    units = base.where(F.col(text).rlike(rare)).select("_key", lines.alias("lines"), pieces.alias("pieces")).select("_key", "lines", "pieces", at.alias("at"))
+    speaks = F.arrays_overlap(F.split(F.lower(text), SPLIT), F.from_json(F.lit(json.dumps(sorted(weights.needed))), "array<string>"))
+    units = base.where(speaks).select("_key", lines.alias("lines"), pieces.alias("pieces")).select("_key", "lines", "pieces", at.alias("at"))
     mark = lambda units, window: F.transform(units, lambda x: F.struct(x.alias("unit"), F.lit(window).alias("window")))
     units = units.select("_key", F.explode_outer(F.concat(mark(F.col("lines"), False), mark(found, True))).alias("u")).select("_key", "u.unit", "u.window").where("unit is not null").distinct()
     # a line is compared to all templates, a window to those it may reach, cut to their lengths
@@ -196,10 +199,10 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     allowed = F.transform(F.filter(F.when(F.col("x").isNull(), template_structs(weights)).otherwise(F.array("x")), fits), lambda x: x["k"])
     units = units.select("_key", "unit", F.col("x.k").alias("only"), "all", allowed.alias("allowed")).where(F.size("allowed") > 0)
     # sparse vectors: distinct terms with their weights, and the norm
-    weight_of = F.create_map(*[F.lit(x) for t, w in sorted(weights.idf.items()) for x in (t, w)])
+    weight_of = F.from_json(F.lit(json.dumps(weights.idf)), "map<string,double>")
     units = units.withColumn("known", F.array_distinct("all"))
     tf = lambda t: 1 + F.log(F.size(F.filter("all", lambda x: x == t)).cast("double"))
-    units = units.withColumn("vector", F.transform("known", lambda t: F.struct(t.alias("term"), (tf(t) * F.coalesce(F.element_at(weight_of, t), F.lit(weights.other))).alias("w"))))
+    units = units.withColumn("vector", F.transform("known", lambda t: F.struct(t.alias("term"), (tf(t) * F.coalesce(F.try_element_at(weight_of, t), F.lit(weights.other))).alias("w"))))
     units = units.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
     pairs = units.select("_key", "unit", "only", "allowed", "norm", F.explode("vector").alias("v")).select("_key", "unit", "only", "allowed", "norm", F.col("v.term").alias("term"), F.col("v.w").alias("w")).join(F.broadcast(template_rows), "term")
     pairs = pairs.where(F.array_contains("allowed", F.col("template")))
