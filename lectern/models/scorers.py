@@ -88,18 +88,19 @@ def _ask(model: Completion, prompt: str, image: bytes | None, tries: int) -> str
 def embed(rows: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
     """Unit vectors of hashed words; the stand-in for a sentence model, of which no weights are at hand.
 
-    Words are cut and hashed by built-in functions (32 bits of MD5: the top one is the sign, the rest the dimension);
-    counting them up is one array operation for a batch.
+    Words are cut by built-in functions; the distinct words of a batch are hashed (32 bits of MD5: the top one is the
+    sign, the rest the dimension), and counting them up is one array operation.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({X.WORD})"), 1)
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
 
     def run(batches):
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             size = lists.value_lengths().fill_null(0).to_numpy()
-            h = lists.flatten().to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            known = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in coded.dictionary.to_pylist()], np.int64)
+            h = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(size)), size)
             v = np.bincount(row * dims + h % dims, np.where(h >> 31 == 1, 1.0, -1.0), len(size) * dims).reshape(-1, dims)
             norm = np.sqrt((v * v).sum(1, keepdims=True))
@@ -107,7 +108,7 @@ def embed(rows: DataFrame, text: str, out: str = "embedding", dims: int = 64) ->
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * dims, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.fieldNames())
 
-    return rows.withColumn("_words", hashed).mapInArrow(run, schema)
+    return rows.withColumn("_words", words).mapInArrow(run, schema)
 
 
 # --- extraction of topics

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..models import scorers
 from ..operators import chunks, coverage, intervals, metrics, opinions, retrieval
+from ..session import written
 
 
 def correlate(videos: DataFrame, topics: DataFrame, comments: DataFrame, results: DataFrame | None = None, k: int = 50, min_score: int = 60) -> DataFrame:
@@ -16,13 +17,14 @@ def correlate(videos: DataFrame, topics: DataFrame, comments: DataFrame, results
     ``topics`` has ``video_id``, ``unit_id``, ``title``, ``description``; ``comments`` ``video_id``, ``comment_idx``, ``comment``, ``url``.
     """
     todo = topics if results is None else retrieval.unfinished(topics, results)
-    units = scorers.embed(todo.withColumn("unit_text", X.topic_text(F.col("title"), F.col("description"))), "unit_text", "unit_vec")
-    # each comment is embedded once, before videos without any get them all; texts are joined to what is found
-    own = scorers.embed(comments, "comment", "comment_vec").withColumn("_at", F.struct("video_id", "comment_idx"))
-    available = retrieval.comments_of(videos, own.select("video_id", "_at", "comment_vec"))
-    found = retrieval.top_k(units.select("video_id", "unit_id", "unit_vec"), available, k, idx="_at")
+    units = todo.withColumn("unit_text", X.topic_text(F.col("title"), F.col("description")))
+    # each text is embedded once, before videos without comments get them all; texts are joined to what is found
+    unit_vecs = written(scorers.embed(units.select("video_id", "unit_id", "unit_text"), "unit_text", "unit_vec").drop("unit_text"))
+    own = comments.select("video_id", F.struct("video_id", "comment_idx").alias("_at"), "comment")
+    available = retrieval.comments_of(videos, written(scorers.embed(own, "comment", "comment_vec").drop("comment")))
+    found = retrieval.top_k(unit_vecs, available, k, idx="_at")
     texts = comments.select(F.struct("video_id", "comment_idx").alias("_at"), *[c for c in comments.columns if c != "video_id"])
-    found = found.drop("unit_vec", "comment_vec").join(todo.withColumn("unit_text", X.topic_text(F.col("title"), F.col("description"))), ["video_id", "unit_id"]).join(texts, "_at").drop("_at")
+    found = found.drop("unit_vec", "comment_vec").join(units, ["video_id", "unit_id"]).join(texts, "_at").drop("_at")
     scored = scorers.score_lexically(found, "unit_text", "comment", min_score)
     return scored.withColumn("cand_idx", F.col("rank") - 1 if k else F.col("comment_idx"))
 

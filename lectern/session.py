@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +45,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{home.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a work folder, so that what is used more than once is computed once."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package, wherever the driver was started.
 
