@@ -171,7 +171,9 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     n, df = term_counts(files, text, vocabulary)
     weights = Weights(n, df, templates, least)
-    template_rows = spark.createDataFrame(weights.rows, "template int, licence string, term string, weight double, length int")
+    fields = "template", "licence", "term", "weight", "length"
+    rows = F.from_json(F.lit(json.dumps([dict(zip(fields, r)) for r in weights.rows])), "array<struct<template:int,licence:string,term:string,weight:double,length:int>>")
+    template_rows = spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
     row = F.struct(F.col(key).alias("k"), F.xxhash64(path, text).alias("h"))
     base = files.drop("own_licence", "similarity", "inherited_licence", "inherited_from", "licence").withColumn("_key", row)
 
