@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .shared import discard, materialise, size_shuffles, tasks_for
+from .shared import discard, materialise, release, size_shuffles, tasks_for
 from .textkit import ALNUM, bound_batches, find_words, lists, map_batches, mix, shingle_hashes, slabs, word_digests, word_numbers
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 100
@@ -274,6 +274,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets = sets.withColumn("ij", F.explode(F.expr("transform(sequence(0, chunks - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j))")))
     sets = sets.select("node", "buckets", "grams", "home", "chunk", "ij.i", "ij.j", F.when(F.col("chunks") > 1, F.xxhash64("home", "ij.i", "ij.j")).otherwise(F.expr(f"pmod(home, {tasks})")).alias("task"))
     verified = materialise(sets.repartition(tasks, "task").groupBy("task").applyInArrow(lambda t: verify_task(t, threshold), VERIFIED), "verified", n_docs)
+    release(spark)  # texts and sets are compared
     ties = verified.groupBy("node").agg(F.sum("n").alias("n_links"))
     groups = components(verified.where("node <> head"), "node", "head")
     full = classes.select("fp", "rep", "n_copies").join(ties.withColumnRenamed("node", "fp"), "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left")

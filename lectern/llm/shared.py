@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles that only finished steps read: it does once their plans are collected on the driver.
+
+    The first collection only frees what holds the plans, so one must follow.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def tasks_for(n_bytes: int) -> int:
     """Tasks for a shuffle of ``n_bytes``: of 8 MB each at 128 MB, and growing with the fourth root of the input.
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, size_shuffles, tasks_for
+from .shared import materialise, release, size_shuffles, tasks_for
 from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash, range_hash, slabs
 
 LEAST, GRAM, WINDOW = 200, 16, 128
@@ -476,6 +476,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return merge_bucket(key[0].as_py(), table.column("blob").to_pylist(), s)
 
     spots = materialise(keyed.select("id", "mark", "text").mapInArrow(runs, "bucket long, blob binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(merged, SPOTS), "spots")
+    release(spark)  # the runs are merged
 
     def gathered(rows: DataFrame, *names: str) -> DataFrame:
         # of copies each run gives the same few spans, so a document gets no more of them than there are runs
