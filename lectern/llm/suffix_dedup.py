@@ -53,6 +53,8 @@ from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash,
 LEAST, GRAM, WINDOW = 200, 16, 128
 SEED = 0x6C656374
 RUN_BYTES = 12 << 20
+#: Bytes of text from which on the runs' shuffle is worth a second of cleaning.
+RELEASED = 64 << 20
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
 PAIRED = 12
 #: Members of larger classes that are looked at together.
@@ -476,7 +478,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return merge_bucket(key[0].as_py(), table.column("blob").to_pylist(), s)
 
     spots = materialise(keyed.select("id", "mark", "text").mapInArrow(runs, "bucket long, blob binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(merged, SPOTS), "spots")
-    release(spark)  # the runs are merged
+    if n_bytes >= RELEASED:  # the runs are merged
+        release(spark)
 
     def gathered(rows: DataFrame, *names: str) -> DataFrame:
         # of copies each run gives the same few spans, so a document gets no more of them than there are runs
