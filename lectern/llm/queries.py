@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, classifier, decontaminate, jaccard_join, licences, pii, quality_rules, secrets, suffix_dedup
+from . import bpe, chat, classifier, decontaminate, jaccard_join, licences, pii, quality_rules, secrets, simhash, suffix_dedup
 from .shared import materialise
 from .textkit import map_batches
 
@@ -266,8 +266,16 @@ k AS (SELECT a.dir, arg_min(l.anc, up) AS anc, arg_min(l.lic, up) AS lic FROM a
 SELECT doc_id, path, o.lic AS own_licence, s / 1000 AS similarity, CASE WHEN o.lic IS NULL THEN k.lic END AS inherited_licence, CASE WHEN o.lic IS NULL THEN k.anc END AS inherited_from, coalesce(o.lic, k.lic) AS licence FROM o LEFT JOIN k ON k.dir = o.dir"""
 
 
+# --- 12
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans)
+    f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans, op12_simhash_near_dedup)
 }
 
 SQL: dict[str, str] = {
