@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, classifier, decontaminate, jaccard_join, licences, pii, quality_rules, secrets, simhash, suffix_dedup
+from . import bpe, chat, classifier, decontaminate, jaccard_join, lexical, licences, pii, quality_rules, secrets, simhash, spelling, suffix_dedup
 from .shared import materialise
 from .textkit import map_batches
 
@@ -265,6 +265,26 @@ a AS (SELECT dir, dir AS anc, 0 AS up FROM (SELECT DISTINCT dir FROM d) UNION AL
 k AS (SELECT a.dir, arg_min(l.anc, up) AS anc, arg_min(l.lic, up) AS lic FROM a JOIN l ON l.anc = a.anc GROUP BY a.dir)
 SELECT doc_id, path, o.lic AS own_licence, s / 1000 AS similarity, CASE WHEN o.lic IS NULL THEN k.lic END AS inherited_licence, CASE WHEN o.lic IS NULL THEN k.anc END AS inherited_from, coalesce(o.lic, k.lic) AS licence FROM o LEFT JOIN k ON k.dir = o.dir"""
 
+# --- 11
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERMS = r"regexp_extract_all(regexp_replace(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(0), ' ', 'g'), '[^\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format("text")} AS w FROM documents),
+s AS (SELECT count_if(len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({TERMS.format("text")}) AS term FROM benchmark)),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, n_docs),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM i JOIN f USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+y AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50"""
+
 
 # --- 12
 
@@ -274,10 +294,34 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- 13
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The checksum byte by byte, from a table made by its rule; near words share a text with one letter deleted, in one of them or in both.
+SQL13 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+') AS w FROM documents),
+o AS (SELECT doc_id, word, count(*) AS n FROM (SELECT r, doc_id, unnest(w) AS word FROM d) WHERE length(word) >= 6 GROUP BY r, doc_id, word),
+b AS (SELECT o.*, list_transform(range(octet_length(encode(coalesce(doc_id::VARCHAR, '') || ':' || word))), lambda i: ('0x' || substring(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || word)), (2 * i + 1)::BIGINT, 2))::BIGINT) AS y FROM o),
+h AS (SELECT word, n, xor(list_reduce(list_concat([4294967295], y), lambda c, x: xor(c // 256, t[1 + xor(c, x) % 256])), 4294967295) AS h FROM b, crc),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substring(word, 1, h % length(word)) || substring(word, h % length(word) + 2) ELSE word END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS part FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.part = b.part AND a.i = b.i AND a.word <> b.word UNION SELECT v.word, x.word, x.n FROM v JOIN x ON x.part = v.word UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.part = v.word),
+k AS (SELECT v.word, v.n, count(p.b)::BIGINT AS n_near, max(p.n) AS best_n, arg_min(p.b, (-p.n, encode(p.b))) AS best FROM v LEFT JOIN p ON p.a = v.word GROUP BY v.word, v.n),
+f AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM k),
+c AS (SELECT word, word AS head, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.head WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN (SELECT word, arg_max(head, step) AS root FROM c GROUP BY word) USING (word)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans, op12_simhash_near_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_benchmark_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_pii, op6_quality_classifier, op7_byte_level_bpe, op8_secret_scans, op9_suffix_dedup, op10_licence_scans, op11_ranked_search, op12_simhash_near_dedup, op13_spelling_variants)
 }
 
 SQL: dict[str, str] = {
-    "op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2, "op3_quality_rules": SQL3, "op4_ngram_jaccard_join": SQL4, "op8_secret_scans": sql8(), "op9_suffix_dedup": SQL9, "op10_licence_scans": sql10(),
+    "op1_chat_formatting": SQL1, "op2_benchmark_decontamination": SQL2, "op3_quality_rules": SQL3, "op4_ngram_jaccard_join": SQL4, "op8_secret_scans": sql8(), "op9_suffix_dedup": SQL9, "op10_licence_scans": sql10(), "op11_ranked_search": SQL11, "op13_spelling_variants": SQL13,
 }
