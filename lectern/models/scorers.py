@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions import replies, vectors
 from ..functions import text as X
+from ..session import written
+from .ledger import Ledger, call, said
 
 
 class Completion(Protocol):
@@ -53,15 +55,20 @@ def score_by_replay(pairs: DataFrame, recorded: DataFrame, keys: tuple[str, ...]
     return pairs.join(recorded.select(*keys, "correlated", "score", "reason"), list(keys))
 
 
-def score_by_model(pairs: DataFrame, model: Completion, prompt: Column, tries: int = 1) -> DataFrame:
+def score_by_model(pairs: DataFrame, model: Completion, prompt: Column, tries: int = 1, ledger: Ledger | None = None) -> DataFrame:
     """Ask a model for each pair and read its reply. The prompt is a column, so that it is built in the JVM."""
-    asked = complete(pairs.withColumn("_prompt", prompt), model, "_prompt", "_reply", tries)
+    asked = complete(pairs.withColumn("_prompt", prompt), model, "_prompt", "_reply", tries, ledger=ledger)
     r = replies.score_reply(F.col("_reply"))
     return asked.withColumn("_r", r).select(*pairs.columns, "_r.correlated", "_r.score", "_r.reason")
 
 
-def complete(rows: DataFrame, model: Completion, prompt: str, out: str, tries: int = 3, image: str | None = None) -> DataFrame:
-    """Add a model's text. A call that fails ``tries`` times gives an error mark, never an exception."""
+def complete(rows: DataFrame, model: Completion, prompt: str, out: str, tries: int = 3, image: str | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """Add a model's text. A call that fails ``tries`` times gives an error mark, never an exception.
+
+    With a ledger each call is made once, now, and joined from there; without one it is part of the plan and made whenever that runs.
+    """
+    if ledger is not None:
+        return ledger.ask(rows, model, prompt, "_calls", label=f"complete {name_of(model)}", tries=tries, image=image).withColumn(out, said(F.col("_calls"))).drop("_calls")
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,16 +79,18 @@ def complete(rows: DataFrame, model: Completion, prompt: str, out: str, tries: i
     return rows.mapInPandas(run, schema)
 
 
+def name_of(model: Completion) -> str:
+    """What tells a model's calls from another's: its ``name``, else its class and plain settings."""
+    plain = {k: v for k, v in getattr(model, "__dict__", {}).items() if isinstance(v, str | int | float | tuple)}
+    return getattr(model, "name", f"{type(model).__qualname__} {sorted(plain.items())}")
+
+
 def _ask(model: Completion, prompt: str, image: bytes | None, tries: int) -> str:
     error = ""
     for _ in range(max(1, tries)):
-        try:
-            got = model.complete(prompt, image)
-            if got:
-                return got
-            error = "[No content received]"
-        except Exception as e:  # noqa: BLE001 - any failure of a model is a reply
-            error = f"[Error: {e}]"
+        reply, error = call(model, prompt, image)
+        if reply is not None:
+            return reply
     return error
 
 
@@ -120,25 +129,40 @@ HINT = "\nAnswer with a JSON array and nothing else."
 EXTRACTED = T.StructType([T.StructField("parsed", replies.TOPICS["topics"].dataType), T.StructField("attempts", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
-def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries: int = 3, mode: str = "chunk") -> DataFrame:
+def phrase(prompt: str, attempt: int, tries: int) -> str:
+    """The second try on with a hint, the last one with the strict suffix."""
+    return prompt + (STRICT if attempt == tries - 1 else HINT if attempt else "")
+
+
+def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries: int = 3, mode: str = "chunk", ledger: Ledger | None = None) -> DataFrame:
     """Ask for topics until a reply reads: the second try on with a hint, the last one with the strict suffix.
 
-    Adds ``extracted``: topics or null, all attempts, and the error. Attempts stay with a failure.
+    Adds ``extracted``: topics or null, all attempts, and the error. Attempts stay with a failure. With a ledger
+    each prompt and try is asked once, and what is read from the replies can be read again.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("extracted", EXTRACTED)])
-
-    def one(p: str) -> dict:
-        attempts, error = [], None
-        for k in range(max(1, tries)):
-            attempts.append(_ask(model, p + (STRICT if k == tries - 1 else HINT if k else ""), None, 1))
-            topics, error = replies.topics_of(attempts[-1], mode)
-            if topics is not None:
-                return {"parsed": topics, "attempts": attempts, "error": None}
-        return {"parsed": None, "attempts": attempts, "error": error}
+    tries = max(1, tries)
+    reads = lambda reply: replies.topics_of(reply, mode)[0] is not None
+    recorded = ledger is not None
+    if recorded:
+        asked = ledger.ask(rows, model, prompt, "_calls", label=f"topics {mode} {name_of(model)}", tries=tries, phrase=phrase, accept=reads)
+        rows = asked.withColumn("_attempts", F.transform("_calls", lambda x: F.coalesce(x["reply"], x["error"]))).drop("_calls")
+
+    def ask(p: str) -> list[str]:
+        attempts = []
+        for k in range(tries):
+            attempts.append(_ask(model, phrase(p, k, tries), None, 1))
+            if reads(attempts[-1]):
+                break
+        return attempts
+
+    def one(attempts: list[str]) -> dict:
+        topics, error = replies.topics_of(attempts[-1], mode)
+        return {"parsed": topics, "attempts": attempts, "error": error if topics is None else None}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            df["extracted"] = [one(p) for p in df[prompt]]
+            df["extracted"] = [one(list(a)) for a in (df.pop("_attempts") if recorded else map(ask, df[prompt]))]
             yield df
 
     return rows.mapInPandas(run, schema)
@@ -147,11 +171,12 @@ def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries:
 def cascade(units: DataFrame, *stages) -> DataFrame:
     """The first stage that gives topics wins: each runs on what the ones before left without any.
 
-    A stage is (name, function from units to units with ``topics``).
+    A stage is (name, function from units to units with ``topics``). What a stage gives is written before it is used
+    twice, so a stage runs once.
     """
     rest, out = units, None
     for name, stage in stages:
-        got = stage(rest).where(F.size("topics") > 0).withColumn("mode", F.lit(name))
+        got = written(stage(rest).where(F.size("topics") > 0).withColumn("mode", F.lit(name)))
         out = got if out is None else out.unionByName(got, allowMissingColumns=True)
         rest = rest.join(got.select("video_id"), "video_id", "left_anti")
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import replies, text, urls
+from .ledger import Ledger
 from .scorers import Completion, complete
 
 QUESTIONS = {
@@ -26,30 +27,30 @@ QUESTIONS = {
 OTHER = "Name the way of learning that the paragraph shows instead."
 
 
-def ask_opinions(opinions: DataFrame, model: Completion, questions: dict[str, str] | None = None, other: str = OTHER, tries: int = 3) -> DataFrame:
+def ask_opinions(opinions: DataFrame, model: Completion, questions: dict[str, str] | None = None, other: str = OTHER, tries: int = 3, ledger: Ledger | None = None) -> DataFrame:
     """Five replies for each opinion, and a sixth only where it is liked and not embodied."""
     out = opinions
     for name, question in (questions or QUESTIONS).items():
-        out = complete(out.withColumn("_p", F.concat(F.lit(question + "\n\n"), "paragraph")), model, "_p", name, tries).drop("_p")
+        out = complete(out.withColumn("_p", F.concat(F.lit(question + "\n\n"), "paragraph")), model, "_p", name, tries, ledger=ledger).drop("_p")
     wanted = (replies.sentiment(F.col("sentiment_reply")) == "like") & ~replies.embodied(F.col("embodied_reply"))["is_embodied"]
     asked = out.where(F.coalesce(wanted, F.lit(False))).withColumn("_p", F.concat(F.lit(other + "\n\n"), "paragraph"))
     rest = out.where(~F.coalesce(wanted, F.lit(False))).withColumn("other_reply", F.lit(None).cast("string"))
-    return complete(asked, model, "_p", "other_reply", tries).drop("_p").unionByName(rest)
+    return complete(asked, model, "_p", "other_reply", tries, ledger=ledger).drop("_p").unionByName(rest)
 
 
-def merge_captions(pairs: DataFrame, model: Completion, prompt: Column, tries: int = 3) -> DataFrame:
+def merge_captions(pairs: DataFrame, model: Completion, prompt: Column, tries: int = 3, ledger: Ledger | None = None) -> DataFrame:
     """One caption of two: what follows ``Final Caption:`` in the reply, else the first one."""
-    asked = complete(pairs.withColumn("_p", prompt), model, "_p", "_r", tries)
+    asked = complete(pairs.withColumn("_p", prompt), model, "_p", "_r", tries, ledger=ledger)
     return asked.withColumn("caption", text.final_caption(F.col("_r"), F.col("caption_a"))).drop("_p", "_r")
 
 
-def caption_frames(spark: SparkSession, path: str, model: Completion, prompt: str, done: DataFrame | None = None, glob: str = "*.jpg", tries: int = 3) -> DataFrame:
+def caption_frames(spark: SparkSession, path: str, model: Completion, prompt: str, done: DataFrame | None = None, glob: str = "*.jpg", tries: int = 3, ledger: Ledger | None = None) -> DataFrame:
     """Captions of frames that have none yet: ``video_id``, ``frame``, ``caption``."""
     images = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     rows = images.select(urls.dir_id(F.regexp_replace("path", r"/[^/]*$", "")).alias("video_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("frame"), "content")
     if done is not None:
         rows = rows.join(done.select("video_id", "frame").distinct(), ["video_id", "frame"], "left_anti")
-    return complete(rows.withColumn("_p", F.lit(prompt)), model, "_p", "caption", tries, image="content").drop("_p", "content")
+    return complete(rows.withColumn("_p", F.lit(prompt)), model, "_p", "caption", tries, image="content", ledger=ledger).drop("_p", "content")
 
 
 def captions_document(captions: DataFrame) -> DataFrame:

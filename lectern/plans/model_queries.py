@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import replies
 from ..functions import text as X
 from ..models import scorers, tasks
+from ..models.ledger import Ledger, fingerprint, said
 from ..operators import coverage as cov
 from ..operators import intervals, opinions
 from . import report_queries as R
@@ -166,6 +167,51 @@ def topic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.topic_text(title, F.when(F.col("item_id") % 3 != 1, " about ")).alias("text"))
 
 
+# --- the ledger
+
+
+class Reluctant:
+    """Answers by the length of a text: at once, when hinted at, when told strictly, or never."""
+
+    def complete(self, prompt: str, image: bytes | None = None) -> str:
+        strict, hinted = prompt.endswith(scorers.STRICT), prompt.endswith(scorers.HINT)
+        n = len(prompt.removesuffix(scorers.STRICT).removesuffix(scorers.HINT))
+        if n % 4 == 0:
+            raise RuntimeError("no")
+        return f"fine {n}" if n % 4 == 3 or strict or (hinted and n % 4 == 1) else "what?"
+
+
+def ask_reluctantly(ledger: Ledger, docs: DataFrame) -> DataFrame:
+    return ledger.ask(docs, Reluctant(), "text", label="reluctant", tries=3, phrase=scorers.phrase, accept=lambda r: r.startswith("fine"))
+
+
+TRIES = "CASE length(coalesce(text, '')) % 4 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents), t AS (SELECT text, {TRIES} AS tries, unnest(range({TRIES})) AS k FROM p)
+SELECT k::INT AS "try", count(*)::BIGINT AS calls, count(DISTINCT text)::BIGINT AS prompts, count_if(length(text) % 4 > 0 AND k = tries - 1)::BIGINT AS accepted, count_if(length(text) % 4 = 0)::BIGINT AS errors FROM t GROUP BY k""")
+def ledger_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by try: one for each different text, however many documents hold it and however often the result is used."""
+    ledger = Ledger(spark)
+    asked = ask_reluctantly(ledger, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    asked.count(), asked.where("size(calls) = 3").count()
+    calls = ledger.calls().groupBy("try").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("key").alias("prompts"), F.count_if("accepted").alias("accepted"), F.count("error").alias("errors"))
+    return calls.select("try", "calls", "prompts", "accepted", "errors")
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), e AS (SELECT DISTINCT text FROM d WHERE doc_id % 2 = 0)
+SELECT doc_id, CASE WHEN text IN (SELECT text FROM e) THEN 1 ELSE 2 END AS run, {TRIES} AS tries, CASE length(text) % 4 WHEN 0 THEN '[Error: no]' ELSE 'fine ' || length(text)::VARCHAR END AS reply FROM d""")
+def ledger_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the even ids, in commits of 100 calls, and one over all, which asks only what the first did not."""
+    first = Ledger(spark, commit_calls=100)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ask_reluctantly(first, docs.where("doc_id % 2 = 0"))
+    second = Ledger(spark, first.path)
+    asked = ask_reluctantly(second, docs).withColumn("key", fingerprint("reluctant\n3", F.col("text")))
+    runs = second.calls().groupBy("key").agg(F.when(F.max("run") == F.min("run"), F.when(F.max("run") == first.run, 1).otherwise(2)).alias("run"))
+    return asked.join(runs, "key").select("doc_id", "run", F.size("calls").alias("tries"), said(F.col("calls")).alias("reply"))
+
+
 # --- captions, opinions, coverage
 
 

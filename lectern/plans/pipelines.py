@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..models import scorers
+from ..models.ledger import Ledger
 from ..operators import chunks, coverage, intervals, metrics, opinions, retrieval
 from ..session import written
 
@@ -39,13 +40,14 @@ def correlation_summary(topics: DataFrame, candidates: DataFrame, min_score: int
     return coverage.top_units(coverage.unit_ranking(topics, candidates, min_score))
 
 
-def topics_by_chunk(segments: DataFrame, model: scorers.Completion, prompt: str, max_seconds: float = 900.0, max_chars: int = 12000, tries: int = 3) -> DataFrame:
+def topics_by_chunk(segments: DataFrame, model: scorers.Completion, prompt: str, max_seconds: float = 900.0, max_chars: int = 12000, tries: int = 3, ledger: Ledger | None = None) -> DataFrame:
     """Topics of a transcript: chunks, a reply for each, times made absolute, topics consolidated.
 
-    A video of which any chunk fails has no topics; its errors are in ``failures``.
+    A video of which any chunk fails has no topics; its errors are in ``failures``. Calls go through a ledger: a
+    given one is for runs to come, else one of this session, so that each is made once.
     """
     texts = chunks.chunk_texts(chunks.chunk_segments(segments, max_seconds, max_chars))
-    asked = scorers.extract_with_retries(texts.withColumn("prompt", F.concat(F.lit(prompt), F.lit("\n"), "text")), model, "prompt", tries)
+    asked = scorers.extract_with_retries(texts.withColumn("prompt", F.concat(F.lit(prompt), F.lit("\n"), "text")), model, "prompt", tries, ledger=ledger or Ledger(segments.sparkSession))
     bad = failures(asked).select("video_id").distinct()
     rows = asked.join(bad, "video_id", "left_anti").select("video_id", F.col("start").alias("chunk_start"), F.explode("extracted.parsed").alias("t")).select("video_id", "chunk_start", "t.*")
     return intervals.consolidate_topics(intervals.shift_to_absolute(rows))
@@ -55,8 +57,9 @@ def failures(asked: DataFrame) -> DataFrame:
     return asked.where(F.col("extracted.parsed").isNull()).select("video_id", "chunk_index", "extracted.error", "extracted.attempts")
 
 
-def whole_topics(docs: DataFrame, model: scorers.Completion, simple_prompt: str, timed_prompt: str, chunk_prompt: str, segments: DataFrame, budget: int = 80000) -> DataFrame:
-    """The cascade: the whole transcript by numbered lines, then by timestamps, then by chunks."""
+def whole_topics(docs: DataFrame, model: scorers.Completion, simple_prompt: str, timed_prompt: str, chunk_prompt: str, segments: DataFrame, budget: int = 80000, ledger: Ledger | None = None) -> DataFrame:
+    """The cascade: the whole transcript by numbered lines, then by timestamps, then by chunks. Each call is made once."""
+    ledger = ledger or Ledger(docs.sparkSession)
     numbered = chunks.thin_lines(chunks.number_segments(segments), budget, numbered=True)
     timed = chunks.thin_lines(segments.withColumn("line", F.concat(F.col("start").cast("string"), F.lit(" "), "text")), budget)
 
@@ -64,13 +67,13 @@ def whole_topics(docs: DataFrame, model: scorers.Completion, simple_prompt: str,
         def stage(rest: DataFrame) -> DataFrame:
             own = lines.join(rest.select("video_id"), "video_id", "left_semi").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("seg_idx", "line"))).alias("l"))
             text = own.select("video_id", F.concat(F.lit(prompt + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
-            got = scorers.extract_with_retries(text, model, "prompt", mode=mode)
+            got = scorers.extract_with_retries(text, model, "prompt", mode=mode, ledger=ledger)
             return got.select("video_id", F.col("extracted.parsed").alias("topics"))
 
         return stage
 
     def by_chunk(rest: DataFrame) -> DataFrame:
-        found = topics_by_chunk(segments.join(rest.select("video_id"), "video_id", "left_semi"), model, chunk_prompt)
+        found = topics_by_chunk(segments.join(rest.select("video_id"), "video_id", "left_semi"), model, chunk_prompt, ledger=ledger)
         return found.groupBy("video_id").agg(F.collect_list(F.struct("title", "description", "evidence_quotes", "start_s", "end_s", F.lit(None).cast("array<struct<start_idx:int,end_idx:int>>").alias("coverage"))).alias("topics"))
 
     return scorers.cascade(docs.select("video_id"), ("whole_simple", ask(numbered, simple_prompt, "simple")), ("whole_timestamped", ask(timed, timed_prompt, "whole")), ("chunked", by_chunk))

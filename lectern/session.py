@@ -45,11 +45,36 @@ def work_dir(spark: SparkSession) -> str:
     return f"{home.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in a work folder, so that what is used more than once is computed once."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in a work folder, parted by the columns ``by``, so that what is used more than once is computed once."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    home, p = _folder(spark, path)
+    return home.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, in order; none if it is not there."""
+    home, p = _folder(spark, path)
+    return sorted(f.getPath().toString() for f in home.listStatus(p) if f.isDirectory()) if home.exists(p) else []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that no later step reads."""
+    for t in tables:
+        home, p = _folder(t.sparkSession, t._written)
+        home.delete(p, True)
 
 
 def make_importable(spark: SparkSession) -> None:

@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-KEYS = ["video_id", "unit_id"]
-
+from ..session import exists
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+KEYS = ["video_id", "unit_id"]
 
 
 def score_stream(units: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
