@@ -6,6 +6,7 @@ writes into a folder of its own, when it is called, and returns what the sources
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +16,10 @@ from ..functions import urls
 from ..models import tasks
 from ..operators import acquisition as acq
 from ..operators import metrics, opinions
-from ..session import work_dir
+from ..session import exists, work_dir
+from ..sinks import committed, report
 from ..sinks import files as sinks
-from ..sinks import report
-from ..sources import correlations, docx, files, replay
+from ..sources import correlations, docx, files, replay, search
 from . import report_queries as R
 from .registry import query, table
 
@@ -251,10 +252,83 @@ def search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recorded search by pages: each id once, ten for a phrase, titles without commas."""
     home = work_dir(spark)
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("phrase"), F.col("doc_id").alias("page"), F.concat(F.lit("d"), (F.col("doc_id") % 37).cast("string")).alias("video_id"), F.concat(F.lit("page, "), F.col("doc_id").cast("string")).alias("title"))
-    lines = d.agg(F.array_join(F.collect_list(F.to_json(F.struct("*"))), "\n").alias("text")).withColumn("name", F.lit("search.jsonl"))
-    sinks.write_named(lines, home)
+    d.repartition("phrase").write.json(home)
     replay.register(spark)
-    return spark.read.format("replayed_search").option("path", f"{home}/search.jsonl").option("target", "10").load()
+    return spark.read.format("replayed_search").option("path", home).option("target", "10").load()
+
+
+#: Documents as results of a search for their source, language and a digit; 20 a page, three pages at most, 12 ids for a phrase.
+FOUND = """WITH r AS (SELECT concat_ws(' ', source, lang, doc_id % 7) AS phrase, doc_id, 'd' || (doc_id // 2 % 83)::VARCHAR AS video_id FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id) AS k FROM r), f AS (SELECT phrase, video_id, min(doc_id) AS first FROM k WHERE k <= 60 GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY first) - 1 AS seq FROM f)"""
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    """Recorded pages of the documents, and the options of a search for them."""
+    docs = table(spark, sf_dir, "documents").withColumn("phrase", F.concat_ws(" ", "source", "lang", (F.col("doc_id") % 7).cast("string")))
+    rows = docs.select("phrase", F.col("doc_id").alias("position"), F.concat(F.lit("d"), (F.floor(F.col("doc_id") / 2) % 83).cast("string")).alias("video_id"), F.concat(F.lit("found, "), F.col("doc_id").cast("string")).alias("title"))
+    pages = work_dir(spark)
+    search.record(rows, pages, 20)
+    search.register(spark)
+    return rows, {"path": pages, "cache": work_dir(spark), "target": "12", "pages": "3"} | search.prepare(rows, work_dir(spark), 4)
+
+
+@query(FOUND + "SELECT phrase, seq::INT AS seq, video_id, 'found ' || first::VARCHAR AS title FROM s WHERE seq < 12")
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by pages and tokens, read on executors."""
+    _, options = recorded(spark, sf_dir)
+    return spark.read.format("recorded_search").options(**options).load()
+
+
+@query(FOUND + ", p AS (SELECT count(DISTINCT phrase) AS n FROM r) SELECT phrase, seq::INT AS seq, video_id, 'found ' || first::VARCHAR AS title, 3::BIGINT AS runs FROM s WHERE seq < 12")
+def search_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that is stopped and goes on: three runs, each of a third of the calls."""
+    _, options = recorded(spark, sf_dir)
+    out, state = work_dir(spark), work_dir(spark)
+    quota = -(-int(options["n_slices"]) * 3 // 3) * int(options["slice"])
+    for _ in range(3):
+        rows = spark.readStream.format("recorded_search").options(**options, quota=str(quota)).load()
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    runs = folder_count(spark, f"{state}/commits")
+    return spark.read.parquet(out).withColumn("runs", F.lit(runs))
+
+
+def folder_count(spark: SparkSession, path: str) -> int:
+    """Files in a folder, hidden ones left out."""
+    return spark.read.format("binaryFile").load(path).count()
+
+
+@query("SELECT lang || '/' || doc_id::VARCHAR || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS length, sha256(coalesce(text, '')) AS digest, 0::BIGINT AS left_by_failure FROM documents")
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a first job, of which a task fails in the middle, leaves none; the second writes all."""
+    home = work_dir(spark)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "doc_id", "text")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    broken = docs.join(F.broadcast(last)).select("name", F.when(F.col("doc_id") == F.col("last"), F.raise_error(F.lit("fails on purpose")).cast("string")).otherwise(F.col("text")).alias("text"))
+    try:
+        sinks.write_named(broken, home)
+        raise AssertionError("the job should have failed")
+    except PySparkException:
+        left = written_files(spark, home).count() if exists(spark, home) else 0
+    sinks.write_named(docs, home)
+    return written_files(spark, home).select(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("name"), "length", F.sha2("content", 256).alias("digest"), F.lit(left).alias("left_by_failure"))
+
+
+def written_files(spark: SparkSession, home: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(home)
+
+
+@query("SELECT source || '-' || (doc_id % 2)::VARCHAR || '.txt' AS name, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL")
+def overwritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of ids by source and parity, and then those of the even ids in their place."""
+    home = work_dir(spark)
+    committed.register(spark)
+    d = table(spark, sf_dir, "documents")
+    for rows in (d, d.where("doc_id % 2 = 0")):
+        name = F.concat_ws("-", "source", F.concat((F.col("doc_id") % 2).cast("string"), F.lit(".txt")))
+        files_of = rows.groupBy(name.alias("name")).agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").cast("binary").alias("content"))
+        files_of.write.format("named_files").option("path", home).mode("overwrite").save()
+    return written_files(spark, home).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("ids"))
 
 
 @query("SELECT n_nationkey::INT AS seq, 'https://youtu.be/v' || n_nationkey::VARCHAR AS url, n_name || ' and more' AS title, r_name AS category, CASE WHEN n_nationkey % 2 = 0 THEN 'yes' ELSE 'no' END AS relevant FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import hms, srt
+from . import committed
 
 
 def ordered_lines(segments: DataFrame, line: Column, glue: str = "\n", key: str = "video_id", order: str = "seg_idx") -> DataFrame:
@@ -52,24 +54,12 @@ def write_texts(rows: DataFrame, path: str, key: str = "video_id") -> None:
 def write_named(rows: DataFrame, path: str, name: str = "name", content: str = "text") -> int:
     """A file for each row, under its own name (which may have folders); null is an empty file. Returns how many.
 
-    Files are written where the rows are, so nothing passes the driver; a task that runs again writes the same names.
+    Files are written where the rows are, so no content passes the driver, and appear when all are written (``committed``).
     """
-    home = re.sub("^file:/+", "/", path.rstrip("/"))
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        target, base = fs.FileSystem.from_uri(home)
-        for batch in batches:
-            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                where = f"{base}/{own}"
-                target.create_dir(where.rsplit("/", 1)[0], recursive=True)
-                with target.open_output_stream(where) as f:
-                    f.write(data or b"")
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    return rows.select(F.col(name), F.col(content).cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    job = uuid.uuid4().hex
+    committed.register(rows.sparkSession)
+    rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).write.format("named_files").option("path", path).option("job", job).mode("append").save()
+    return committed.receipt(path, job)["files"]
 
 
 def write_frames(frames: DataFrame, path: str) -> int:
