@@ -94,10 +94,17 @@ def test_a_killed_worker_is_tried_again(tmp_path):
                             os._exit(1)
                         yield batch.slice(3)
                 return super().write(some())
-        committed.NamedFiles.writer = lambda self, schema, overwrite: Dying(self.options["path"], self.options["job"], overwrite)
+        class DyingFiles(committed.NamedFiles):
+            @classmethod
+            def name(cls):
+                return "dying_files"
+            def writer(self, schema, overwrite):
+                return Dying(self.options["path"], self.options["job"], overwrite)
         spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
-        n = files.write_named(spark.range(0, 40, 1, 2).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("text")), {str(tmp_path / "out")!r})
-        print(json.dumps(n))
+        spark.dataSource.register(DyingFiles)
+        rows = spark.range(0, 40, 1, 2).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+        rows.write.format("dying_files").option("path", {str(tmp_path / "out")!r}).option("job", "j").mode("append").save()
+        print(json.dumps(committed.receipt({str(tmp_path / "out")!r}, "j")["files"]))
     """)
     env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, env=env)
