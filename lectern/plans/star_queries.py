@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from ..streaming import incremental
+from ..streaming import incremental, paced
 from .registry import query, table
 
 
@@ -158,3 +158,42 @@ def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     late.coalesce(1).write.mode("append").parquet(source)
     run()
     return spark.read.schema("window struct<start:timestamp,end:timestamp>, event_type string, n long").parquet(out).select("event_type", F.unix_timestamp("window.start").alias("start_s"), "n")
+
+
+#: Requests of events by user; what the first and the second attempt come to, by rules of the id. Times in milliseconds.
+ATTEMPTS = """WITH e AS (SELECT user_id AS worker, event_id, 'u' || event_id::VARCHAR AS url, event_id % 250000 AS ms FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ms, url) - 1 AS seq, min(ms) OVER (PARTITION BY worker) AS t0 FROM e),
+a AS (SELECT *, seq // 15 + 1 AS batch, t0 + (seq // 15 + 1) * 300000 AS since, max(seq // 15 + 1) OVER (PARTITION BY worker) AS last FROM r WHERE seq < 40),
+b AS (SELECT *, event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 3 > 0 AS ok FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) - 1 AS again FROM b WHERE NOT ok),
+d AS (SELECT *, last + again // 15 + 1 AS batch2, t0 + (last + again // 15 + 1) * 300000 AS since2 FROM c)"""
+
+
+@query(
+    ATTEMPTS
+    + """ SELECT worker, url, 'refused' AS event, 0 AS pass, 0 AS batch, ms AS at_ms FROM r WHERE seq >= 40 UNION ALL SELECT worker, url, 'downloaded', 1, batch::INT, since + 60000 + event_id % 1000 FROM b WHERE ok
+UNION ALL SELECT worker, url, CASE WHEN event_id % 2 = 0 THEN 'downloaded' ELSE 'failed' END, 2, batch2::INT, since2 + CASE WHEN event_id % 4 = 3 THEN 300000 ELSE 30000 END FROM d"""
+)
+def paced_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 15 with pauses, 40 for a user, and a second pass, by timers of a stream that stops three times; outcomes come late, twice or never."""
+    base, home, out, state = 1_700_000_000_000, work_dir(spark), work_dir(spark), work_dir(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), "event_id", F.concat(F.lit("u"), "event_id").alias("url"), (F.col("event_id") % 250000).alias("ms"))
+    by = Window.partitionBy("worker")
+    first = e.withColumn("seq", F.row_number().over(by.orderBy("ms", "url")) - 1).where("seq < 40")
+    first = first.withColumn("t0", F.min("ms").over(by)).withColumn("batch", F.floor(F.col("seq") / 15) + 1).withColumn("last", F.max("batch").over(by)).withColumn("since", F.expr("t0 + batch * 300000"))
+    told = first.where("event_id % 7 > 0 AND (event_id % 11 > 0 OR batch < last)").withColumn("at", F.when(F.col("event_id") % 11 == 0, F.col("since") + 300_001).otherwise(F.col("since") + 60_000 + F.col("event_id") % 1000)).withColumn("ok", F.col("event_id") % 3 > 0)
+    twice = told.where("event_id % 5 = 0 AND event_id % 11 > 0").withColumn("at", F.col("at") + 1000).withColumn("ok", ~F.col("ok"))
+    second = first.where("NOT (event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 3 > 0)").withColumn("again", F.row_number().over(by.orderBy("seq")) - 1).withColumn("since2", F.expr("t0 + (last + floor(again / 15) + 1) * 300000"))
+    row = lambda df, at, kind, ok: df.select("worker", F.timestamp_millis(F.lit(base) + F.expr(at)).alias("ts"), F.lit(kind).alias("kind"), "url", ok.alias("ok"))
+    none = F.lit(None).cast("boolean")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("worker"), F.lit(None).cast("string").alias("url"))
+    steps = [row(e, "ms", "request", none), row(told, "at", "outcome", F.col("ok")).unionAll(row(twice, "at", "outcome", F.col("ok"))), row(second.where("event_id % 4 < 3"), "since2 + 30000", "outcome", F.col("event_id") % 2 == 0), row(end, "864000000", "tick", none)]
+    schema = steps[0].schema
+    for step in steps:
+        step.write.mode("append").parquet(home)
+        with paced.with_timers(spark):
+            stream = paced.pace(spark.readStream.schema(schema).parquet(home), paced.Pace(15, 300, 40, 300), "1 hour")
+            running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        running.awaitTermination()
+    ended = spark.read.schema(paced.EVENTS).parquet(out).where("event <> 'start'")
+    return ended.select("worker", "url", "event", "pass", "batch", (F.unix_millis("at") - base).alias("at_ms"))
