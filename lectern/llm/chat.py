@@ -12,8 +12,8 @@ so no text can contain a control string. ``read_back`` parses its output.
 
 Edge cases: a null text or role counts as empty; rows of one turn number are ordered by role and text
 and all kept; a null conversation id is a conversation; repeated rows are turns of their own; a conversation
-is one row in one task, and as a black box is rendered for each prefix, its cost grows with the square of
-its length; an empty table gives an empty result; other columns are ignored.
+is one row in one task, and as a black box is rendered three times for each prefix, its cost grows with the square of
+its length (5,000 turns of 1 MB: README); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,13 +60,22 @@ def _marked(turn: Turn) -> str:
     return f"<<{escape(role)}>>{body}<</>>"
 
 
-#: Turns marked lately: a conversation's turns are rendered again for every prefix.
-_lately = lru_cache(maxsize=2048)(_marked)
+class _Marked(dict):
+    """Turns as marked, each once; a conversation's turns are rendered again for every prefix."""
 
+    def __missing__(self, turn: Turn) -> str:
+        self[turn] = out = _marked(turn)
+        return out
 
-def template(turns: list[Turn]) -> str:
+
+def template(turns: list[Turn], marked: dict[Turn, str] | None = None) -> str:
     """Users between [INST] and [/INST], the assistant up to </s>, all other roles named in << >>."""
-    return "".join([_lately(t) if len(t[1]) < 4096 else _marked(t) for t in turns])
+    marked = _Marked() if marked is None else marked
+    return "".join([marked[t] for t in turns])
+
+
+#: A template may have ``of_conversation``, which gives it anew with a memory for one conversation.
+template.of_conversation = lambda: partial(template, marked=_Marked())
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -113,6 +122,7 @@ def common(a: str, b: str, known: int = 0) -> int:
 
 def render(turns: list[Turn], make: Template = template) -> Rendered:
     """Render successive prefixes and locate every turn and its text."""
+    make = getattr(make, "of_conversation", lambda: make)()
     out = Rendered("")
     last = ""
     for k, (role, _) in enumerate(turns):

@@ -76,3 +76,16 @@ def test_long_conversations_and_texts():
     long_ = "</s>[INST] " * 1_000_000
     r = chat.render([("user", long_), ("assistant", long_)])
     assert [chat.unescape(r.formatted[a:b]) for a, b in r.texts] == [long_, long_]
+
+
+def test_many_turns():
+    """5,000 turns of 1 MB: three renderings a prefix, each turn marked once."""
+    import time
+
+    turns = [(("user", "assistant")[k % 2], f"{k} " + "word <b> " * 22) for k in range(5000)]
+    begin = time.process_time()
+    r = chat.render(turns)
+    took = time.process_time() - begin
+    assert chat.read_back(r.formatted) == turns and not r.rewrites
+    assert all(chat.unescape(r.formatted[a:b]) == t for (_, t), (a, b) in zip(turns, r.texts))
+    assert took < 15, took
