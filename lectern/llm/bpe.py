@@ -39,8 +39,10 @@ from .textkit import Slab, arrow_type, bound_batches, lists, map_batches, slabs
 
 CHUNK, OVERLAP = 4096, 256
 SLAB, SECTION = 1 << 20, 4 << 20
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Bytes that the pieces a worker remembers, and their ids, may take; longer pieces than ``LONG`` bytes are not remembered.
+REMEMBERED, LONG = 64 << 20, 1024
+#: Bytes that a remembered piece takes besides its letters and ids.
+ENTRY = 150
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -156,7 +158,7 @@ class Bpe:
 
     def _forget(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.flat, self.first = array("i"), array("q", [0])
+        self.flat, self.first, self.held = array("i"), array("q", [0]), 0
 
     @classmethod
     def of(cls, path: str, pattern: str, classes: bytes | None = None) -> Bpe:
@@ -269,17 +271,30 @@ class Bpe:
         """Ids of bytes whose pre-tokens end at the given places, and how many each has; equal pieces are encoded once."""
         bounds = np.concatenate([[0], end]).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
-        if len(self.slot) > REMEMBERED:
+        if self.held > REMEMBERED:
             self._forget()
-        slot, slots = self.slot, []
-        for piece in pieces.dictionary.to_pylist():
+        slot, slots, long = self.slot, [], []
+        for k, piece in enumerate(pieces.dictionary.to_pylist()):
             s = slot.get(piece)
             if s is None:
-                s = slot[piece] = len(self.first) - 1
-                self.flat.extend(self.merge(piece))
-                self.first.append(len(self.flat))
+                if len(piece) > LONG:
+                    long.append((k, piece))
+                    s = -1
+                else:
+                    s = slot[piece] = self._add(piece)
+                    self.held += len(piece) + 4 * (self.first[-1] - self.first[-2]) + ENTRY
             slots.append(s)
-        return self._expand(np.array(slots, np.int64)[pieces.indices.to_numpy()])
+        kept = len(self.first)
+        for k, piece in long:
+            slots[k] = self._add(piece)
+        out = self._expand(np.array(slots, np.int64)[pieces.indices.to_numpy()])
+        del self.first[kept:], self.flat[self.first[-1] :]
+        return out
+
+    def _add(self, piece: bytes) -> int:
+        self.flat.extend(self.merge(piece))
+        self.first.append(len(self.flat))
+        return len(self.first) - 2
 
     def _expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, first = np.frombuffer(self.flat, np.int32), np.frombuffer(self.first, np.int64)

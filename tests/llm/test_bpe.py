@@ -109,3 +109,22 @@ def test_digests(spark):
     assert got[1].n_tokens == len(ids) and got[2].n_tokens == 0
     assert got[1].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[1].decoded_sha256 == hashlib.sha256(b"Hello  world's end\n").hexdigest()
+
+
+def test_long_pieces_are_not_remembered():
+    """Letter runs of 1 MB leave nothing behind, and short pieces go once they take too many bytes."""
+    own = B.Bpe(B.load_ranks(PATH), P.PATTERN)
+    rng = random.Random(3)
+    for _ in range(12):
+        run = "".join(rng.choices("abcdefghij", k=1 << 20))
+        ids = own.encode(run)
+        assert own.decode(ids) == run.encode()
+    assert len(own.flat) == own.held == 0 and len(own.first) == 1
+    before, B.REMEMBERED = B.REMEMBERED, 20_000
+    try:
+        for k in range(50):
+            text = " ".join(f"w{rng.random()}" for _ in range(100))
+            assert own.decode(own.encode(text)) == text.encode()
+            assert own.held < 100_000
+    finally:
+        B.REMEMBERED = before
