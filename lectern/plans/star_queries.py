@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranges
 from ..session import work_dir
 from ..streaming import incremental, paced
 from .registry import query, table
@@ -197,3 +198,38 @@ def paced_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         running.awaitTermination()
     ended = spark.read.schema(paced.EVENTS).parquet(out).where("event <> 'start'")
     return ended.select("worker", "url", "event", "pass", "batch", (F.unix_millis("at") - base).alias("at_ms"))
+
+
+# --- joins by time
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + value AS b FROM events),
+m AS (SELECT user_id, a, max(a) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM e),
+i AS (SELECT user_id, a, sum((far IS NULL OR a > far + 1800)::INT) OVER (PARTITION BY user_id ORDER BY a) AS s FROM m),
+s AS (SELECT user_id, min(a) AS since, max(a) AS until FROM i GROUP BY user_id, s UNION ALL SELECT u, x, y FROM (SELECT unnest([0, 1]) AS u), (SELECT min(a) AS x, max(a) AS y FROM e))
+SELECT s.user_id, since, until, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM s JOIN e ON s.user_id = e.user_id AND since <= b AND a <= until GROUP BY ALL""")
+def overlap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users, one of whom has a third of all rows, and two intervals as long as all time, against events that last a while."""
+    user = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("long")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = table(spark, sf_dir, "events").select("event_id", user.alias("user_id"), at.alias("a"), (at + F.col("value")).alias("b"))
+    before = Window.partitionBy("user_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("user_id").orderBy("a").rangeBetween(Window.unboundedPreceding, 0)
+    far = e.withColumn("far", F.max("a").over(before))
+    i = far.withColumn("s", F.sum((F.col("far").isNull() | (F.col("a") > F.col("far") + 1800)).cast("int")).over(upto))
+    s = i.groupBy("user_id", "s").agg(F.min("a").alias("since"), F.max("a").alias("until")).drop("s")
+    ever = e.agg(F.min("a").alias("since"), F.max("a").alias("until"))
+    s = s.unionByName(ever.select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("user_id"), "since", "until"))
+    pairs = ranges.overlap_join(s, e, ["user_id"], ("since", "until"), ("a", "b"), 60.0, 500)
+    return pairs.groupBy("user_id", "since", "until").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_type, ts, value FROM events), p AS (SELECT user_id, ts, max(event_id) AS purchase_id, arg_max(value, event_id) AS paid FROM e WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT e.event_id, CASE WHEN p.ts >= e.ts - INTERVAL 6 HOUR THEN purchase_id END AS purchase_id, CASE WHEN p.ts >= e.ts - INTERVAL 6 HOUR THEN paid END AS paid FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def as_of_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's last purchase at each event, no more than six hours back; one user has a third of all rows."""
+    user = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("long")
+    e = table(spark, sf_dir, "events").select("event_id", user.alias("user_id"), "event_type", "ts", "value")
+    p = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    found = ranges.as_of_join(e, p, ["user_id"], "ts", "bought", ["purchase_id", "paid"], tie="purchase_id", tolerance=F.expr("INTERVAL 6 HOURS"))
+    return found.select("event_id", "purchase_id", "paid")
