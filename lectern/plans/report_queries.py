@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import acquisition as acq
+from ..operators import acquisition as acq, vector_index
 from ..operators import coverage as cov
 from ..operators import groups, intervals, metrics, opinions, retrieval
 from ..sinks import report
 from ..sources import files
-from .registry import query, table
+from .registry import SQL, query, table
 
 #: Events as candidates: the user is the video, the tenth of the value the unit, clicks and purchases correlate.
 CANDIDATES = "SELECT user_id AS video_id, 'T' || (floor(value)::BIGINT % 7)::VARCHAR AS unit_id, event_id AS cand_idx, event_type IN ('click', 'purchase') AS correlated, floor(least(value, 100))::INT AS score, event_type AS reason, json_extract_string(props, '$.k') AS comment, 'u' || (event_id % 3)::VARCHAR AS url FROM events"
@@ -197,6 +197,28 @@ def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("sim", F.round("sim", 6))
 
 
+@query(SQL["topk_cosine"])
+def topk_cosine_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells, of which bounds rule out those that cannot hold a better row."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(e.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id", "embedding")
+    found = vector_index.exact(index, e.where("vec_id % 100 = 0"), 10, "vec_id", "embedding")
+    return found.select("vec_id", "row_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query("SELECT count(*)::BIGINT AS queries, sum(least(n, 10))::BIGINT AS wanted, true AS reached, true AS fewer_rows FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes widened until 0.95 of the ten nearest rows are found, and whether that compares fewer rows than all."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    index = vector_index.build(e.select(F.col("vec_id").alias("row_id"), "embedding"), "row_id", "embedding")
+    probes, share = vector_index.calibrate(index, q, 10, "vec_id", "embedding")
+    own = vector_index.probed(index, vector_index.asked(q, "vec_id", "embedding"), "vec_id", vector_index.nearest_cells(probes))
+    compared = own.join(index.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").agg(F.sum("n").alias("compared"))
+    wanted = e.agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("each"), F.count(F.lit(1)).alias("n"))
+    return q.agg(F.count(F.lit(1)).alias("queries")).join(wanted).join(compared).select("queries", (F.col("queries") * F.col("each")).alias("wanted"), F.lit(share >= 0.95).alias("reached"), (F.col("compared") < F.col("queries") * F.col("n")).alias("fewer_rows"))
+
+
 @query("""WITH e AS (SELECT vec_id, 'v' || label::VARCHAR AS video_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.video_id, a.vec_id AS unit_id, b.vec_id AS comment_idx, round(list_dot_product(a.e, b.e), 6) AS sim FROM e a JOIN e b ON a.video_id = b.video_id)
 SELECT video_id, unit_id, comment_idx, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY sim DESC, comment_idx) AS rank FROM s) WHERE rank <= 5""")
 def topk_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
