@@ -7,11 +7,11 @@ until it is back inside.
 
 kind   | valid if                                   | permuted                  | kept
 card   | 13-19 digits, plain or in groups, Luhn sum right | digits 2 to the last but 1 | first digit, separators; check digit made anew
-phone  | +country and 7-12 digits, or 3-3-4 digits  | national digits           | country code, layout
+phone  | +country and 7-12 digits, or 3-3-4 digits  | national digits           | country code (by the list of codes, however spaced), layout
 ip     | four decimals of 0-255                     | all 32 bits               | dotted form
 email  | local@domain.tld                           | letters and digits by class, domain too, in lower case | punctuation, letter case by place, top-level domain
 ssn    | 3-2-4 digits, no void group                | the valid numbers         | hyphens
-iban   | mod-97 sum right                           | letters and digits by class | country; check digits made anew
+iban   | mod-97 sum right, in upper or lower case   | letters and digits by class | country; check digits made anew, letter case
 date   | calendar date 1900 to 2099, Y-M-D or D/M/Y or D.M.Y | the day         | layout
 
 Digits are those of ASCII: numbers in other scripts are no values of these kinds and stay, in every text. An
@@ -39,10 +39,12 @@ from .textkit import bound_batches, byte_class, map_batches, slabs
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date")
 ROUNDS = 8
 DIGIT_OR_AT = byte_class((48, 57), (64, 64))
+#: The country codes of one and two digits; all others have three. None begins another.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z0-9]))
-|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+|(?P<iban>(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:[ ]?[a-z0-9]{4}){2,7}(?:[ ]?[a-z0-9]{1,3})?)(?![A-Za-z0-9]))
 |(?P<date>(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d))
 |(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))
 |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
@@ -116,8 +118,10 @@ class Feistel:
         return "".join(c.upper() if old.isupper() else c for c, old in zip(new, text)) + "." + top
 
     def _phone(self, text: str, back: bool) -> str | None:
-        head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        head = head[0] if head else text[:2] if text[0] == "+" else ""
+        head = ""
+        if text[0] == "+":
+            n = next((n for n in (1, 2) if re.sub(r"\D", "", text)[:n] in CODES), 3)
+            head = re.match(rf"\+(?:\D*\d){{{n}}}", text)[0]
         own = re.sub(r"\D", "", text[len(head) :])
         if not 7 <= len(own) <= 12:
             return None
@@ -148,13 +152,13 @@ class Feistel:
         return f"{areas[a]:03d}-{b + 1:02d}-{c + 1:04d}"
 
     def _iban(self, text: str, back: bool) -> str | None:
-        own = text.replace(" ", "")
+        own = text.replace(" ", "").upper()
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
         if not 15 <= len(own) <= 34 or number(own[4:] + own[:4]) % 97 != 1:
             return None
         body = self.by_class(own[4:], b"iban", back)
         made = own[:2] + f"{98 - number(body + own[:2] + '00') % 97:02d}" + body
-        it = iter(made)
+        it = iter(made.lower() if text[0].islower() else made)
         return "".join(c if c == " " else next(it) for c in text)
 
     def _date(self, text: str, back: bool) -> str | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ PII_KEY = b"lectern: key of the test data"
 
 def pii_key(spark: SparkSession) -> bytes:
     own = spark.conf.get("lectern.pii.key", None)
+    if not own:
+        warnings.warn("lectern.pii.key is not set: pseudonyms are made by the published key of the test data and can be undone by anyone", stacklevel=2)
     return own.encode() if own else PII_KEY
 
 

@@ -176,3 +176,31 @@ def test_very_long_text():
     begin = time.time()
     new, counts = pii.pseudonymise_text(text, KEY)
     assert len(text) > 8_000_000 and counts == {"ip": 1} and time.time() - begin < 60
+
+
+def test_numbers_link_however_spaced():
+    """The country code is told by the list of codes, not by the blank behind it."""
+    import re
+
+    national = set()
+    for text in ("+442079460958", "+44 20 7946 0958", "+44-20-7946-0958", "+44 (20) 7946 0958"):
+        new, n = pii.pseudonymise_text(f"call {text} now", KEY)
+        digits = re.sub(r"\D", "", new)
+        assert n == {"phone": 1} and digits.startswith("44") and len(digits) == 12
+        assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {text} now")
+        assert pii.pseudonymise_text(new, KEY, back=True)[0] == f"call {text} now"
+        national.add(digits)
+    assert len(national) == 1
+    for text, code in (("+3581234567890", "358"), ("+74951234567", "7"), ("+14155552671", "1"), ("+8613812345678", "86")):
+        assert pii.pseudonymise_text(text, KEY)[0].startswith("+" + code)
+
+
+def test_country_codes_do_not_begin_one_another():
+    assert not [(a, b) for a in pii.CODES for b in pii.CODES if a != b and b.startswith(a)]
+
+
+def test_ibans_in_lower_case():
+    upper, lower = (pii.pseudonymise_text(t, KEY)[0] for t in ("DE89 3704 0044 0532 0130 00", "de89370400440532013000"))
+    assert upper.replace(" ", "").lower() == lower != "de89370400440532013000"
+    assert pii.pseudonymise_text(lower, KEY, back=True)[0] == "de89370400440532013000"
+    assert pii.pseudonymise_text("de88370400440532013000", KEY) == ("de88370400440532013000", {})
