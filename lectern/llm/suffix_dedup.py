@@ -30,8 +30,8 @@ known by its id and a 64-bit hash of its text (a null id is replaced by a second
 count and each get the same result.
 
 Edge cases: a null text is empty; texts shorter than ``least`` bytes hold no string and stay whole; ids are of any
-type, null ids are allowed; ties cannot matter, as all of several equal strings go; a very long text is a slab by
-itself, so memory follows the longest text; an empty table gives an empty result; other columns are ignored.
+type, null ids are allowed; ties cannot matter, as all of several equal strings go; a very long text is cut into sections for the
+search and is whole only where it is read and written; text that repeats itself has an anchor at each byte, so runs are bounded by suffixes too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ from .textkit import Slab, bound_batches, lists, map_batches, mix, prefix_hash,
 LEAST, GRAM, WINDOW = 200, 16, 128
 SEED = 0x6C656374
 RUN_BYTES = 12 << 20
+#: Bytes of a long text that are looked at together, and suffixes of a run at most: text that repeats itself has an anchor at each byte.
+SECTION, RUN_SUFFIXES = 1 << 20, 250_000
 #: Bytes of text from which on the runs' shuffle is worth a second of cleaning.
 RELEASED = 64 << 20
 #: Classes of at most so many members are compared pair by pair, larger ones by hashes of their strings.
@@ -113,6 +115,54 @@ def anchors(slab: Slab, prefix: np.ndarray, s: Shape) -> tuple[np.ndarray, np.nd
     return pick, h[pick]
 
 
+def sections(slab: Slab, s: Shape, size: int = SECTION):
+    """A slab as it is, or a long text cut up: (part, its place in the text, first and last place whose anchors count).
+
+    Parts reach so far over both ends that all windows, keys and neighbourhoods of their own anchors lie inside.
+    """
+    n = len(slab.buf)
+    if slab.hi - slab.lo > 1 or n <= 2 * size:
+        yield slab, 0, 0, n
+        return
+    for x in range(0, n, size):
+        a, b = max(0, x - s.window), min(n, x + size + s.least + s.window + s.gram)
+        yield slab._replace(buf=slab.buf[a:b], offs=np.array([0, b - a])), a, x - a, min(x + size, n) - a
+
+
+def suffixes(slab: Slab, ids: np.ndarray, marks: np.ndarray, s: Shape):
+    """The columns of a run (key, hashes, id, mark, place, neighbourhood) for the anchors of a slab, ``RUN_SUFFIXES`` at most at once."""
+    for part, base, first, last in sections(slab, s):
+        prefix = prefix_hash(part.buf)
+        found, _ = anchors(part, prefix, s)
+        found = found[(found >= first) & (found < last)]
+        for k in range(0, len(found), RUN_SUFFIXES):
+            at = found[k : k + RUN_SUFFIXES]
+            row = np.searchsorted(part.offs, at, "right") - 1
+            begin, end = part.offs[:-1][row], part.offs[1:][row]
+            low, high = np.maximum(begin, at - s.before), np.minimum(end, at + s.least)
+            where = range_hash(prefix, at, at + s.key)
+            local = base - begin
+            yield (
+                sliding_window_view(part.buf, s.key)[at], where, *neighbourhoods(part, at, low, high), ids[part.lo + row], marks[part.lo + row],
+                (at + local).astype(np.int32), (low + local).astype(np.int32), (high + local).astype(np.int32),
+            )
+
+
+def united(ids: np.ndarray, mark: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Spans by document, those that overlap or touch as one."""
+    ids, mark, low, high = unique_rows(high, low, mark, ids)[::-1]
+    if not len(ids):
+        return [ids, mark, low, high]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (mark[1:] != mark[:-1])
+    # the furthest end so far in the document: documents are kept apart by a step that no place reaches
+    step = np.cumsum(new).astype(np.int64) << 40
+    far = np.maximum.accumulate(step + high)
+    new[1:] |= step[1:] + low[1:] > far[:-1]
+    at = np.flatnonzero(new)
+    return [ids[at], mark[at], low[at], np.maximum.reduceat(high, at)]
+
+
 def digests(data: bytes, low: list[int], high: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each of some ranges of bytes, as two columns."""
     own = b"".join([xxhash.xxh3_128_digest(data[a:b], SEED) for a, b in zip(low, high)])
@@ -148,7 +198,7 @@ def make_run(parts: list[tuple], buckets: int, s: Shape) -> list[tuple[int, byte
     first[1:] |= (hood[1:] != hood[:-1]) | (hood2[1:] != hood2[:-1])
     size = np.diff(np.append(np.flatnonzero(first), len(first)))
     many = np.repeat(size, size) > 1
-    done = unique_rows(*[x[many] for x in (ids, mark, low, high)])
+    done = united(*[x[many] for x in (ids, mark, low, high)])
     keys, state, group = keys[first], (size > 1).astype(np.uint8), group[first]
     hood, hood2, ids, mark, pos, low, high, bucket = (x[first] for x in (hood, hood2, ids, mark, pos, low, high, bucket))
     # a class that is large already goes the wide way; one member stays as the mark of it
@@ -298,7 +348,7 @@ def merge_bucket(bucket: int, blobs: list[bytes], s: Shape) -> pa.Table:
         wanted = first & ((distinct > 1) | wide)[group]
         cls = (np.int64(bucket) << np.int64(40)) + (group[wanted].astype(np.int64) << np.int64(1)) + wide[group[wanted]]
         need = (ids[wanted], mark[wanted], pos[wanted], cls)
-        ids, mark, low, high = unique_rows(*[x[covered] for x in (ids, mark, low, high)])
+        ids, mark, low, high = united(*[x[covered] for x in (ids, mark, low, high)])
     return pa.concat_tables([_rows(ids, mark, low=low, high=high), _rows(need[0], need[1], pos=need[2], cls=need[3])])
 
 
@@ -451,22 +501,20 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size_shuffles(spark, n_bytes)
 
     def runs(batches):
-        held, size = [], 0
+        held, size, count = [], 0, 0
         for batch in batches:
             ids, marks = (batch.column(n).to_numpy() for n in ("id", "mark"))
             for slab in slabs(batch.column("text")):
-                prefix = prefix_hash(slab.buf)
-                at, _ = anchors(slab, prefix, s)
+                for made in suffixes(slab, ids, marks, s):
+                    held.append(made)
+                    count += len(made[0])
+                    if count >= RUN_SUFFIXES:
+                        yield from blobs(held)
+                        held, size, count = [], 0, 0
                 size += len(slab.buf)
-                if len(at):
-                    row = np.searchsorted(slab.offs, at, "right") - 1
-                    begin, end = slab.offs[:-1][row], slab.offs[1:][row]
-                    low, high = np.maximum(begin, at - s.before), np.minimum(end, at + s.least)
-                    where = range_hash(prefix, at, at + s.key)
-                    held.append((sliding_window_view(slab.buf, s.key)[at], where, *neighbourhoods(slab, at, low, high), ids[slab.lo + row], marks[slab.lo + row], (at - begin).astype(np.int32), (low - begin).astype(np.int32), (high - begin).astype(np.int32)))
                 if size >= run_bytes:
                     yield from blobs(held)
-                    held, size = [], 0
+                    held, size, count = [], 0, 0
         yield from blobs(held)
 
     def blobs(held):

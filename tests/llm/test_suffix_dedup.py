@@ -123,3 +123,62 @@ def test_query_against_brute_force(spark):
     want = {r.doc_id: (len((r.text or "").encode()), len(k), hashlib.sha256(k).hexdigest()) for r, k in zip(rows, brute([r.text for r in rows], 200))}
     got = QUERIES["op9_suffix_dedup"](spark, SMALL).collect()
     assert {r.doc_id: (r.n_bytes, r.n_bytes - r.n_removed, r.kept_sha256) for r in got} == want and any(r.n_spans for r in got)
+
+
+@pytest.mark.parametrize("size", [64, 200, 1000])
+def test_sections_have_the_anchors_of_the_whole(size):
+    s = S.Shape(20, 4, 12)
+    rng = np.random.default_rng(size)
+    for buf in (rng.integers(97, 100, 3000).astype(np.uint8), np.tile(np.frombuffer(b"ab", np.uint8), 1500), np.full(3000, 97, np.uint8)):
+        slab = S.Slab(0, 1, buf, np.array([0, len(buf)]))
+        want = S.anchors(slab, S.prefix_hash(buf), s)[0].tolist()
+        got = [a + p for part, a, x, y in S.sections(slab, s, size) for p in S.anchors(part, S.prefix_hash(part.buf), s)[0].tolist() if x <= p < y]
+        assert got == want
+
+
+def test_spans_unite():
+    rng = np.random.default_rng(0)
+    ids, mark, low = rng.integers(0, 4, 200), rng.integers(0, 2, 200), rng.integers(0, 2000, 200)
+    high = low + rng.integers(1, 60, 200)
+    bytes_of = lambda rows: {(i, m, p) for i, m, a, b in zip(*rows) for p in range(a, b)}
+    got = S.united(ids, mark, low, high)
+    assert bytes_of(got) == bytes_of((ids, mark, low, high))
+    rows = sorted(zip(*[x.tolist() for x in got]))
+    assert all(a[:2] != b[:2] or a[3] < b[2] for a, b in zip(rows, rows[1:]))
+    assert [len(x) for x in S.united(*[np.zeros(0, np.int64)] * 4)] == [0] * 4
+
+
+def test_text_that_repeats_itself(spark):
+    """Against brute force at 20 KB, and whole at 4 MB each."""
+    small = ["a" * 20_000, "ab" * 3_000 + "c" + "ab" * 3_000, ("-" * 300 + "\n") * 20, "x" + "a" * 205, "ab" * 101 + "z", "b" * 199, "abc" * 67 + "q"]
+    rows = list(enumerate(small))
+    got = {r.doc_id: bytes(r.kept) for r in S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute(small, 200)))
+    large = [(1, "a" * 4_000_000), (2, "ab" * 2_000_000), (3, "x" + "ab" * 101 + "y")]
+    got = {r.doc_id: r.removed for r in S.repeated_spans(spark.createDataFrame(large, "doc_id long, text string")).collect()}
+    assert got == {1: [[0, 4_000_000]], 2: [[0, 4_000_000]], 3: [[1, 203]]}
+
+
+def test_memory_of_text_that_repeats_itself():
+    """10 MB of one letter, or of two, through the making of runs in under 500 MB."""
+    import os
+    import subprocess
+    import sys
+
+    script = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from lectern.llm import suffix_dedup as S
+from lectern.llm.textkit import slabs
+s, n = S.Shape(200, 16, 128), 0
+for text in ("a" * 10_000_000, "ab" * 5_000_000):
+    for slab in slabs(pa.array([text], pa.large_string())):
+        for made in S.suffixes(slab, np.array([1]), np.array([2]), s):
+            n += len(made[0])
+            S.make_run([made], 8, s)
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=home, timeout=600)
+    n, peak = map(int, done.stdout.split())
+    assert n > 10_000_000 and peak < 500, (n, peak)
