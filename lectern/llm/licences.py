@@ -2,12 +2,13 @@
 
 A *unit* is a line of any text, the whole text of a licence file (by its base name), or a *window*: as many
 terms as a template has, from the start of a line or sentence on, whatever line breaks and comment marks lie
-between. A window is compared to templates of its length. For those that fit on a line (``ONE_LINE`` terms) it
-counts only if it runs over a line break; within a line, the line is the unit. Every unit must hold the template's
+between. A window is compared to templates of its length. Every unit must hold the template's
 numbers and no word of ``QUALIFIERS`` that the template lacks, as these make it another licence. Terms are runs of ASCII letters and digits, lower-cased, weighted (1 + ln tf) * ln(1 + N / (1 + df)), with document counts
 over all documents; a term of no template weighs as if it occurred in one document. A file's own licence is the
 template of greatest cosine (to three digits), at least ``least``, over its units; ties go to the template of
-more terms, then to the smaller name, so of two statements in one text the fuller tells.
+more terms, then to the smaller name, so of two statements in one text the fuller tells. A text that also holds the statement of
+a variant (``VARIANTS``) is that variant, and ``GENERIC`` tells only where nothing else does. A tag (``TAG``) that names
+a known licence comes before all statements, a title on a line of its own (``TITLE``) behind them; both have similarity 1.
 
 Of each template, the commonest terms whose part of the norm stays under ``least`` cannot reach it alone.
 A unit therefore needs one of the other, rarer terms: only lines with one, and windows that reach one, are
@@ -43,7 +44,10 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -68,12 +72,20 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("X11", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("proprietary", "All rights reserved."),
 )
+#: A licence that holds another's statements and one of its own, and that other one. What says least, and tells only where nothing else does.
+VARIANTS = (("BSD-3-Clause", "BSD-2-Clause"), ("X11", "MIT"))
+GENERIC = "proprietary"
+#: How a file names its licence by a tag, and by a line that is a title.
+TAG = r"SPDX-License-Identifier:\s*([A-Za-z0-9][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)*?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
+TITLE = r"(?im)^[^a-z0-9\n]*(?:the )?(bsd 2-clause|bsd 3-clause|boost software|isc|mit|x11|zlib) licen[sc]e(?: \([a-z0-9]+\))?[^a-z0-9\n]*$"
+TITLES = {"bsd 2-clause": "BSD-2-Clause", "bsd 3-clause": "BSD-3-Clause", "boost software": "BSL-1.0", "isc": "ISC", "mit": "MIT", "x11": "X11", "zlib": "Zlib"}
 LEAST = 0.75
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 SPLIT = "[^a-z0-9]+"
-ONE_LINE = 12
 QUALIFIERS = ("affero", "alike", "commercial", "derivatives", "lesser", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike")
 #: Where a window may start: behind a line break or the end of a sentence. Words that only mark comments.
 BREAKS, MARKS = r"(?<=\n)|(?<=[.;:!?]\s)", r"^\s*(dnl|rem)\s"
@@ -190,10 +202,9 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     units = units.select("_key", F.explode_outer(F.concat(mark(F.col("lines"), False), mark(found, True))).alias("u")).select("_key", "u.unit", "u.window").where("unit is not null").distinct()
     # a line is compared to all templates, a window to those it may reach, cut to their lengths
     parted = lambda x: F.filter(F.split(F.lower(x), SPLIT), lambda t: t != "")
-    units = units.withColumn("all", parted(F.col("unit"))).withColumn("in_line", F.size(parted(F.substring_index("unit", "\n", 1))))
+    units = units.withColumn("all", parted(F.col("unit")))
     held = lambda x: F.aggregate(x["parts"], F.lit(0.0), lambda a, y: a + F.when(F.array_contains("all", y["t"]), y["w"]).otherwise(0.0))
-    wide = lambda x: (x["size"] > ONE_LINE) | (F.col("in_line") < F.least(x["size"], F.size("all")))
-    reached = F.filter(template_structs(weights), lambda x: wide(x) & (held(x) >= (least * least) * 0.999))
+    reached = F.filter(template_structs(weights), lambda x: held(x) >= (least * least) * 0.999)
     units = units.select("_key", "unit", "all", "window", F.explode_outer(F.when(F.col("window"), reached)).alias("x")).where("not window or x is not null")
     units = units.select("_key", "unit", "x", F.when(F.col("window"), F.slice("all", 1, F.col("x.size"))).otherwise(F.col("all")).alias("all"))
     # the templates that a unit may be
@@ -210,12 +221,21 @@ def scan_licences(files: DataFrame, *, key: str, path: str = "path", text: str =
     pairs = pairs.where(F.array_contains("allowed", F.col("template")))
     scored = pairs.groupBy("_key", "unit", "only", "template", "licence", "length").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
     permille = F.round(F.col("cosine") * 1000).cast("long")
-    best = scored.where(F.col("cosine") >= least).groupBy("_key").agg(F.min(F.struct((-permille).alias("s"), (-F.col("length")).alias("l"), "licence")).alias("b"))
-    best = best.select(F.col("_key").alias("_row"), F.col("b.licence").alias("own_licence"), (-F.col("b.s") / 1000).alias("similarity"))
+    order = F.struct((F.col("licence") == GENERIC).alias("g"), (-permille).alias("s"), (-F.col("length")).alias("l"), "licence")
+    best = scored.where(F.col("cosine") >= least).groupBy("_key").agg(F.min(order).alias("b"), F.collect_set("licence").alias("all"))
+    told = F.col("b.licence")
+    for variant, base_of in VARIANTS:
+        told = F.when((F.col("b.licence") == base_of) & F.array_contains("all", variant), F.lit(variant)).otherwise(told)
+    best = best.select(F.col("_key").alias("_row"), told.alias("_told"), (-F.col("b.s") / 1000).alias("_near"))
+    tag, title = F.regexp_extract(F.col(text), TAG, 1), F.lower(F.regexp_extract(F.col(text), TITLE, 1))
+    known = F.array(*[F.lit(x) for x in sorted({x for x, _ in templates})])
+    base_named = base.withColumn("_tag", F.when(F.array_contains(known, tag), tag)).withColumn("_title", F.try_element_at(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair]), title))
 
     # inheritance
-    slim = base.drop(text).withColumn("_dir", directory(F.col(path))).withColumn("_file", is_file)
+    slim = base_named.drop(text).withColumn("_dir", directory(F.col(path))).withColumn("_file", is_file)
     own = slim.join(best, slim["_key"].eqNullSafe(best["_row"]), "left").drop("_key", "_row")
+    statement = F.when(F.col("_told") != GENERIC, F.col("_told"))
+    own = own.withColumn("own_licence", F.coalesce("_tag", statement, "_title", "_told")).withColumn("similarity", F.when(F.col("_tag").isNull() & (statement.isNotNull() | F.col("_title").isNull()), F.col("_near")).when(F.col("own_licence").isNotNull(), F.lit(1.0))).drop("_tag", "_title", "_told", "_near")
     licensed = own.where(F.col("_file") & F.col("own_licence").isNotNull() & F.col("_dir").isNotNull()).groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "own_licence")).alias("b")).select("_at", F.col("b.own_licence").alias("_dir_licence"))
     dirs = slim.where(F.col("_dir").isNotNull()).select("_dir").distinct()
     parts = F.split("_dir", "/")

@@ -248,6 +248,11 @@ def sql10() -> str:
     texts = lambda x: "[" + ", ".join(f"'{t}'" for t in x) + "]::VARCHAR[]"
     rules = lambda own: f"{len(own)}, {texts(licences.needed(own))}, {texts(licences.barred(own))}"
     values = ", ".join(f"({k}, '{name}', '{text}', {rules(licences.terms(text))})" for k, (name, text) in enumerate(licences.TEMPLATES))
+    variant = "CASE " + " ".join(f"WHEN lic = '{b}' AND list_contains(every, '{a}') THEN '{a}'" for a, b in licences.VARIANTS) + " ELSE lic END"
+    # RE2 has no look-ahead: the tag is all that may belong to it, without its ending
+    tag, title = r"SPDX-License-Identifier:\s*([A-Za-z0-9][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)*?)(?:-only|-or-later|\+)?(?:[^A-Za-z0-9.+-]|$)", licences.TITLE
+    known = ", ".join(f"'{x}'" for x in sorted({x for x, _ in licences.TEMPLATES}))
+    titles = "CASE title " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licences.TITLES.items()) + " END"
     split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
     return rf"""
 WITH RECURSIVE t(tid, lic, txt, n_terms, needs, bars) AS (VALUES {values}), tt AS (SELECT tid, lic, term, count(*) AS tf FROM (SELECT tid, lic, unnest({split("txt")}) AS term FROM t) GROUP BY ALL), v AS (SELECT DISTINCT term FROM tt),
@@ -261,8 +266,12 @@ uw AS (SELECT doc_id, unit, ut.term, (1 + ln(tf)) * coalesce(idf, ln(1 + n / 2))
 nn AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
 c AS (SELECT uw.doc_id, uw.unit, tid, lic, sum(uw.w * tw.w) / any_value(norm) AS cosine FROM uw JOIN tw ON tw.term = uw.term JOIN nn ON nn.doc_id = uw.doc_id AND nn.unit = uw.unit GROUP BY uw.doc_id, uw.unit, tid, lic),
 r AS (SELECT c.*, n_terms FROM c JOIN t USING (tid) WHERE cosine >= {licences.LEAST} AND list_has_all({split("unit")}, needs) AND NOT list_has_any({split("unit")}, bars)),
-b AS (SELECT doc_id, arg_min(r.lic, (-round(cosine * 1000)::BIGINT, -n_terms, r.lic)) AS lic, max(round(cosine * 1000)::BIGINT) AS s FROM r GROUP BY doc_id),
-o AS (SELECT d.doc_id, dir, f, dir || '/' || CASE WHEN f THEN 'LICENSE-' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END AS path, lic, s FROM d LEFT JOIN b USING (doc_id)),
+b AS (SELECT doc_id, arg_min(r.lic, (r.lic = '{licences.GENERIC}', -round(cosine * 1000)::BIGINT, -n_terms, r.lic)) AS lic, arg_min(round(cosine * 1000)::BIGINT, (r.lic = '{licences.GENERIC}', -round(cosine * 1000)::BIGINT)) AS s, list(DISTINCT r.lic) AS every FROM r GROUP BY doc_id),
+h AS (SELECT doc_id, s, {variant} AS lic FROM b),
+w AS (SELECT doc_id, nullif(regexp_extract(text, '{tag}', 1), '') AS tag, lower(regexp_extract(text, '{title}', 1)) AS title FROM d),
+y AS (SELECT doc_id, h.s, h.lic, CASE WHEN tag IN ({known}) THEN tag END AS tag, {titles} AS title FROM w LEFT JOIN h USING (doc_id)),
+z AS (SELECT doc_id, coalesce(tag, nullif(lic, '{licences.GENERIC}'), title, lic) AS lic, CASE WHEN tag IS NULL AND (nullif(lic, '{licences.GENERIC}') IS NOT NULL OR title IS NULL) THEN s WHEN coalesce(tag, title, lic) IS NOT NULL THEN 1000 END AS s FROM y),
+o AS (SELECT d.doc_id, dir, f, dir || '/' || CASE WHEN f THEN 'LICENSE-' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END AS path, lic, s FROM d LEFT JOIN z USING (doc_id)),
 l AS (SELECT dir AS anc, arg_min(lic, (-s, lic)) AS lic FROM o WHERE f AND lic IS NOT NULL GROUP BY dir),
 a AS (SELECT dir, dir AS anc, 0 AS up FROM (SELECT DISTINCT dir FROM d) UNION ALL SELECT dir, CASE WHEN contains(anc, '/') THEN regexp_replace(anc, '/[^/]*$', '') ELSE '' END, up + 1 FROM a WHERE anc <> ''),
 k AS (SELECT a.dir, arg_min(l.anc, up) AS anc, arg_min(l.lic, up) AS lic FROM a JOIN l ON l.anc = a.anc GROUP BY a.dir)

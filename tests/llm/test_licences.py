@@ -30,8 +30,8 @@ def brute(files):
             for lic, t, words in templates:
                 c = sum(w * t.get(x, 0) for x, w in v.items())
                 if c >= L.LEAST and all(x in v for x in words if x.isdigit()) and not any(x in v for x in L.QUALIFIERS if x not in words):
-                    best = min(best or (0, 0, "~"), (-math.floor(c * 1000 + 0.5), -len(words), lic))
-        own[k] = best and (best[0], best[2])
+                    best = min(best or (True, 0, 0, "~"), (lic == L.GENERIC, -math.floor(c * 1000 + 0.5), -len(words), lic))
+        own[k] = best and (best[1], best[3])
     dirs = {}
     for k, path, _ in files:
         if path is not None and own[k] and re.match(L.LICENCE_FILE, path.rsplit("/", 1)[-1]):
@@ -175,3 +175,28 @@ def test_very_long_text(spark):
     text = "Words of a report on roads and rivers, which are many.\n" * 200_000 + "Released under\nthe MIT License.\n"
     (row,) = L.scan_licences(spark.createDataFrame([(1, "a/x.txt", text)], "key long, path string, text string"), key="key").collect()
     assert len(text) > 10_000_000 and row.licence == "MIT"
+
+
+NAMED = BSD.replace("the copyright holder nor the names of its", "Google Inc. nor the names of its")
+X11 = MIT + "\n\nExcept as contained in this notice, the name of the X Consortium shall not\nbe used in advertising or otherwise to promote the sale, use or other dealings\nin this Software without prior written authorization from the X Consortium."
+ZLIB = "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."
+BOOST = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute."
+
+
+def test_statements_within_lines_and_what_tells_more(spark):
+    """Short statements inside lines, named holders, variants, tags and titles."""
+    prose = "We meet here every day, and all are welcome. "
+    cases = {
+        "MIT": [prose + "Released under the MIT License. The tool is old.", "Released under the MIT License. " + prose * 20, "/* Released under the MIT License. */ int x;", prose + "Released under\nthe MIT License.", "MIT License\n\nCopyright (c) 2020 A. Person", "# The MIT License (MIT)\ncode", "// SPDX-License-Identifier: MIT\nint main;", "All rights reserved.\n" + MIT],
+        "Apache-2.0": [prose + "Licensed under the Apache License, Version 2.0. " + prose, "# SPDX-License-Identifier: Apache-2.0"],
+        "GPL-2.0": ["/* SPDX-License-Identifier: GPL-2.0-only */", "SPDX-License-Identifier: GPL-2.0+\nReleased under the MIT License."],
+        "BSD-3-Clause": [NAMED, NAMED.replace("\n", " "), "All rights reserved.\n" + NAMED.replace("Google Inc.", "the University"), "BSD 3-Clause License"],
+        "X11": [X11], "Zlib": [ZLIB, "All rights reserved. " + ZLIB.replace("\n", " ")], "BSL-1.0": [BOOST, "Distributed under the Boost Software License, Version 1.0."],
+        "proprietary": [prose + "All rights reserved. " + prose],
+        None: ["SPDX-License-Identifier: Nobody-1.0", "The MIT people license nothing.", "MIT License holders met."],
+    }
+    plain = [(f"plain-{k}", f"p/{k}.txt", f"Common words of number {k} and the use of this and that.") for k in range(200)]
+    rows = [(f"{k}-{j}", f"{k}/{j}/x.c", text) for k, texts in cases.items() for j, text in enumerate(texts)]
+    got = {r.key: r.own_licence for r in L.scan_licences(spark.createDataFrame(rows + plain, "key string, path string, text string"), key="key").collect()}
+    assert {k: v for k, v in got.items() if not k.startswith("plain")} == {f"{k}-{j}": k for k, texts in cases.items() for j in range(len(texts))}
+    assert all(v is None for k, v in got.items() if k.startswith("plain"))
