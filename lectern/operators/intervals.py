@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,24 +43,64 @@ def consolidate_topics(topics: DataFrame, slack: float = 2.0, most: int = 12) ->
     item = F.struct("_key", "start_s", "end_s", "title", "description", "evidence_quotes")
     g = merged.groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("t"))
 
-    def shrink(t, _):
-        # one step: the shortest joins its neighbour
-        span = F.transform(t, lambda x: x["end_s"] - x["start_s"])
-        k = F.array_position(span, F.array_min(span)).cast("int")
-        other = F.when(k == 1, F.lit(2)).otherwise(k - 1)
-        x, y = F.get(t, k - 1), F.get(t, other - 1)
-        made = F.struct(
-            y["_key"].alias("_key"), F.when(k == 1, F.least(x["start_s"], y["start_s"])).otherwise(y["start_s"]).alias("start_s"), F.when(k == 1, y["end_s"]).otherwise(F.greatest(x["end_s"], y["end_s"])).alias("end_s"),
-            y["title"].alias("title"), y["description"].alias("description"), y["evidence_quotes"].alias("evidence_quotes"),
-        )
-        low = F.least(k, other)
-        return F.when(F.size(t) <= most, t).otherwise(F.concat(F.slice(t, F.lit(1), low - 1), F.array(made), F.slice(t, low + 2, F.greatest(F.size(t) - low - 1, F.lit(0)))))
-
-    rounds = F.sequence(F.lit(0), F.greatest(F.size("t") - most, F.lit(0)))
-    g = g.withColumn("t", F.aggregate(rounds, F.col("t"), shrink))
+    schema = g.schema
+
+    def shrink(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _shrunk(batch.column(1), most)], names=schema.fieldNames())
+
+    g = g.mapInArrow(shrink, schema)
     return g.select("video_id", F.posexplode("t").alias("pos", "x")).select("video_id", F.concat(F.lit("T"), F.col("pos") + 1).alias("topic_id"), "x.title", "x.description", "x.evidence_quotes", "x.start_s", "x.end_s")
 
 
+def absorb_shortest(start: list[float], end: list[float], most: int) -> list[int]:
+    """Rows that stay when the shortest is absorbed until ``most`` are left; ``start`` and ``end`` are changed in place.
+
+    A heap gives the shortest, the first of several; a linked list its neighbours. An entry whose row has changed since is stale.
+    """
+    n = len(start)
+    left, right, there = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    heap = [(e - s, k) for k, (s, e) in enumerate(zip(start, end))]
+    heapify(heap)
+    for _ in range(n - max(most, 1)):
+        while True:
+            span, k = heappop(heap)
+            if there[k] and span == end[k] - start[k]:
+                break
+        there[k] = False
+        if left[k] < 0:
+            to = right[k]
+            start[to] = min(start[k], start[to])
+        else:
+            to = left[k]
+            end[to] = max(end[k], end[to])
+        if left[k] >= 0:
+            right[left[k]] = right[k]
+        if right[k] < n:
+            left[right[k]] = left[k]
+        heappush(heap, (end[to] - start[to], to))
+    return [k for k in range(n) if there[k]]
+
+
+def _shrunk(lists: pa.ListArray, most: int) -> pa.ListArray:
+    """Lists of topics with no more than ``most`` each; only longer ones are looked at one by one."""
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    names = [f.name for f in flat.type]
+    bounds = {c: flat.field(c).to_numpy(zero_copy_only=False).copy() for c in ("start_s", "end_s")}
+    keep = np.ones(len(flat), bool)
+    for k in np.flatnonzero(np.diff(offsets) > most):
+        a, b = offsets[k], offsets[k + 1]
+        start, end = bounds["start_s"][a:b].tolist(), bounds["end_s"][a:b].tolist()
+        stay = absorb_shortest(start, end, most)
+        keep[a:b] = False
+        keep[a + np.array(stay)] = True
+        bounds["start_s"][a:b], bounds["end_s"][a:b] = start, end
+    rows = pa.array(np.flatnonzero(keep))
+    made = pa.StructArray.from_arrays([(pa.array(bounds[c], flat.field(c).type) if c in bounds else flat.field(c)).take(rows) for c in names], fields=list(flat.type))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets], pa.int32()), made).cast(lists.type)
+
+
 def shift_to_absolute(topics: DataFrame, compat: bool = True) -> DataFrame:
     """Add the chunk's start to local times.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import join_ordered
 from ..operators import blocks, chunks, groups, intervals, sections
-from .registry import query, table
+from .registry import SQL, query, table
 from .text_queries import SEGMENTS, segments
 
 
@@ -147,7 +147,16 @@ def consolidate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.consolidate_topics(event_topics(spark, sf_dir), most=1_000_000).select("video_id", "topic_id", "title", "start_s", "end_s")
 
 
-@query()
+#: While a list has over twelve topics, its shortest is absorbed by the one before it, or, if it is the first, by the next.
+SHRUNK = SQL["consolidate_topics"].replace("WITH e AS", "WITH RECURSIVE e AS").replace("SELECT user_id AS video_id, 'T' || row_number() OVER (PARTITION BY user_id ORDER BY k, min(s)) AS topic_id, k AS title, min(s) AS start_s, max(e) AS end_s FROM i GROUP BY user_id, k, island", """, g AS (SELECT user_id, k, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, k, island),
+l AS (SELECT user_id, list({'k': k, 's': s, 'e': e} ORDER BY k, s) AS t FROM g GROUP BY user_id),
+r AS (SELECT user_id, t FROM l UNION ALL SELECT user_id, list_concat(t[:least(k, o) - 1], [CASE WHEN k = 1 THEN {'k': t[2].k, 's': least(t[1].s, t[2].s), 'e': t[2].e} ELSE {'k': t[o].k, 's': t[o].s, 'e': greatest(t[k].e, t[o].e)} END], t[greatest(k, o) + 1:])
+ FROM (SELECT *, CASE WHEN k = 1 THEN 2 ELSE k - 1 END AS o FROM (SELECT user_id, t, list_position(list_transform(t, lambda x: x.e - x.s), list_min(list_transform(t, lambda x: x.e - x.s))) AS k FROM r WHERE len(t) > 12))),
+f AS (SELECT user_id, t FROM r WHERE len(t) <= 12)
+SELECT user_id AS video_id, 'T' || p::VARCHAR AS topic_id, t[p].k AS title, t[p].s AS start_s, t[p].e AS end_s FROM (SELECT *, unnest(range(1, len(t) + 1)) AS p FROM f)""")
+
+
+@query(SHRUNK)
 def consolidate_topics_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.consolidate_topics(event_topics(spark, sf_dir)).select("video_id", "topic_id", "title", "start_s", "end_s")
 

@@ -248,3 +248,33 @@ def test_partitions_do_not_matter(spark, parts):
         assert [(r.a, r.b) for r in got] == [(0.0, 8.0)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_absorbing_by_heap():
+    """Equal to rebuilding the list at each step; 100,000 topics take time in proportion."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    for _ in range(200):
+        start = [rng.randint(0, 50) for _ in range(rng.randint(1, 30))]
+        end = [s + rng.randint(-2, 9) for s in start]
+        most, want = rng.randint(1, 12), [[s, e, k] for k, (s, e) in enumerate(zip(start, end))]
+        while len(want) > most:
+            spans = [e - s for s, e, _ in want]
+            k = spans.index(min(spans))
+            if k:
+                want[k - 1][1] = max(want[k - 1][1], want[k][1])
+            else:
+                want[1][0] = min(want[0][0], want[1][0])
+            del want[k]
+        stay = intervals.absorb_shortest(start, end, most)
+        assert [[start[k], end[k], k] for k in stay] == want
+    took = []
+    for n in (25_000, 100_000):
+        start = [float(k * 10) for k in range(n)]
+        end = [s + rng.random() for s in start]
+        begin = time.process_time()
+        assert len(intervals.absorb_shortest(start, end, 12)) == 12
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 10
