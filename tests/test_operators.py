@@ -278,3 +278,62 @@ def test_absorbing_by_heap():
         assert len(intervals.absorb_shortest(start, end, 12)) == 12
         took.append(time.process_time() - begin)
     assert took[1] < 8 * took[0] + 0.5 and took[1] < 10
+
+
+class WholeCost:
+    """The cost from all kernels at once."""
+
+    def __init__(self, x):
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        off = d[np.triu_indices(len(x), 1)]
+        middle = float(np.median(off)) if len(off) else 0.0
+        self.k = np.exp(-np.clip(d / middle if middle else d, 1e-2, 1e2))
+        np.fill_diagonal(self.k, 1)
+        self.middle = middle
+
+    def __call__(self, a, b):
+        return (b - a) - self.k[a:b, a:b].sum() / (b - a)
+
+    def keep_from(self, first):
+        pass
+
+
+def test_costs_block_by_block(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n, block, kept in ((40, 7, 50), (97, 16, 100), (130, 128, 1 << 20), (3, 2, 1)):
+        monkeypatch.setattr(sections, "BLOCK", block)
+        monkeypatch.setattr(sections, "KEPT", kept)
+        x = rng.normal(size=(n, 5)) + np.repeat(rng.normal(size=(4, 5)) * 3, -(-n // 4), axis=0)[:n]
+        whole, cost = WholeCost(x), sections.RbfCost(x)
+        assert abs(cost.middle - whole.middle) < 1e-9 * whole.middle
+        for b in sorted(rng.integers(1, n + 1, 15)):
+            for a in sorted(rng.integers(0, b, 4)):
+                assert abs(cost(int(a), int(b)) - whole(int(a), int(b))) < 1e-8
+        a, b = 1, n - 1
+        left, right = cost.splits(a, b)
+        for k in range(a, b + 1):
+            assert abs(left[k - a] - (whole(a, k) if k > a else 0)) < 1e-8 and abs(right[k - a] - (whole(k, b) if b > k else 0)) < 1e-8
+        if n > 20:
+            for penalty in (0.2, 1.0, 5.0):
+                assert sections.pelt(sections.RbfCost(x), n, penalty, 6) == sections.pelt(whole, n, penalty, 6)
+    assert sections.RbfCost(np.ones((30, 2))).middle == 0
+
+
+def test_many_frames_take_little_memory():
+    import subprocess
+    import sys
+
+    script = """
+import resource
+import numpy as np
+from lectern.operators import sections
+rng = np.random.default_rng(1)
+x = np.repeat(rng.normal(size=(8, 64)), 2500, axis=0) + 0.3 * rng.normal(size=(20000, 64))
+print(*sections.section_ends(x))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    import os
+
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=600)
+    ends, peak = done.stdout.strip().split("\n")
+    assert ends == "2500 5000 7500 10000 12500 15000 17500 20000" and int(peak) < 500, done.stdout + done.stderr
