@@ -61,10 +61,12 @@ def streamed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.complete(p, tasks.Streamed(Streaming()), "_p", "reply").drop("_p").withColumn("failed", X.is_error(F.col("reply")))
 
 
-@query("SELECT event_id, event_id % 4 = 0 OR event_id % 4 = 2 AS failed FROM events")
+@query("SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 2 AS failed FROM documents")
 def error_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = F.element_at(F.array(*[F.lit(x) for x in ("[Error: x]", "fine [Error: x]", "[No content received]", "")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", X.is_error(shape).alias("failed"))
+    """Marks before the document's text, behind it, and none: only a text that begins with one is a failure."""
+    text = F.coalesce("text", F.lit(""))
+    shape = F.element_at(F.array(F.concat(F.lit("[Error: "), text, F.lit("]")), F.concat(text, F.lit(" [Error: x]")), F.lit("[No content received]"), text), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_error(shape).alias("failed"))
 
 
 # --- topics
@@ -160,11 +162,12 @@ def markdown_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(replies.markdown_outline(text)).alias("pos", "t")).select("page_id", "pos", "t.title", "t.description")
 
 
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'title ' || item_id::VARCHAR || chr(10) || 'about' WHEN 1 THEN 'title ' || item_id::VARCHAR ELSE 'about' END AS text FROM benchmark")
+@query("""WITH b AS (SELECT item_id, regexp_extract(text, '^[^ ]+', 0) AS head, trim(text, ' ' || chr(10)) AS body FROM benchmark)
+SELECT item_id, CASE item_id % 3 WHEN 0 THEN head || chr(10) || body WHEN 1 THEN head ELSE body END AS text FROM b""")
 def topic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and description of a topic on two lines, or the one that there is."""
-    title = F.when(F.col("item_id") % 3 != 2, F.concat(F.lit(" title "), F.col("item_id").cast("string"))).otherwise("")
-    return table(spark, sf_dir, "benchmark").select("item_id", X.topic_text(title, F.when(F.col("item_id") % 3 != 1, " about ")).alias("text"))
+    """The first word of an item as the title, its text as the description: on two lines, or the one that there is."""
+    title = F.when(F.col("item_id") % 3 != 2, F.concat(F.lit(" "), F.regexp_extract("text", "^[^ ]+", 0), F.lit(" "))).otherwise("")
+    return table(spark, sf_dir, "benchmark").select("item_id", X.topic_text(title, F.when(F.col("item_id") % 3 != 1, F.concat(F.lit(" "), "text", F.lit(" ")))).alias("text"))
 
 
 # --- the ledger
@@ -221,12 +224,11 @@ class Merger:
         return f"I looked.\nFinal Caption: both {n}\nof them" if n % 2 else "no idea"
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'both ' || page_id::VARCHAR || chr(10) || 'of them' ELSE 'first ' || page_id::VARCHAR END AS caption FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'both ' || page_id::VARCHAR || chr(10) || 'of them' ELSE url END AS caption FROM pages")
 def merged_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One caption of two: what a reply marks as final, else the first."""
-    key = F.col("page_id").cast("string")
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("first "), key).alias("caption_a"), F.lit("second").alias("caption_b"))
-    return tasks.merge_captions(p, Merger(), F.concat("caption_b", F.lit(" of "), key)).select("page_id", "caption")
+    """One caption of two, a page's address and its text: what a reply marks as final, else the first."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("caption_a"), F.col("html").alias("caption_b"))
+    return tasks.merge_captions(p, Merger(), F.concat("caption_b", F.lit(" of "), F.col("page_id").cast("string"))).select("page_id", "caption")
 
 
 class Reader:

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ranges
-from ..session import work_dir
+from ..operators import ranges, sketches
+from ..session import work_dir, written
 from ..streaming import incremental, paced
 from .registry import query, table
 
@@ -117,11 +117,28 @@ def event_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT o_orderpriority, approx_count_distinct(o_custkey) > 0 AS counted, abs(count(DISTINCT o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey)::BIGINT AS customers, true AS near FROM orders GROUP BY 1")
 def star_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate distinct counts lie within a tenth of the exact ones."""
+    """Distinct counts, and whether the estimate lies within three standard errors of 0.02."""
     about, exact = F.approx_count_distinct("o_custkey", 0.02), F.countDistinct("o_custkey")
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((about > 0).alias("counted"), (F.abs(about - exact) <= 0.1 * exact).alias("near"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(exact.alias("customers"), (F.abs(about - exact) <= F.ceil(0.06 * exact)).alias("near"))
+
+
+@query("""WITH e AS (SELECT event_type, event_id % 9973 AS item, user_id, value FROM events), c AS (SELECT event_type, user_id, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS r FROM c)
+SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT item)::BIGINT AS items, true AS items_near, true AS ranks_near, true AS merged_near, (SELECT string_agg(n::VARCHAR, ',' ORDER BY n DESC) FROM t WHERE t.event_type = e.event_type AND r <= 5) AS top_counts FROM e GROUP BY event_type""")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day, stored and merged over all days: their errors against exact values, and merged against made at once."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 9973).alias("item"), "user_id", "value", "ts")
+    stored = written(sketches.daily(e, ["event_type"], F.to_date("ts"), "item", "value", "user_id"))
+    marks = (0.1, 0.5, 0.9)
+    found = written(sketches.estimates(sketches.merged(stored, ["event_type"]), ["event_type"], marks))
+    once = sketches.estimates(sketches.whole(e, ["event_type"], "item", "value", "user_id"), ["event_type"], marks).select("event_type", F.col("distinct").alias("once"))
+    exact = e.groupBy("event_type").agg(F.countDistinct("item").alias("items"))
+    errors = sketches.rank_errors(e, found, ["event_type"], "value", marks)
+    all_of = found.join(exact, "event_type").join(errors, "event_type").join(once, "event_type")
+    counts = F.array_join(F.transform(F.sort_array(F.transform("top", lambda x: x["count"]), asc=False), lambda x: x.cast("string")), ",")
+    near = F.abs(F.col("distinct") - F.col("items")) <= F.ceil(sketches.DISTINCT_ERROR * F.col("items"))
+    return all_of.select("event_type", "n", "items", near.alias("items_near"), (F.col("rank_error") <= sketches.RANK_ERROR).alias("ranks_near"), (F.abs(F.col("distinct") - F.col("once")) <= F.ceil(sketches.DISTINCT_ERROR * F.col("items"))).alias("merged_near"), counts.alias("top_counts"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 > 0 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 100 = 1")
