@@ -19,7 +19,8 @@ from ..operators import metrics, opinions
 from ..session import exists, work_dir
 from ..sinks import committed, report
 from ..sinks import files as sinks
-from ..sources import correlations, docx, files, replay, search
+from ..sinks import spreadsheet as workbook_sink
+from ..sources import correlations, docx, files, replay, search, spreadsheet
 from . import report_queries as R
 from .registry import query, table
 
@@ -331,6 +332,29 @@ def overwritten_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_files(spark, home).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("ids"))
 
 
+@query("""SELECT concat_ws('-', source, doc_id % 16) AS book, doc_id::VARCHAR AS doc_id, lang, regexp_replace(substring(coalesce(text, ''), 1, 40), '[\\x00-\\x1F]', ' ', 'g') AS opening, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM documents""")
+def spreadsheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as spreadsheets by source, half with shared and half with inline texts, numbers and truth values among them, read back on executors."""
+    home = work_dir(spark)
+    opening = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[\\x00-\\x1F]", " ")
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", (F.col("doc_id") % 16).cast("string")).alias("book"), "doc_id", "lang", opening.alias("opening"), (F.col("doc_id") % 2 == 0).alias("even"))
+    for inline in (False, True):
+        books = workbook_sink.workbooks(d.where((F.col("doc_id") % 16 < 8) == F.lit(inline)), "book", "doc_id", ["doc_id", "lang", "opening", "even"], inline)
+        sinks.write_named(books, home, content="content")
+    found = spreadsheet.rows(spark, home).where("row > 1")
+    cell = lambda k: F.get("cells", F.lit(k))
+    return found.select(F.regexp_replace("file", r"\.xlsx$", "").alias("book"), cell(0).alias("doc_id"), cell(1).alias("lang"), F.coalesce(cell(2), F.lit("")).alias("opening"), cell(3).alias("even"))
+
+
+@query("SELECT 'v' || n_nationkey::VARCHAR AS video_id, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
+def external_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spreadsheet as a table to join by video."""
+    home = work_dir(spark)
+    v = table(spark, sf_dir, "nation").select(F.lit("extra").alias("book"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("video_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    sinks.write_named(workbook_sink.workbooks(v, "book", "video_id", ["video_id", "name", "region"]), home, content="content")
+    return files.external_table(spark, f"{home}/extra.xlsx")
+
+
 @query("SELECT n_nationkey::INT AS seq, 'https://youtu.be/v' || n_nationkey::VARCHAR AS url, n_name || ' and more' AS title, r_name AS category, CASE WHEN n_nationkey % 2 = 0 THEN 'yes' ELSE 'no' END AS relevant FROM nation JOIN region ON n_regionkey = r_regionkey")
 def video_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of videos as CSV; commas are taken out of titles."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as X
 from ..functions import urls
+from . import spreadsheet
 
 STEM = r"([^/]+?)(?:\.[^./]+)*$"
 
@@ -160,7 +161,7 @@ def search_terms(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
 
 
 def external_table(spark: SparkSession, path: str, key: str = "video_id") -> DataFrame:
-    """A table to join by video: csv, json or xlsx, all values text. Unknown kinds give an empty table."""
+    """A table to join by video: csv, json or xlsx, all values text. Unknown kinds give an empty table, files that cannot be read an error."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
         df = spark.read.csv(path, header=True, inferSchema=False)
@@ -171,13 +172,10 @@ def external_table(spark: SparkSession, path: str, key: str = "video_id") -> Dat
         rows = raw.select(F.posexplode(F.coalesce(body, keyed)).alias("_n", "m"))
         names = rows.where("_n = 0").select(F.explode(F.map_keys("m"))).collect()  # one row's keys
         df = rows.orderBy("_n").select(*[F.col("m")[n[0]].alias(n[0]) for n in names]) if names else None
-    elif kind in ("xlsx", "xls"):
-        try:
-            import pandas as pd
-
-            df = spark.createDataFrame(pd.read_excel(path, dtype=str))
-        except ImportError:
-            df = None
+    elif kind == "xlsx":
+        df = spreadsheet.table(spark, path)
+    elif kind == "xls":
+        raise ValueError(f"{path}: the binary form of spreadsheets is not read; save it as xlsx")
     else:
         df = None
     return spark.createDataFrame([], f"{key} string") if df is None or key not in df.columns else df.withColumn(key, F.col(key).cast("string"))
