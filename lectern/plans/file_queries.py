@@ -19,8 +19,9 @@ from ..operators import metrics, opinions
 from ..session import exists, work_dir
 from ..sinks import committed, report
 from ..sinks import files as sinks
+from ..sinks import media as media_sink
 from ..sinks import spreadsheet as workbook_sink
-from ..sources import correlations, docx, files, replay, search, spreadsheet
+from ..sources import correlations, docx, files, media, replay, search, spreadsheet
 from . import report_queries as R
 from .registry import query, table
 
@@ -525,3 +526,30 @@ def dir_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A video's id from its folder, or the parent of a folder of frames."""
     tail = F.element_at(F.array(*[F.lit(x) for x in ("", "/", "/raw_frames", "/frames/", "/images")]), (F.col("page_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", urls.dir_id(F.concat(F.lit("/data/p"), F.col("page_id").cast("string"), tail)).alias("video_id"))
+
+
+@query("""SELECT 'p' || p_partkey::VARCHAR AS video_id, CASE p_partkey % 3 WHEN 2 THEN 'wav' WHEN 1 THEN 'mp4' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'mp4' END END AS kind, CASE WHEN p_partkey % 3 = 2 THEN (p_partkey % 4) / 2 WHEN p_partkey % 3 = 1 OR p_partkey % 2 = 0 THEN p_size * 1.5 END AS duration,
+ CASE WHEN p_partkey % 3 <> 2 AND (p_partkey % 3 = 1 OR p_partkey % 2 = 0) THEN 25.0 + 5 * (p_partkey % 2) END AS frame_rate, CASE WHEN p_partkey % 3 = 2 THEN 'pcm' WHEN p_partkey % 3 = 1 THEN 'mp4a' END AS audio_codec FROM part""")
+def media_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of known duration and frame rate, some of them of another kind, read by their headers."""
+    home = work_dir(spark)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names, contents = [], []
+            for key, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if key % 3 == 2:
+                    content = media_sink.wav(key % 4 / 2, 8000)
+                elif key % 3 == 1 or key % 2 == 0:
+                    content = media_sink.mp4(size * 1.5, 25 + 5 * (key % 2), 640, 360, sound=("mp4a", 2, 44100) if key % 3 == 1 else None)
+                else:
+                    content = b"no media"
+                names.append(f"p{key}.{'wav' if key % 3 == 2 else 'mp4'}")
+                contents.append(content)
+            yield pa.RecordBatch.from_pydict({"name": names, "content": pa.array(contents, pa.binary())})
+
+    sinks.write_named(parts.mapInArrow(make, "name string, content binary"), home, content="content")
+    return media.probes(spark, home, "*.*").select("video_id", "kind", "duration", "frame_rate", "audio_codec")
