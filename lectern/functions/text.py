@@ -66,6 +66,11 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), strip), lambda x: x != "")
 
 
+def base64(c: Column) -> Column:
+    """Base64 on one line; Spark's own breaks it behind every 76 characters."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def fingerprint(c: Column) -> Column:
     """The first 10 hex digits of the MD5."""
     return F.substring(F.md5(F.encode(c, "UTF-8")), 1, 10)

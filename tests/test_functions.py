@@ -98,3 +98,10 @@ def test_evenly(spark, n, k, want):
 def test_dot_and_jaccard(spark):
     row = spark.range(1).select(vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), vectors.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))), vectors.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))).first()
     assert tuple(row) == (11.0, 0.5, 0.0)
+
+
+def test_base64_is_one_line(spark):
+    import base64
+
+    data = ["", "x" * 57, "x" * 58, "é" * 400]
+    assert values(spark, data, lambda c: text.base64(F.encode(c, "UTF-8"))) == [base64.b64encode(x.encode()).decode() for x in data]
