@@ -5,12 +5,12 @@
 
 distinct  | HyperLogLog of 2**LG registers  | relative standard error 1.04 / sqrt(2**LG)
 quantiles | KLL of size K                   | rank error of about 2.3 / K**0.9 with a confidence of 0.99
-top       | frequent items, TRACKED of them | a count is too high by n / (0.75 * TRACKED) at most; exact while no more are different
+top       | frequent items, TRACKED of them | a count is too high by n / (0.75 * TRACKED) at most; exact while no more are different (``settled_top`` counts the rest)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LG, K, TRACKED = 14, 400, 10_000
@@ -46,6 +46,21 @@ def estimates(sketches: DataFrame, by: list[str], quantiles: tuple[float, ...] =
     return sketches.select(*by, "n", F.hll_sketch_estimate("distinct").alias("distinct"), q.alias("quantiles"), F.expr(f"approx_top_k_estimate(top, {k})").alias("top"))
 
 
+def settled_top(rows: DataFrame, found: DataFrame, by: list[str], item: str, k: int = 5) -> DataFrame:
+    """``found`` with ``top`` counted from the rows for keys with more than ``TRACKED`` different items, of which the sketch had to drop some.
+
+    A sketch names only items that it is sure of: of many about equally frequent ones, none. Rows are counted by item before
+    they are shuffled, and of the counts each key keeps ``k``.
+    """
+    counts = rows.groupBy(*by, item).agg(F.count(F.lit(1)).alias("count"))
+    kinds = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_kinds"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), item))
+    best = counts.withColumn("_k", place).where(F.col("_k") <= k).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_k", item, "count"))).alias("_best"))
+    exact = F.transform("_best", lambda x: F.struct(x[item].alias("item"), x["count"].alias("count")))
+    joined = found.join(kinds, by, "left").join(best, by, "left")
+    return joined.withColumn("top", F.when(F.col("_kinds") > TRACKED, exact).otherwise(F.col("top"))).drop("_kinds", "_best")
+
+
 def rank_errors(rows: DataFrame, found: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
     """``by`` and ``rank_error``: the greatest distance between a quantile and the ranks that its value really has."""
     each = found.select(*by, F.posexplode("quantiles").alias("k", "q"))

@@ -24,3 +24,15 @@ def test_merged_sketches_stay_within_their_bounds(spark):
             counts[r[4]] = counts.get(r[4], 0) + 1
     assert [(t.item, t["count"]) for t in got["a"].top] == sorted(counts.items(), key=lambda x: -x[1])[:3]
     assert got["a"].n == 8000 and got["b"].n == 2
+
+
+def test_more_items_than_a_sketch_tracks(spark):
+    """25,000 items of two rows each and five of more: no sketch can name them, so they are counted."""
+    often = [(k, 3 + k) for k in range(5)]
+    rows = spark.range(25_000).select(F.lit("many").alias("g"), F.explode(F.array_repeat(F.col("id") + 10, 2)).alias("item"))
+    rows = rows.unionAll(spark.createDataFrame([("many", k) for k, n in often for _ in range(n)], "g string, item long")).unionAll(spark.createDataFrame([("few", 7), ("few", 7), ("few", 8), ("few", None)], "g string, item long"))
+    rows = rows.withColumns({"v": F.col("item"), "x": F.lit(1.0), "day": F.pmod(F.xxhash64("item"), F.lit(3))})
+    found = sketches.estimates(sketches.merged(sketches.daily(rows, ["g"], F.col("day"), "v", "x", "item"), ["g"]), ["g"])
+    got = {r.g: [(t.item, t["count"]) for t in r.top] for r in sketches.settled_top(rows, found, ["g"], "item").collect()}
+    assert got["many"] == sorted(often, key=lambda x: -x[1])
+    assert got["few"][0] == (7, 2) and sorted(got["few"][1:], key=str) == [(8, 1), (None, 1)]
