@@ -110,8 +110,18 @@ def clamp(c: Column, low: int, high: int) -> Column:
 
 
 def fixed(c: Column, digits: int, null: str = "") -> Column:
-    """Decimal text with so many digits; ``null`` for null."""
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise(F.lit(null))
+    """Decimal text with so many digits of the binary number, ties to even, as C and Python print it; ``null`` for null.
+
+    Spark's own formatting takes the shortest decimal of a number and rounds its ties up.
+    """
+    x, p = c.cast("double"), float(10**digits)
+    n = F.rint(x * p)
+    # whether x * p lies beyond the halves around n, exactly: the upper and the lower bits of x are multiplied on their own
+    upper = x.cast("float").cast("double")
+    beyond = lambda half: ((upper * p - n) - half) + (x - upper) * p
+    whole = F.when(beyond(0.5) > 0, n + 1).when(beyond(-0.5) < 0, n - 1).otherwise(n)
+    printed = F.when(F.abs(x) < 2.0**50 / p, whole / p).otherwise(x)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", printed)).otherwise(F.lit(null))
 
 
 def any_keyword(c: Column, words: tuple[str, ...]) -> Column:

@@ -38,12 +38,12 @@ def correlation_report(units: DataFrame, candidates: DataFrame, records: DataFra
     covered = C.coverage(candidates.join(units.select("video_id", "unit_id"), ["video_id", "unit_id"], "left_semi"), min_score)
     total = C.total_pairs(records).join(C.coverage_summary(covered, available), "video_id", "left")
     head = block(total, F.lit(0), "heading", 1, F.concat(F.lit("Correlation report: "), "video_id"))
-    percent = F.when(F.col("percent").isNotNull(), F.concat(F.lit(" ("), X.fixed(F.col("percent"), 1), F.lit("%)"))).otherwise(F.lit(""))
+    percent = F.when(F.col("percent").isNotNull(), F.concat(F.lit(" ("), X.fixed(F.round("percent", 1), 1), F.lit("%)"))).otherwise(F.lit(""))
     sums = block(total, F.lit(0), "paragraph", 0, F.concat(F.lit("Pairs checked: "), "total_pairs", F.lit("; comments with a match: "), F.coalesce("n_correlated", F.lit(0)), percent))
     n = F.row_number().over(Window.partitionBy("video_id").orderBy(*C.coverage_order(), "url"))
     lines = block(covered.withColumn("n", n), key(F.col("n")), "bullet", 0, F.concat(F.col("n_units").cast("string"), F.lit(" units, best "), F.col("max_score").cast("string"), F.lit(": "), "comment"))
     ranked = C.top_units(C.unit_ranking(units, candidates, min_score))
-    tops = block(ranked, F.concat(F.when(F.col("side") == "top", "a").otherwise("b"), key(F.col("rank"))), "bullet", 0, F.concat("side", F.lit(" "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit(" "), X.fixed(F.col("avg_score"), 2), F.lit(" over "), F.col("contributions").cast("string")))
+    tops = block(ranked, F.concat(F.when(F.col("side") == "top", "a").otherwise("b"), key(F.col("rank"))), "bullet", 0, F.concat("side", F.lit(" "), F.col("rank").cast("string"), F.lit(": "), "title", F.lit(" "), X.fixed(F.round("avg_score", 2), 2), F.lit(" over "), F.col("contributions").cast("string")))
     order = F.row_number().over(Window.partitionBy("video_id").orderBy("pos"))
     numbered = units.withColumn("n", order)
     names = block(numbered, key(F.col("n")), "heading", 2, F.col("title"))

@@ -105,3 +105,13 @@ def test_base64_is_one_line(spark):
 
     data = ["", "x" * 57, "x" * 58, "é" * 400]
     assert values(spark, data, lambda c: text.base64(F.encode(c, "UTF-8"))) == [base64.b64encode(x.encode()).decode() for x in data]
+
+
+def test_decimals_as_python_prints_them(spark):
+    import random
+
+    r = random.Random(3)
+    data = [44.3125, 45.8125, -44.3125, 1.0005, 1.0015, 1.0035, 0.0005, -0.0001, 0.0, 1e18, 2.0**49, 123456.7895]
+    data += [r.randrange(100 * d) / d for d in (16, 80, 400, 2000, 48) for _ in range(400)]
+    for digits in (1, 2, 3):
+        assert values(spark, data, lambda c: text.fixed(c, digits), "double") == [f"{x:.{digits}f}" for x in data]
