@@ -55,6 +55,37 @@ def unfinished(units: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("v
 QUERIES, ROWS = 512, 8192
 
 
+#: Queries of a block that are compared at once.
+STRIPE = 64
+
+
+def nearest(a, b, k: int):
+    """Query, row and similarity of the ``k`` nearest rows of ``b`` for each of ``a``; ties to six digits go to the first row.
+
+    A product of matrices tells which rows can be among them, within its error and the rounding; only those are summed in the
+    order of the dimensions, so that equal rows have equal sums in every block.
+    """
+    import numpy as np
+
+    about = np.nan_to_num(a @ b.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    if k < len(b):
+        least = np.partition(about, len(b) - k, axis=1)[:, len(b) - k]
+        norms = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1).max())
+        slack = 2e-6 + 1e-12 * np.nan_to_num(norms, nan=np.inf, posinf=np.inf)
+        with np.errstate(invalid="ignore"):
+            floor = np.nan_to_num(least - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        i, j = np.nonzero(about >= floor[:, None])
+    else:
+        i, j = (x.ravel() for x in np.indices(about.shape))
+    sims = np.zeros(len(i))
+    for d in range(a.shape[1]):
+        sims += a[i, d] * b[j, d]
+    order = np.lexsort((j, -np.round(sims, 6), i))
+    i, j, sims = i[order], j[order], sims[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], sims[kept]
+
+
 def top_k_of_vectors(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vec: str, by: str | None = None, size: tuple[int, int] = (QUERIES, ROWS)) -> DataFrame:
     """The ``k`` nearest rows of each query of a stated set, against all rows, or all of the same ``by``.
 
@@ -85,12 +116,9 @@ def top_k_of_vectors(queries: DataFrame, rows: DataFrame, k: int, query_id: str,
             return pa.table({f.name: pa.array([], t) for f, t in zip(out.fields, kinds)})
         own = own.take(pa.compute.sort_indices(own, [("r", "ascending")]))
         a, b = matrix(qs.column("v")), matrix(own.column("v"))
-        sims = np.zeros((len(a), len(b)))
-        for d in range(a.shape[1]):  # summed in the order of the dimensions, so that equal rows have equal sums in every block
-            sims += a[:, d, None] * b[None, :, d]
-        top = np.argsort(-np.round(sims, 6), axis=1, kind="stable")[:, :k]
-        of = np.repeat(np.arange(len(a)), top.shape[1])
-        return pa.table({"q": qs.column("q").take(pa.array(of)), "r": own.column("r").take(pa.array(top.ravel())), "sim": np.take_along_axis(sims, top, 1).ravel()})
+        best = [nearest(a[at : at + STRIPE], b, k) for at in range(0, len(a), STRIPE)]
+        of = np.concatenate([x + n * STRIPE for n, (x, _, _) in enumerate(best)])
+        return pa.table({"q": qs.column("q").take(pa.array(of)), "r": own.column("r").take(pa.array(np.concatenate([x[1] for x in best]))), "sim": np.concatenate([x[2] for x in best])})
 
     keys = ("g", "block", "part")
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, out)

@@ -337,3 +337,25 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=600)
     ends, peak = done.stdout.strip().split("\n")
     assert ends == "2500 5000 7500 10000 12500 15000 17500 20000" and int(peak) < 500, done.stdout + done.stderr
+
+
+def test_nearest_rows_by_products_and_sums():
+    """Ties, copies, missing numbers and long vectors: the same rows as by sorting all sums."""
+    import numpy as np
+
+    from lectern.operators.retrieval import nearest
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 16)), rng.normal(size=(300, 16))
+    b[50:90] = b[7]
+    b[100:110] = b[7] + 1e-8
+    b[200, 3] = np.nan
+    a[3] = b[7]
+    for scale in (1.0, 1e6):
+        sims = np.zeros((len(a), len(b)))
+        for d in range(16):
+            sims += (a * scale)[:, d, None] * b[None, :, d]
+        for k in (1, 5, 45, 300, 400):
+            i, j, found = nearest(a * scale, b, k)
+            top = np.argsort(-np.round(sims, 6), axis=1, kind="stable")[:, :k]
+            assert (j.reshape(len(a), -1) == top).all() and np.array_equal(found.reshape(top.shape), np.take_along_axis(sims, top, 1), equal_nan=True)
