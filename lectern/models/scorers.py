@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import replies, vectors
 from ..functions import text as X
@@ -71,12 +71,18 @@ def complete(rows: DataFrame, model: Completion, prompt: str, out: str, tries: i
         return ledger.ask(rows, model, prompt, "_calls", label=f"complete {name_of(model)}", tries=tries, image=image).withColumn(out, said(F.col("_calls"))).drop("_calls")
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            df[out] = [_ask(model, p, None if image is None else i, tries) for p, i in zip(df[prompt], df[image] if image else [None] * len(df))]
-            yield df
+    names = schema.fieldNames()
 
-    return rows.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # columns stay as they came; only prompts and images of a few rows at a time become Python objects
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                images = part.column(image).to_pylist() if image else [None] * part.num_rows
+                said = [_ask(model, p, i, tries) for p, i in zip(part.column(prompt).to_pylist(), images)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def name_of(model: Completion) -> str:
@@ -148,24 +154,31 @@ def extract_with_retries(rows: DataFrame, model: Completion, prompt: str, tries:
         asked = ledger.ask(rows, model, prompt, "_calls", label=f"topics {mode} {name_of(model)}", tries=tries, phrase=phrase, accept=reads)
         rows = asked.withColumn("_attempts", F.transform("_calls", lambda x: F.coalesce(x["reply"], x["error"]))).drop("_calls")
 
-    def ask(p: str) -> list[str]:
+    def ask(p: str) -> dict:
         attempts = []
         for k in range(tries):
             attempts.append(_ask(model, phrase(p, k, tries), None, 1))
-            if reads(attempts[-1]):
+            topics, error = replies.topics_of(attempts[-1], mode)  # read once, for the decision and the result
+            if topics is not None:
                 break
-        return attempts
+        return {"parsed": topics, "attempts": attempts, "error": error if topics is None else None}
 
     def one(attempts: list[str]) -> dict:
         topics, error = replies.topics_of(attempts[-1], mode)
         return {"parsed": topics, "attempts": attempts, "error": error if topics is None else None}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            df["extracted"] = [one(list(a)) for a in (df.pop("_attempts") if recorded else map(ask, df[prompt]))]
-            yield df
+    kind = to_arrow_type(EXTRACTED)
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [one(a) for a in part.column("_attempts").to_pylist()] if recorded else [ask(p) for p in part.column(prompt).to_pylist()]
+                kept = [part.column(c) for c in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], names=names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cascade(units: DataFrame, *stages) -> DataFrame:

@@ -228,7 +228,8 @@ class Merger:
 def merged_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One caption of two, a page's address and its text: what a reply marks as final, else the first."""
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("caption_a"), F.col("html").alias("caption_b"))
-    return tasks.merge_captions(p, Merger(), F.concat("caption_b", F.lit(" of "), F.col("page_id").cast("string"))).select("page_id", "caption")
+    asked = p.select("page_id", "caption_a", F.concat("caption_b", F.lit(" of "), F.col("page_id").cast("string")).alias("_p"))  # the text goes to Python once
+    return tasks.merge_captions(asked, Merger(), F.col("_p")).select("page_id", "caption")
 
 
 class Reader:
