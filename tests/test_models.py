@@ -78,3 +78,20 @@ def test_correlation_documents(spark, tmp_path):
 def test_renaming(spark):
     df = spark.createDataFrame([("v_raw.docx",), ("v.txt",)], "c string")
     assert [r[0] for r in df.select(text.renamed(F.col("c"), "_raw.docx", "_captions.docx")).collect()] == ["v_captions.docx", "v.txt"]
+
+
+def test_extraction_passes_columns_through(spark):
+    """More rows than are read at once, with columns of other kinds; the second try is the one that reads."""
+    from pyspark.sql import functions as F
+
+    from lectern.functions import replies
+    from lectern.models import scorers
+
+
+    class Model:
+        def complete(self, prompt, image=None):
+            return '[{"title": "T", "description": "d", "start": 1, "end": 2}]' if prompt.endswith(scorers.HINT) else "none"
+
+    rows = spark.range(2500).select("id", F.current_timestamp().alias("at"), F.concat(F.lit("p"), "id").alias("prompt"))
+    got = scorers.extract_with_retries(rows, Model(), "prompt").select("id", F.size("extracted.attempts").alias("n"), F.col("extracted.parsed")[0]["title"].alias("t")).collect()
+    assert sorted((r.id, r.n, r.t) for r in got) == [(k, 2, "T") for k in range(2500)]
