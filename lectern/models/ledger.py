@@ -4,8 +4,10 @@ A call to a model costs money and may answer otherwise the second time, so it mu
 runs again whenever its result is used. ``Ledger.ask`` asks for what the ledger lacks, appends the answers as
 Parquet, and joins them to the rows. Equal prompts are asked once. A run that stopped goes on with what it had not written.
 
-A commit is a folder of its own and holds at most ``commit_calls`` prompts, dealt to tasks of ``task_calls``: so many are
-asked again at most if the driver, or a task, is lost in the middle. Folders without Spark's mark of success are never read.
+Each task commits what it has asked as a file of its own, which appears under its name when it is whole. A file holds at most
+``task_calls`` prompts, and fewer where the tasks would have over ``commit_calls`` between them that are asked but not written: so many are asked
+again at most if the driver, or a task, is lost in the middle, whatever the cluster's size. A task that runs again goes on behind its files.
+Where an ask made many files, they are written once more in few, which are read instead; nothing is deleted that another run may read.
 """
 
 from __future__ import annotations
@@ -14,12 +16,21 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, exists, folders, work_dir, written
+from ..sinks.committed import located
 
 CALLS = "key string, label string, try int, reply string, error string, accepted boolean, run string"
+STORED = pa.schema([("key", pa.string()), ("label", pa.string()), ("try", pa.int32()), ("reply", pa.string()), ("error", pa.string()), ("accepted", pa.bool_()), ("run", pa.string())])
+#: The name of a folder of files that tasks commit, and what is added to it for the same calls in few files.
+COMMITS, FEW = "calls-", ".few"
+#: So many files of an ask are left as they are, and so many calls make one of the few.
+MANY, A_FILE = 1_000, 250_000
 
 
 def fingerprint(label: str, prompt: Column, image: Column | None = None) -> Column:
@@ -41,9 +52,12 @@ class Ledger:
 
     def calls(self) -> DataFrame:
         """Every call: ``key``, ``label``, ``try`` from 0, ``reply`` or ``error``, whether it was accepted, and the run that made it."""
-        done = [d for d in folders(self.spark, self.path) if exists(self.spark, f"{d}/_SUCCESS")]
+        found = folders(self.spark, self.path)
+        whole = {d for d in found if not d.rsplit("/", 1)[1].startswith(COMMITS) or d.endswith(FEW)}
+        whole = {d for d in whole if exists(self.spark, f"{d}/_SUCCESS")}
+        done = [d for d in found if d in whole or (d.rsplit("/", 1)[1].startswith(COMMITS) and not d.endswith(FEW) and d + FEW not in whole)]
         # folders are named one by one: scans of one path count as equal to Spark whenever it was listed
-        return self.spark.read.schema(CALLS).parquet(*done) if done else self.spark.createDataFrame([], CALLS)
+        return self.spark.read.schema(CALLS).option("recursiveFileLookup", "true").parquet(*done) if done else self.spark.createDataFrame([], CALLS)
 
     def answers(self) -> DataFrame:
         """``key``, ``tries`` made, ``done`` (one was accepted) and ``attempts`` in order: what was said, or the error."""
@@ -68,34 +82,63 @@ class Ledger:
         wanted = wanted.join(known, "key", "left").where(f"not coalesce(done, false) and coalesce(tries, 0) < {tries}")
         todo = written(wanted.select("key", "prompt", "image", F.coalesce("tries", F.lit(0)).cast("int").alias("made")))
         n = todo.count()
-        slices = -(-n // self.commit_calls)
-        if slices > 1:  # each slice is read alone
-            whole, todo = todo, written(todo.withColumn("slice", F.expr(f"pmod(xxhash64(key), {slices})").cast("int")), "slice")
-            discard(whole)
-        for k in range(slices):
-            part = todo.where(f"slice = {k}").drop("slice") if slices > 1 else todo
-            asked = part.repartition(max(1, -(-n // (slices * self.task_calls)))).mapInPandas(_asker(model, label, tries, phrase, accept, self.run), CALLS)
-            asked.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        if n:
+            parts = -(-n // self.task_calls)
+            tasks = max(1, min(parts, self.commit_calls, self.spark.sparkContext.defaultParallelism))
+            each = max(1, min(self.task_calls, self.commit_calls // tasks))
+            folder = f"{self.path}/{COMMITS}{uuid.uuid4().hex}"
+            dealt = todo.repartition(parts, "key").withColumn("part", F.expr(f"pmod(hash(key), {parts})"))
+            # a task takes its parts one after another, so that a batch holds one part's prompts at most
+            made = dealt.mapInPandas(_asker(model, label, tries, phrase, accept, self.run, folder, each), "files long, calls long").coalesce(tasks)
+            n_files, n_calls = made.agg(F.coalesce(F.sum("files"), F.lit(0)), F.coalesce(F.sum("calls"), F.lit(0))).first()
+            if n_files > MANY:
+                self.spark.read.schema(CALLS).option("recursiveFileLookup", "true").parquet(folder).coalesce(-(-n_calls // A_FILE)).write.parquet(folder + FEW)
         discard(todo)
         return keyed.join(self.answers().select(F.col("key").alias("_key"), F.col("attempts").alias(out)), "_key").drop("_key")
 
 
-def _asker(model, label: str, tries: int, phrase, accept, run: str):
+def _asker(model, label: str, tries: int, phrase, accept, run: str, folder: str, each: int):
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, home = located(folder)
+        out, asked, done, n_files, n_calls = [], 0, None, 0, 0
+
+        def commit() -> None:
+            nonlocal out, asked, n_files, n_calls
+            name, own = f"{uuid.uuid4().hex}.parquet", f"{home}/{part}"
+            target.create_dir(own, recursive=True)
+            pq.write_table(pa.Table.from_pylist([dict(zip(STORED.names, row)) for row in out], STORED), f"{own}/_{name}", filesystem=target)
+            target.move(f"{own}/_{name}", f"{own}/{name}")
+            out, asked, n_files, n_calls = [], 0, n_files + 1, n_calls + len(out)
+
         for df in frames:
-            out = []
-            for key, prompt, image, made in zip(df["key"], df["prompt"], df["image"], df["made"]):
+            for key, prompt, image, made, part in zip(df["key"], df["prompt"], df["image"], df["made"], df["part"]):
+                if done is None:
+                    done, n_files, n_calls = kept(target, f"{home}/{part}")
+                if key in done:
+                    continue
                 for k in range(made, tries):
                     reply, error = call(model, phrase(prompt, k, tries), image)
                     good = reply is not None and bool(accept(reply))
                     out.append((key, label, k, reply, error, good, run))
                     if good:
                         break
-            yield pd.DataFrame(out, columns=["key", "label", "try", "reply", "error", "accepted", "run"])
+                asked += 1
+                if asked == each:
+                    commit()
+        if out:
+            commit()
+        yield pd.DataFrame({"files": [n_files], "calls": [n_calls]})
 
     return ask
 
 
+def kept(target: fs.FileSystem, home: str) -> tuple[set[str], int, int]:
+    """The keys that an earlier attempt has committed of a part, and the numbers of its files and calls."""
+    found = target.get_file_info(fs.FileSelector(home, allow_not_found=True))
+    tables = [pq.read_table(f.path, columns=["key"], filesystem=target) for f in found if not f.base_name.startswith("_")]
+    return {k for t in tables for k in t.column("key").to_pylist()}, len(tables), sum(t.num_rows for t in tables)
+
+
 def call(model, prompt: str, image: bytes | None) -> tuple[str | None, str | None]:
     """What a model says, or why it says nothing."""
     try:

@@ -1,10 +1,15 @@
 import json
 import os
+import subprocess
+import sys
+import textwrap
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.models import ledger as ledgers
 from lectern.models import scorers, tasks
 from lectern.models.ledger import Ledger, said
 from lectern.plans import pipelines
@@ -112,3 +117,54 @@ def test_tasks_take_a_ledger(spark, tmp_path):
     model = Noted(tmp_path / "calls", lambda p: "like" if "dislike" in p else "no")
     got = tasks.ask_opinions(opinions, model, ledger=ledger)
     assert [r.other_reply for r in got.collect()] == ["no", "no"] and len(model.asked()) == 6
+
+
+def test_commits_of_few_calls_are_no_jobs_of_their_own(spark, tmp_path):
+    """Jobs don't grow with the number of commits, and what is asked but not written stays within the commit's calls."""
+    tracker, path = spark.sparkContext.statusTracker(), str(tmp_path / "ledger")
+    for n in (60, 240):
+        rows, group = spark.createDataFrame([(f"p{k}",) for k in range(n)], "p string"), f"asked-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert Ledger(spark, f"{path}{n}", commit_calls=10, task_calls=5).ask(rows, scorers.Scripted({}, "x"), "p").count() == n
+        assert len(tracker.getJobIdsForGroup(group)) < 20
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        sizes = [len(pq.read_table(os.path.join(d, f))) for d, _, fs in os.walk(f"{path}{n}") for f in fs]
+        assert sum(sizes) == n and max(sizes) * 4 <= 10  # four tasks at once
+
+
+def test_many_files_are_written_once_more_in_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledgers, "MANY", 10)
+    model, path = Noted(tmp_path / "calls", lambda p: p), str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(f"p{k}",) for k in range(50)], "p string")
+    assert scorers.complete(rows, model, "p", "reply", ledger=Ledger(spark, path, commit_calls=4)).count() == 50
+    few = [d for d in os.listdir(path) if d.endswith(ledgers.FEW)]
+    assert len(few) == 1 and len(os.listdir(path)) == 2 and Ledger(spark, path).calls().count() == 50
+    os.remove(f"{path}/{few[0]}/_SUCCESS")  # as if it had been stopped there
+    assert Ledger(spark, path).calls().count() == 50
+    scorers.complete(rows, model, "p", "reply", ledger=Ledger(spark, path)).count()
+    assert len(model.asked()) == 50
+
+
+def test_a_task_that_runs_again_goes_on_behind_its_files(tmp_path):
+    script = textwrap.dedent(f"""
+        import os, uuid
+        from pyspark import TaskContext
+        from pyspark.sql import SparkSession
+        from lectern.models.ledger import Ledger
+        class Dying:
+            def complete(self, prompt, image=None):
+                open({str(tmp_path)!r} + "/asked-" + uuid.uuid4().hex, "w").write(prompt)
+                if prompt == "p17" and TaskContext.get().attemptNumber() == 0:
+                    os._exit(1)
+                return prompt
+        spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+        rows = spark.createDataFrame([(f"p{{k}}",) for k in range(40)], "p string")
+        ledger = Ledger(spark, {str(tmp_path / "ledger")!r}, commit_calls=6, task_calls=10)
+        print(ledger.ask(rows, Dying(), "p").count(), ledger.calls().count())
+    """)
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": home})
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.stdout.split() == ["40", "40"]
+    asked = [open(tmp_path / f).read() for f in os.listdir(tmp_path) if f.startswith("asked-")]
+    assert len(set(asked)) == 40 and 41 <= len(asked) <= 43
