@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import Row
+
 from lectern.streaming import paced
 from lectern.streaming.paced import Pace, Worker
 
@@ -55,3 +57,34 @@ def test_stream_stops_and_goes_on(spark, tmp_path):
     assert spark.conf.get(paced.PROVIDER) == before
     got = sorted((r.worker, r.url, r.event, r["pass"]) for r in spark.read.parquet(f"{tmp_path}/out").where("event <> 'start'").collect())
     assert got == [(1, "u0", "downloaded", 1), (1, "u1", "failed", 2), (1, "u2", "failed", 2), (2, "u0", "failed", 2), (2, "u1", "failed", 2), (2, "u2", "failed", 2)]
+
+
+def test_state_is_read_and_written_once():
+    """Whatever the number of addresses; no call for each of them."""
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+    p = paced.Pacing(Pace(2, 10, 50, 10))
+    p.worker = p.handle = State()
+    row = Row("ms", "kind", "url", "ok")
+    assert list(p.handleInputRows((1,), iter([row(k, "request", f"u{k:02}", None) for k in reversed(range(50))]), None)) == []
+    assert calls == ["get", "update", "register"] and len(p.worker.value[0]) == 50
+    got = list(p.handleInputRows((1,), iter([row(10_500, "outcome", "u00", True), row(10_500, "tick", None, None), row(10_400, None, None, None)]), None))
+    assert [(e.worker, e.url, e.event, e.ms) for e in got] == [(1, "u00", "start", 10_000), (1, "u01", "start", 10_000), (1, "u00", "downloaded", 10_500)]
+    assert calls[3:] == ["get", "update", "delete", "register"]
