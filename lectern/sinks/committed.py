@@ -8,20 +8,31 @@ names that begin with ``_``. A folder that is not there yet is moved as a whole.
 A commit leaves ``<path>/_commits/<job>.json`` with the numbers of files and bytes; committing a job again changes
 nothing. Options: ``path``; ``job``, a name of the job, by default random. Mode ``overwrite`` deletes what is
 in the folder when the job commits, not before. Two rows of one name in a job fail it in the commit.
+
+That commit is the driver's, a rename for each file or new folder. ``write`` gives the same result for any number of files: names are compared by a
+shuffle and files moved by tasks, so the driver sees neither.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
+#: Files that a task of ``write`` moves, where there are so many.
+MOVES = 20_000
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path.rstrip("/")))
 
@@ -104,8 +115,134 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Attempt | None]) -> None:
         target, base = located(self.path)
-        if target.get_file_info(f"{base}/{self.staging}").type != fs.FileType.NotFound:
-            target.delete_dir(f"{base}/{self.staging}")
+        gone(target, f"{base}/{self.staging}")
+
+
+def gone(target: fs.FileSystem, folder: str) -> None:
+    """Delete a folder if it is there; tasks that are being stopped may still write into it for a moment."""
+    for k in range(20):
+        if target.get_file_info(folder).type == fs.FileType.NotFound:
+            return
+        try:
+            target.delete_dir(folder)
+        except OSError:
+            if k == 19:
+                raise
+            time.sleep(0.25)
+
+
+def write(rows: DataFrame, path: str, job: str) -> int:
+    """Files of ``rows`` (a name, a content) in ``path``, all or none; returns how many.
+
+    A first job writes them into folders of its attempts and notes their names, a second one moves them.
+    """
+    from ..session import discard, written
+
+    spark = rows.sparkSession
+    target, base = located(path)
+    staging = f"{base}/_staging-{job}"
+    target.create_dir(staging, recursive=True)
+    try:
+        names = written(rows.mapInArrow(_stager(path, staging), "name string, staged string, size long"))
+    except BaseException:
+        clear(spark, path, staging)
+        raise
+    try:
+        n, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        twice = clashes(names).first()
+        if twice:
+            raise ValueError(f"two files of one name: {twice[0]}")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-n // MOVES))
+        names.repartition(min(max(n, 1), tasks)).mapInArrow(_mover(path), "n long").agg(F.sum("n")).collect()
+        target.create_dir(f"{base}/_commits", recursive=True)
+        with target.open_output_stream(f"{base}/_commits/{job}.json") as f:
+            f.write(json.dumps({"files": n, "bytes": size}).encode())
+    finally:
+        discard(names)
+        clear(spark, path, staging)
+    return n
+
+
+def clear(spark: SparkSession, path: str, staging: str) -> None:
+    """Delete what attempts have left, each folder by a task."""
+    target, _ = located(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, _ = located(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                gone(target, folder)
+            yield batch
+
+    left = [(f.path,) for f in listed(target, staging)]
+    if len(left) > 1:
+        spark.createDataFrame(left, "path string").repartition(len(left)).mapInArrow(run, "path string").count()
+    gone(target, staging)
+
+
+def clashes(names: DataFrame) -> DataFrame:
+    """Names that two rows have, or that are another name's folder."""
+    named = names.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    folders = names.select(F.regexp_extract("name", "(?s)^(.*)/", 1).alias("d")).where("d <> ''").distinct().select(F.split("d", "/").alias("p"))
+    above = folders.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", 1, k), "/"))).alias("name")).distinct()
+    return named.where("n > 1").select("name").unionAll(named.join(above, "name", "left_semi").select("name"))
+
+
+def _stager(path: str, staging: str) -> Callable:
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, _ = located(path)
+        folder, made = f"{staging}/{uuid.uuid4().hex}", set()
+        try:
+            for batch in batches:
+                names, staged, sizes = batch.column(0).to_pylist(), [], []
+                for name, data in zip(names, batch.column(1)):
+                    where, data = place(folder, name), data.as_py() or b""
+                    home = where.rsplit("/", 1)[0]
+                    if not made:
+                        target.create_dir(folder, recursive=False)  # not after the job has been given up
+                    if home not in made:
+                        target.create_dir(home, recursive=True)
+                        made.add(home)
+                    with target.open_output_stream(where) as f:
+                        f.write(data)
+                    staged.append(where)
+                    sizes.append(len(data))
+                yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "staged": pa.array(staged, pa.string()), "size": pa.array(sizes, pa.int64())})
+        except BaseException:
+            if made:
+                gone(target, folder)
+            raise
+
+    return stage
+
+
+def _mover(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = located(path)
+        made = set()
+        for batch in batches:
+            for name, staged in zip(batch.column("name").to_pylist(), batch.column("staged").to_pylist()):
+                where = f"{base}/{name}"
+                home = where.rsplit("/", 1)[0]
+                if home not in made:
+                    target.create_dir(home, recursive=True)
+                    made.add(home)
+                put(target, staged, where)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return run
+
+
+def put(target: fs.FileSystem, staged: str, where: str) -> None:
+    """Move a file to its name, in the place of a file of that name; nothing is done if an earlier attempt has moved it."""
+    try:
+        target.move(staged, where)
+    except OSError:
+        if target.get_file_info(where).type != fs.FileType.File:
+            raise
+        if target.get_file_info(staged).type != fs.FileType.NotFound:
+            target.delete_file(where)
+            target.move(staged, where)
 
 
 def place(folder: str, name: str | None) -> str:

@@ -54,12 +54,9 @@ def write_texts(rows: DataFrame, path: str, key: str = "video_id") -> None:
 def write_named(rows: DataFrame, path: str, name: str = "name", content: str = "text") -> int:
     """A file for each row, under its own name (which may have folders); null is an empty file. Returns how many.
 
-    Files are written where the rows are, so no content passes the driver, and appear when all are written (``committed``).
+    Files are written where the rows are, and appear when all are written; neither contents nor names pass the driver (``committed.write``).
     """
-    job = uuid.uuid4().hex
-    committed.register(rows.sparkSession)
-    rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).write.format("named_files").option("path", path).option("job", job).mode("append").save()
-    return committed.receipt(path, job)["files"]
+    return committed.write(rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")), path, uuid.uuid4().hex)
 
 
 def write_frames(frames: DataFrame, path: str) -> int:

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
 from ..functions import urls
+from ..session import written
+from ..sinks.committed import located
 from . import spreadsheet
 
+#: Bytes of contents that are handed on at once.
+BLOCK = 4 << 20
+
 STEM = r"([^/]+?)(?:\.[^./]+)*$"
 
 
@@ -134,6 +146,77 @@ def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = T
     return df.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), urls.extension(name).alias("ext"))
 
 
+def found(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path`` and ``length`` of the files below a folder, listed by tasks: the folder itself by one, each folder in it by some other.
+
+    As for Spark's own sources, what begins with ``_`` or a dot is hidden, and files without a match of ``glob`` are left out.
+    """
+    target, base = located(path)
+    before = re.sub("^file:/+", "/", path.rstrip("/")).removesuffix(base) or ("file:" if isinstance(target, fs.LocalFileSystem) else "")
+
+    def look(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            target, _ = located(path)
+            for batch in batches:
+                todo, rows = batch.column("path").to_pylist(), []
+                while todo:
+                    for where, length in entries(target, todo.pop().removeprefix(before)):
+                        name = where.rsplit("/", 1)[-1]
+                        if name[:1] in ("_", "."):
+                            continue
+                        if length is None and deep:
+                            todo.append(where)
+                        elif length is None or fnmatch.fnmatchcase(name, glob):
+                            rows.append((before + where, length))
+                        if len(rows) == 10_000:
+                            yield table_of(rows)
+                            rows = []
+                yield table_of(rows)
+
+        return run
+
+    def table_of(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in rows], pa.string()), "length": pa.array([n for _, n in rows], pa.int64())})
+
+    shape = "path string, length long"
+    top = written(spark.createDataFrame([(base,)], "path string").coalesce(1).mapInArrow(look(False), shape))
+    below = top.where("length IS NULL").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(look(True), shape)
+    return top.where("length IS NOT NULL").unionAll(below)
+
+
+def entries(target: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """Paths and lengths of what is in a folder, null for folders; one by one where the file system is a local one."""
+    if isinstance(target, fs.LocalFileSystem):
+        with os.scandir(folder) as every:
+            for e in every:
+                yield f"{folder}/{e.name}", None if e.is_dir() else e.stat().st_size
+    else:
+        for e in target.get_file_info(fs.FileSelector(folder)):
+            yield e.path, None if e.type == fs.FileType.Directory else e.size
+
+
+def contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path``, ``length`` and ``content`` of the files below a folder, empty ones too, opened where they are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for name in batch.column("path").to_pylist():
+                target, where = located(name)
+                with target.open_input_stream(where) as f:
+                    rows.append((name, f.read()))
+                size += len(rows[-1][1])
+                if size > BLOCK:
+                    yield table_of(rows)
+                    rows, size = [], 0
+            yield table_of(rows)
+
+    def table_of(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in rows], pa.string()), "length": pa.array([len(c) for _, c in rows], pa.int64()), "content": pa.array([c for _, c in rows], pa.binary())})
+
+    return found(spark, path, glob).repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, length long, content binary")
+
+
 def correlation_files(files: DataFrame) -> DataFrame:
     """JSON and JSON lines in a video's folder or its raw frames: several globs over one listing, each file once, sorted."""
     return files.where(F.col("name").rlike(r"\.jsonl?$")).select("path").distinct().orderBy("path")

@@ -113,3 +113,32 @@ def test_a_killed_worker_is_tried_again(tmp_path):
     assert tree(tmp_path / "out") == {f"{k}.txt": str(k).encode() for k in range(40)}
     assert "Lost task 1.0" in done.stderr
     assert sorted(d for d in os.listdir(tmp_path / "out") if d.startswith("_")) == ["_commits"]
+
+
+def test_no_file_is_moved_by_the_driver(spark, tmp_path):
+    """A job of tasks moves the files, and no task has all of them."""
+    home, group = str(tmp_path / "out"), "moved"
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    assert files.write_named(spark.range(0, 400, 1, 2).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit("x").alias("text")), home) == 400
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert any(s.numTasks >= 4 for s in stages if s)
+    assert len(os.listdir(home)) == 401
+
+
+def test_moving_a_file_again_changes_nothing(tmp_path):
+    target, base = committed.located(str(tmp_path))
+    (tmp_path / "staged").write_text("new")
+    (tmp_path / "name").write_text("old")
+    for _ in range(2):  # the second attempt finds it moved
+        committed.put(target, f"{base}/staged", f"{base}/name")
+        assert (tmp_path / "name").read_text() == "new" and not (tmp_path / "staged").exists()
+    with pytest.raises(OSError):
+        committed.put(target, f"{base}/staged", f"{base}/other")
+
+
+def test_clashes(spark):
+    names = lambda *n: committed.clashes(spark.createDataFrame([(x,) for x in n], "name string"))
+    assert names("a", "b/a", "b/c/a", "ab", "a.b/c").collect() == []
+    assert {r.name for r in names("a", "a", "d/e", "d/e/f/g", "x/y", "x").collect()} == {"a", "d/e", "x"}

@@ -222,3 +222,18 @@ def test_a_report_of_more_than_a_day(spark, tmp_path):
     wanted = db.execute(f"SELECT video_id, seq, kind, level, text FROM ({SQL['topics_report']})").fetchall()
     got = file_queries.topics_report(spark, home).select("video_id", "seq", "kind", "level", "text").collect()
     assert any("00:00:04.500]" in r[4] for r in wanted) and sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The same rows as Spark's source, which lists all files on the driver and leaves empty ones out."""
+    for name in ("a.txt", "b b%20ü.txt", "d/e/f.txt", "d/g.bin", "_hidden/a.txt", ".b.txt", "d/_c.txt", "h/empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else name)
+    for home in (str(tmp_path), f"file://{tmp_path}/"):
+        for glob in ("*", "*.txt"):
+            spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(home)
+            got = files.contents(spark, home, glob)
+            assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+            empty = f"file:{tmp_path}/h/empty.txt"
+            assert sorted(got.collect()) == sorted([tuple(r) for r in spark_own.select("path", "length", "content").collect()] + [(empty, 0, b"")])
+            assert sorted(files.found(spark, home, glob).collect()) == sorted([tuple(r) for r in spark_own.select("path", "length").collect()] + [(empty, 0)])
