@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
-#: Files that a task of ``write`` moves, where there are so many.
-MOVES = 20_000
+#: Files that a task of ``write`` moves, where there are so many, and bytes that ``join_files`` copies at once.
+MOVES, COPY = 20_000, 8 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -286,6 +286,53 @@ def move(target: fs.FileSystem, source: str, to: str) -> None:
             target.move(own.path, where)
 
 
+def join_files(spark: SparkSession, parts: str, path: str, head: bytes, tail: bytes, cut: int) -> None:
+    """The files of a folder as one file, in the order of their names, between ``head`` and ``tail``; their last ``cut`` bytes go.
+
+    The file appears when it is whole. Where files can be written anywhere (local and mounted folders), a task for each part copies it to its place;
+    elsewhere they only grow, and one task copies them block by block.
+    """
+    target, base = located(path)
+    source, home = located(parts)
+    half = "{}/_{}-{}".format(*base.rsplit("/", 1), uuid.uuid4().hex)
+    found = sorted((f.path, f.size) for f in listed(source, home) if f.size and f.base_name[0] not in "_.")
+    at, rows, rest = len(head), [], max(0, sum(n for _, n in found) - cut)
+    for name, n in found:
+        rows.append((name, at, min(n, rest)))
+        at, rest = at + rows[-1][2], rest - rows[-1][2]
+    anywhere = isinstance(target, fs.LocalFileSystem)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, _ = located(parts)
+        todo = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        if todo:
+            with open(half, "r+b") if anywhere else located(path)[0].open_output_stream(half) as out:
+                anywhere or out.write(head)
+                for name, at, left in todo:
+                    anywhere and out.seek(at)
+                    with source.open_input_stream(name) as f:
+                        while left:
+                            block = f.read(min(left, COPY))
+                            if not block:
+                                raise EOFError(name)
+                            out.write(block)
+                            left -= len(block)
+                anywhere or out.write(tail)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(todo)], pa.int64())})
+
+    target.create_dir(base.rsplit("/", 1)[0], recursive=True)
+    if anywhere or not rows:
+        with target.open_output_stream(half) as f:
+            f.write(head + (b"" if rows else tail))
+    if rows:
+        dealt = spark.createDataFrame(rows, "name string, at long, n long")
+        (dealt.repartition(len(rows), "at") if anywhere else dealt.coalesce(1)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        if anywhere:
+            with target.open_append_stream(half) as f:
+                f.write(tail)
+    target.move(half, base)
+
+
 def receipt(path: str, job: str) -> dict:
     """Files and bytes of a committed job."""
     target, base = located(path)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import hms, srt
+from ..session import discard_folder, work_dir
 from . import committed
 
 
@@ -103,3 +104,14 @@ def metrics_json(metrics: DataFrame, aggregate: DataFrame) -> DataFrame:
     """One document: the aggregate and the videos by id."""
     rows = metrics.agg(F.sort_array(F.collect_list(F.struct("video_id", F.struct(*[c for c in metrics.columns if c != "video_id"]).alias("m")))).alias("videos"))
     return rows.crossJoin(aggregate.select(F.struct("*").alias("aggregate"))).select(F.to_json(F.struct("aggregate", "videos"), {"pretty": "true", "ignoreNullFields": "false"}).alias("text"))
+
+
+def write_metrics(metrics: DataFrame, aggregate: DataFrame, path: str) -> None:
+    """The document of ``metrics_json`` as a file with a line for each video, in order, written by many tasks and read by as many (``sources.files.metrics_document``)."""
+    spark, parts = metrics.sparkSession, work_dir(metrics.sparkSession)
+    whole = {"ignoreNullFields": "false"}
+    video = F.to_json(F.struct("video_id", F.struct(*[c for c in metrics.columns if c != "video_id"]).alias("m")), whole)
+    metrics.orderBy("video_id").select(F.concat(video, F.lit(",")).alias("value")).write.text(parts)
+    head = aggregate.select(F.to_json(F.struct("*"), whole)).first()[0]  # one row
+    committed.join_files(spark, parts, path, f'{{"aggregate": {head}, "videos": [\n'.encode(), b"\n]}\n", len(",\n"))
+    discard_folder(spark, parts)

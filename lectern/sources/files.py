@@ -146,6 +146,20 @@ def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = T
     return df.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), urls.extension(name).alias("ext"))
 
 
+def metrics_document(spark: SparkSession, path: str, aggregate: str, metrics: str) -> DataFrame:
+    """A row for each video of a document of ``sinks.files.write_metrics``: ``aggregate``, ``video_id`` and ``m``, with the given fields.
+
+    The document has a line for each video, so that tasks read it in splits. Another layout is an error.
+    """
+    lines = spark.read.text(path)
+    first, video = F.col("value").startswith('{"aggregate": '), F.col("value").startswith('{"video_id":')
+    one = lines.where(first).select(F.from_json(F.concat("value", F.lit("]}")), f"aggregate struct<{aggregate}>")["aggregate"].alias("aggregate"))
+    known = first | video | F.col("value").isin("]}", "")
+    own = F.when(known, F.regexp_replace("value", ",$", "")).otherwise(F.raise_error(F.lit(f"{path}: not a line for each video")))
+    rows = lines.where(video | ~known).select(F.from_json(own, f"video_id string, m struct<{metrics}>").alias("v"))
+    return rows.join(F.broadcast(one), F.lit(True), "left").select("aggregate", "v.video_id", "v.m")
+
+
 def found(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path`` and ``length`` of the files below a folder, listed by tasks: the folder itself by one, each folder in it by some other.
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,8 @@ from lectern import schemas
 from lectern.models import scorers
 from lectern.operators import coverage
 from lectern.plans import pipelines
+from lectern.sinks import committed, report
 from lectern.sinks import files as sinks
-from lectern.sinks import report
 from lectern.sources import docx, files, replay
 from lectern.streaming import incremental
 
@@ -237,3 +238,32 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
             empty = f"file:{tmp_path}/h/empty.txt"
             assert sorted(got.collect()) == sorted([tuple(r) for r in spark_own.select("path", "length", "content").collect()] + [(empty, 0, b"")])
             assert sorted(files.found(spark, home, glob).collect()) == sorted([tuple(r) for r in spark_own.select("path", "length").collect()] + [(empty, 0)])
+
+
+@pytest.mark.parametrize("anywhere", [True, False])
+def test_a_document_of_metrics_by_many_tasks(spark, tmp_path, monkeypatch, anywhere):
+    """Parts of several tasks are one JSON document, which is read in splits."""
+    if not anywhere:
+        monkeypatch.setattr(committed.fs, "LocalFileSystem", committed.fs.GcsFileSystem)  # as where files only grow
+    m = spark.range(0, 3000, 1, 6).select(F.concat(F.lit('v"\n'), F.col("id").cast("string")).alias("video_id"), F.col("id").alias("frames"), F.when(F.col("id") % 2 == 0, 1.5).alias("corr_avg"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for rows, name in ((m, "m.json"), (m.where("frames < 0"), "none.json"), (m.where("frames = 7"), "one.json")):
+            path = str(tmp_path / "out" / name)
+            sinks.write_metrics(rows, rows.agg(F.count(F.lit(1)).alias("num_videos")), path)
+            blob, want = json.loads(open(path).read()), sorted(rows.collect())
+            assert blob["aggregate"] == {"num_videos": len(want)}
+            assert [(v["video_id"], v["m"]["frames"], v["m"]["corr_avg"]) for v in blob["videos"]] == [tuple(r) for r in want]
+            read = files.metrics_document(spark, path, "num_videos:long", "frames:long,corr_avg:double")
+            assert sorted((r.video_id, r.m.frames, r.m.corr_avg) for r in read.collect()) == [tuple(r) for r in want]
+            assert {r.aggregate.num_videos for r in read.collect()} == ({len(want)} if want else set())
+            if name == "m.json":
+                assert read.rdd.getNumPartitions() > 3
+        assert sorted(os.listdir(tmp_path / "out")) == ["m.json", "none.json", "one.json"]
+        (tmp_path / "pretty.json").write_text(json.dumps({"aggregate": {}, "videos": [{"video_id": "v"}]}, indent=1))
+        with pytest.raises(Exception, match="not a line for each video"):
+            files.metrics_document(spark, str(tmp_path / "pretty.json"), "num_videos:long", "frames:long").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
