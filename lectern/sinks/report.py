@@ -64,11 +64,15 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
     return blocks((0, block(metrics, F.lit(0), "row", 0, text)))
 
 
-def topics_document(topics: DataFrame, texts: DataFrame, stamped: DataFrame) -> DataFrame:
-    """Topics with their times, then the transcript by paragraphs, or the timestamped lines where there is none."""
+def topics_document(topics: DataFrame, texts: DataFrame, stamped: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Topics with their times, then the transcript by paragraphs, or the timestamped lines where there is none.
+
+    With ``documents`` (``sources.files.topic_documents``) a video whose topics file has no topics is there as well, be it by its heading alone.
+    """
     from ..functions.times import hms
 
-    ids = topics.select("video_id").unionByName(texts.select(F.col("file").alias("video_id"))).unionByName(stamped.select("video_id")).distinct()
+    ids = topics.select("video_id").unionByName(texts.select(F.col("file").alias("video_id"))).unionByName(stamped.select("video_id"))
+    ids = (ids if documents is None else ids.unionByName(documents.select("video_id"))).distinct()
     title = block(ids.join(texts.select(F.col("file").alias("video_id"), "title", "url"), "video_id", "left"), F.lit(0), "heading", 1, F.concat_ws(" ", F.coalesce("title", "video_id"), "url"))
     span = F.when(F.col("start_s").isNotNull(), F.concat(F.lit(" ("), hms(F.col("start_s")), F.lit(" - "), hms(F.col("end_s")), F.lit(")"))).otherwise(F.lit(""))
     heads = block(topics, key(F.col("pos"), F.lit(0)), "heading", 2, F.concat("topic_id", F.lit(". "), "title", span))

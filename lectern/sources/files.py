@@ -22,6 +22,9 @@ from . import spreadsheet
 #: Bytes of contents that are handed on at once.
 BLOCK = 4 << 20
 
+#: The longest text in JSON that is read; the parser's own limit is 20,000,000.
+MAX_STRING = 2**31 - 1
+
 STEM = r"([^/]+?)(?:\.[^./]+)*$"
 
 
@@ -78,11 +81,27 @@ def subtitles(spark: SparkSession, path: str) -> DataFrame:
     return blocks.where(part(1) != "").select("video_id", (part(1).cast("int") - 1).alias("seg_idx"), seconds(part(2)).alias("start"), seconds(part(3)).alias("end"), part(4).alias("text"))
 
 
+def topic_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Topics files, without topics too: ``video_id``, ``topics`` and ``error``; the id falls back to the file's name.
+
+    Each topic is read by itself, so that an odd one takes no other with it. A file that is empty or no such document has null topics and an ``error``.
+    """
+    shape = "video_id string, topics array<string>, _bad string"
+    read = spark.read.schema(shape).option("maxStringLen", MAX_STRING).json(path, multiLine=True, pathGlobFilter="*.json", columnNameOfCorruptRecord="_bad")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    every = listing(spark, path, "*.json", recursive=False).select(plain("path").alias("path"), "name")  # a read leaves empty files out
+    docs = every.join(read.select("*", plain("_metadata.file_path").alias("path"), F.lit(True).alias("_read")), "path", "left")
+    unread = F.col("topics").isNull() & (F.col("_read").isNull() | F.col("_bad").isNotNull())
+    return docs.select(
+        F.coalesce(F.nullif("video_id", F.lit("")), F.regexp_replace("name", r"(\.topics)?\.json$", "")).alias("video_id"),
+        F.transform("topics", lambda t: F.from_json(t, schemas.TOPIC, {"maxStringLen": str(MAX_STRING)})).alias("topics"),
+        F.when(unread, F.lit("not a topics document")).when(F.coalesce(F.size("topics"), F.lit(0)) <= 0, F.lit("no topics")).alias("error"),
+    )
+
+
 def topics(spark: SparkSession, path: str) -> DataFrame:
-    """Topics with tolerant fields; a topic without an id is ``T`` and its number among the topics."""
-    docs = spark.read.schema(schemas.TOPIC_DOC).json(path, multiLine=True, pathGlobFilter="*.json")
-    docs = docs.withColumn("video_id", F.coalesce("video_id", F.regexp_replace(F.col("_metadata.file_name"), r"(\.topics)?\.json$", "")))
-    return topic_rows(docs)
+    """Topics with tolerant fields; a topic without an id is ``T`` and its number among the topics. Files without topics have no row (``topic_documents``)."""
+    return topic_rows(topic_documents(spark, path))
 
 
 def topic_rows(docs: DataFrame) -> DataFrame:

@@ -225,6 +225,46 @@ def test_a_report_of_more_than_a_day(spark, tmp_path):
     assert any("00:00:04.500]" in r[4] for r in wanted) and sorted(map(tuple, got)) == sorted(wanted)
 
 
+def test_a_report_of_videos_without_topics(spark, tmp_path):
+    """A nation without suppliers and customers has a topics file without topics: its heading is in the report, as in the query's SQL."""
+    import duckdb
+
+    from lectern.plans import file_queries
+    from lectern.plans.registry import SQL
+
+    for suppliers, customers in ((40, 40), (40, 0), (0, 40), (0, 0)):
+        db, home = duckdb.connect(), str(tmp_path / f"{suppliers}-{customers}")
+        os.makedirs(home)
+        tables = {
+            "region": "SELECT 0 AS r_regionkey, 'R' AS r_name", "nation": "SELECT i::INT AS n_nationkey, 'N' || i AS n_name, 0 AS n_regionkey FROM range(8) t(i)", "supplier": f"SELECT i::BIGINT AS s_suppkey, (i % 4)::INT AS s_nationkey, 'S' || i AS s_name FROM range({suppliers}) t(i)",
+            "customer": f"SELECT i::BIGINT AS c_custkey, (i % 4)::INT AS c_nationkey, 'C' || i AS c_name, 'M' AS c_mktsegment FROM range({customers}) t(i)",
+        }
+        for name, sql in tables.items():
+            db.execute(f"COPY ({sql}) TO '{home}/{name}.parquet' (FORMAT parquet)")
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{home}/{name}.parquet'")
+        wanted = db.execute(f"SELECT video_id, seq, kind, level, text FROM ({SQL['topics_report']})").fetchall()
+        got = file_queries.topics_report(spark, home).select("video_id", "seq", "kind", "level", "text").collect()
+        assert {r[0] for r in wanted} == {f"v{k}" for k in range(8)} and sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_topics_files_are_read_whole(spark, tmp_path):
+    """Files without topics, empty or broken ones are rows; an odd topic or a long text takes no topics with it."""
+    t = {"title": "a", "description": "d", "start_s": 1.5}
+    docs = {
+        "good.topics.json": {"video_id": "own", "llm_raw": "text", "topics": [t]}, "no id.json": {"video_id": "", "topics": [t]}, "odd.json": {"topics": [t, "x", None, {**t, "start_s": "soon", "id": 7}]},
+        "long.json": {"topics": [{**t, "description": "d" * 20_000_001}]}, "none.json": {"topics": []}, "null.json": {}, "broken.json": None, "empty.json": None,
+    }
+    for name, doc in docs.items():
+        (tmp_path / name).write_text(json.dumps(doc) if doc is not None else '{"topics": [{' if name == "broken.json" else "")
+    got = files.topic_documents(spark, str(tmp_path)).collect()
+    assert {r.video_id: r.error for r in got} == {"own": None, "no id": None, "odd": None, "long": None, "none": "no topics", "null": "no topics", "broken": "not a topics document", "empty": "not a topics document"}
+    rows = files.topics(spark, str(tmp_path)).select("video_id", "topic_id", "title", F.length("description"), "start_s").collect()
+    odd = [("odd", "T1", "a", 1, 1.5), ("odd", "T2", "", 0, None), ("odd", "T3", "", 0, None), ("odd", "7", "a", 1, None)]
+    assert sorted(map(tuple, rows), key=repr) == sorted([("own", "T1", "a", 1, 1.5), ("no id", "T1", "a", 1, 1.5), ("long", "T1", "a", 20_000_001, 1.5), *odd], key=repr)
+    none = report.topics_document(files.topics(spark, str(tmp_path)), *(spark.createDataFrame([], s) for s in ("file string, title string, url string, body string", "video_id string, text string")), files.topic_documents(spark, str(tmp_path)))
+    assert {r.video_id for r in none.where("level = 1").collect()} == {r.video_id for r in got}
+
+
 def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
     """The same rows as Spark's source, which lists all files on the driver and leaves empty ones out."""
     for name in ("a.txt", "b b%20ü.txt", "d/e/f.txt", "d/g.bin", "_hidden/a.txt", ".b.txt", "d/_c.txt", "h/empty.txt"):
